@@ -9,7 +9,9 @@ Size bounds: the fan-out multiplies the rolled series by 2h+1 (15); a group
 (series, window, DOY) holds about (2h+1) x years values, because a daily
 series has one value per day.  So the exact ``percentile`` (which buffers a
 group's values) never sees an unbounded group, however large the table.
-``approx_percentile`` is not a substitute: it does not interpolate.
+``approx_percentile`` is not a substitute: it does not interpolate.  The
+quantiles are computed by ``operators.quantiles.exact_quantiles`` (one sort
+per group) rather than the buffering ``percentile`` aggregate.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 
 from solstice.functions.dates import band_offsets, doy, shift_doy
 from solstice.functions.numeric import sround
+from solstice.operators.quantiles import exact_quantiles
 from solstice.schemas import DOY_HALFWIDTH, MIN_SAMPLES, QUANTILE_NAMES, QUANTILES
 
 
@@ -55,16 +58,14 @@ def climatology(rolled: DataFrame, keys: Sequence[str] = ("station_id", "metric_
     fan = doy_fanout(base, halfwidth, date)
     if target_doys is not None:
         fan = fan.join(target_doys, [c for c in target_doys.columns], "left_semi")
-    agg = fan.groupBy(*keys, "end_doy").agg(
-        quantile_columns(value).alias("_q"),
-        F.count(value).alias("n_samples"),
-        F.min("first_year").alias("first_year"),
-        F.max("last_year").alias("last_year"))
+    agg = exact_quantiles(fan, [*keys, "end_doy"], value,
+                          extra_aggs=[F.min("first_year").alias("first_year"),
+                                      F.max("last_year").alias("last_year")])
     rnd = (lambda c: sround(c, digits)) if digits is not None else (lambda c: c)
     return agg.where(F.col("n_samples") >= min_samples).select(
         *keys, F.col("end_doy").cast("int").alias("end_doy"),
         F.lit(halfwidth).alias("doy_window_halfwidth"),
-        *[rnd(F.col("_q")[i]).alias(n) for i, n in enumerate(QUANTILE_NAMES)],
+        *[rnd(F.col(n)).alias(n) for n in QUANTILE_NAMES],
         "n_samples", "first_year", "last_year")
 
 

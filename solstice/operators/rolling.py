@@ -23,6 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from solstice.operators.partitioning import cluster_by_series
 from solstice.schemas import METRICS
 
 FRAMES = ("rows_nonnull", "rows_nullable", "rows_partial", "calendar")
@@ -65,13 +66,16 @@ def rolling_value(value: str, keys: Sequence[str], date: str, w: int, frame: str
 def rolling(df: DataFrame, windows: Sequence[int], frame: str = "rows_nonnull",
             value: str = "value", keys: Sequence[str] = ("station_id", "metric_id"),
             date: str = "obs_date", agg: str = "avg", keep_null: bool = False,
-            carry: Sequence[str] = ()) -> DataFrame:
+            carry: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
     """Long rolling table: (keys..., date, window_days, value, carry...).
 
     ``rows_nonnull`` first drops null values (B17).  Rows without a value
-    for a window are dropped unless ``keep_null``.
+    for a window are dropped unless ``keep_null``.  The input is clustered by
+    the series key (see ``operators.partitioning``), so jobs downstream that
+    group by (keys, window_days, ...) need no further shuffle.
     """
     src = df.where(F.col(value).isNotNull()) if frame == "rows_nonnull" else df
+    src = cluster_by_series(src, keys, partitions)
     cols = [F.struct(F.lit(w).alias("window_days"),
                      rolling_value(value, keys, date, w, frame, agg).alias("v")).alias(f"_w{i}")
             for i, w in enumerate(windows)]
@@ -89,6 +93,7 @@ def calendar_windows(df: DataFrame, windows: Sequence[int], value: str = "value"
     Output (keys..., end_date, window_days, start_date, value, n_valid, coverage_ratio);
     value is null when the window holds no valid value.
     """
+    df = cluster_by_series(df, keys)
     cols = []
     for i, w in enumerate(windows):
         f = _frame(keys, date, w, "calendar")
@@ -137,6 +142,7 @@ def recent_windows(daily: DataFrame, windows: Sequence[int], lookback_days: int
     """
     wmax = max(windows)
     last = F.max(date).over(Window.partitionBy(key))
+    daily = cluster_by_series(daily, [key])
     src = daily.select(key, date, "tavg_c", "tmin_c", "tmax_c", "prcp_mm", last.alias("_last")).where(
         F.col(date) >= F.date_sub("_last", lookback_days + wmax))
     cols = []
