@@ -63,6 +63,37 @@ def rolling_value(value: str, keys: Sequence[str], date: str, w: int, frame: str
     return rolled
 
 
+_EXACT = "decimal(38,18)"
+
+
+def prefix_stage(df: DataFrame, value: str, keys: Sequence[str], date: str, tag: str = "") -> DataFrame:
+    """Add running exact sum / count / row number of ``value`` per series.
+
+    A rows frame of w rows is then ``run - lag(run, w)``: O(1) per row and
+    window, where Spark's sliding frame re-aggregates all w rows for every
+    row.  The running sum is DECIMAL, so the difference is exact (no float
+    cancellation, and equal multisets give equal sums).
+    """
+    o = Window.partitionBy(*keys).orderBy(date)
+    run = o.rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn(f"_cs{tag}", F.coalesce(F.sum(F.col(value).cast(_EXACT)).over(run), F.lit(0).cast(_EXACT))) \
+             .withColumn(f"_cc{tag}", F.count(value).over(run))
+
+
+def prefix_window(value: str, keys: Sequence[str], date: str, w: int, frame: str, agg: str = "avg",
+                  tag: str = "") -> Column:
+    """Rows-frame aggregate of the last ``w`` rows from ``prefix_stage`` columns."""
+    o = Window.partitionBy(*keys).orderBy(date)
+    cs, cc = F.col(f"_cs{tag}"), F.col(f"_cc{tag}")
+    s = cs - F.coalesce(F.lag(cs, w).over(o), F.lit(0).cast(_EXACT))
+    c = cc - F.coalesce(F.lag(cc, w).over(o), F.lit(0))
+    if frame in ("rows_nonnull", "rows_nullable"):
+        return F.when(c == w, (s / F.lit(w)).cast("double"))
+    if frame == "rows_partial":
+        return F.when(c > 0, (s if agg == "sum" else s / c).cast("double"))
+    raise ValueError(frame)
+
+
 def rolling(df: DataFrame, windows: Sequence[int], frame: str = "rows_nonnull",
             value: str = "value", keys: Sequence[str] = ("station_id", "metric_id"),
             date: str = "obs_date", agg: str = "avg", keep_null: bool = False,
@@ -76,9 +107,15 @@ def rolling(df: DataFrame, windows: Sequence[int], frame: str = "rows_nonnull",
     """
     src = df.where(F.col(value).isNotNull()) if frame == "rows_nonnull" else df
     src = cluster_by_series(src, keys, partitions)
-    cols = [F.struct(F.lit(w).alias("window_days"),
-                     rolling_value(value, keys, date, w, frame, agg).alias("v")).alias(f"_w{i}")
-            for i, w in enumerate(windows)]
+    if frame == "calendar":
+        cols = [F.struct(F.lit(w).alias("window_days"),
+                         rolling_value(value, keys, date, w, frame, agg).alias("v")).alias(f"_w{i}")
+                for i, w in enumerate(windows)]
+    else:
+        src = prefix_stage(src, value, keys, date)
+        cols = [F.struct(F.lit(w).alias("window_days"),
+                         prefix_window(value, keys, date, w, frame, agg).alias("v")).alias(f"_w{i}")
+                for i, w in enumerate(windows)]
     staged = src.select(*keys, date, *carry, *cols)
     out = staged.select(*keys, date, *carry,
                         F.explode(F.array(*[F.col(f"_w{i}") for i in range(len(windows))])).alias("_w")).select(
@@ -145,16 +182,20 @@ def recent_windows(daily: DataFrame, windows: Sequence[int], lookback_days: int
     daily = cluster_by_series(daily, [key])
     src = daily.select(key, date, "tavg_c", "tmin_c", "tmax_c", "prcp_mm", last.alias("_last")).where(
         F.col(date) >= F.date_sub("_last", lookback_days + wmax))
+    ks = [key]
+    for m in ("tavg_c", "tmin_c", "tmax_c", "prcp_mm"):
+        src = prefix_stage(src, m, ks, date, tag=m)
+    o = Window.partitionBy(key).orderBy(date)
     cols = []
     for i, w in enumerate(windows):
-        f = Window.partitionBy(key).orderBy(date).rowsBetween(-(w - 1), 0)
-        cnt = F.count("tavg_c").over(f)
+        cc = F.col("_cctavg_c")
+        cnt = cc - F.coalesce(F.lag(cc, w).over(o), F.lit(0))
         cols.append(F.struct(
             F.lit(w).alias("window_days"),
-            F.avg("tavg_c").over(f).alias("tavg_c_mean"),
-            F.avg("tmin_c").over(f).alias("tmin_c_mean"),
-            F.avg("tmax_c").over(f).alias("tmax_c_mean"),
-            F.sum("prcp_mm").over(f).alias("prcp_mm_sum"),
+            prefix_window("tavg_c", ks, date, w, "rows_partial", tag="tavg_c").alias("tavg_c_mean"),
+            prefix_window("tmin_c", ks, date, w, "rows_partial", tag="tmin_c").alias("tmin_c_mean"),
+            prefix_window("tmax_c", ks, date, w, "rows_partial", tag="tmax_c").alias("tmax_c_mean"),
+            prefix_window("prcp_mm", ks, date, w, "rows_partial", "sum", tag="prcp_mm").alias("prcp_mm_sum"),
             (cnt / F.lit(float(w))).alias("coverage_ratio")).alias(f"_w{i}"))
     staged = src.select(key, date, "_last", *cols)
     out = staged.select(key, date, "_last",
