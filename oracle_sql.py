@@ -243,3 +243,159 @@ FROM k"""
 
 
 Q["j3_latest_insights"] = _latest_insights()
+
+
+# --- coverage and bookkeeping -------------------------------------------------
+STATIONS = """st AS (SELECT n_name AS station_id, printf('%06d', 94000 + n_nationkey) AS wban, n_name AS name,
+       CAST(25 + n_nationkey AS DOUBLE) AS lat, CAST(-120 + 2 * n_nationkey AS DOUBLE) AS lon,
+       n_nationkey % 7 <> 3 AS is_active FROM nation)"""
+
+SOURCED = """src AS (
+  SELECT n_name AS station_id, CAST(l_shipdate AS DATE) AS obs_date,
+         CASE l_returnflag WHEN 'A' THEN 'ghcn_daily' WHEN 'N' THEN 'gsod' ELSE 'open_meteo' END AS source,
+         MIN(l_quantity) - 25 AS tmin_c, MAX(l_quantity) - 25 AS tmax_c,
+         AVG(l_quantity) - 25 AS tavg_c, SUM(l_discount) * 10 AS prcp_mm
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+  GROUP BY 1, 2, 3)"""
+
+SRC_COLS = f"station_id, obs_date, source, tmin_c, tmax_c, {R('tavg_c', 4)} AS tavg_c, {R('prcp_mm', 4)} AS prcp_mm"
+
+Q["d2_station_coverage"] = with_(OBS, OBS_NULLS, STATIONS) + f"""
+SELECT st.station_id, wban, name, lat, lon, is_active, first_obs_date, last_obs_date, coverage_years,
+       completeness_temp_pct, completeness_prcp_pct
+FROM st LEFT JOIN (
+  SELECT station_id, MIN(obs_date) AS first_obs_date, MAX(obs_date) AS last_obs_date,
+         CAST(date_diff('year', MIN(obs_date), MAX(obs_date)) + 1 AS INTEGER) AS coverage_years,
+         {R('100.0 * COUNT(tavg_c) / COUNT(*)', 1)} AS completeness_temp_pct,
+         {R('100.0 * COUNT(prcp_mm) / COUNT(*)', 1)} AS completeness_prcp_pct
+  FROM obs_nulls GROUP BY 1) c USING (station_id)"""
+
+Q["d3_date_range"] = with_(OBS) + "SELECT station_id, MIN(obs_date) AS min_date, MAX(obs_date) AS max_date FROM obs GROUP BY 1"
+
+Q["d4_baseline_years"] = with_(OBS, STATIONS) + """
+SELECT g.station_id, g.since_year, CAST(COALESCE(COUNT(DISTINCT y.year), 0) AS INTEGER) AS coverage_years,
+       CAST(COALESCE(MIN(y.year), g.since_year) AS INTEGER) AS first_year
+FROM (SELECT station_id, since_year FROM st, (VALUES (NULL::INTEGER), (1996), (1998), (2000)) b(since_year)) g
+LEFT JOIN (SELECT DISTINCT station_id, year(obs_date) AS year FROM obs) y
+  ON y.station_id = g.station_id AND (g.since_year IS NULL OR y.year >= g.since_year)
+GROUP BY g.station_id, g.since_year"""
+
+Q["d8_observed_dates"] = with_(SOURCED) + """
+SELECT station_id, obs_date, bool_or(source IN ('ghcn_daily', 'gsod')) AS has_authoritative FROM src GROUP BY 1, 2"""
+
+Q["d9_last_authoritative"] = with_(SOURCED) + """
+SELECT station_id, MAX(CASE WHEN source IN ('ghcn_daily', 'gsod') THEN obs_date END) AS last_auth_date FROM src GROUP BY 1"""
+
+Q["d15_coverage_summary"] = with_(OBS) + f"""
+SELECT station_id, actual_days, expected_days, {R('100.0 * actual_days / expected_days', 1)} AS coverage_pct,
+       expected_days - actual_days AS missing_days, min_date, max_date
+FROM (SELECT station_id, COUNT(*) AS actual_days, MIN(obs_date) AS min_date, MAX(obs_date) AS max_date,
+             CAST(DATE '{AS_OF}' - 1 - MIN(obs_date) + 1 AS INTEGER) AS expected_days
+      FROM obs WHERE obs_date <= DATE '{AS_OF}' - 1 GROUP BY 1)"""
+
+# --- precedence, gaps, upsert -------------------------------------------------
+Q["e11_keep_first"] = with_(SOURCED) + f"""
+SELECT {SRC_COLS} FROM src QUALIFY row_number() OVER (PARTITION BY station_id, obs_date ORDER BY source) = 1"""
+
+Q["i2_precedence"] = with_(SOURCED) + f"""
+SELECT {SRC_COLS} FROM src QUALIFY row_number() OVER (PARTITION BY station_id, obs_date
+  ORDER BY CASE source WHEN 'ghcn_daily' THEN 1 WHEN 'gsod' THEN 2 WHEN 'open_meteo' THEN 3 ELSE 4 END) = 1"""
+
+Q["c1_gap_fill"] = with_(SOURCED) + f"""
+SELECT {SRC_COLS} FROM src s WHERE source = 'gsod' AND NOT EXISTS (
+  SELECT 1 FROM src p WHERE p.source = 'ghcn_daily' AND p.station_id = s.station_id AND p.obs_date = s.obs_date)"""
+
+Q["c2_provisional_fill"] = with_(SOURCED) + f"""
+SELECT {SRC_COLS} FROM src s JOIN (SELECT station_id, MAX(obs_date) AS last_auth FROM src
+                                   WHERE source IN ('ghcn_daily', 'gsod') GROUP BY 1) l USING (station_id)
+WHERE s.source = 'open_meteo' AND s.obs_date > l.last_auth AND s.obs_date < DATE '{AS_OF}'
+  AND NOT EXISTS (SELECT 1 FROM src a WHERE a.source IN ('ghcn_daily', 'gsod')
+                  AND a.station_id = s.station_id AND a.obs_date = s.obs_date)"""
+
+_CAL = """cal AS (SELECT k.station_id, CAST(d.generate_series AS DATE) AS obs_date
+          FROM (SELECT DISTINCT station_id FROM src WHERE source = 'ghcn_daily') k,
+               generate_series(DATE '1998-01-01', DATE '2001-11-04', INTERVAL 1 DAY) d)"""
+
+Q["c3_calendar_gaps"] = with_(SOURCED, _CAL) + """
+SELECT station_id, obs_date FROM cal
+EXCEPT SELECT station_id, obs_date FROM src WHERE source = 'ghcn_daily'
+UNION SELECT station_id, obs_date FROM cal WHERE obs_date > DATE '2001-06-30'"""
+
+Q["c4_restrict_to_missing"] = with_(SOURCED, _CAL) + f"""
+SELECT {SRC_COLS} FROM src WHERE source = 'gsod' AND (station_id, obs_date) IN (
+  SELECT station_id, obs_date FROM cal EXCEPT SELECT station_id, obs_date FROM src WHERE source = 'ghcn_daily')"""
+
+Q["a7_upsert"] = with_(SOURCED) + f"""
+SELECT {SRC_COLS} FROM (
+  SELECT * FROM src o WHERE source = 'open_meteo' AND NOT EXISTS (
+    SELECT 1 FROM src n WHERE n.source <> 'open_meteo' AND n.station_id = o.station_id AND n.obs_date = o.obs_date)
+  UNION ALL
+  SELECT * FROM (SELECT * FROM src WHERE source <> 'open_meteo'
+    QUALIFY row_number() OVER (PARTITION BY station_id, obs_date
+      ORDER BY CASE source WHEN 'ghcn_daily' THEN 1 WHEN 'gsod' THEN 2 ELSE 3 END) = 1))"""
+
+
+# --- rankings ------------------------------------------------------------------
+def _tgt():
+    return "tgt AS (SELECT station_id, MAX(obs_date) AS target_date FROM obs GROUP BY 1)"
+
+
+def _band(w: int, since=None):
+    where = f" WHERE obs_date >= DATE '{since}-01-01'" if since else ""
+    rolled = rolled_sql(f"SELECT station_id, obs_date, 'tavg_c' AS metric_id, tavg_c AS value FROM obs{where}", [w],
+                        "rows_nonnull")
+    return f"""c AS (SELECT * FROM (
+        SELECT r.station_id, t.target_date, r.obs_date, r.value, CAST(year(r.obs_date) AS INTEGER) AS year,
+               least(abs(dayofyear(r.obs_date) - dayofyear(t.target_date)),
+                     366 - abs(dayofyear(r.obs_date) - dayofyear(t.target_date))) AS doy_diff
+        FROM ({rolled}) r JOIN tgt t USING (station_id)) WHERE doy_diff <= 7)"""
+
+
+def _ranked(order_expr: str) -> str:
+    f = lambda x: R(f"{x} * 9.0 / 5.0 + 32.0", 1)
+    return f"""rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY station_id ORDER BY {order_expr}, year) AS INTEGER) AS rank,
+                  MAX(CASE WHEN is_current THEN value_c END) OVER (PARTITION BY station_id) AS cur FROM dd)
+SELECT station_id, target_date AS end_date, year, value_c, {{extra}}rank, {f('value_c')} AS value_f,
+       {R(f"{f('value_c')} - {f('cur')}", 1)} AS delta_f, is_current,
+       MAX(CASE WHEN is_current THEN rank END) OVER (PARTITION BY station_id) AS current_rank,
+       COUNT(*) OVER (PARTITION BY station_id) AS total_years, direction
+FROM rk"""
+
+
+def _seasonal(w: int, excerpt: bool = False):
+    body = with_(OBS, _tgt(), _band(w),
+                 f"""py AS (SELECT station_id, target_date, year, {R('value', 2)} AS value_c,
+                         year = year(target_date) AS is_current FROM c
+                   QUALIFY row_number() OVER (PARTITION BY station_id, target_date, year ORDER BY doy_diff, obs_date) = 1)""",
+                 """pp AS (SELECT *, 100.0 * SUM(CASE WHEN value_c < cur THEN 1 ELSE 0 END) OVER (PARTITION BY station_id)
+                         / COUNT(*) OVER (PARTITION BY station_id) AS pct_below
+                   FROM (SELECT *, MAX(CASE WHEN is_current THEN value_c END) OVER (PARTITION BY station_id) AS cur FROM py)
+                   WHERE cur IS NOT NULL)""",
+                 "dd AS (SELECT * EXCLUDE (cur), CASE WHEN pct_below <= 50 THEN 'cold' ELSE 'warm' END AS direction FROM pp)",
+                 ) + ", " + _ranked("CASE WHEN direction = 'cold' THEN value_c ELSE -value_c END").replace("{extra}", "")
+    if excerpt:
+        return f"SELECT * FROM ({body}) WHERE rank <= 10 OR abs(rank - current_rank) <= 2"
+    return body
+
+
+def _extremes(w: int, direction: str, since=None):
+    order = f"{R('value', 9)} ASC, obs_date" if direction == "cold" else f"{R('value', 9)} DESC, obs_date"
+    return with_(OBS, _tgt(), _band(w, since),
+                 f"""py AS (SELECT station_id, target_date, year, {R('value', 2)} AS value_c,
+                         obs_date - {w - 1} AS start_date, obs_date AS period_end, year = year(target_date) AS is_current
+                   FROM c QUALIFY row_number() OVER (PARTITION BY station_id, target_date, year ORDER BY {order}) = 1)""",
+                 f"""dd AS (SELECT *, '{direction}' AS direction FROM py WHERE station_id IN (SELECT station_id FROM py WHERE is_current))""",
+                 ) + ", " + _ranked("value_c" if direction == "cold" else "-value_c").replace("{extra}", "start_date, period_end, ")
+
+
+Q["j5_seasonal_ranking"] = _seasonal(7)
+Q["e12_ranking_excerpt"] = _seasonal(14, excerpt=True)
+Q["j6_extremes_cold"] = _extremes(7, "cold")
+Q["j6_extremes_warm"] = _extremes(30, "warm", since=1996)
+
+_LATEST = "lv AS (SELECT o.station_id, o.tavg_c AS cur FROM obs o JOIN (SELECT station_id, MAX(obs_date) AS d FROM obs GROUP BY 1) m ON o.station_id = m.station_id AND o.obs_date = m.d)"
+Q["d11_percent_below"] = with_(OBS, _LATEST) + f"""
+SELECT station_id, {R('100.0 * AVG(CASE WHEN tavg_c < cur THEN 1 ELSE 0 END)', 4)} AS pct_below FROM obs JOIN lv USING (station_id) GROUP BY 1"""
+Q["d12_percentile_of_score"] = with_(OBS, _LATEST) + f"""
+SELECT station_id, {R('50.0 * (SUM(CASE WHEN tavg_c < cur THEN 1 ELSE 0 END) + SUM(CASE WHEN tavg_c <= cur THEN 1 ELSE 0 END) + MAX(CASE WHEN tavg_c = cur THEN 1 ELSE 0 END)) / COUNT(tavg_c)', 4)} AS percentile
+FROM obs JOIN lv USING (station_id) WHERE tavg_c IS NOT NULL GROUP BY 1"""

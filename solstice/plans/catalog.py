@@ -79,3 +79,145 @@ def q_records(spark, sf):
 @register("j3_latest_insights")
 def q_latest_insights(spark, sf):
     return latest_insights(T.daily_series(spark, sf), AS_OF)
+
+
+# --- coverage and bookkeeping -------------------------------------------------
+from solstice.operators import coverage as COV  # noqa: E402
+from solstice.operators import precedence as PR  # noqa: E402
+from solstice.operators import rankings as RK  # noqa: E402
+
+BASELINES = (None, 1996, 1998, 2000)
+
+
+@register("d2_station_coverage")
+def q_station_coverage(spark, sf):
+    st = T.stations(spark, sf)
+    return COV.update_station_coverage(st, T.daily_series_with_nulls(spark, sf))
+
+
+@register("d3_date_range")
+def q_date_range(spark, sf):
+    return COV.date_range(T.daily_series(spark, sf))
+
+
+@register("d4_baseline_years")
+def q_baseline_years(spark, sf):
+    return COV.baseline_years(T.daily_series(spark, sf), BASELINES, T.stations(spark, sf))
+
+
+@register("d8_observed_dates")
+def q_observed_dates(spark, sf):
+    return COV.observed_dates(T.sourced_daily(spark, sf))
+
+
+@register("d9_last_authoritative")
+def q_last_authoritative(spark, sf):
+    return COV.last_authoritative(T.sourced_daily(spark, sf))
+
+
+@register("d15_coverage_summary")
+def q_coverage_summary(spark, sf):
+    d = T.daily_series(spark, sf)
+    first = d.groupBy("station_id").agg(F.min("obs_date").alias("_s"))
+    j = d.join(first, "station_id")
+    return COV.coverage_summary(j, F.col("_s"), F.date_sub(F.lit(AS_OF).cast("date"), 1))
+
+
+# --- precedence, gaps, upsert -------------------------------------------------
+@register("e11_keep_first")
+def q_keep_first(spark, sf):
+    s = T.sourced_daily(spark, sf)
+    return _r4(PR.keep_first(s, ["station_id", "obs_date"], [F.col("source")]), "tavg_c", "prcp_mm")
+
+
+@register("i2_precedence")
+def q_precedence(spark, sf):
+    s = T.sourced_daily(spark, sf)
+    return _r4(PR.resolve_precedence(s, ingested_at=None), "tavg_c", "prcp_mm")
+
+
+@register("c1_gap_fill")
+def q_gap_fill(spark, sf):
+    s = T.sourced_daily(spark, sf)
+    prim = s.where(F.col("source") == "ghcn_daily")
+    sec = s.where(F.col("source") == "gsod")
+    return _r4(PR.gap_fill(prim, sec), "tavg_c", "prcp_mm")
+
+
+@register("c2_provisional_fill")
+def q_provisional_fill(spark, sf):
+    s = T.sourced_daily(spark, sf)
+    existing = s.where(F.col("source") != "open_meteo")
+    prov = s.where(F.col("source") == "open_meteo")
+    return _r4(PR.provisional_fill(existing, prov, AS_OF), "tavg_c", "prcp_mm")
+
+
+@register("c3_calendar_gaps")
+def q_calendar_gaps(spark, sf):
+    s = T.sourced_daily(spark, sf).where(F.col("source") == "ghcn_daily")
+    return PR.calendar_gaps(s.select("station_id", "obs_date"), "1998-01-01", "2001-11-04", cutoff="2001-06-30")
+
+
+@register("c4_restrict_to_missing")
+def q_restrict(spark, sf):
+    s = T.sourced_daily(spark, sf)
+    ghcn = s.where(F.col("source") == "ghcn_daily").select("station_id", "obs_date")
+    missing = PR.calendar_gaps(ghcn, "1998-01-01", "2001-11-04")
+    return _r4(PR.restrict_to(s.where(F.col("source") == "gsod"), missing), "tavg_c", "prcp_mm")
+
+
+@register("a7_upsert")
+def q_upsert(spark, sf):
+    s = T.sourced_daily(spark, sf)
+    old = s.where(F.col("source") == "open_meteo")
+    new = s.where(F.col("source") != "open_meteo")
+    out = PR.upsert(old, new, ["station_id", "obs_date"], order=[PR.priority_of(F.col("source"))])
+    return _r4(out, "tavg_c", "prcp_mm")
+
+
+# --- rankings ------------------------------------------------------------------
+def _tavg_long(spark, sf):
+    d = T.daily_series(spark, sf)
+    return d.select("station_id", "obs_date", F.lit("tavg_c").alias("metric_id"), F.col("tavg_c").alias("value"))
+
+
+def _latest_targets(spark, sf):
+    return T.daily_series(spark, sf).groupBy("station_id").agg(F.max("obs_date").alias("end_date"))
+
+
+@register("j5_seasonal_ranking")
+def q_seasonal_ranking(spark, sf):
+    return RK.seasonal_rankings(_tavg_long(spark, sf), _latest_targets(spark, sf), 7)
+
+
+@register("j6_extremes_cold")
+def q_extremes_cold(spark, sf):
+    return RK.extremes_rankings(_tavg_long(spark, sf), _latest_targets(spark, sf), 7, "cold")
+
+
+@register("j6_extremes_warm")
+def q_extremes_warm(spark, sf):
+    return RK.extremes_rankings(_tavg_long(spark, sf), _latest_targets(spark, sf), 30, "warm", since_year=1996)
+
+
+@register("e12_ranking_excerpt")
+def q_ranking_excerpt(spark, sf):
+    return RK.ranking_excerpt(RK.seasonal_rankings(_tavg_long(spark, sf), _latest_targets(spark, sf), 14))
+
+
+def _latest_values(spark, sf):
+    d = T.daily_series(spark, sf)
+    last = d.groupBy("station_id").agg(F.max("obs_date").alias("obs_date"))
+    return d.join(last, ["station_id", "obs_date"]).select("station_id", F.col("tavg_c").alias("value"))
+
+
+@register("d11_percent_below")
+def q_percent_below(spark, sf):
+    vals = T.daily_series(spark, sf).select("station_id", F.col("tavg_c").alias("value"))
+    return _r4(RK.percent_below(vals, _latest_values(spark, sf)), "pct_below")
+
+
+@register("d12_percentile_of_score")
+def q_percentile_of_score(spark, sf):
+    vals = T.daily_series(spark, sf).select("station_id", F.col("tavg_c").alias("value"))
+    return _r4(RK.percentile_of_score(vals, _latest_values(spark, sf)), "percentile")
