@@ -399,3 +399,124 @@ SELECT station_id, {R('100.0 * AVG(CASE WHEN tavg_c < cur THEN 1 ELSE 0 END)', 4
 Q["d12_percentile_of_score"] = with_(OBS, _LATEST) + f"""
 SELECT station_id, {R('50.0 * (SUM(CASE WHEN tavg_c < cur THEN 1 ELSE 0 END) + SUM(CASE WHEN tavg_c <= cur THEN 1 ELSE 0 END) + MAX(CASE WHEN tavg_c = cur THEN 1 ELSE 0 END)) / COUNT(tavg_c)', 4)} AS percentile
 FROM obs JOIN lv USING (station_id) WHERE tavg_c IS NOT NULL GROUP BY 1"""
+
+
+# --- landed rows: cleaning chains and raw formats -------------------------------
+LI_ST = """li AS (SELECT l.*, n_name AS station_id FROM lineitem l JOIN supplier ON l_suppkey = s_suppkey
+              JOIN nation ON s_nationkey = n_nationkey)"""
+
+RAW = """raw AS (
+  SELECT station_id AS STATION, strftime(l_shipdate, '%Y-%m-%d') AS DATE,
+         CASE WHEN l_orderkey % 103 = 0 THEN NULL
+              ELSE CAST(CASE WHEN l_orderkey % 97 = 0 THEN -9999 WHEN l_orderkey % 89 = 0 THEN tmax0 ELSE tmin0 END AS VARCHAR) END AS TMIN,
+         CASE WHEN l_orderkey % 103 = 0 THEN NULL WHEN l_orderkey % 101 = 0 THEN 'x'
+              ELSE CAST(CASE WHEN l_orderkey % 89 = 0 THEN tmin0 ELSE tmax0 END AS VARCHAR) END AS TMAX,
+         CAST(CASE l_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN mid + 200 WHEN 2 THEN mid + 150 ELSE mid END AS VARCHAR) AS TAVG,
+         CAST(CAST(round(l_discount * 1000) AS INTEGER) AS VARCHAR) AS PRCP
+  FROM (SELECT *, CAST(l_quantity * 10 - 250 AS INTEGER) AS tmin0,
+               CAST(l_quantity * 10 - 250 AS INTEGER) + 10 * l_linenumber AS tmax0,
+               CAST(trunc((2 * CAST(l_quantity * 10 - 250 AS INTEGER) + 10 * l_linenumber) / 2) AS INTEGER) AS mid
+        FROM li))"""
+
+CLEAN = """cl AS (
+  SELECT *, CASE WHEN t3avg IS NULL AND t2min IS NOT NULL AND t2max IS NOT NULL THEN (t2min + t2max) / 2.0 ELSE t3avg END AS t4avg,
+         t3avg IS NULL AND t2min IS NOT NULL AND t2max IS NOT NULL AS f_filled
+  FROM (SELECT *, CASE WHEN f_corr THEN (t2min + t2max) / 2.0 ELSE t2avg END AS t3avg
+        FROM (SELECT *, COALESCE(t2min IS NOT NULL AND t2max IS NOT NULL AND t2avg IS NOT NULL
+                                 AND abs(t2avg - (t2min + t2max) / 2.0) > 15, FALSE) AS f_corr
+              FROM (SELECT *, CASE WHEN NOT f_sw THEN t1min END AS t2min, CASE WHEN NOT f_sw THEN t1max END AS t2max,
+                           CASE WHEN NOT f_sw THEN t1avg END AS t2avg
+                    FROM (SELECT *, COALESCE(t1min > t1max, FALSE) AS f_sw
+                          FROM (SELECT *, CASE WHEN t0min BETWEEN -90 AND 65 THEN t0min END AS t1min,
+                                       CASE WHEN t0max BETWEEN -90 AND 65 THEN t0max END AS t1max,
+                                       CASE WHEN t0avg BETWEEN -90 AND 65 THEN t0avg END AS t1avg
+                                FROM (SELECT STATION AS station_id, TRY_CAST(DATE AS DATE) AS obs_date,
+                                             TRY_CAST(TMIN AS DOUBLE) / 10.0 AS t0min, TRY_CAST(TMAX AS DOUBLE) / 10.0 AS t0max,
+                                             TRY_CAST(TAVG AS DOUBLE) / 10.0 AS t0avg, TRY_CAST(PRCP AS DOUBLE) / 10.0 AS prcp_mm
+                                      FROM raw)))))))"""
+
+Q["b_clean_station_daily"] = with_(LI_ST, RAW, CLEAN) + f"""
+SELECT station_id, obs_date, {R('t2min', 4)} AS tmin_c, {R('t2max', 4)} AS tmax_c, {R('t4avg', 4)} AS tavg_c,
+       {R('prcp_mm', 4)} AS prcp_mm
+FROM cl WHERE obs_date IS NOT NULL AND (t2min IS NOT NULL OR t2max IS NOT NULL)"""
+
+Q["b12_quality_counters"] = with_(LI_ST, RAW, CLEAN) + """
+SELECT station_id, COUNT(*) AS rows_in,
+       COUNT(*) FILTER (WHERE t0min IS NOT NULL AND t1min IS NULL) AS implausible_tmin,
+       COUNT(*) FILTER (WHERE t0max IS NOT NULL AND t1max IS NULL) AS implausible_tmax,
+       COUNT(*) FILTER (WHERE t0avg IS NOT NULL AND t1avg IS NULL) AS implausible_tavg,
+       COUNT(*) FILTER (WHERE f_sw) AS swapped_pairs, COUNT(*) FILTER (WHERE f_corr) AS corrected_tavg,
+       COUNT(*) FILTER (WHERE f_filled) AS filled_tavg,
+       COUNT(*) FILTER (WHERE (t2min IS NULL AND t2max IS NULL) OR obs_date IS NULL) AS dropped_rows
+FROM cl GROUP BY 1"""
+
+RAW_GSOD = """rg AS (
+  SELECT station_id, CAST(year(l_shipdate) AS VARCHAR) AS year,
+         CASE WHEN l_orderkey % 101 = 0 THEN '2' ELSE CAST(month(l_shipdate) AS VARCHAR) END AS mo,
+         CASE WHEN l_orderkey % 101 = 0 THEN '30' ELSE CAST(day(l_shipdate) AS VARCHAR) END AS da,
+         CASE WHEN l_orderkey % 97 = 0 THEN '9999.9' ELSE CAST(l_quantity + 20 AS VARCHAR) END AS temp,
+         CASE WHEN l_orderkey % 103 = 0 THEN '9999.9' ELSE CAST(l_quantity + 20 + l_linenumber AS VARCHAR) END AS "max",
+         CASE WHEN l_orderkey % 103 = 0 THEN '9999.9' ELSE CAST(l_quantity + 20 - l_linenumber AS VARCHAR) END AS "min",
+         CASE WHEN l_orderkey % 89 = 0 THEN '99.99' ELSE CAST(l_discount AS VARCHAR) END AS prcp
+  FROM li)"""
+
+GSOD_DATE = "TRY_CAST(lpad(year, 4, '0') || '-' || lpad(mo, 2, '0') || '-' || lpad(da, 2, '0') AS DATE)"
+
+Q["b_clean_gsod"] = with_(LI_ST, RAW_GSOD) + f"""
+SELECT station_id, obs_date, {R('tmin_c', 4)} AS tmin_c, {R('tmax_c', 4)} AS tmax_c, {R('tavg_c', 4)} AS tavg_c,
+       {R('prcp_mm', 4)} AS prcp_mm
+FROM (SELECT station_id, {GSOD_DATE} AS obs_date,
+             (CASE WHEN TRY_CAST("min" AS DOUBLE) <= 900 THEN TRY_CAST("min" AS DOUBLE) END - 32.0) * 5.0 / 9.0 AS tmin_c,
+             (CASE WHEN TRY_CAST("max" AS DOUBLE) <= 900 THEN TRY_CAST("max" AS DOUBLE) END - 32.0) * 5.0 / 9.0 AS tmax_c,
+             (CASE WHEN TRY_CAST(temp AS DOUBLE) <= 900 THEN TRY_CAST(temp AS DOUBLE) END - 32.0) * 5.0 / 9.0 AS tavg_c,
+             CASE WHEN TRY_CAST(prcp AS DOUBLE) <= 90 THEN TRY_CAST(prcp AS DOUBLE) END * 25.4 AS prcp_mm
+      FROM rg)
+WHERE obs_date IS NOT NULL AND (tmin_c IS NOT NULL OR tmax_c IS NOT NULL)"""
+
+Q["a3_open_meteo_arrays"] = with_(SOURCED) + f"""
+SELECT station_id, obs_date, {R('tmin_c', 4)} AS tmin_c, {R('tmax_c', 4)} AS tmax_c,
+       {R('CASE WHEN tavg_c IS NULL AND tmin_c IS NOT NULL AND tmax_c IS NOT NULL THEN (tmin_c + tmax_c) / 2.0 ELSE tavg_c END', 4)} AS tavg_c,
+       {R('prcp_mm', 4)} AS prcp_mm
+FROM (SELECT station_id, obs_date,
+             CASE WHEN day(obs_date) % 7 = 0 THEN NULL ELSE tmin_c END AS tmin_c,
+             CASE WHEN day(obs_date) % 7 = 0 THEN NULL ELSE tmax_c END AS tmax_c,
+             CASE WHEN day(obs_date) % 5 = 0 THEN NULL ELSE tavg_c END AS tavg_c, prcp_mm
+      FROM src WHERE source = 'open_meteo')
+WHERE tmin_c IS NOT NULL OR tmax_c IS NOT NULL"""
+
+FAHR = """fh AS (
+  SELECT station_id, "date", CAST(year("date") AS INTEGER) AS year, CAST(month("date") AS INTEGER) AS month,
+         CAST(day("date") AS INTEGER) AS day, COALESCE(a, (mx + mn) / 2) AS temp_f, mx AS max_temp_f, mn AS min_temp_f
+  FROM (SELECT STATION AS station_id, TRY_CAST(DATE AS DATE) AS "date",
+               TRY_CAST(TMAX AS DOUBLE) * 9 / 50 + 32 AS mx, TRY_CAST(TMIN AS DOUBLE) * 9 / 50 + 32 AS mn,
+               TRY_CAST(TAVG AS DOUBLE) * 9 / 50 + 32 AS a FROM raw)
+  WHERE "date" IS NOT NULL AND COALESCE(mx, mn, COALESCE(a, (mx + mn) / 2)) IS NOT NULL)"""
+
+Q["a9_ghcn_fahrenheit"] = with_(LI_ST, RAW, FAHR) + f"""
+SELECT station_id, "date", year, month, day, {R('temp_f', 4)} AS temp_f, {R('max_temp_f', 4)} AS max_temp_f,
+       {R('min_temp_f', 4)} AS min_temp_f FROM fh"""
+
+NATIVE = f"""nv AS (
+  SELECT station_id, {GSOD_DATE} AS "date", CAST(TRY_CAST(year AS DOUBLE) AS INTEGER) AS year,
+         CAST(TRY_CAST(mo AS DOUBLE) AS INTEGER) AS month, CAST(TRY_CAST(da AS DOUBLE) AS INTEGER) AS day,
+         TRY_CAST(temp AS DOUBLE) AS temp_f, TRY_CAST("max" AS DOUBLE) AS max_temp_f, TRY_CAST("min" AS DOUBLE) AS min_temp_f
+  FROM rg)"""
+
+Q["a10_gsod_native"] = with_(LI_ST, RAW_GSOD, NATIVE) + 'SELECT * FROM nv WHERE "date" IS NOT NULL'
+
+Q["j9_consolidation"] = with_(
+    LI_ST, RAW, RAW_GSOD, NATIVE, FAHR,
+    """prim AS (SELECT station_id, "date", min_temp_f AS "min", max_temp_f AS "max", temp_f AS "avg", 'BigQuery' AS source
+              FROM nv WHERE "date" IS NOT NULL AND "date" <= DATE '2001-06-30')""",
+    """cal AS (SELECT k.station_id, CAST(d.generate_series AS DATE) AS "date"
+              FROM (SELECT DISTINCT station_id FROM rg UNION SELECT DISTINCT STATION FROM raw) k,
+                   generate_series(DATE '1998-01-01', DATE '2001-11-04', INTERVAL 1 DAY) d)""",
+    """miss AS (SELECT station_id, "date" FROM cal EXCEPT SELECT station_id, "date" FROM prim
+              UNION SELECT station_id, "date" FROM cal WHERE "date" > DATE '2001-06-30')""",
+    """fb AS (SELECT station_id, "date", min_temp_f AS "min", max_temp_f AS "max", temp_f AS "avg", 'GHCN Daily' AS source
+            FROM fh WHERE (station_id, "date") IN (SELECT station_id, "date" FROM miss))""") + f"""
+SELECT station_id, "date", {R('"min"', 4)} AS "min", {R('"max"', 4)} AS "max", {R('"avg"', 4)} AS "avg", source
+FROM (SELECT * FROM prim UNION ALL SELECT * FROM fb)
+WHERE "date" BETWEEN DATE '1998-01-01' AND DATE '2001-11-04'
+QUALIFY row_number() OVER (PARTITION BY station_id, "date"
+                           ORDER BY source, "max" NULLS FIRST, "min" NULLS FIRST, "avg" NULLS FIRST) = 1"""

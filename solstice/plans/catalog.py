@@ -221,3 +221,47 @@ def q_percent_below(spark, sf):
 def q_percentile_of_score(spark, sf):
     vals = T.daily_series(spark, sf).select("station_id", F.col("tavg_c").alias("value"))
     return _r4(RK.percentile_of_score(vals, _latest_values(spark, sf)), "percentile")
+
+
+# --- landed rows: cleaning chains and raw formats -------------------------------
+from solstice.operators import clean as CL  # noqa: E402
+from solstice.plans.consolidate import consolidate  # noqa: E402
+from solstice.sources import files as FS  # noqa: E402
+
+
+@register("b_clean_station_daily")
+def q_clean_station_daily(spark, sf):
+    return _r4(CL.clean_station_daily(T.raw_station_rows(spark, sf)), "tmin_c", "tmax_c", "tavg_c", "prcp_mm")
+
+
+@register("b12_quality_counters")
+def q_quality_counters(spark, sf):
+    return CL.quality_counters(CL.clean_station_daily(T.raw_station_rows(spark, sf), flags=True))
+
+
+@register("b_clean_gsod")
+def q_clean_gsod(spark, sf):
+    return _r4(CL.clean_gsod(T.raw_gsod_rows(spark, sf)), "tmin_c", "tmax_c", "tavg_c", "prcp_mm")
+
+
+@register("a3_open_meteo_arrays")
+def q_open_meteo(spark, sf):
+    rows = FS.zip_daily_arrays(T.open_meteo_documents(spark, sf))
+    return _r4(CL.clean_open_meteo_rows(rows), "tmin_c", "tmax_c", "tavg_c", "prcp_mm")
+
+
+@register("a9_ghcn_fahrenheit")
+def q_ghcn_fahrenheit(spark, sf):
+    return _r4(CL.ghcn_fahrenheit(T.raw_station_rows(spark, sf)), "temp_f", "max_temp_f", "min_temp_f")
+
+
+@register("a10_gsod_native")
+def q_gsod_native(spark, sf):
+    return CL.gsod_native(T.raw_gsod_rows(spark, sf))
+
+
+@register("j9_consolidation")
+def q_consolidation(spark, sf):
+    out = consolidate(T.raw_gsod_rows(spark, sf), T.raw_station_rows(spark, sf), "1998-01-01", "2001-11-04",
+                      "2001-06-30")
+    return _r4(out, "min", "max", "avg")

@@ -125,3 +125,46 @@ def events_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "events").select("event_type", "ts", "value")
     return e.groupBy(F.col("event_type").alias("station_id"), F.col("ts").cast("date").alias("obs_date")).agg(
         F.avg("value").alias("value"), F.count("value").alias("n"))
+
+
+def raw_gsod_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One GSOD-style row per lineitem (F / inch as text): sentinel 9999.9 temp
+    (orderkey % 97), both extremes missing (% 103), 99.99 precip (% 89),
+    impossible date Feb 30 (% 101)."""
+    j = lineitem_station(spark, sf_dir, "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_shipdate")
+    ok = F.col("l_orderkey")
+    bad_date = ok % 101 == 0
+    t = F.col("l_quantity") + 20
+    gone = ok % 103 == 0
+    return j.select(
+        "station_id",
+        F.year("l_shipdate").cast("string").alias("year"),
+        F.when(bad_date, F.lit("2")).otherwise(F.month("l_shipdate").cast("string")).alias("mo"),
+        F.when(bad_date, F.lit("30")).otherwise(F.dayofmonth("l_shipdate").cast("string")).alias("da"),
+        F.when(ok % 97 == 0, F.lit("9999.9")).otherwise(t.cast("string")).alias("temp"),
+        F.when(gone, F.lit("9999.9")).otherwise((t + F.col("l_linenumber")).cast("string")).alias("max"),
+        F.when(gone, F.lit("9999.9")).otherwise((t - F.col("l_linenumber")).cast("string")).alias("min"),
+        F.when(ok % 89 == 0, F.lit("99.99")).otherwise(F.col("l_discount").cast("string")).alias("prcp"),
+    )
+
+
+def open_meteo_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open-Meteo style documents: one per (station, month) with parallel daily
+    arrays built from the ``open_meteo`` source rows; mean missing on days
+    divisible by 5, extremes missing on days divisible by 7.  A document holds
+    at most 31 days (bounded collect)."""
+    s = sourced_daily(spark, sf_dir).where(F.col("source") == "open_meteo")
+    d = F.dayofmonth("obs_date")
+    rows = s.select("station_id", "obs_date",
+                    F.when(d % 7 == 0, F.lit(None)).otherwise(F.col("tmin_c")).alias("tmin_c"),
+                    F.when(d % 7 == 0, F.lit(None)).otherwise(F.col("tmax_c")).alias("tmax_c"),
+                    F.when(d % 5 == 0, F.lit(None)).otherwise(F.col("tavg_c")).alias("tavg_c"),
+                    "prcp_mm")
+    g = rows.groupBy("station_id", F.trunc("obs_date", "month").alias("month")).agg(
+        F.array_sort(F.collect_list(F.struct("obs_date", "tmin_c", "tmax_c", "tavg_c", "prcp_mm"))).alias("a"))
+    return g.select("station_id", F.struct(
+        F.transform("a", lambda x: F.date_format(x["obs_date"], "yyyy-MM-dd")).alias("time"),
+        F.transform("a", lambda x: x["tmax_c"]).alias("temperature_2m_max"),
+        F.transform("a", lambda x: x["tmin_c"]).alias("temperature_2m_min"),
+        F.transform("a", lambda x: x["tavg_c"]).alias("temperature_2m_mean"),
+        F.transform("a", lambda x: x["prcp_mm"]).alias("precipitation_sum")).alias("daily"))
