@@ -520,3 +520,118 @@ FROM (SELECT * FROM prim UNION ALL SELECT * FROM fb)
 WHERE "date" BETWEEN DATE '1998-01-01' AND DATE '2001-11-04'
 QUALIFY row_number() OVER (PARTITION BY station_id, "date"
                            ORDER BY source, "max" NULLS FIRST, "min" NULLS FIRST, "avg" NULLS FIRST) = 1"""
+
+
+# --- reports -------------------------------------------------------------------
+J2_WINDOWS = (1, 7, 30)
+
+
+def _records_core(metrics, windows, src="obs", frame="rows_nonnull", value_expr=None):
+    lg = long_of(src, metrics) if value_expr is None else value_expr
+    rolled = rolled_sql("SELECT * FROM lg", windows, frame)
+    return (f"lg AS ({lg})",
+            """span AS (SELECT station_id, metric_id, CAST(MAX(year(obs_date)) - MIN(year(obs_date)) + 1 AS INTEGER) AS n_years_considered
+               FROM lg WHERE value IS NOT NULL GROUP BY 1, 2)""",
+            f"rl AS ({rolled})",
+            f"""recs AS (
+  SELECT station_id, metric_id, window_days, record_type, value, end_date - (window_days - 1) AS start_date, end_date, n_years_considered
+  FROM (
+    SELECT station_id, metric_id, window_days, 'highest' AS record_type, value, obs_date AS end_date,
+           row_number() OVER (PARTITION BY station_id, metric_id, window_days ORDER BY {R('value', 9)} DESC, obs_date) AS rn
+    FROM rl
+    UNION ALL
+    SELECT station_id, metric_id, window_days, 'lowest', value, obs_date,
+           row_number() OVER (PARTITION BY station_id, metric_id, window_days ORDER BY {R('value', 9)} ASC, obs_date)
+    FROM rl) x JOIN span USING (station_id, metric_id)
+  WHERE rn = 1)""")
+
+
+def _j2():
+    clim = clim_sql(rolled_sql(long_of("obs", ["tavg_c"]), J2_WINDOWS, "rows_nonnull"))
+    parts = []
+    for w in J2_WINDOWS:
+        spec = (f"(PARTITION BY station_id ORDER BY obs_date RANGE BETWEEN INTERVAL {w - 1} DAYS PRECEDING AND CURRENT ROW)")
+        parts.append(f"""SELECT station_id, 'tavg_c' AS metric_id, obs_date AS end_date, {w} AS window_days,
+            {R(f'AVG(tavg_c) OVER {spec}', 4)} AS value, COUNT(tavg_c) OVER {spec} AS n_valid,
+            {R(f'COUNT(tavg_c) OVER {spec} / {w}', 4)} AS coverage_ratio FROM obs""")
+    recs = _records_core(["tavg_c"], J2_WINDOWS)
+    body = with_(
+        OBS, f"cw AS (SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE n_valid > 0)", f"clim AS ({clim})", *recs,
+        """cov AS (SELECT station_id, CAST(date_diff('year', MIN(obs_date), MAX(obs_date)) + 1 AS INTEGER) AS cy,
+                   year(MIN(obs_date)) AS fy FROM obs GROUP BY 1)""",
+        f"""hl AS (SELECT station_id, metric_id, window_days,
+                  MAX(CASE WHEN record_type = 'highest' THEN {R('value', 4)} END) AS hi,
+                  MAX(CASE WHEN record_type = 'lowest' THEN {R('value', 4)} END) AS lo FROM recs GROUP BY 1, 2, 3)""",
+        f"""j AS (SELECT cw.*, c.p02, c.p10, c.p25, c.p50, c.p75, c.p90, c.p98, c.n_samples, c.first_year AS qfy,
+                  COALESCE(cov.cy, 0) AS cyears, COALESCE(c.first_year, cov.fy, 2000) AS first_y,
+                  CASE WHEN hl.hi IS NOT NULL AND cw.value >= hl.hi THEN 'highest'
+                       WHEN hl.lo IS NOT NULL AND cw.value <= hl.lo THEN 'lowest' END AS record_type,
+                  {_pct_sql('cw.value', 'c.')} AS pct
+           FROM cw LEFT JOIN clim c ON c.station_id = cw.station_id AND c.window_days = cw.window_days
+                   AND c.end_doy = dayofyear(cw.end_date)
+           LEFT JOIN cov ON cov.station_id = cw.station_id
+           LEFT JOIN hl ON hl.station_id = cw.station_id AND hl.window_days = cw.window_days)""",
+        f"""k AS (SELECT *, {_severity_sql('pct', cov_ratio='coverage_ratio', cov_years='cyears')} AS severity,
+                    {_direction_sql('pct', 'metric_id')} AS direction FROM j)""")
+    return body + f"""
+SELECT station_id, end_date, window_days, metric_id AS metric,
+       {_primary_sql('window_days', 'severity', 'direction', 'record_type')} AS primary_statement,
+       {_supporting_sql('window_days', 'pct', 'direction', 'cyears', 'first_y', None, None)} AS supporting_line,
+       {R('value', 2)} AS value, severity, {R('pct', 1)} AS percentile, p25, p75, CAST(cyears AS INTEGER) AS coverage_years,
+       CAST(first_y AS INTEGER) AS first_year, coverage_ratio, n_samples, record_type
+FROM k"""
+
+
+Q["j2_window_insight"] = _j2()
+
+
+def _j4():
+    clim = clim_sql(rolled_sql(long_of("obs", ["tavg_c"]), [7], "rows_nonnull"))
+    ser = rolled_sql(long_of("obs_nulls", ["tavg_c"]), [7], "rows_nullable")
+    return with_(OBS, OBS_NULLS, f"clim AS ({clim})", f"ser AS ({ser})") + f"""
+SELECT s.station_id, s.obs_date AS "date", s.window_days, {R('s.value', 2)} AS value, {R(_pct_sql('s.value', 'c.'), 1)} AS percentile,
+       c.p10, c.p25, c.p50, c.p75, c.p90
+FROM ser s LEFT JOIN clim c ON c.station_id = s.station_id AND c.window_days = s.window_days
+  AND c.end_doy = dayofyear(s.obs_date)"""
+
+
+Q["j4_series_bands"] = _j4()
+
+Q["j7_records_report"] = with_(OBS, *_records_core(["tavg_c", "tmax_c", "tmin_c"], WINDOW_DAYS)) + f"""
+SELECT station_id, metric_id, window_days, record_type, {R('value', 2)} AS value, start_date, end_date, n_years_considered
+FROM recs ORDER BY station_id, metric_id, window_days, record_type"""
+
+
+def _c10():
+    wins = ", ".join(f"({w})" for w in LATEST_WINDOWS)
+    return with_(
+        OBS, *_records_core(["tavg_c"], LATEST_WINDOWS),
+        f"lastd AS (SELECT station_id, LEAST(MAX(obs_date), DATE '{AS_OF}' - 1) AS latest_date FROM obs GROUP BY 1)",
+        f"""cand AS (SELECT station_id, w.window_days, latest_date - CAST(i.range AS INTEGER) AS end_date
+            FROM lastd, (VALUES {wins}) w(window_days), range(0, 8) i)""",
+        """win AS (SELECT c.station_id, c.window_days, c.end_date, AVG(o.tavg_c) AS value, COUNT(o.tavg_c) AS n_valid
+            FROM cand c LEFT JOIN obs o ON o.station_id = c.station_id
+              AND o.obs_date BETWEEN c.end_date - (c.window_days - 1) AND c.end_date GROUP BY 1, 2, 3)""",
+        f"""cur AS (SELECT station_id, 'tavg_c' AS metric_id, window_days, end_date, {R('value', 4)} AS value FROM win
+            WHERE n_valid > 0 QUALIFY row_number() OVER (PARTITION BY station_id, window_days ORDER BY end_date DESC) = 1)""",
+        f"""hl AS (SELECT station_id, metric_id, window_days,
+                  MAX(CASE WHEN record_type = 'highest' THEN {R('value', 4)} END) AS hv, MAX(CASE WHEN record_type = 'highest' THEN start_date END) AS hs,
+                  MAX(CASE WHEN record_type = 'highest' THEN end_date END) AS he,
+                  MAX(CASE WHEN record_type = 'lowest' THEN {R('value', 4)} END) AS lv, MAX(CASE WHEN record_type = 'lowest' THEN start_date END) AS ls,
+                  MAX(CASE WHEN record_type = 'lowest' THEN end_date END) AS le FROM recs GROUP BY 1, 2, 3)""") + f"""
+SELECT c.station_id, c.metric_id, c.window_days, c.end_date, {R('c.value', 4)} AS value,
+       CASE WHEN c.value >= hv THEN 'highest' WHEN c.value <= lv THEN 'lowest' END AS record_type,
+       CASE WHEN c.value >= hv THEN {R('hv', 4)} WHEN c.value <= lv THEN {R('lv', 4)} END AS record_value,
+       CASE WHEN c.value >= hv THEN hs WHEN c.value <= lv THEN ls END AS record_start,
+       CASE WHEN c.value >= hv THEN he WHEN c.value <= lv THEN le END AS record_end,
+       COALESCE(c.value >= hv OR c.value <= lv, FALSE) AS is_new_record
+FROM cur c LEFT JOIN hl USING (station_id, metric_id, window_days)"""
+
+
+Q["c10_record_check"] = _c10()
+
+STREAK_WINDOWS = (1, 3, 5, 7, 10, 14, 21, 30, 45, 60, 90)
+Q["e10_extreme_streaks"] = with_(OBS, OBS_NULLS, *_records_core(
+    None, STREAK_WINDOWS, frame="rows_nullable",
+    value_expr="SELECT station_id, obs_date, 'tavg_f' AS metric_id, tavg_c * 9.0 / 5.0 + 32.0 AS value FROM obs_nulls")) + f"""
+SELECT station_id, window_days, record_type, {R('value', 1)} AS value_f, start_date, end_date FROM recs"""

@@ -23,36 +23,44 @@ def percentile_from_quantiles(value, quantile_cols=QUANTILE_NAMES, pcts=QUANTILE
       (0.0 when v = 0), the method's rule (Q4); ``"clamp"`` gives ``p / 2``,
       the mirror of the upper tail
     * value >= highest breakpoint: ``p + (100 - p) / 2`` (99.0 for p98, Q5)
-    * otherwise the first segment holding the value wins (Q7)
+    * otherwise the first segment (in breakpoint order) holding the value wins (Q7)
+
+    Written as one scalar CASE over the (few) breakpoint pairs, so it stays in
+    whole-stage codegen; segment (i, j) exists when both ends are present and
+    every breakpoint between them is missing.
     """
     v = _c(value)
-    bp = F.filter(
-        F.array(*[F.struct(F.lit(float(p)).alias("p"), _c(c).cast("double").alias("v"))
-                  for p, c in zip(pcts, quantile_cols)]),
-        lambda s: s["v"].isNotNull() & ~F.isnan(s["v"]),
-    )
-    n = F.size(bp)
-    first = F.element_at(bp, 1)
-    last = F.element_at(bp, -1)
+    b = [_c(c).cast("double") for c in quantile_cols]
+    ok = [x.isNotNull() & ~F.isnan(x) for x in b]
+    bb = [F.when(o, x) for o, x in zip(ok, b)]
+    n = len(bb)
+    first_v = F.coalesce(*bb)
+    last_v = F.coalesce(*reversed(bb))
+    first_p = None
+    last_p = None
+    for i in range(n):
+        first_p = F.when(ok[i], F.lit(float(pcts[i]))) if first_p is None else first_p.when(ok[i], F.lit(float(pcts[i])))
+        j = n - 1 - i
+        last_p = F.when(ok[j], F.lit(float(pcts[j]))) if last_p is None else last_p.when(ok[j], F.lit(float(pcts[j])))
     if low_tail == "ratio":
-        low = F.when(first["v"] != 0, first["p"] * (v / first["v"])).otherwise(F.lit(0.0))
+        low = F.when(first_v != 0, first_p * (v / first_v)).otherwise(F.lit(0.0))
     elif low_tail == "clamp":
-        low = first["p"] * 0.5
+        low = first_p * 0.5
     else:
         raise ValueError(f"unknown low_tail {low_tail!r}")
-    high = last["p"] + (F.lit(100.0) - last["p"]) * 0.5
-    segs = F.zip_with(F.slice(bp, 1, F.greatest(n - 1, F.lit(0))),
-                      F.slice(bp, 2, F.greatest(n - 1, F.lit(0))),
-                      lambda a, b: F.struct(a["p"].alias("p0"), a["v"].alias("v0"),
-                                            b["p"].alias("p1"), b["v"].alias("v1")))
-    hit = F.element_at(F.filter(segs, lambda s: (s["v0"] <= v) & (v <= s["v1"])), 1)
-    inside = F.when(hit.isNull(), F.lit(50.0)).when(
-        hit["v1"] == hit["v0"], (hit["p0"] + hit["p1"]) / 2.0
-    ).otherwise(hit["p0"] + (v - hit["v0"]) / (hit["v1"] - hit["v0"]) * (hit["p1"] - hit["p0"]))
-    return (F.when(v.isNull() | (n == 0), F.lit(None).cast("double"))
-            .when(v <= first["v"], low)
-            .when(v >= last["v"], high)
-            .otherwise(inside))
+    high = last_p + (F.lit(100.0) - last_p) * 0.5
+    out = F.when(v.isNull() | first_v.isNull(), F.lit(None).cast("double")).when(v <= first_v, low).when(v >= last_v, high)
+    for i in range(n):
+        for j in range(i + 1, n):
+            cond = ok[i] & ok[j]
+            for k in range(i + 1, j):
+                cond = cond & ~ok[k]
+            cond = cond & (b[i] <= v) & (v <= b[j])
+            pi, pj = float(pcts[i]), float(pcts[j])
+            seg = F.when(b[j] == b[i], F.lit((pi + pj) / 2.0)).otherwise(
+                F.lit(pi) + (v - b[i]) / (b[j] - b[i]) * F.lit(pj - pi))
+            out = out.when(cond, seg)
+    return out.otherwise(F.lit(50.0))
 
 
 def severity_level(pct) -> Column:

@@ -265,3 +265,59 @@ def q_consolidation(spark, sf):
     out = consolidate(T.raw_gsod_rows(spark, sf), T.raw_station_rows(spark, sf), "1998-01-01", "2001-11-04",
                       "2001-06-30")
     return _r4(out, "min", "max", "avg")
+
+
+# --- reports -------------------------------------------------------------------
+from solstice.operators.asof import latest_window  # noqa: E402
+from solstice.operators.records import record_check  # noqa: E402
+from solstice.plans.insights import window_insights, window_series  # noqa: E402
+from solstice.schemas import STREAK_WINDOWS  # noqa: E402
+
+J2_WINDOWS = (1, 7, 30)
+
+
+def _stored_climatology(spark, sf, metrics=("tavg_c",), windows=CLIMATOLOGY_WINDOWS):
+    long = to_long(T.daily_series(spark, sf), list(metrics))
+    return climatology(rolling(long, windows, "rows_nonnull"))
+
+
+@register("j2_window_insight")
+def q_window_insight(spark, sf):
+    d = T.daily_series(spark, sf)
+    clim = _stored_climatology(spark, sf, windows=J2_WINDOWS)
+    recs = all_time_extremes(to_long(d, ["tavg_c"]), J2_WINDOWS)
+    return window_insights(d, clim, recs, COV.station_coverage(d), J2_WINDOWS)
+
+
+@register("j4_series_bands")
+def q_series_bands(spark, sf):
+    clim = _stored_climatology(spark, sf, windows=(7,))
+    return window_series(T.daily_series_with_nulls(spark, sf), clim, 7)
+
+
+@register("j7_records_report")
+def q_records_report(spark, sf):
+    recs = all_time_extremes(to_long(T.daily_series(spark, sf), RECORD_METRICS), WINDOW_DAYS, digits=None)
+    return recs.withColumn("value", sround(F.col("value"), 2)).orderBy("station_id", "metric_id", "window_days",
+                                                                      "record_type")
+
+
+@register("c10_record_check")
+def q_record_check(spark, sf):
+    d = T.daily_series(spark, sf)
+    long = d.select("station_id", "obs_date", F.col("tavg_c").alias("value"))
+    cur = latest_window(long, LATEST_WINDOWS, AS_OF).select(
+        "station_id", F.lit("tavg_c").alias("metric_id"), "window_days", "end_date",
+        sround(F.col("value"), 4).alias("value"))
+    recs = all_time_extremes(to_long(d, ["tavg_c"]), LATEST_WINDOWS)
+    return record_check(cur, recs)
+
+
+@register("e10_extreme_streaks")
+def q_extreme_streaks(spark, sf):
+    d = T.daily_series_with_nulls(spark, sf)
+    long = d.select("station_id", "obs_date", F.lit("tavg_f").alias("metric_id"),
+                    (F.col("tavg_c") * 9.0 / 5.0 + 32.0).alias("value"))
+    r = all_time_extremes(long, STREAK_WINDOWS, frame="rows_nullable", digits=None)
+    return r.select("station_id", "window_days", "record_type", sround(F.col("value"), 1).alias("value_f"),
+                    "start_date", "end_date")

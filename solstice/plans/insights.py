@@ -78,3 +78,54 @@ def latest_insights(series: DataFrame, as_of: str, metric: str = "tavg_c",
         F.lit(since_year).cast("int").alias("first_year"),
         F.lit(since_year).cast("int").alias("since_year"),
     )
+
+
+def window_insights(series: DataFrame, climatology_table: DataFrame, records: DataFrame, coverage: DataFrame,
+                    windows: Sequence[int], metric: str = "tavg_c", low_tail: str = "ratio",
+                    halfwidth: int = DOY_HALFWIDTH) -> DataFrame:
+    """J2 for every (station, existing date, window) at once, default baseline
+    (stored climatology, station coverage years, both downgrades, record check).
+
+    ``climatology_table``: D5 rows; ``records``: D10 rows; ``coverage``: D2 rows.
+    """
+    from solstice.operators.rolling import calendar_windows
+    long = series.select("station_id", "obs_date", F.lit(metric).alias("metric_id"), F.col(metric).alias("value"))
+    cw = calendar_windows(long, windows).where(F.col("n_valid") > 0).withColumn(
+        "value", sround(F.col("value"), 4)).withColumn("coverage_ratio", sround(F.col("coverage_ratio"), 4))
+    keys = ["station_id", "metric_id", "window_days"]
+    st = climatology_table.where(F.col("doy_window_halfwidth") == halfwidth).select(
+        *keys, "end_doy", F.struct(*[F.col(n) for n in QUANTILE_NAMES], "n_samples", "first_year").alias("_q"))
+    j = cw.withColumn("end_doy", F.dayofyear("end_date")).join(st, [*keys, "end_doy"], "left")
+    j = j.join(coverage.select("station_id", F.col("coverage_years").alias("_cy"),
+                               F.year("first_obs_date").alias("_fy")), "station_id", "left")
+    j = record_check(j, records.select(*keys, "record_type", "value", "start_date", "end_date"), keys)
+    pct = percentile_from_quantiles(F.col("value"), [f"_q.{n}" for n in QUANTILE_NAMES], low_tail=low_tail)
+    cy = F.coalesce(F.col("_cy"), F.lit(0))
+    first_year = F.coalesce(F.col("_q.first_year"), F.col("_fy"), F.lit(2000))
+    j = j.withColumn("_pct", pct).withColumn("_cyears", cy).withColumn("_first", first_year)
+    j = j.withColumn("severity", severity(F.col("_pct"), F.col("_cyears"), F.col("coverage_ratio"))).withColumn(
+        "direction", direction(F.col("_pct"), F.col("metric_id")))
+    return j.select(
+        "station_id", "end_date", "window_days", F.col("metric_id").alias("metric"),
+        primary_statement(F.col("window_days"), F.col("severity"), F.col("direction"),
+                          F.col("record_type")).alias("primary_statement"),
+        supporting_line(F.col("window_days"), F.col("_pct"), F.col("direction"), F.col("_cyears"),
+                        F.col("_first")).alias("supporting_line"),
+        sround(F.col("value"), 2).alias("value"), "severity", sround(F.col("_pct"), 1).alias("percentile"),
+        F.col("_q.p25").alias("p25"), F.col("_q.p75").alias("p75"),
+        F.col("_cyears").cast("int").alias("coverage_years"), F.col("_first").cast("int").alias("first_year"),
+        "coverage_ratio", F.col("_q.n_samples").alias("n_samples"), "record_type")
+
+
+def window_series(series: DataFrame, climatology_table: DataFrame, window_days: int, metric: str = "tavg_c",
+                  halfwidth: int = DOY_HALFWIDTH, low_tail: str = "ratio") -> DataFrame:
+    """E3 value per date (nulls kept: any gap in the w rows gives no point),
+    its percentile against stored climatology and the p10..p90 band."""
+    long = series.select("station_id", "obs_date", F.lit(metric).alias("metric_id"), F.col(metric).alias("value"))
+    r = rolling(long, [window_days], "rows_nullable")
+    keys = ["station_id", "metric_id", "window_days"]
+    st = climatology_table.where(F.col("doy_window_halfwidth") == halfwidth)
+    j = r.withColumn("end_doy", F.dayofyear("obs_date")).join(st, [*keys, "end_doy"], "left")
+    pct = percentile_from_quantiles(F.col("value"), low_tail=low_tail)
+    return j.select("station_id", F.col("obs_date").alias("date"), "window_days", sround(F.col("value"), 2).alias("value"),
+                    sround(pct, 1).alias("percentile"), "p10", "p25", "p50", "p75", "p90")
