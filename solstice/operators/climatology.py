@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from solstice.functions.dates import band_offsets, doy, shift_doy
+from solstice.functions.dates import band_offsets, circular_doy_distance, doy, shift_doy
 from solstice.functions.numeric import sround
 from solstice.operators.quantiles import exact_quantiles
 from solstice.schemas import DOY_HALFWIDTH, MIN_SAMPLES, QUANTILE_NAMES, QUANTILES
@@ -55,6 +55,14 @@ def climatology(rolled: DataFrame, keys: Sequence[str] = ("station_id", "metric_
     yr = F.year(F.col(date))
     base = rolled.select(*keys, date, value, F.min(yr).over(span).alias("first_year"),
                          F.max(yr).over(span).alias("last_year"))
+    if target_doys is not None:
+        # Keep only rows inside the band of some wanted DOY before fanning out
+        # (semi join, no duplication), then keep only the wanted groups.
+        tk = [c for c in target_doys.columns if c != "end_doy"]
+        t = target_doys.withColumnRenamed("end_doy", "_t")
+        cond = [base[c] == t[c] for c in tk] + [
+            circular_doy_distance(doy(base[date]), t["_t"]) <= halfwidth]
+        base = base.join(t, cond, "left_semi")
     fan = doy_fanout(base, halfwidth, date)
     if target_doys is not None:
         fan = fan.join(target_doys, [c for c in target_doys.columns], "left_semi")
