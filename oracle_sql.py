@@ -635,3 +635,14 @@ Q["e10_extreme_streaks"] = with_(OBS, OBS_NULLS, *_records_core(
     None, STREAK_WINDOWS, frame="rows_nullable",
     value_expr="SELECT station_id, obs_date, 'tavg_f' AS metric_id, tavg_c * 9.0 / 5.0 + 32.0 AS value FROM obs_nulls")) + f"""
 SELECT station_id, window_days, record_type, {R('value', 1)} AS value_f, start_date, end_date FROM recs"""
+
+
+# --- streaming (batch twins) ---------------------------------------------------
+Q["i2_stream_precedence"] = Q["i2_precedence"]
+
+Q["i5_stream_window_means"] = f"""
+SELECT event_type, window_start, CAST(window_start + INTERVAL 7 DAY AS DATE) AS window_end,
+       {R('AVG(value)', 4)} AS mean_value, COUNT(value) AS n
+FROM (SELECT event_type, value, CAST(CAST(ts AS DATE) - CAST(k.range AS INTEGER) AS DATE) AS window_start
+      FROM events, range(0, 7) k)
+GROUP BY event_type, window_start"""

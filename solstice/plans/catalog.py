@@ -321,3 +321,34 @@ def q_extreme_streaks(spark, sf):
     r = all_time_extremes(long, STREAK_WINDOWS, frame="rows_nullable", digits=None)
     return r.select("station_id", "window_days", "record_type", sround(F.col("value"), 1).alias("value_f"),
                     "start_date", "end_date")
+
+
+# --- streaming -----------------------------------------------------------------
+from solstice.session import scratch_path  # noqa: E402
+from solstice.streaming.ingest import land_in_waves, start_precedence_ingest  # noqa: E402
+from solstice.streaming.windows import start_windowed_means  # noqa: E402
+
+
+@register("i2_stream_precedence")
+def q_stream_precedence(spark, sf):
+    """Provisional rows land first, authoritative ones later, in separate drops;
+    the streamed table must equal the batch precedence result (I2)."""
+    s = T.sourced_daily(spark, sf)
+    base = scratch_path(spark, "i2-stream")
+    land_in_waves(s, f"{base}/landing", "source", ["open_meteo", "gsod", "ghcn_daily"])
+    q = start_precedence_ingest(spark, f"{base}/landing/*", s.schema, f"{base}/table", f"{base}/ckpt", max_files=4)
+    q.awaitTermination()
+    out = spark.read.parquet(f"{base}/table").select(*s.columns)
+    return _r4(out, "tavg_c", "prcp_mm")
+
+
+@register("i5_stream_window_means")
+def q_stream_window_means(spark, sf):
+    """Event stream -> 7-day sliding means per event type with a 5-day watermark."""
+    ev = T.read_table(spark, sf, "events").select("event_id", "ts", "event_type", "value")
+    base = scratch_path(spark, "i5-stream")
+    ev.write.mode("overwrite").parquet(f"{base}/landing")
+    q = start_windowed_means(spark, f"{base}/landing", ev.schema, 7, f"{base}/table", f"{base}/ckpt")
+    q.awaitTermination()
+    out = spark.read.parquet(f"{base}/table").select("event_type", "window_start", "window_end", "mean_value", "n")
+    return _r4(out, "mean_value")
