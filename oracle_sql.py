@@ -646,3 +646,86 @@ SELECT event_type, window_start, CAST(window_start + INTERVAL 7 DAY AS DATE) AS
 FROM (SELECT event_type, value, CAST(CAST(ts AS DATE) - CAST(k.range AS INTEGER) AS DATE) AS window_start
       FROM events, range(0, 7) k)
 GROUP BY event_type, window_start"""
+
+
+# --- spatial, period comparison, board -------------------------------------------
+def _nearby(radius=300.0, k=3):
+    dlat = radius / 111.0
+    dist = ("6371.0 * acos(greatest(-1.0, least(1.0, cos(radians(p.lat)) * cos(radians(s.lat)) * "
+            "cos(radians(s.lon) - radians(p.lon)) + sin(radians(p.lat)) * sin(radians(s.lat)))))")
+    return with_(STATIONS) + f"""
+SELECT point_id, station_id, {R('d', 2)} AS distance_km, CAST(rk AS INTEGER) AS rank FROM (
+  SELECT p.point_id, s.station_id, {dist} AS d,
+         row_number() OVER (PARTITION BY p.point_id ORDER BY {R(dist, 6)}, s.station_id) AS rk
+  FROM (SELECT c_custkey AS point_id, 25.0 + (c_custkey % 250) / 10.0 AS lat, -120.0 + (c_custkey % 500) / 10.0 AS lon
+        FROM customer) p
+  JOIN st s ON s.lat BETWEEN p.lat - {dlat} AND p.lat + {dlat}
+   AND s.lon BETWEEN p.lon - {radius} / (111.0 * greatest(cos(radians(p.lat)), 0.01))
+                 AND p.lon + {radius} / (111.0 * greatest(cos(radians(p.lat)), 0.01)))
+WHERE rk <= {k}"""
+
+
+Q["j8_nearby_stations"] = _nearby()
+
+PERIOD = """, per AS (SELECT station_id, MAX(obs_date) - 29 AS start_date, MAX(obs_date) AS end_date FROM obs GROUP BY 1),
+pcal AS (SELECT p.station_id, p.start_date, month(d) AS m, day(d) AS dd, CAST(d - p.start_date AS INTEGER) AS day_offset
+         FROM per p, LATERAL (SELECT CAST(generate_series AS DATE) AS d FROM generate_series(p.start_date, p.end_date, INTERVAL 1 DAY)) g),
+hist AS (SELECT o.station_id, o.obs_date, o.tavg_c AS "avg", c.day_offset FROM obs o
+         JOIN pcal c ON c.station_id = o.station_id AND c.m = month(o.obs_date) AND c.dd = day(o.obs_date)
+         WHERE year(o.obs_date) <> year(c.start_date)),
+cur AS (SELECT o.station_id, p.start_date, p.end_date, AVG(o.tavg_c) AS current_avg FROM obs o JOIN per p USING (station_id)
+        WHERE o.obs_date BETWEEN p.start_date AND p.end_date GROUP BY 1, 2, 3)"""
+
+Q["j10_period_bands"] = with_(OBS) + PERIOD + f"""
+SELECT station_id, day_offset, {R('quantile_cont("avg", 0.10)', 4)} AS p10, {R('quantile_cont("avg", 0.25)', 4)} AS p25,
+       {R('quantile_cont("avg", 0.50)', 4)} AS p50, {R('quantile_cont("avg", 0.75)', 4)} AS p75,
+       {R('quantile_cont("avg", 0.90)', 4)} AS p90, COUNT("avg") AS n_years
+FROM hist GROUP BY 1, 2"""
+
+Q["j10_period_verdict"] = with_(OBS) + PERIOD + f""",
+yr AS (SELECT station_id, CAST(year(obs_date) AS INTEGER) AS year, AVG("avg") AS ym FROM hist GROUP BY 1, 2),
+agg AS (SELECT c.station_id, c.start_date, c.end_date, c.current_avg, MIN(y.year) AS earliest_year,
+               CAST(SUM(CASE WHEN y.ym < c.current_avg THEN 1 ELSE 0 END) + 1 AS BIGINT) AS rank_cold,
+               CAST(SUM(CASE WHEN y.ym > c.current_avg THEN 1 ELSE 0 END) + 1 AS BIGINT) AS rank_warm,
+               COUNT(y.ym) + 1 AS total_years
+        FROM cur c JOIN yr y USING (station_id) GROUP BY 1, 2, 3, 4),
+v AS (SELECT *, rank_warm <= rank_cold AS w, CASE WHEN rank_warm <= rank_cold THEN rank_warm ELSE rank_cold END AS rk FROM agg)
+SELECT station_id, start_date, end_date, {R('current_avg', 4)} AS current_avg, earliest_year, rank_cold, rank_warm, total_years,
+       CASE WHEN rk / total_years <= 0.05 THEN 'unusually ' || (CASE WHEN w THEN 'warm' ELSE 'cold' END)
+            WHEN rk / total_years <= 0.33 THEN (CASE WHEN w THEN 'warm' ELSE 'cold' END) || 'er than average'
+            WHEN rk / total_years <= 0.67 THEN 'near average'
+            ELSE (CASE WHEN w THEN 'cold' ELSE 'warm' END) || 'er than average' END AS verdict,
+       CASE WHEN rk / total_years <= 0.67 THEN (CASE WHEN w THEN 'warmest' ELSE 'coldest' END)
+            ELSE (CASE WHEN w THEN 'coldest' ELSE 'warmest' END) END AS side,
+       CASE WHEN rk / total_years <= 0.67 THEN rk ELSE total_years - rk + 1 END AS rank_shown
+FROM v"""
+
+_J3 = Q["j3_latest_insights"]
+BOARD = with_(STATIONS) + f""", ins AS ({_J3.split(chr(10) + 'SELECT station_id, window_days', 1)[0]}
+SELECT station_id, window_days, 'tavg_c' AS metric, end_date, {R('value', 2)} AS value, {R('p50', 2)} AS normal_value,
+       {R('pct', 1)} AS percentile, severity, direction FROM k),
+rows AS (
+  SELECT st.station_id, st.name, i.end_date IS NOT NULL AS has_data, i.severity, i.direction, i.percentile, i.value,
+         i.normal_value, i.value - i.normal_value AS deviation,
+         CASE WHEN i.direction = 'cold' AND i.severity = 'extreme' THEN 'Extremely Cold'
+              WHEN i.direction = 'cold' AND i.severity = 'unusual' THEN 'Unusually Cold'
+              WHEN i.direction = 'cold' AND i.severity = 'a_bit' THEN 'A Bit Colder'
+              WHEN i.direction = 'warm' AND i.severity = 'extreme' THEN 'Extremely Warm'
+              WHEN i.direction = 'warm' AND i.severity = 'unusual' THEN 'Unusually Warm'
+              WHEN i.direction = 'warm' AND i.severity = 'a_bit' THEN 'A Bit Warmer' ELSE 'Near Normal' END AS display_label,
+         CASE i.severity WHEN 'extreme' THEN 0 WHEN 'unusual' THEN 1 WHEN 'a_bit' THEN 2 WHEN 'normal' THEN 3
+              WHEN 'insufficient_data' THEN 4 ELSE 5 END AS sev_order,
+         CASE i.direction WHEN 'cold' THEN 0 WHEN 'warm' THEN 1 ELSE 2 END AS dir_order,
+         COALESCE(abs(i.percentile - 50), 0.0) AS pct_distance
+  FROM st LEFT JOIN (SELECT * FROM ins WHERE window_days = 7) i USING (station_id))
+"""
+
+Q["j12_leaderboard"] = BOARD + """SELECT * FROM rows ORDER BY has_data DESC, sev_order, dir_order, pct_distance DESC, station_id"""
+Q["d17_outlier_summary"] = BOARD + """SELECT COUNT(*) FILTER (WHERE severity NOT IN ('normal', 'insufficient_data')) AS outliers,
+       COUNT(*) AS with_percentile FROM rows WHERE percentile IS NOT NULL"""
+Q["d18_percentile_histogram"] = BOARD + """SELECT bin, COUNT(*) AS n,
+       CASE WHEN bin < 5 THEN 'Extremely Cold' WHEN bin < 15 THEN 'Unusually Cold' WHEN bin < 35 THEN 'A Bit Colder'
+            WHEN bin < 65 THEN 'Normal' WHEN bin < 85 THEN 'A Bit Warmer' WHEN bin < 95 THEN 'Unusually Warm'
+            ELSE 'Extremely Warm' END AS zone
+FROM (SELECT CAST(greatest(0, least(100, floor(percentile / 2 + 0.5) * 2)) AS INTEGER) AS bin FROM rows
+      WHERE percentile IS NOT NULL) GROUP BY bin"""

@@ -352,3 +352,56 @@ def q_stream_window_means(spark, sf):
     q.awaitTermination()
     out = spark.read.parquet(f"{base}/table").select("event_type", "window_start", "window_end", "mean_value", "n")
     return _r4(out, "mean_value")
+
+
+# --- spatial, period comparison, board -------------------------------------------
+from solstice.operators.spatial import nearby  # noqa: E402
+from solstice.plans import board as BD  # noqa: E402
+from solstice.plans.period import period_bands, period_verdicts  # noqa: E402
+
+
+def _customer_points(spark, sf):
+    c = T.read_table(spark, sf, "customer").select("c_custkey")
+    return c.select(F.col("c_custkey").alias("point_id"),
+                    (F.lit(25.0) + (F.col("c_custkey") % 250) / 10.0).alias("lat"),
+                    (F.lit(-120.0) + (F.col("c_custkey") % 500) / 10.0).alias("lon"))
+
+
+@register("j8_nearby_stations")
+def q_nearby(spark, sf):
+    return nearby(_customer_points(spark, sf), T.stations(spark, sf), radius_km=300.0, limit=3)
+
+
+def _periods(spark, sf):
+    d = T.daily_series(spark, sf)
+    return d.groupBy("station_id").agg(F.max("obs_date").alias("end_date")).select(
+        "station_id", F.date_sub("end_date", 29).alias("start_date"), "end_date")
+
+
+@register("j10_period_bands")
+def q_period_bands(spark, sf):
+    return period_bands(T.daily_series(spark, sf), _periods(spark, sf))
+
+
+@register("j10_period_verdict")
+def q_period_verdict(spark, sf):
+    return period_verdicts(T.daily_series(spark, sf), _periods(spark, sf))
+
+
+def _board_rows(spark, sf):
+    return BD.board_rows(T.stations(spark, sf), latest_insights(T.daily_series(spark, sf), AS_OF), 7)
+
+
+@register("j12_leaderboard")
+def q_leaderboard(spark, sf):
+    return BD.leaderboard(_board_rows(spark, sf))
+
+
+@register("d17_outlier_summary")
+def q_outliers(spark, sf):
+    return BD.outlier_summary(_board_rows(spark, sf))
+
+
+@register("d18_percentile_histogram")
+def q_histogram(spark, sf):
+    return BD.percentile_histogram(_board_rows(spark, sf))
