@@ -546,15 +546,15 @@ def _records_core(metrics, windows, src="obs", frame="rows_nonnull", value_expr=
   WHERE rn = 1)""")
 
 
-def _j2():
-    clim = clim_sql(rolled_sql(long_of("obs", ["tavg_c"]), J2_WINDOWS, "rows_nonnull"))
+def _j2_for(windows):
+    clim = clim_sql(rolled_sql(long_of("obs", ["tavg_c"]), windows, "rows_nonnull"))
     parts = []
-    for w in J2_WINDOWS:
+    for w in windows:
         spec = (f"(PARTITION BY station_id ORDER BY obs_date RANGE BETWEEN INTERVAL {w - 1} DAYS PRECEDING AND CURRENT ROW)")
         parts.append(f"""SELECT station_id, 'tavg_c' AS metric_id, obs_date AS end_date, {w} AS window_days,
             {R(f'AVG(tavg_c) OVER {spec}', 4)} AS value, COUNT(tavg_c) OVER {spec} AS n_valid,
             {R(f'COUNT(tavg_c) OVER {spec} / {w}', 4)} AS coverage_ratio FROM obs""")
-    recs = _records_core(["tavg_c"], J2_WINDOWS)
+    recs = _records_core(["tavg_c"], windows)
     body = with_(
         OBS, f"cw AS (SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE n_valid > 0)", f"clim AS ({clim})", *recs,
         """cov AS (SELECT station_id, CAST(date_diff('year', MIN(obs_date), MAX(obs_date)) + 1 AS INTEGER) AS cy,
@@ -582,6 +582,10 @@ SELECT station_id, end_date, window_days, metric_id AS metric,
 FROM k"""
 
 
+def _j2():
+    return _j2_for(J2_WINDOWS)
+
+
 Q["j2_window_insight"] = _j2()
 
 
@@ -729,3 +733,40 @@ Q["d18_percentile_histogram"] = BOARD + """SELECT bin, COUNT(*) AS n,
             ELSE 'Extremely Warm' END AS zone
 FROM (SELECT CAST(greatest(0, least(100, floor(percentile / 2 + 0.5) * 2)) AS INTEGER) AS bin FROM rows
       WHERE percentile IS NOT NULL) GROUP BY bin"""
+
+
+# --- baselines, station bundle ---------------------------------------------------
+Q["d6_baseline_climatology"] = with_(OBS) + clim_sql(
+    rolled_sql("""SELECT station_id, obs_date, 'tavg_c' AS metric_id, tavg_c AS value, b.since_year
+                  FROM obs, (VALUES (1996), (1998), (2000)) b(since_year)
+                  WHERE obs_date >= make_date(b.since_year, 1, 1)""", [7], "rows_nonnull",
+               keys=("station_id", "metric_id", "since_year")),
+    keys=("station_id", "metric_id", "since_year", "window_days"))
+
+
+def _j11():
+    per = ("CASE WHEN w = 1 THEN 'day' WHEN w = 7 THEN 'week' WHEN w = 14 THEN 'two-week period' WHEN w = 30 THEN 'month' "
+           "WHEN w = 90 THEN 'quarter' WHEN w = 365 THEN 'year' ELSE CAST(w AS VARCHAR) || '-day period' END")
+    days = "CASE WHEN w = 1 THEN 'day' ELSE CAST(w AS VARCHAR) || ' days' END"
+    head = f"'The last ' || {days} || ' have been '"
+    cold = "(percentile IS NOT NULL AND percentile <= 50)"
+    styled = "severity IN ('extreme', 'unusual', 'a_bit')"
+    return f"""
+SELECT station_id, end_date, window_days, percentile, severity, seasonal_rank, total_years,
+  CASE WHEN COALESCE(seasonal_rank = 1 AND total_years >= 10, FALSE) AND {styled}
+         THEN {head} || 'the ' || CASE WHEN {cold} THEN 'coldest' ELSE 'warmest' END || ' ' || {per}
+              || ' for this time of year in ' || CAST(total_years AS VARCHAR) || ' years.'
+       WHEN NOT ({styled}) THEN {head} || 'near normal.'
+       WHEN severity = 'a_bit' THEN {head} || 'a bit ' || CASE WHEN {cold} THEN 'colder' ELSE 'warmer' END || '.'
+       ELSE {head} || CASE WHEN severity = 'extreme' THEN 'extremely ' ELSE 'unusually ' END
+            || CASE WHEN {cold} THEN 'cold' ELSE 'warm' END || '.' END AS headline
+FROM (
+  SELECT a.station_id, a.end_date, a.window_days, a.window_days AS w, a.percentile, a.severity,
+         b.rank AS seasonal_rank, b.total_years
+  FROM ({_j2_for((7,))}) a
+  JOIN (SELECT station_id, MAX(obs_date) AS end_date FROM ({OBS.split(' AS (', 1)[1].rsplit(')', 1)[0]}) GROUP BY 1) t
+    USING (station_id, end_date)
+  LEFT JOIN (SELECT * FROM ({_seasonal(7)}) WHERE is_current) b USING (station_id, end_date))"""
+
+
+Q["j11_station_bundle"] = _j11()

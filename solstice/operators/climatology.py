@@ -77,19 +77,20 @@ def climatology(rolled: DataFrame, keys: Sequence[str] = ("station_id", "metric_
         "n_samples", "first_year", "last_year")
 
 
-def baseline_climatology(series_long: DataFrame, since_years: DataFrame, windows: Sequence[int],
+def baseline_climatology(series_long: DataFrame, since_years: Sequence[int], windows: Sequence[int],
                          keys: Sequence[str] = ("station_id", "metric_id"), halfwidth: int = DOY_HALFWIDTH,
                          min_samples: int = MIN_SAMPLES, value: str = "value", date: str = "obs_date",
                          target_doys: DataFrame | None = None) -> DataFrame:
-    """D6/D7 for many baselines in one job.
+    """D6/D7 for several baselines in one job.
 
-    ``since_years`` is a small table of baseline years (a handful of rows,
-    e.g. 25/50/75/100-year choices, so its size is fixed by the caller); each
-    series is filtered to ``obs_date >= Jan 1 of since_year`` *before* rolling
-    (Q2), and the baseline becomes part of the key.
+    Each row is repeated once per baseline it belongs to (``explode`` of the
+    short literal list, no join), filtered to ``obs_date >= Jan 1 of
+    since_year`` *before* rolling (Q2), and the baseline becomes part of the
+    series key.
     """
     from solstice.operators.rolling import rolling
-    b = series_long.crossJoin(F.broadcast(since_years.select("since_year"))).where(
+    arr = F.array(*[F.lit(int(y)) for y in since_years])
+    b = series_long.withColumn("since_year", F.explode(arr)).where(
         F.col(date) >= F.make_date(F.col("since_year"), F.lit(1), F.lit(1)))
     rk = [*keys, "since_year"]
     rolled = rolling(b, windows, "rows_nonnull", value=value, keys=rk, date=date)

@@ -405,3 +405,30 @@ def q_outliers(spark, sf):
 @register("d18_percentile_histogram")
 def q_histogram(spark, sf):
     return BD.percentile_histogram(_board_rows(spark, sf))
+
+
+# --- baselines, station bundle ---------------------------------------------------
+from solstice.functions.text import headline  # noqa: E402
+from solstice.operators.climatology import baseline_climatology  # noqa: E402
+
+
+@register("d6_baseline_climatology")
+def q_baseline_climatology(spark, sf):
+    return baseline_climatology(_tavg_long(spark, sf), (1996, 1998, 2000), (7,))
+
+
+@register("j11_station_bundle")
+def q_station_bundle(spark, sf):
+    """Newest 7-day insight + seasonal ranking of the same period, and the card headline."""
+    d = T.daily_series(spark, sf)
+    clim = _stored_climatology(spark, sf, windows=(7,))
+    recs = all_time_extremes(to_long(d, ["tavg_c"]), (7,))
+    ins = window_insights(d, clim, recs, COV.station_coverage(d), (7,))
+    tg = _latest_targets(spark, sf)
+    ins = ins.join(tg, ["station_id", "end_date"], "left_semi")
+    rk = RK.seasonal_rankings(_tavg_long(spark, sf), tg, 7).where(F.col("is_current")).select(
+        "station_id", "end_date", F.col("rank").alias("seasonal_rank"), "total_years")
+    j = ins.join(rk, ["station_id", "end_date"], "left")
+    return j.select("station_id", "end_date", "window_days", "percentile", "severity", "seasonal_rank", "total_years",
+                    headline(F.col("window_days"), F.col("severity"), F.col("percentile"), F.col("seasonal_rank"),
+                             F.col("total_years")).alias("headline"))
