@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from solstice.functions.numeric import sround
@@ -29,16 +29,17 @@ def all_time_extremes(long: DataFrame, windows: Sequence[int] = WINDOW_DAYS, fra
     Output: keys..., window_days, record_type, value, start_date, end_date,
     n_years_considered.
     """
-    span = Window.partitionBy(*keys)
-    nn = F.when(F.col(value).isNotNull(), F.year(date))
-    src = long.select(*keys, date, value, F.min(nn).over(span).alias("_fy"), F.max(nn).over(span).alias("_ly"))
-    r = rolling(src, windows, frame, value=value, keys=keys, date=date, carry=("_fy", "_ly"))
+    # Year span of the non-null input: a tiny partial aggregate joined back after
+    # the extremes (not a window, which would add a second shuffle before rolling).
+    span = long.where(F.col(value).isNotNull()).groupBy(*keys).agg(
+        (F.max(F.year(date)) - F.min(F.year(date)) + 1).alias("n_years_considered"))
+    r = rolling(long.select(*keys, date, value), windows, frame, value=value, keys=keys, date=date)
     k = sround(F.col(value), 9)
     ud = F.unix_date(F.col(date))
     agg = r.groupBy(*keys, "window_days").agg(
         F.max_by(F.struct(F.col(date).alias("d"), F.col(value).alias("v")), F.struct(k, -ud)).alias("hi"),
-        F.min_by(F.struct(F.col(date).alias("d"), F.col(value).alias("v")), F.struct(k, ud)).alias("lo"),
-        (F.max("_ly") - F.min("_fy") + 1).alias("n_years_considered"))
+        F.min_by(F.struct(F.col(date).alias("d"), F.col(value).alias("v")), F.struct(k, ud)).alias("lo"))
+    agg = agg.join(span, list(keys))
     rnd = (lambda c: sround(c, digits)) if digits is not None else (lambda c: c)
     recs = agg.select(*keys, "window_days", "n_years_considered", F.explode(F.array(
         F.struct(F.lit("highest").alias("record_type"), F.col("hi").alias("r")),
