@@ -5,13 +5,13 @@ For each target DOY 1..366 the sample is every value whose DOY lies within
 a nested-loop join) each value is fanned out to the 2h+1 target DOYs whose
 band contains it, and the quantiles become a plain equi-``groupBy``.
 
-Size bounds: the fan-out multiplies the rolled series by 2h+1 (15); a group
-(series, window, DOY) holds about (2h+1) x years values, because a daily
-series has one value per day.  So the exact ``percentile`` (which buffers a
-group's values) never sees an unbounded group, however large the table.
-``approx_percentile`` is not a substitute: it does not interpolate.  The
-quantiles are computed by ``operators.quantiles.exact_quantiles`` (one sort
-per group) rather than the buffering ``percentile`` aggregate.
+Two-level aggregation keeps the fan-out small: values are first collected
+per (series, DOY) -- at most one per year -- and only these arrays are fanned
+out to the 2h+1 target DOYs and concatenated there, so the x15 copy is of
+366 arrays per series, not of every daily row.  A target group (series,
+window, DOY) holds about (2h+1) x years values because a daily series has
+one value per day: bounded by the calendar however large the table.  The
+quantiles are read off the sorted array (``operators.quantiles``).
 """
 
 from __future__ import annotations
@@ -23,20 +23,8 @@ from pyspark.sql import functions as F
 
 from solstice.functions.dates import band_offsets, circular_doy_distance, doy, shift_doy
 from solstice.functions.numeric import sround
-from solstice.operators.quantiles import exact_quantiles
-from solstice.schemas import DOY_HALFWIDTH, MIN_SAMPLES, QUANTILE_NAMES, QUANTILES
-
-
-def doy_fanout(df: DataFrame, halfwidth: int = DOY_HALFWIDTH, date: str = "obs_date",
-               target: str = "end_doy") -> DataFrame:
-    """Every row once per target DOY whose band holds it."""
-    return df.withColumn("_off", F.explode(band_offsets(halfwidth))).withColumn(
-        target, shift_doy(doy(F.col(date)), F.col("_off"))).drop("_off")
-
-
-def quantile_columns(value: str = "value", quantiles: Sequence[float] = QUANTILES):
-    arr = ", ".join(repr(float(q)) for q in quantiles)
-    return F.expr(f"percentile(`{value}`, array({arr}))")
+from solstice.operators.quantiles import interpolated
+from solstice.schemas import DOY_HALFWIDTH, MIN_SAMPLES, QUANTILE_NAMES
 
 
 def climatology(rolled: DataFrame, keys: Sequence[str] = ("station_id", "metric_id", "window_days"),
@@ -63,12 +51,18 @@ def climatology(rolled: DataFrame, keys: Sequence[str] = ("station_id", "metric_
         cond = [base[c] == t[c] for c in tk] + [
             circular_doy_distance(doy(base[date]), t["_t"]) <= halfwidth]
         base = base.join(t, cond, "left_semi")
-    fan = doy_fanout(base, halfwidth, date)
+    per_doy = base.groupBy(*keys, doy(F.col(date)).alias("_d")).agg(
+        F.collect_list(value).alias("_v"), F.min("first_year").alias("first_year"),
+        F.max("last_year").alias("last_year"))
+    fan = per_doy.select("*", F.explode(band_offsets(halfwidth)).alias("_o")).withColumn(
+        "end_doy", shift_doy(F.col("_d"), F.col("_o")))
     if target_doys is not None:
         fan = fan.join(target_doys, [c for c in target_doys.columns], "left_semi")
-    agg = exact_quantiles(fan, [*keys, "end_doy"], value,
-                          extra_aggs=[F.min("first_year").alias("first_year"),
-                                      F.max("last_year").alias("last_year")])
+    grp = fan.groupBy(*keys, "end_doy").agg(
+        F.array_sort(F.flatten(F.collect_list("_v"))).alias("_s"),
+        F.min("first_year").alias("first_year"), F.max("last_year").alias("last_year"))
+    agg = grp.select(*keys, "end_doy", *interpolated(F.col("_s")), F.size("_s").cast("long").alias("n_samples"),
+                     "first_year", "last_year")
     rnd = (lambda c: sround(c, digits)) if digits is not None else (lambda c: c)
     return agg.where(F.col("n_samples") >= min_samples).select(
         *keys, F.col("end_doy").cast("int").alias("end_doy"),

@@ -27,18 +27,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _supplier_station(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    nat = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    return sup.join(nat, sup.s_nationkey == nat.n_nationkey).select(
-        "s_suppkey", F.col("n_name").alias("station_id"))
-
-
 def lineitem_station(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
-    """lineitem rows tagged with the station (nation name) of their supplier."""
+    """lineitem rows tagged with the station (nation name) of their supplier.
+
+    Fact-to-dimension chain: lineitem joins supplier, then nation.  Joining
+    supplier with nation first would make Spark estimate that pair as the
+    product of both sizes and pick the column-pruned lineitem as the
+    broadcast side.  In this order each dimension is the build side: supplier
+    while it fits ``autoBroadcastJoinThreshold`` (else a sort-merge join), and
+    nation (25 rows, a fixed TPC-H size) always.
+    """
     li = read_table(spark, sf_dir, "lineitem").select("l_suppkey", *cols)
-    st = _supplier_station(spark, sf_dir)
-    return li.join(st, li.l_suppkey == st.s_suppkey).drop("l_suppkey", "s_suppkey")
+    sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    nat = read_table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("station_id"))
+    j = li.join(sup, li.l_suppkey == sup.s_suppkey)
+    return j.join(F.broadcast(nat), j.s_nationkey == nat.n_nationkey).drop(
+        "l_suppkey", "s_suppkey", "s_nationkey", "n_nationkey")
 
 
 def daily_series(spark: SparkSession, sf_dir: str, offset: float = -25.0) -> DataFrame:
