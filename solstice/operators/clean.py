@@ -40,6 +40,21 @@ def plausible(c: Column) -> Column:
     return F.when(c.between(PLAUSIBLE_MIN_C, PLAUSIBLE_MAX_C), c)
 
 
+def keep_where(df: DataFrame, cond: Column) -> DataFrame:
+    """``df.where(cond)`` with every column of ``df`` computed once per row.
+
+    A plain filter after a chain of dependent ``withColumn`` steps is pushed
+    below the projections with each alias substituted by its definition, so
+    the whole nested chain is re-evaluated inside the predicate (about 10x the
+    cost of the projection here).  A filter on a generator's output cannot
+    move below the generator, so the row is materialised once through a
+    one-element ``inline`` and filtered after it.
+    """
+    cols = df.columns
+    row = df.select(F.inline(F.array(F.struct(*cols, cond.alias("_keep")))))
+    return row.where(F.col("_keep")).select(*cols)
+
+
 def clean_station_daily(raw: DataFrame, station: str = "STATION", flags: bool = False) -> DataFrame:
     """A1 + B1..B11 over landed station-daily rows (all stations at once).
 
@@ -71,7 +86,8 @@ def clean_station_daily(raw: DataFrame, station: str = "STATION", flags: bool =
                 (F.col("t0avg").isNotNull() & F.col("t1avg").isNull()).alias("f_bad_tavg"),
                 "f_swapped", "f_corrected", "f_filled", "f_dropped"]
         return r.select(*out)
-    return r.where(~F.col("f_dropped")).select(*out)
+    kept = keep_where(r.select(*out, "f_dropped"), ~F.col("f_dropped"))
+    return kept.select("station_id", "obs_date", "tmin_c", "tmax_c", "tavg_c", "prcp_mm")
 
 
 def quality_counters(flagged: DataFrame, key: str = "station_id") -> DataFrame:
@@ -97,7 +113,7 @@ def clean_gsod(raw: DataFrame, key: str = "station_id") -> DataFrame:
         F.col(key).alias("station_id"), date_from_parts("year", "mo", "da").alias("obs_date"),
         f_to_c(temp("min")).alias("tmin_c"), f_to_c(temp("max")).alias("tmax_c"),
         f_to_c(temp("temp")).alias("tavg_c"), inch_to_mm(F.when(p <= GSOD_PRCP_SENTINEL_ABOVE, p)).alias("prcp_mm"))
-    return r.where(F.col("obs_date").isNotNull() & (F.col("tmin_c").isNotNull() | F.col("tmax_c").isNotNull()))
+    return keep_where(r, F.col("obs_date").isNotNull() & (F.col("tmin_c").isNotNull() | F.col("tmax_c").isNotNull()))
 
 
 def clean_open_meteo_rows(rows: DataFrame) -> DataFrame:
@@ -116,7 +132,7 @@ def ghcn_fahrenheit(raw: DataFrame, station: str = "STATION") -> DataFrame:
     r = raw.select(F.col(station).alias("station_id"), parse_date("DATE").alias("date"),
                    f("TMAX").alias("max_temp_f"), f("TMIN").alias("min_temp_f"), f("TAVG").alias("_avg"))
     r = r.withColumn("temp_f", F.coalesce(F.col("_avg"), (F.col("max_temp_f") + F.col("min_temp_f")) / 2)).drop("_avg")
-    r = r.where(F.col("date").isNotNull() & F.coalesce("max_temp_f", "min_temp_f", "temp_f").isNotNull())
+    r = keep_where(r, F.col("date").isNotNull() & F.coalesce("max_temp_f", "min_temp_f", "temp_f").isNotNull())
     return r.select("station_id", "date", F.year("date").alias("year"), F.month("date").alias("month"),
                     F.dayofmonth("date").alias("day"), "temp_f", "max_temp_f", "min_temp_f")
 

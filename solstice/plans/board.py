@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from solstice.functions.classify import deviation, severity_display
+from solstice.operators.clean import keep_where
 
 
 def board_rows(stations: DataFrame, insights: DataFrame, window_days: int) -> DataFrame:
@@ -39,7 +40,9 @@ def leaderboard(rows: DataFrame, ascending: bool = True) -> DataFrame:
 
 def outlier_summary(rows: DataFrame) -> DataFrame:
     """Stations off normal, and how many have a percentile."""
-    with_p = rows.where(F.col("percentile").isNotNull())
+    # keep_where: the percentile is a long CASE chain; a plain filter would be
+    # pushed into the insight plan and evaluate it again inside the predicate.
+    with_p = keep_where(rows, F.col("percentile").isNotNull())
     return with_p.agg(F.count_if(~F.col("severity").isin("normal", "insufficient_data")).alias("outliers"),
                       F.count(F.lit(1)).alias("with_percentile"))
 
@@ -47,7 +50,7 @@ def outlier_summary(rows: DataFrame) -> DataFrame:
 def percentile_histogram(rows: DataFrame) -> DataFrame:
     """bin = clamp(round_half_up(p / 2) * 2, 0, 100) and its zone."""
     b = F.greatest(F.lit(0), F.least(F.lit(100), (F.floor(F.col("percentile") / 2 + 0.5) * 2).cast("int")))
-    h = rows.where(F.col("percentile").isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    h = keep_where(rows, F.col("percentile").isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     # Zone labels and their upper bounds.
     zone = (F.when(F.col("bin") < 5, "Extremely Cold").when(F.col("bin") < 15, "Unusually Cold")
             .when(F.col("bin") < 35, "A Bit Colder").when(F.col("bin") < 65, "Normal")
