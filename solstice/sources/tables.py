@@ -33,15 +33,15 @@ def lineitem_station(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
     Fact-to-dimension chain: lineitem joins supplier, then nation.  Joining
     supplier with nation first would make Spark estimate that pair as the
     product of both sizes and pick the column-pruned lineitem as the
-    broadcast side.  In this order each dimension is the build side: supplier
-    while it fits ``autoBroadcastJoinThreshold`` (else a sort-merge join), and
-    nation (25 rows, a fixed TPC-H size) always.
+    broadcast side.  In this order each dimension is the build side of its
+    join, and Spark's size check decides between broadcast (supplier while it
+    fits ``autoBroadcastJoinThreshold``; nation, 25 rows) and sort-merge.
     """
     li = read_table(spark, sf_dir, "lineitem").select("l_suppkey", *cols)
     sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nat = read_table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("station_id"))
     j = li.join(sup, li.l_suppkey == sup.s_suppkey)
-    return j.join(F.broadcast(nat), j.s_nationkey == nat.n_nationkey).drop(
+    return j.join(nat, j.s_nationkey == nat.n_nationkey).drop(
         "l_suppkey", "s_suppkey", "s_nationkey", "n_nationkey")
 
 
