@@ -120,3 +120,12 @@ def test_rankings_stable_ties_and_current(spark):
     assert years.index(2003) + 1 == years.index(2004)          # ties keep year order
     cold = extremes_rankings(s, t, 1, "cold").orderBy("rank").collect()
     assert cold[0]["year"] == 2000 and cold[-1]["is_current"]
+
+
+def test_keep_where_matches_plain_filter(spark):
+    from pyspark.sql import functions as F
+    from solstice.operators.clean import keep_where
+    df = spark.createDataFrame([(1, 2.0), (2, None), (3, 5.0)], "k int, v double").withColumn("w", F.col("v") * 2)
+    got = keep_where(df, F.col("w") > 5).orderBy("k").collect()
+    assert [tuple(r) for r in got] == [(3, 5.0, 10.0)]
+    assert keep_where(df, F.col("w").isNotNull()).columns == ["k", "v", "w"]
