@@ -770,3 +770,20 @@ FROM (
 
 
 Q["j11_station_bundle"] = _j11()
+
+
+# --- baseline options, registry lookup -------------------------------------------
+
+Q["h17_baseline_choices"] = with_(OBS) + """
+SELECT station_id, o.label, o.position, o.since_year,
+       NOT (o.since_year IS NOT NULL AND o.since_year < year(MIN(obs_date))) AS enabled
+FROM obs CROSS JOIN (VALUES ('All', 0, CAST(NULL AS INTEGER)), ('25yr', 1, 2001 - 25 + 1), ('50yr', 2, 2001 - 50 + 1),
+                            ('75yr', 3, 2001 - 75 + 1), ('100yr', 4, 2001 - 100 + 1)) o(label, position, since_year)
+GROUP BY station_id, o.label, o.position, o.since_year"""
+
+Q["c14_registry_lookup"] = with_(STATIONS) + """
+SELECT r.station_id, st.wban, CASE WHEN st.wban IS NULL THEN 'error' ELSE 'ok' END AS status,
+       CASE WHEN st.wban IS NOT NULL THEN 'USW000' || st.wban END AS ghcn_station_id,
+       CASE WHEN st.wban IS NULL THEN 'Station ' || r.station_id || ' not found in registry' END AS detail
+FROM (SELECT n_name AS station_id FROM customer JOIN nation ON c_nationkey = n_nationkey
+      UNION SELECT o_orderpriority FROM orders) r LEFT JOIN st USING (station_id)"""

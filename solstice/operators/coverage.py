@@ -1,4 +1,5 @@
-"""Coverage and bookkeeping aggregates.
+"""Coverage and bookkeeping aggregates (D2-D4, D8, D9, D15, C8, B12), baseline
+options (H17) and the registry lookup (C14, H16).
 
 All are hash aggregates with a partial phase on the station key; none
 collects rows.
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from solstice.functions.numeric import sround
-from solstice.schemas import AUTHORITATIVE_SOURCES
+from solstice.schemas import AUTHORITATIVE_SOURCES, BASELINE_YEARS, STATION_ID_PREFIX
 
 
 def station_coverage(daily: DataFrame, key: str = "station_id", date: str = "obs_date") -> DataFrame:
@@ -80,3 +81,36 @@ def coverage_summary(daily: DataFrame, start, end, key: str = "station_id", date
         key, "actual_days", "expected_days",
         sround(100.0 * F.col("actual_days") / F.col("expected_days"), 1).alias("coverage_pct"),
         (F.col("expected_days") - F.col("actual_days")).alias("missing_days"), "min_date", "max_date")
+
+
+def baseline_choices(coverage: DataFrame, current_year: int, key: str = "station_id",
+                     first_date: str = "first_obs_date") -> DataFrame:
+    """The baseline options of every station in one pass.
+
+    Each station row is repeated once per option (``explode`` of a five-entry
+    literal list, no join); ``since_year = current_year - n + 1`` and an option
+    is disabled when it starts before the station's first observed year.
+    Output: key, label, since_year (null for "All"), enabled.
+    """
+    # Option labels in display order ("All" has no start year).
+    opts = [("All", None)] + [(f"{n}yr", int(n)) for n in BASELINE_YEARS]
+    arr = F.array(*[F.struct(F.lit(lbl).alias("label"), F.lit(i).alias("pos"),
+                             (F.lit(current_year - n + 1) if n is not None else F.lit(None).cast("int")).alias("since_year"))
+                    for i, (lbl, n) in enumerate(opts)])
+    x = coverage.select(key, F.year(first_date).alias("_fy"), F.explode(arr).alias("_o"))
+    disabled = F.col("_fy").isNotNull() & F.col("_o.since_year").isNotNull() & (F.col("_o.since_year") < F.col("_fy"))
+    return x.select(key, F.col("_o.label").alias("label"), F.col("_o.pos").alias("position"),
+                    F.col("_o.since_year").alias("since_year"), (~disabled).alias("enabled"))
+
+
+def registry_lookup(requests: DataFrame, stations: DataFrame, key: str = "station_id") -> DataFrame:
+    """C14 + H16: station -> wban through the registry (left join); an unknown
+    station gives an error row instead of failing the job.  The GHCN id is
+    ``"USW000" + wban`` (plain concatenation, as the method composes it)."""
+    st = stations.select(key, "wban")
+    j = requests.select(key).distinct().join(st, key, "left")
+    found = F.col("wban").isNotNull()
+    return j.select(
+        key, "wban", F.when(found, F.lit("ok")).otherwise(F.lit("error")).alias("status"),
+        F.when(found, F.concat(F.lit(STATION_ID_PREFIX), F.col("wban"))).alias("ghcn_station_id"),
+        F.when(~found, F.concat(F.lit("Station "), F.col(key), F.lit(" not found in registry"))).alias("detail"))

@@ -31,7 +31,8 @@ def _band_candidates(long: DataFrame, targets: DataFrame, window_days: int, sinc
 
 
 def _rank_years(per_year: DataFrame, ascending: Column, key: str = "station_id") -> DataFrame:
-    """Rank per station by value_c (asc when ``ascending``), stable on year; add °F and deltas."""
+    """E7 + E8: rank per station by value_c (asc when ``ascending``), stable on year; add °F,
+    delta to the current year, is_current, current_rank and total_years."""
     part = Window.partitionBy(key, "target_date")
     sort_key = F.when(ascending, F.col("value_c")).otherwise(-F.col("value_c"))
     ranked = per_year.withColumn("rank", F.row_number().over(part.orderBy(sort_key, F.col("year"))))

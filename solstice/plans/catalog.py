@@ -432,3 +432,23 @@ def q_station_bundle(spark, sf):
     return j.select("station_id", "end_date", "window_days", "percentile", "severity", "seasonal_rank", "total_years",
                     headline(F.col("window_days"), F.col("severity"), F.col("percentile"), F.col("seasonal_rank"),
                              F.col("total_years")).alias("headline"))
+
+
+# --- baseline options, registry lookup -------------------------------------------
+
+
+@register("h17_baseline_choices")
+def q_baseline_choices(spark, sf):
+    cov = COV.station_coverage(T.daily_series(spark, sf))
+    return COV.baseline_choices(cov, int(AS_OF[:4]))
+
+
+@register("c14_registry_lookup")
+def q_registry_lookup(spark, sf):
+    """Requested stations: every customer's nation (known) and every order
+    priority (not a station: error rows)."""
+    cust = T.read_table(spark, sf, "customer").select("c_nationkey")
+    nat = T.read_table(spark, sf, "nation").select("n_nationkey", "n_name")
+    known = cust.join(nat, cust.c_nationkey == nat.n_nationkey).select(F.col("n_name").alias("station_id"))
+    unknown = T.read_table(spark, sf, "orders").select(F.col("o_orderpriority").alias("station_id"))
+    return COV.registry_lookup(known.unionByName(unknown), T.stations(spark, sf))

@@ -120,7 +120,8 @@ def window_insights(series: DataFrame, climatology_table: DataFrame, records: Da
 def window_series(series: DataFrame, climatology_table: DataFrame, window_days: int, metric: str = "tavg_c",
                   halfwidth: int = DOY_HALFWIDTH, low_tail: str = "ratio") -> DataFrame:
     """E3 value per date (nulls kept: any gap in the w rows gives no point),
-    its percentile against stored climatology and the p10..p90 band."""
+    left-joined to stored climatology on (series, window, DOY) (C5), with its
+    percentile and the p10..p90 band."""
     long = series.select("station_id", "obs_date", F.lit(metric).alias("metric_id"), F.col(metric).alias("value"))
     r = rolling(long, [window_days], "rows_nullable")
     keys = ["station_id", "metric_id", "window_days"]

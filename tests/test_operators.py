@@ -129,3 +129,24 @@ def test_keep_where_matches_plain_filter(spark):
     got = keep_where(df, F.col("w") > 5).orderBy("k").collect()
     assert [tuple(r) for r in got] == [(3, 5.0, 10.0)]
     assert keep_where(df, F.col("w").isNotNull()).columns == ["k", "v", "w"]
+
+
+def test_baseline_choices_disable_options_before_first_year(spark):
+    import datetime as dt
+    from solstice.operators.coverage import baseline_choices
+    cov = spark.createDataFrame([("a", dt.date(1950, 3, 1)), ("b", None)], "station_id string, first_obs_date date")
+    got = {(r.station_id, r.label): (r.since_year, r.enabled) for r in baseline_choices(cov, 2024).collect()}
+    assert got[("a", "All")] == (None, True)
+    assert got[("a", "50yr")] == (1975, True)
+    assert got[("a", "75yr")] == (1950, True)
+    assert got[("a", "100yr")] == (1925, False)
+    assert all(v[1] for k, v in got.items() if k[0] == "b")
+
+
+def test_registry_lookup_unknown_station_is_error_row(spark):
+    from solstice.operators.coverage import registry_lookup
+    st = spark.createDataFrame([("x", "12345")], "station_id string, wban string")
+    req = spark.createDataFrame([("x",), ("x",), ("y",)], "station_id string")
+    got = {r.station_id: r for r in registry_lookup(req, st).collect()}
+    assert got["x"].status == "ok" and got["x"].ghcn_station_id == "USW00012345"
+    assert got["y"].status == "error" and got["y"].detail == "Station y not found in registry"
