@@ -1,4 +1,4 @@
-"""Landed-file scans and sinks.
+"""Landed-file scans and sinks (A1-A5, A8), and reads of the stored tables.
 
 All scans take an explicit schema (never ``inferSchema``) and read every
 file of a folder or glob in one job: one task per file split, not one
@@ -59,3 +59,23 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=Non
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(path)
+
+
+def read_stored(spark: SparkSession, path: str, where: dict | None = None, date_col: str | None = None,
+                start=None, end=None) -> DataFrame:
+    """Key / point / range read of a stored table.
+
+    ``where`` maps columns to a value or a list of values; ``start``/``end``
+    bound ``date_col`` inclusively (B4).  All are plain column predicates, so
+    they reach the parquet scan: partition pruning on partition columns
+    (e.g. ``station_id`` of the daily table) and row-group statistics on the
+    rest.
+    """
+    df = spark.read.parquet(path)
+    for c, v in (where or {}).items():
+        df = df.where(F.col(c).isin(*v) if isinstance(v, (list, tuple, set)) else F.col(c) == F.lit(v))
+    if start is not None:
+        df = df.where(F.col(date_col) >= F.lit(start).cast("date"))
+    if end is not None:
+        df = df.where(F.col(date_col) <= F.lit(end).cast("date"))
+    return df

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from solstice.plans.backfill import backfill, run_summary
 from solstice.sources import tables as T
+from solstice.sources.files import read_stored
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,6 +20,12 @@ def test_backfill_writes_tables_idempotently(spark):
     assert counts["latest_insight"] == 4 * T.stations(spark, SF).join(T.daily_series(spark, SF), "station_id", "left_semi").count()
     clim = spark.read.parquet(paths["climatology"])
     assert clim.groupBy("station_id", "metric_id", "window_days", "end_doy").count().where(F.col("count") > 1).count() == 0
+    daily = spark.read.parquet(paths["daily"])
+    sid = daily.select("station_id").first()["station_id"]
+    want = daily.where((F.col("station_id") == sid) & F.col("obs_date").between("1995-01-01", "1995-12-31")).count()
+    point = read_stored(spark, paths["daily"], {"station_id": sid}, "obs_date", "1995-01-01", "1995-12-31")
+    assert point.count() == want > 0
+    assert "PartitionFilters: [isnotnull(station_id" in point._jdf.queryExecution().executedPlan().toString()
     backfill(spark, src, T.stations(spark, SF), out, T.AS_OF)
     assert {k: spark.read.parquet(p).count() for k, p in paths.items()} == counts
     summary = run_summary(src, "r1").collect()
