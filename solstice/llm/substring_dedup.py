@@ -20,8 +20,9 @@ is built in prefix partitions, never as one object:
    reaches a task once for each slice, not once for each document.
 3. The repeats, as word ranges, go back to their documents.
 
-Paths are 128-bit fingerprints of the words.  Sorting spills to disk; Python
-holds one Arrow batch at a time.
+Paths are 96-bit fingerprints of the words.  Texts cross the one shuffle they
+need zstd-compressed.  Sorting spills to disk; Python holds one Arrow batch at
+a time.
 
 Defined cases: a null or blank text has no words; texts below ``window`` words
 lose nothing; a null id counts as the smallest id; a row repeated in full (same
@@ -36,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,6 +65,32 @@ def _anchors(ids: np.ndarray, first: np.ndarray, window: int, gram: int) -> tupl
     return starts, grams, (packed[starts] & low).astype(np.int64)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    press = zstandard.ZstdCompressor(level=1)
+    for b in batches:
+        data, offsets = W.text_buffers(b.column("text"))
+        raw = memoryview(data)
+        packed = [press.compress(raw[a:z]) for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        yield pa.record_batch({"id": b.column("id"), "id0": b.column("id0"), "tkey": b.column("tkey"),
+                               "packed": pa.array(packed, pa.binary())})
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with column ``text`` as bytes again."""
+    open_ = zstandard.ZstdDecompressor()
+    for b in batches:
+        sizes = [zstandard.frame_content_size(x.as_buffer()) for x in b.column("packed")]
+        ends = np.cumsum(sizes) if sizes else np.zeros(0, np.int64)
+        i = 0
+        while i < b.num_rows:
+            before = int(ends[i - 1]) if i else 0
+            j = max(i + 1, int(np.searchsorted(ends, before + W.SLICE_BYTES, side="right")))
+            part = b.slice(i, j - i)
+            texts = [open_.decompress(x.as_buffer()) for x in part.column("packed")]
+            yield part.append_column("text", pa.array(texts, pa.large_binary()))
+            i = j
+
+
 def _hash_ids(batch: pa.RecordBatch) -> tuple[W.Words, np.ndarray]:
     w = W.words_of(batch.column("text"))
     return w, W.word_hashes(w)
@@ -90,41 +118,40 @@ def _anchor_rows(window: int, gram: int):
 
 def _suffix_rows(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in W.slices(whole, "text"):
-                w, ids = _hash_ids(b)
-                starts, grams, at = _anchors(ids, w.first, window, gram)
-                if len(starts) == 0:
-                    continue
-                row = np.searchsorted(w.first, starts, side="right") - 1
-                lists = b.column("anchors")
-                owner = np.repeat(np.arange(b.num_rows, dtype=np.uint64), np.diff(lists.offsets.to_numpy()))
-                have = lists.flatten().to_numpy().view(np.uint64) ^ W.mix(owner + np.uint64(1))
-                keep = np.isin(grams[at] ^ W.mix(row.astype(np.uint64) + np.uint64(1)), have)
-                starts, row = starts[keep], row[keep]
-                if len(starts) == 0:
-                    continue
-                w1 = W.window_hashes(ids, window)[starts]
-                w2 = W.window_hashes(W.mix(ids ^ np.uint64(0x5851F42D4C957F2D)), window)[starts]
-                id0, tkey = b.column("id0").to_numpy()[row], b.column("tkey").to_numpy()[row]
-                s = starts - w.first[row]
-                order = np.lexsort((s, tkey, id0, w2, w1))
-                w1, w2, id0, tkey, s = w1[order], w2[order], id0[order], tkey[order], s[order]
-                head = np.ones(len(s), dtype=bool)
-                head[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
-                at_head = np.flatnonzero(head)[np.cumsum(head) - 1]
-                later = ~((id0 == id0[at_head]) & (tkey == tkey[at_head]) & (s == s[at_head]))
+        for b in _unpacked(batches):
+            w, ids = _hash_ids(b)
+            starts, grams, at = _anchors(ids, w.first, window, gram)
+            if len(starts) == 0:
+                continue
+            row = np.searchsorted(w.first, starts, side="right") - 1
+            lists = b.column("anchors")
+            owner = np.repeat(np.arange(b.num_rows, dtype=np.uint64), np.diff(lists.offsets.to_numpy()))
+            have = lists.flatten().to_numpy().view(np.uint64) ^ W.mix(owner + np.uint64(1))
+            keep = np.isin(grams[at] ^ W.mix(row.astype(np.uint64) + np.uint64(1)), have)
+            starts, row = starts[keep], row[keep]
+            if len(starts) == 0:
+                continue
+            w1 = W.window_hashes(ids, window)[starts]
+            w2 = W.window_hashes(W.mix(ids ^ np.uint64(0x5851F42D4C957F2D)), window)[starts].astype(np.uint32).view(np.int32)
+            id0, tkey = b.column("id0").to_numpy()[row], b.column("tkey").to_numpy()[row]
+            s = starts - w.first[row]
+            order = np.lexsort((s, tkey, id0, w2, w1))
+            w1, w2, id0, tkey, s = w1[order], w2[order], id0[order], tkey[order], s[order]
+            head = np.ones(len(s), dtype=bool)
+            head[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
+            at_head = np.flatnonzero(head)[np.cumsum(head) - 1]
+            later = ~((id0 == id0[at_head]) & (tkey == tkey[at_head]) & (s == s[at_head]))
+            yield pa.record_batch({
+                "w1": pa.array(w1[head].view(np.int64)), "w2": pa.array(w2[head]),
+                "id0": pa.array(id0[head]), "tkey": pa.array(tkey[head]),
+                "lo": pa.array(s[head].astype(np.int32)), "hi": pa.array(np.full(int(head.sum()), -1, np.int32)),
+            })
+            if later.any():
+                lo, hi, i, t = _runs(id0[later], tkey[later], s[later], window)
                 yield pa.record_batch({
-                    "w1": pa.array(w1[head].view(np.int64)), "w2": pa.array(w2[head].view(np.int64)),
-                    "id0": pa.array(id0[head]), "tkey": pa.array(tkey[head]),
-                    "lo": pa.array(s[head].astype(np.int32)), "hi": pa.array(np.full(int(head.sum()), -1, np.int32)),
+                    "w1": pa.array(i), "w2": pa.array(t), "id0": pa.array(i), "tkey": pa.array(t),
+                    "lo": pa.array(lo), "hi": pa.array(hi),
                 })
-                if later.any():
-                    lo, hi, i, t = _runs(id0[later], tkey[later], s[later], window)
-                    yield pa.record_batch({
-                        "w1": pa.array(t), "w2": pa.array(i), "id0": pa.array(i), "tkey": pa.array(t),
-                        "lo": pa.array(lo), "hi": pa.array(hi),
-                    })
     return run
 
 
@@ -161,32 +188,31 @@ def _deep_nodes(window: int):
                     a, z, i, t = _runs(id0[later], tkey[later], lo[later].astype(np.int64), window)
                     parts.append((i, t, a, z))
             i, t, a, z = (np.concatenate(x) for x in zip(*parts))
-            yield pa.record_batch({"id0": pa.array(i.astype(np.int64)), "tkey": pa.array(t.astype(np.int64)),
+            yield pa.record_batch({"id0": pa.array(i.astype(np.int64)), "tkey": pa.array(t.astype(np.int32)),
                                    "lo": pa.array(a.astype(np.int32)), "hi": pa.array(z.astype(np.int32))})
     return run
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for b in W.slices(whole, "text"):
-            w = W.words_of(b.column("text"))
-            n = len(w.starts)
-            lists = b.column("ranges")
-            owner = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
-            pairs = lists.flatten()
-            depth = np.zeros(n + 1, dtype=np.int64)
-            if len(pairs):
-                np.add.at(depth, w.first[owner] + pairs.field("lo").to_numpy(), 1)
-                np.add.at(depth, w.first[owner] + pairs.field("hi").to_numpy(), -1)
-            keep = np.cumsum(depth)[:n] == 0
-            counts = np.diff(w.first)
-            kept = np.add.reduceat(np.append(keep, False).astype(np.int64), w.first[:-1]) if b.num_rows else counts
-            kept = np.where(counts > 0, kept, 0)
-            yield pa.record_batch({
-                "id": b.column("id"),
-                "kept_text": pa.array([W.joined(w, keep, r).decode() for r in range(b.num_rows)], pa.string()),
-                "n_words": pa.array(counts), "n_removed": pa.array(counts - kept),
-            })
+    for b in _unpacked(batches):
+        w = W.words_of(b.column("text"))
+        n = len(w.starts)
+        lists = b.column("ranges")
+        owner = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+        pairs = lists.flatten()
+        depth = np.zeros(n + 1, dtype=np.int64)
+        if len(pairs):
+            np.add.at(depth, w.first[owner] + pairs.field("lo").to_numpy(), 1)
+            np.add.at(depth, w.first[owner] + pairs.field("hi").to_numpy(), -1)
+        keep = np.cumsum(depth)[:n] == 0
+        counts = np.diff(w.first)
+        kept = np.add.reduceat(np.append(keep, False).astype(np.int64), w.first[:-1]) if b.num_rows else counts
+        kept = np.where(counts > 0, kept, 0)
+        yield pa.record_batch({
+            "id": b.column("id"),
+            "kept_text": pa.array([W.joined(w, keep, r).decode() for r in range(b.num_rows)], pa.string()),
+            "n_words": pa.array(counts), "n_removed": pa.array(counts - kept),
+        })
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -197,18 +223,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     gram = min(gram, window)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    base = base.select("id", F.coalesce("id", F.lit(NULL_ID)).alias("id0"), F.xxhash64("text").alias("tkey"),
-                       F.coalesce("text", F.lit("")).alias("text"))
-    anchors = base.select("id0", "tkey", "text").mapInArrow(_anchor_rows(window, gram), "h long, id0 long, tkey long")
+    base = base.select("id", F.coalesce("id", F.lit(NULL_ID)).alias("id0"),
+                       F.hash("text").alias("tkey"), "text")
+    anchors = base.select("id0", "tkey", "text").mapInArrow(_anchor_rows(window, gram), "h long, id0 long, tkey int")
     repeated = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
     held = (anchors.join(repeated, "h", "left_semi")
             .groupBy("id0", "tkey").agg(F.collect_set("h").alias("anchors")))
-    leaves = (base.join(held, ["id0", "tkey"]).select("id0", "tkey", "text", "anchors")
-              .mapInArrow(_suffix_rows(window, gram), "w1 long, w2 long, id0 long, tkey long, lo int, hi int"))
+    # Both joins below take the same columns of `packed`, so its exchange is made once and reused.
+    packed = base.mapInArrow(_packed, "id long, id0 long, tkey int, packed binary")
+    leaves = (packed.join(held, ["id0", "tkey"]).select("id", "id0", "tkey", "packed", "anchors")
+              .mapInArrow(_suffix_rows(window, gram), "w1 long, w2 int, id0 long, tkey int, lo int, hi int"))
     spots = (leaves.repartition("w1", "w2").sortWithinPartitions("w1", "w2", "id0", "tkey", "lo")
-             .mapInArrow(_deep_nodes(window), "id0 long, tkey long, lo int, hi int"))
+             .mapInArrow(_deep_nodes(window), "id0 long, tkey int, lo int, hi int"))
     ranges = spots.groupBy("id0", "tkey").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
-    full = base.join(ranges, ["id0", "tkey"], "left").select(
-        "id", "text", F.coalesce("ranges", F.array().cast("array<struct<lo:int,hi:int>>")).alias("ranges"))
+    full = packed.join(ranges, ["id0", "tkey"], "left").select(
+        "id", "id0", "tkey", "packed",
+        F.coalesce("ranges", F.array().cast("array<struct<lo:int,hi:int>>")).alias("ranges"))
     return (full.mapInArrow(_cut, "id long, kept_text string, n_words long, n_removed long")
             .withColumnRenamed("id", id_col))
