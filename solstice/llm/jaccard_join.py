@@ -12,12 +12,12 @@ fingerprint of the set); only one set of each class is joined.
   cover all documents.  A shingle of a single class can't join: it takes its
   place in the prefix and is dropped.
 * **Length, positional and suffix filters** hold in the join condition.  The
-  suffix filter splits the shingle space into ``PARTS`` ranges: the summed
-  difference of the counts in each range is a lower bound of the sets'
-  symmetric difference.
+  suffix filter splits the shingle space into ``64 * LONGS`` parts: the number
+  of parts in which two sets hold counts of different parity is a lower bound
+  of the sets' symmetric difference.
 * **No pair twice, no square of a group.**  In each prefix list every set first
-  meets a few hubs (the sets with the smallest hashes); verified links give
-  components.  Then only pairs from different components remain, with one side
+  meets a few hubs: the sets with the smallest share of shingles that no other
+  set holds, so the likely originals of a group.  Verified links give components.  Then only pairs from different components remain, with one side
   outside the list's largest component, so no link between components is lost
   and a large group of near copies costs a multiple of its size.
 * **Verification** intersects whole sets, once a pair; one set of the pair is
@@ -48,8 +48,9 @@ from solstice.llm.graph import components, stored
 NULL_ID = -(1 << 63)
 #: One of so many shingles is counted for the rare-first order.
 SHARE = 7
-#: Ranges of the suffix filter.
-PARTS = 64
+#: 64-bit words of the suffix filter.
+LONGS = 8
+_PARTS = [f"p{k}" for k in range(LONGS)]
 #: Hubs of a prefix list.
 HUBS = 3
 #: Shares into which the partners of one set are dealt for verification.
@@ -69,8 +70,11 @@ def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(short):
         alone = [W.window_hashes(ids[w.first[r]:w.first[r + 1]], int(counts[r]), seed=int(counts[r]))[0] for r in short]
         rows, grams = np.concatenate((rows, short)), np.concatenate((grams, np.array(alone, dtype=np.uint64)))
-    order = np.lexsort((grams, rows))
-    rows, grams = rows[order], grams[order]
+        order = np.argsort(rows, kind="stable")
+        rows, grams = rows[order], grams[order]
+    edge = np.searchsorted(rows, np.arange(len(counts) + 1)).tolist()
+    for a, z in zip(edge, edge[1:]):
+        grams[a:z].sort()
     new = np.ones(len(rows), dtype=bool)
     new[1:] = (rows[1:] != rows[:-1]) | (grams[1:] != grams[:-1])
     return rows[new], grams[new]
@@ -124,11 +128,12 @@ def _set_rows(n: int):
             for b in W.slices(whole, "text"):
                 rows, grams = shingle_sets(b.column("text"), n)
                 first = np.searchsorted(rows, np.arange(b.num_rows + 1))
-                part = rows * PARTS + (grams >> _U(58)).astype(np.int64) % PARTS
-                counts = np.minimum(np.bincount(part, minlength=b.num_rows * PARTS), 127).astype(np.int8)
+                part = rows * (64 * LONGS) + (grams >> _U(40)).astype(np.int64) % (64 * LONGS)
+                odd = (np.bincount(part, minlength=b.num_rows * 64 * LONGS) & 1).astype(np.uint8)
+                bits = np.packbits(odd, bitorder="little").view(np.int64).reshape(b.num_rows, LONGS)
                 yield pa.record_batch({
                     "f": b.column("f"), "size": b.column("size"),
-                    "parts": pa.ListArray.from_arrays(pa.array(np.arange(0, len(counts) + 1, PARTS, dtype=np.int32)), pa.array(counts)),
+                    **{c: pa.array(bits[:, k].copy()) for k, c in enumerate(_PARTS)},
                     "grams": pa.array([grams[s:e].tobytes() for s, e in zip(first[:-1], first[1:])], pa.binary()),
                 })
     return run
@@ -173,13 +178,15 @@ def _may_link(percent: int):
     # overlap needed: (percent / (100 + percent)) * (sum of sizes), rounded up
     need = F.ceil((F.col("x.size") + F.col("y.size")) * F.lit(percent) / F.lit(100 + percent) - F.lit(1e-6))
     rest = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
-    apart = F.aggregate(F.zip_with("x.parts", "y.parts", lambda a, b: F.abs(a.cast("int") - b.cast("int"))),
-                        F.lit(0), lambda s, d: s + d)
+    apart = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in _PARTS), F.lit(0))
     return (lo * 100 >= hi * percent) & (rest >= need) & (apart <= F.col("x.size") + F.col("y.size") - need * 2)
 
 
 def _prefix_lists(base: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
-    """(h, f, size, pos): prefix shingles that at least two classes hold in their prefix."""
+    """(h, f, size, pos, alone): prefix shingles that at least two classes hold in their prefix.
+
+    ``alone``: per mille of the class's counted shingles that no other class holds.
+    """
     counted = base.select("text").mapInArrow(_counted_rows(n, percent), "h long, f long")
     freq = (counted.groupBy("h").agg(F.min("f").alias("f0"), F.max("f").alias("f1"), F.count(F.lit(1)).alias("df"))
             .filter("f0 <> f1").select("h", "df"))
@@ -190,11 +197,13 @@ def _prefix_lists(base: DataFrame, classes: DataFrame, n: int, percent: int) ->
     sized = shared.join(classes.select("f", "size", "counted"), "f")
     n_in = F.size(F.filter("hs", lambda x: ~x["out"]))
     ranked = sized.select("f", "size", "counted", n_in.alias("n_in"), F.posexplode("hs").alias("i", "x"), F.size("hs").alias("n_hs"))
+    all_counted = F.when(F.expr(f"counted < size - (size * {percent} + 99) div 100 + 1"), F.col("size")).otherwise(F.col("counted"))
+    alone = (1000 - F.floor(F.col("n_hs") * 1000 / all_counted)).cast("int")
     # Shingles of one class come first within their share: they only shift the others.
     pos = F.when(~F.col("x.out"), F.col("counted") - F.col("n_in") + F.col("i")).otherwise(
         F.col("size") - F.col("n_hs") + F.col("i"))
     need = F.expr(f"(size * {percent} + 99) div 100")
-    prefix = ranked.select("f", "size", F.col("x.h").alias("h"), pos.alias("pos")).filter(F.col("pos") < F.col("size") - need + 1)
+    prefix = ranked.select("f", "size", F.col("x.h").alias("h"), pos.alias("pos"), alone.alias("alone")).filter(F.col("pos") < F.col("size") - need + 1)
     live = prefix.groupBy("h").agg(F.min("f").alias("f0"), F.max("f").alias("f1")).filter("f0 <> f1").select("h")
     return prefix.join(live, "h", "left_semi")
 
@@ -211,11 +220,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lists = stored(_prefix_lists(base, classes, n, percent), "lists")
     wanted = classes.join(lists.select("f").distinct(), "f", "left_semi").select("f", "size", "id0", "tkey")
     packed = wanted.join(base, ["id0", "tkey"]).dropDuplicates(["f"]).select("f", "size", "text")
-    sets = stored(packed.mapInArrow(_set_rows(n), "f long, size long, parts array<tinyint>, grams binary"), "sets")
-    rich = lists.join(sets.select("f", "parts"), "f").select("h", "f", "size", "pos", "parts")
+    sets = stored(packed.mapInArrow(_set_rows(n), f"f long, size long, {', '.join(c + ' long' for c in _PARTS)}, grams binary"), "sets")
+    rich = lists.join(sets.select("f", *_PARTS), "f").select("h", "f", "size", "pos", "alone", *_PARTS)
 
     # Every set against the hubs of its lists.
-    mixed = [F.min(F.struct(F.xxhash64("f", F.lit(k)).alias("o"), "f", "size", "pos", "parts")).alias(f"k{k}") for k in range(HUBS)]
+    mixed = [F.min(F.struct("alone", F.xxhash64("f", F.lit(k)).alias("o"), "f", "size", "pos", *_PARTS)).alias(f"k{k}") for k in range(HUBS)]
     hubs = rich.groupBy("h").agg(*mixed).select("h", F.explode(F.array(*[f"k{k}" for k in range(HUBS)])).alias("y"))
     near = (rich.alias("x").join(hubs.select("h", "y.*").alias("y"), F.col("x.h") == F.col("y.h"))
             .filter((F.col("x.f") != F.col("y.f")) & _may_link(percent))
@@ -226,7 +235,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Pairs of different components; one side lies outside the list's largest component.
     own = rich.join(seen.withColumnRenamed("node", "f"), "f", "left").withColumn("c", F.coalesce("label", "f")).drop("label")
     shares = own.groupBy("h", "c").agg(F.count(F.lit(1)).alias("k"))
-    largest = shares.groupBy("h").agg(F.max_by("c", F.struct("k", "c")).alias("big"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    largest = shares.groupBy("h").agg(F.max_by("c", F.struct("k", "c")).alias("big"), F.count(F.lit(1)).alias("n_parts")).filter("n_parts > 1")
     both = stored(own.join(largest.select("h", "big"), "h"), "mixed")
     rest = (both.filter("c <> big").alias("x").join(both.alias("y"), (F.col("x.h") == F.col("y.h"))
             & (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.big")) | (F.col("x.f") < F.col("y.f"))) & _may_link(percent))
