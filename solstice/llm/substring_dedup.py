@@ -18,11 +18,11 @@ is built in prefix partitions, never as one object:
    the others are repeats.  A slice of rows first keeps one leaf a node and
    settles its own other leaves, so a passage in a third of all documents
    reaches a task once for each slice, not once for each document.
-3. The repeats, as word ranges, go back to their documents.
+3. The repeats, as word ranges (start << 32 | end), go back to their documents.
 
-Paths are 96-bit fingerprints of the words.  Texts cross the one shuffle they
-need zstd-compressed.  Sorting spills to disk; Python holds one Arrow batch at
-a time.
+Paths are 96-bit fingerprints of the words.  Both joins with the texts have the
+same key and columns, so the texts are shuffled once.  Sorting spills to disk;
+Python holds one Arrow batch at a time.
 
 Defined cases: a null or blank text has no words; texts below ``window`` words
 lose nothing; a null id counts as the smallest id; a row repeated in full (same
@@ -37,7 +37,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,30 +64,9 @@ def _anchors(ids: np.ndarray, first: np.ndarray, window: int, gram: int) -> tupl
     return starts, grams, (packed[starts] & low).astype(np.int64)
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    press = zstandard.ZstdCompressor(level=1)
-    for b in batches:
-        data, offsets = W.text_buffers(b.column("text"))
-        raw = memoryview(data)
-        packed = [press.compress(raw[a:z]) for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-        yield pa.record_batch({"id": b.column("id"), "id0": b.column("id0"), "tkey": b.column("tkey"),
-                               "packed": pa.array(packed, pa.binary())})
-
-
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with column ``text`` as bytes again."""
-    open_ = zstandard.ZstdDecompressor()
-    for b in batches:
-        sizes = [zstandard.frame_content_size(x.as_buffer()) for x in b.column("packed")]
-        ends = np.cumsum(sizes) if sizes else np.zeros(0, np.int64)
-        i = 0
-        while i < b.num_rows:
-            before = int(ends[i - 1]) if i else 0
-            j = max(i + 1, int(np.searchsorted(ends, before + W.SLICE_BYTES, side="right")))
-            part = b.slice(i, j - i)
-            texts = [open_.decompress(x.as_buffer()) for x in part.column("packed")]
-            yield part.append_column("text", pa.array(texts, pa.large_binary()))
-            i = j
+def _text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        yield from W.slices(whole, "text")
 
 
 def _hash_ids(batch: pa.RecordBatch) -> tuple[W.Words, np.ndarray]:
@@ -98,27 +76,22 @@ def _hash_ids(batch: pa.RecordBatch) -> tuple[W.Words, np.ndarray]:
 
 def _anchor_rows(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in W.slices(whole, "text"):
-                w, ids = _hash_ids(b)
-                starts, grams, at = _anchors(ids, w.first, window, gram)
-                if len(starts) == 0:
-                    continue
-                new = np.ones(len(at), dtype=bool)
-                new[1:] = at[1:] != at[:-1]  # anchors move to the right only
-                at = at[new]
-                row = np.searchsorted(w.first, at, side="right") - 1
-                yield pa.record_batch({
-                    "h": pa.array(grams[at].view(np.int64)),
-                    "id0": b.column("id0").take(pa.array(row)),
-                    "tkey": b.column("tkey").take(pa.array(row)),
-                })
+        for b in _text_slices(batches):
+            w, ids = _hash_ids(b)
+            starts, grams, at = _anchors(ids, w.first, window, gram)
+            if len(starts) == 0:
+                continue
+            new = np.ones(len(at), dtype=bool)
+            new[1:] = at[1:] != at[:-1]  # anchors move to the right only
+            at = at[new]
+            row = np.searchsorted(w.first, at, side="right") - 1
+            yield pa.record_batch({"h": pa.array(grams[at].view(np.int64)), "id0": b.column("id0").take(pa.array(row))})
     return run
 
 
 def _suffix_rows(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _unpacked(batches):
+        for b in _text_slices(batches):
             w, ids = _hash_ids(b)
             starts, grams, at = _anchors(ids, w.first, window, gram)
             if len(starts) == 0:
@@ -189,21 +162,23 @@ def _deep_nodes(window: int):
                     parts.append((i, t, a, z))
             i, t, a, z = (np.concatenate(x) for x in zip(*parts))
             yield pa.record_batch({"id0": pa.array(i.astype(np.int64)), "tkey": pa.array(t.astype(np.int32)),
-                                   "lo": pa.array(a.astype(np.int32)), "hi": pa.array(z.astype(np.int32))})
+                                   "span": pa.array(a.astype(np.int64) << 32 | z)})
     return run
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in _unpacked(batches):
+    for b in _text_slices(batches):
         w = W.words_of(b.column("text"))
         n = len(w.starts)
         lists = b.column("ranges")
         owner = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
-        pairs = lists.flatten()
+        found = lists.flatten()
         depth = np.zeros(n + 1, dtype=np.int64)
-        if len(pairs):
-            np.add.at(depth, w.first[owner] + pairs.field("lo").to_numpy(), 1)
-            np.add.at(depth, w.first[owner] + pairs.field("hi").to_numpy(), -1)
+        if len(found):
+            mine = found.field("tkey").to_numpy() == b.column("tkey").to_numpy()[owner]
+            owner, span = owner[mine], found.field("span").to_numpy()[mine]
+            np.add.at(depth, w.first[owner] + (span >> 32), 1)
+            np.add.at(depth, w.first[owner] + (span & 0xFFFFFFFF), -1)
         keep = np.cumsum(depth)[:n] == 0
         counts = np.diff(w.first)
         kept = np.add.reduceat(np.append(keep, False).astype(np.int64), w.first[:-1]) if b.num_rows else counts
@@ -223,21 +198,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     gram = min(gram, window)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    base = base.select("id", F.coalesce("id", F.lit(NULL_ID)).alias("id0"),
-                       F.hash("text").alias("tkey"), "text")
-    anchors = base.select("id0", "tkey", "text").mapInArrow(_anchor_rows(window, gram), "h long, id0 long, tkey int")
+    base = base.select("id", F.coalesce("id", F.lit(NULL_ID)).alias("id0"), F.hash("text").alias("tkey"),
+                       F.coalesce("text", F.lit("")).alias("text"))
+    anchors = base.select("id0", "text").mapInArrow(_anchor_rows(window, gram), "h long, id0 long")
+    # Only rows that share an id need a text key: elsewhere it is 0 and costs nothing.
+    shared = (base.groupBy("id0").agg(F.min("tkey").alias("a"), F.max("tkey").alias("z")).filter("a <> z")
+              .select("id0", F.lit(True).alias("shared")))
+    base = base.join(shared, "id0", "left").select("id", "id0", F.when(F.col("shared"), F.col("tkey")).otherwise(0).alias("tkey"), "text")
     repeated = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    held = (anchors.join(repeated, "h", "left_semi")
-            .groupBy("id0", "tkey").agg(F.collect_set("h").alias("anchors")))
-    # Both joins below take the same columns of `packed`, so its exchange is made once and reused.
-    packed = base.mapInArrow(_packed, "id long, id0 long, tkey int, packed binary")
-    leaves = (packed.join(held, ["id0", "tkey"]).select("id", "id0", "tkey", "packed", "anchors")
+    held = anchors.join(repeated, "h", "left_semi").groupBy("id0").agg(F.collect_set("h").alias("anchors"))
+    leaves = (base.join(held, "id0").select("id", "id0", "tkey", "text", "anchors")
               .mapInArrow(_suffix_rows(window, gram), "w1 long, w2 int, id0 long, tkey int, lo int, hi int"))
     spots = (leaves.repartition("w1", "w2").sortWithinPartitions("w1", "w2", "id0", "tkey", "lo")
-             .mapInArrow(_deep_nodes(window), "id0 long, tkey int, lo int, hi int"))
-    ranges = spots.groupBy("id0", "tkey").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
-    full = packed.join(ranges, ["id0", "tkey"], "left").select(
-        "id", "id0", "tkey", "packed",
-        F.coalesce("ranges", F.array().cast("array<struct<lo:int,hi:int>>")).alias("ranges"))
+             .mapInArrow(_deep_nodes(window), "id0 long, tkey int, span long"))
+    ranges = spots.groupBy("id0").agg(F.collect_set(F.struct("tkey", "span")).alias("ranges"))
+    full = base.join(ranges, "id0", "left").select(
+        "id", "id0", "tkey", "text",
+        F.coalesce("ranges", F.array().cast("array<struct<tkey:int,span:bigint>>")).alias("ranges"))
     return (full.mapInArrow(_cut, "id long, kept_text string, n_words long, n_removed long")
             .withColumnRenamed("id", id_col))
