@@ -86,8 +86,8 @@ def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def words_of(texts: pa.Array, lower: bool = False) -> Words:
-    """Split every text of the array; ``lower`` maps A-Z to a-z first."""
+def words_of(texts: pa.Array, lower: bool = False, blank: np.ndarray = _SPACE) -> Words:
+    """Split every text of the array; ``lower`` maps A-Z to a-z first; ``blank`` marks the bytes between words."""
     data, offsets = text_buffers(texts)
     if lower:
         data = _LOWER[data]
@@ -95,7 +95,7 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
     if n == 0:
         empty = np.zeros(0, np.int64)
         return Words(data, offsets, empty, empty, np.zeros(len(offsets), np.int64))
-    inside = ~_SPACE[data]
+    inside = ~blank[data]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
     start = inside.copy()
