@@ -7,7 +7,7 @@ into ``BUCKETS`` features; a feature's weight is its idf over **all documents**.
    counts are added in streams (``BUCKETS`` numbers whatever the input's size).
 2. *Latent space.*  The benchmark's passages are a sparse TF-IDF matrix X spread
    over tasks.  Its randomised SVD takes passes over X: ``X'X`` times a random
-   ``BUCKETS x RANK`` matrix, made orthonormal, once more (a power step), and a
+   matrix of RANK columns and a row for each feature of the benchmark, made orthonormal, once more (a power step), and a
    ``RANK x RANK`` Gram matrix whose eigenvectors turn the basis into the right
    singular vectors.
 3. *Retrieval.*  Document passages are word windows at three scales, matched to
@@ -117,30 +117,40 @@ def _sparse(texts: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return row, col, weight / np.maximum(norm, 1e-12)[row]
 
 
-def _project(row: np.ndarray, col: np.ndarray, weight: np.ndarray, basis: np.ndarray, n: int) -> np.ndarray:
+def _project(row: np.ndarray, at: np.ndarray, weight: np.ndarray, basis: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros((n, basis.shape[1]))
-    np.add.at(out, row, weight[:, None] * basis[col])
+    np.add.at(out, row, weight[:, None] * basis[at])
     return out
 
 
-def _pass(items: DataFrame, idf: np.ndarray, basis: np.ndarray, gram: bool) -> np.ndarray:
+def live_features(items: DataFrame) -> np.ndarray:
+    """Sorted features that occur in the benchmark; only these have rows in the basis (at most BUCKETS)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch({"f": pa.array(np.unique(_features(_words(b.column("text"))[0])), pa.int32())})
+
+    return np.array(sorted(r.f for r in items.mapInArrow(run, "f int").distinct().collect()), dtype=np.int64)
+
+
+def _pass(items: DataFrame, idf: np.ndarray, live: np.ndarray, basis: np.ndarray, gram: bool) -> np.ndarray:
     """``X'X basis`` over all passages, or the Gram matrix of ``X basis``; tasks add up, rows are added by Spark."""
-    held = items.sparkSession.sparkContext.broadcast((idf, basis))
-    rank = basis.shape[1]
+    held = items.sparkSession.sparkContext.broadcast((idf, live, basis))
+    size, rank = (basis.shape[1] if gram else len(live)), basis.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, basis = held.value
-        total = np.zeros((rank if gram else BUCKETS, rank))
+        idf, live, basis = held.value
+        total = np.zeros((size, rank))
         for b in batches:
             row, col, weight = _sparse(b.column("text"), idf)
-            y = _project(row, col, weight, basis, b.num_rows)
+            at = np.searchsorted(live, col)
+            y = _project(row, at, weight, basis, b.num_rows)
             if gram:
                 total += y.T @ y
             else:
-                np.add.at(total, col, weight[:, None] * y[row])
-        live = np.flatnonzero(total.any(axis=1))
-        for a in range(0, len(live), 256):
-            i = live[a : a + 256]
+                np.add.at(total, at, weight[:, None] * y[row])
+        some = np.flatnonzero(total.any(axis=1))
+        for a in range(0, len(some), 256):
+            i = some[a : a + 256]
             yield pa.record_batch({"i": pa.array(i, pa.int32()), "x": pa.array([total[k].tobytes() for k in i], pa.binary())})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,21 +162,24 @@ def _pass(items: DataFrame, idf: np.ndarray, basis: np.ndarray, gram: bool) -> n
         if sums:
             yield pa.record_batch({"i": pa.array(list(sums), pa.int32()), "x": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
 
-    out = np.zeros((rank if gram else BUCKETS, rank))
+    out = np.zeros((size, rank))
     for r in items.mapInArrow(run, "i int, x binary").repartition("i").mapInArrow(add, "i int, x binary").toLocalIterator():
         out[r.i] = np.frombuffer(r.x)
     return out
 
 
-def latent_basis(items: DataFrame, idf: np.ndarray, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
-    """(right singular vectors BUCKETS x r, singular values) of the passages' TF-IDF matrix, randomised."""
-    basis = np.random.default_rng(SEED).normal(size=(BUCKETS, rank))
+def latent_basis(items: DataFrame, idf: np.ndarray, rank: int = RANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(live features, right singular vectors live x r, singular values) of the passages' TF-IDF matrix, randomised."""
+    live = live_features(items)
+    basis = np.random.default_rng(SEED).normal(size=(len(live), min(rank, len(live))))
+    if not len(live):
+        return live, basis.astype(np.float32), np.zeros(0)
     for _ in range(2):
-        basis = np.linalg.qr(_pass(items, idf, basis, gram=False))[0]
-    values, turn = np.linalg.eigh(_pass(items, idf, basis, gram=True))
+        basis = np.linalg.qr(_pass(items, idf, live, basis, gram=False))[0]
+    values, turn = np.linalg.eigh(_pass(items, idf, live, basis, gram=True))
     keep = values > 1e-9 * max(values.max(), 1e-300)
     order = np.argsort(-values[keep])
-    return (basis @ turn[:, keep][:, order]).astype(np.float32), np.sqrt(values[keep][order])
+    return live, (basis @ turn[:, keep][:, order]).astype(np.float32), np.sqrt(values[keep][order])
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -191,7 +204,7 @@ def _answer(text: str) -> str:
 class _Index:
     """Latent vectors, words and answers of one block of items, by scale."""
 
-    def __init__(self, items: list[tuple], idf: np.ndarray, basis: np.ndarray):
+    def __init__(self, items: list[tuple], idf: np.ndarray, live: np.ndarray, basis: np.ndarray):
         texts = pa.array([t for _, t in items], pa.string())
         ids, first = _words(texts)
         a_ids, a_first = _words(pa.array([_answer(t) for _, t in items], pa.string()))
@@ -199,19 +212,19 @@ class _Index:
         self.item_ids = [i for i, _ in items]
         self.words = [ids[a:z] for a, z in zip(first, first[1:])]
         self.answers = [a_ids[a:z] for a, z in zip(a_first, a_first[1:])]
-        latent = _project(row, col, weight, basis.astype(np.float64), len(items))
+        latent = _project(row, np.searchsorted(live, col), weight, basis.astype(np.float64), len(items))
         self.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)).astype(np.float32)
-        # A projection never has a larger product with a passage than the bound by features allows plus what the space adds;
-        # the bound is taken on the projected item, feature by feature.
         self.scale = np.array([next(k for k, (most, _) in enumerate(SCALES) if len(w) <= most) for w in self.words])
+        # The largest share in a cosine that an item of the scale gives a feature, by way of the latent space.
         self.most = np.zeros((len(SCALES), BUCKETS))
         for k in range(len(SCALES)):
             mine = np.flatnonzero(self.scale == k)
             for a in range(0, len(mine), 64):
                 back = basis @ self.latent[mine[a : a + 64]].T
-                self.most[k] = np.maximum(self.most[k], back.max(axis=1))
-        self.most = np.maximum(self.most, 0) * idf
-        self.weight = (basis * idf[:, None]).astype(np.float32)
+                self.most[k, live] = np.maximum(self.most[k, live], back.max(axis=1) * idf[live])
+        self.row = np.full(BUCKETS, len(live), dtype=np.int32)  # features without a row share a last one of zeros
+        self.row[live] = np.arange(len(live))
+        self.weight = np.vstack((basis * idf[live][:, None], np.zeros((1, basis.shape[1])))).astype(np.float32)
         self.square = idf ** 2
 
 
@@ -239,7 +252,7 @@ def _retrieve(index: _Index, ids: np.ndarray, first: np.ndarray) -> list[tuple]:
             i = live[at : at + 512]
             w = z[i] - a[i]
             spot = np.repeat(a[i] - (np.cumsum(w) - w), w) + np.arange(int(w.sum()))
-            folded = np.add.reduceat(index.weight[feature[spot]], np.cumsum(w) - w, axis=0)
+            folded = np.add.reduceat(index.weight[index.row[feature[spot]]], np.cumsum(w) - w, axis=0)
             cosine = folded @ latent.T / length[i, None]
             for p, q in zip(*np.nonzero(cosine >= MIN_COSINE)):
                 r, item = int(row[i[p]]), int(mine[q])
@@ -266,7 +279,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).filter("text is not null")
     schema = "id long, item_id long, cosine double, common_words int, item_words int, start_word long"
     idf = document_idf(texts.select("text"))
-    basis, _ = latent_basis(items.select("text"), idf)
+    live, basis, _ = latent_basis(items.select("text"), idf)
 
     def found(block: DataFrame) -> DataFrame:
         rows = [(r.item, r.text) for r in block.collect()]  # at most ITEM_BLOCK items
@@ -274,7 +287,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         rows = [r for r, n in zip(rows, sizes) if n >= MIN_WORDS]
         if not rows:
             return spark.createDataFrame([], schema)
-        held = spark.sparkContext.broadcast(_Index(rows, idf, basis))
+        held = spark.sparkContext.broadcast(_Index(rows, idf, live, basis))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = held.value

@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from solstice.llm import words as W
 
@@ -45,6 +46,8 @@ BLOCK = 256
 #: Labelled documents used for fitting, hidden units, epochs, seed of the network.
 MAX_ROWS, HIDDEN, EPOCHS, SEED = 20_000, 32, 60, 7
 FEATURES = 4 * DIM
+#: Bytes of text, and tokens of a document, handled at once.
+PART, RUN = 1 << 20, 4096
 
 # Byte classes: 0 blank, 1 letter, digit or part of a longer character, 2 + k other signs.
 _KIND = np.full(256, 1, dtype=np.int16)
@@ -57,17 +60,24 @@ _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[48:58] = True
 
 
-def _index_vectors() -> np.ndarray:
-    """The fixed sparse random index vectors, made by hashing row and place."""
-    out = np.zeros((BUCKETS, DIM), dtype=np.int8)
+def _index_places() -> np.ndarray:
+    """SEEDS x BUCKETS: twice the place of a row's entry in its index vector, plus 1 for a -1."""
     rows = np.arange(BUCKETS)
-    for k in range(SEEDS):
-        h = W.mix((rows * SEEDS + k + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        out[rows, (h >> np.uint64(8)).astype(np.int64) % DIM] = np.where(h & np.uint64(1), 1, -1)
-    return out
+    h = np.stack([W.mix((rows * SEEDS + k + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for k in range(SEEDS)])
+    return (h >> np.uint64(8)).astype(np.int64) % DIM * 2 + (h & np.uint64(1)).astype(np.int64)
+
+
+PLACES = _index_places()
+
+
+def _signed(counts: np.ndarray) -> np.ndarray:
+    """Counts of +1 and -1 entries (rows x 2 DIM) as sums (rows x DIM)."""
+    pairs = counts.reshape(-1, DIM, 2)
+    return pairs[:, :, 0] - pairs[:, :, 1]
 
 
-INDEX = _index_vectors()
+#: The fixed sparse random index vector of every row.
+INDEX = sum(_signed(np.bincount(np.arange(BUCKETS) * 2 * DIM + p, minlength=BUCKETS * 2 * DIM)) for p in PLACES)
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -97,28 +107,24 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _add_contexts(total: np.ndarray, t: np.ndarray, first: np.ndarray) -> None:
-    """total[row] += the index vectors of the tokens within REACH places in the same document."""
+    """Adds to ``total`` (flat, rows x 2 DIM) the +1 and -1 entries of the tokens within REACH places in the same document."""
     if len(t) < 2:
         return
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    pairs = []
     for step in range(1, REACH + 1):
         same = doc[step:] == doc[:-step]
         a, b = t[:-step][same], t[step:][same]
-        pairs += [a * BUCKETS + b, b * BUCKETS + a]
-    key, n = np.unique(np.concatenate(pairs), return_counts=True)
-    row = key // BUCKETS
-    sums = INDEX[key % BUCKETS].astype(np.int64) * n[:, None]
-    at = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-    total[row[at]] += np.add.reduceat(sums, at, axis=0)
+        for p in PLACES:
+            total += np.bincount(a * (2 * DIM) + p[b], minlength=BUCKETS * 2 * DIM)
+            total += np.bincount(b * (2 * DIM) + p[a], minlength=BUCKETS * 2 * DIM)
 
 
 def _context_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((BUCKETS, DIM), dtype=np.int64)
+    total = np.zeros(BUCKETS * 2 * DIM, dtype=np.int64)
     for whole in batches:
-        for b in W.slices(whole, "text"):
+        for b in W.slices(whole, "text", PART):
             _add_contexts(total, *tokens(b.column("text")))
-    yield from _as_blocks(total)
+    yield from _as_blocks(_signed(total))
 
 
 def _as_blocks(total: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -138,32 +144,34 @@ def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def word_vectors(texts: DataFrame) -> np.ndarray:
-    """Vectors (BUCKETS x 2 DIM) from all texts: own index vector and context vector, unit length."""
+    """Vectors from all texts: own index vector and context vector, each of unit length, and their squares."""
     blocks = texts.mapInArrow(_context_blocks, "block int, sums binary").repartition("block").mapInArrow(_add_blocks, "block int, sums binary")
     total = np.zeros((BUCKETS, DIM), dtype=np.float64)
     for r in blocks.collect():  # BUCKETS x DIM numbers in all
         total[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.sums, dtype=np.int64).reshape(BLOCK, DIM)
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-    return np.hstack((unit(INDEX.astype(np.float64)), unit(total))).astype(np.float32)
+    return _squared(np.hstack((unit(INDEX.astype(np.float64)), unit(total))))
+
+
+def _squared(vectors: np.ndarray) -> np.ndarray:
+    """The vectors and their squares side by side."""
+    return np.hstack((vectors, vectors * vectors)).astype(np.float32)
 
 
-def pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    """Features of each text: mean and standard deviation of its tokens' vectors."""
+def pooled(texts: pa.Array, squared: np.ndarray) -> np.ndarray:
+    """Features of each text: mean and standard deviation of its tokens' vectors (``_squared`` ones)."""
     t, first = tokens(texts)
-    n_rows = len(first) - 1
-    out = np.zeros((n_rows, FEATURES), dtype=np.float64)
-    counts = np.diff(first)
-    if not len(t):
-        return out
-    doc = np.repeat(np.arange(n_rows), counts)
-    # A document's sums need each of its distinct tokens once.
-    key, n = np.unique(doc * BUCKETS + t, return_counts=True)
-    row, v = key // BUCKETS, vectors[key % BUCKETS].astype(np.float64)
-    at = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-    some = row[at]
-    mean = np.add.reduceat(v * n[:, None], at, axis=0) / counts[some][:, None]
-    square = np.add.reduceat(v * v * n[:, None], at, axis=0) / counts[some][:, None]
-    out[some] = np.hstack((mean, np.sqrt(np.maximum(square - mean * mean, 0))))
+    out = np.zeros((len(first) - 1, FEATURES), dtype=np.float64)
+    rows, ones = np.empty((RUN, FEATURES), dtype=np.float32), np.ones(RUN, dtype=np.float32)
+    for i, (a, z) in enumerate(zip(first.tolist(), first[1:].tolist())):
+        for k in range(a, z, RUN):
+            n = min(RUN, z - k)
+            np.take(squared, t[k : k + n], axis=0, out=rows[:n])
+            out[i] += ones[:n] @ rows[:n]
+        if z > a:
+            out[i] /= z - a
+    half = FEATURES // 2
+    out[:, half:] = np.sqrt(np.maximum(out[:, half:] - out[:, :half] ** 2, 0))
     return out
 
 
@@ -238,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in W.slices(whole, "text"):
+            for b in W.slices(whole, "text", PART):
                 x = pooled(b.column("text"), held.value)
                 yield pa.record_batch({"key": b.column("key"), "y": b.column("y"), "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
@@ -258,7 +266,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, Network], id_col: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, net = held.value
         for whole in batches:
-            for b in W.slices(whole, "text"):
+            for b in W.slices(whole, "text", PART):
                 yield pa.record_batch({"id": b.column("id"), "score": pa.array(net.score(pooled(b.column("text"), vectors)), pa.float64())})
 
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -270,12 +278,11 @@ def score_rows(docs: DataFrame, model: tuple[np.ndarray, Network], text_col: str
     held = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c != score_col]
     fields = [f for f in docs.schema.fields if f.name != score_col]
-    from pyspark.sql import types as T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, net = held.value
         for whole in batches:
-            for b in W.slices(whole, text_col):
+            for b in W.slices(whole, text_col, PART):
                 s = pa.array(net.score(pooled(b.column(text_col), vectors)), pa.float64())
                 yield pa.record_batch([*[b.column(c) for c in names], s], names=[*names, score_col])
 

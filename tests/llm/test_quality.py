@@ -23,9 +23,9 @@ def test_context_sums_equal_a_plain_loop():
             for j in range(a, z):
                 if i != j and abs(i - j) <= Q.REACH:
                     want[t[i]] += Q.INDEX[t[j]]
-    got = np.zeros_like(want)
+    got = np.zeros(Q.BUCKETS * 2 * Q.DIM, dtype=np.int64)
     Q._add_contexts(got, t, first)
-    assert (got == want).all()
+    assert (Q._signed(got) == want).all()
 
 
 def test_tokens_and_shapes():
@@ -38,9 +38,9 @@ def test_pooling_equals_numpy():
     vectors = np.random.default_rng(0).normal(size=(Q.BUCKETS, 2 * Q.DIM)).astype(np.float32)
     texts = pa.array(["a b c a a", "", "b"])
     t, first = Q.tokens(texts)
-    got = Q.pooled(texts, vectors)
+    got = Q.pooled(texts, Q._squared(vectors))
     v = vectors[t[first[0]:first[1]]].astype(float)
-    assert np.allclose(got[0], np.hstack((v.mean(0), v.std(0))), atol=1e-6)
+    assert np.allclose(got[0], np.hstack((v.mean(0), v.std(0))), atol=1e-3)
     assert not got[1].any()
 
 
