@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solstice.llm import byte_bpe, decontamination, quality
+from solstice.llm import byte_bpe, decontamination, html_text, license_scan, pii, quality, url_filter
 from solstice.llm.jaccard_join import jaccard_components
 from solstice.llm.substring_dedup import remove_repeats
 from solstice.llm.topk_search import top_k
@@ -31,10 +31,40 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.with_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+#: (verdict, host, path) of the fixed url rules.
+URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mined from the pages whose number has a quality label (0: bad)."""
+    pages, labels = _table(spark, sf_dir, "pages").select("page_id", "url"), _table(spark, sf_dir, "labels")
+    bad = labels.select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad"))
+    mined = url_filter.mine(pages.join(bad, "page_id"))
+    return url_filter.judge(pages, URL_RULES, mined)
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and license notice in it."""
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.train(docs))
+    n = lambda k: F.size(F.filter("base_spans", lambda x: x["kind"] == pii.KINDS.index(k))).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *[n(k) for k in pii.KINDS], F.sha2(pii.spelled(F.col("base_spans")), 256).alias("base_sha256"),
+                        pii.spelled(F.col("spans")).alias("spans"))
+
+
 def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
 
@@ -57,7 +87,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_html_text": op3_html_text,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_url_filter": op5_url_filter,
+    "op6_license_scan": op6_license_scan,
+    "op7_pii": op7_pii,
     "op8_topk_search": op8_topk_search,
     "op9_decontamination": op9_decontamination,
     "op10_byte_bpe": op10_byte_bpe,
