@@ -7,9 +7,9 @@ into ``BUCKETS`` features; a feature's weight is its idf over **all documents**.
    counts are added in streams (``BUCKETS`` numbers whatever the input's size).
 2. *Latent space.*  The benchmark's passages are a sparse TF-IDF matrix X spread
    over tasks.  Its randomised SVD takes passes over X: ``X'X`` times a random
-   matrix of RANK columns and a row for each feature of the benchmark, made orthonormal, once more (a power step), and a
-   ``RANK x RANK`` Gram matrix whose eigenvectors turn the basis into the right
-   singular vectors.
+   matrix (a row for each feature of the benchmark, ``RANK`` columns), made
+   orthonormal, once more (a power step), and a ``RANK x RANK`` Gram matrix whose
+   eigenvectors turn the basis into the right singular vectors.
 3. *Retrieval.*  Document passages are word windows at three scales, matched to
    the items' lengths, with steps of a quarter.  A passage's weight sum against
    the largest weight any item gives a feature bounds every cosine from above;
@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -274,21 +275,10 @@ def _retrieve(index: _Index, ids: np.ndarray, first: np.ndarray) -> list[tuple]:
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each document row and leaked item: id, item_id, cosine, common_words, item_words, start_word."""
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("text is not null")
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).filter("text is not null")
     schema = "id long, item_id long, cosine double, common_words int, item_words int, start_word long"
-    idf = document_idf(texts.select("text"))
-    live, basis, _ = latent_basis(items.select("text"), idf)
-
-    def found(block: DataFrame) -> DataFrame:
-        rows = [(r.item, r.text) for r in block.collect()]  # at most ITEM_BLOCK items
-        sizes = np.diff(_words(pa.array([t for _, t in rows], pa.string()))[1])
-        rows = [r for r, n in zip(rows, sizes) if n >= MIN_WORDS]
-        if not rows:
-            return spark.createDataFrame([], schema)
-        held = spark.sparkContext.broadcast(_Index(rows, idf, live, basis))
 
+    def run_with(held):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = held.value
             for whole in batches:
@@ -300,15 +290,43 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                             "id": b.column("id").take(pa.array(r)), "item_id": pa.array([index.item_ids[i] for i in item], pa.int64()),
                             "cosine": pa.array(cosine, pa.float64()), "common_words": pa.array(both, pa.int32()),
                             "item_words": pa.array(n, pa.int32()), "start_word": pa.array(start, pa.int64())})
+        return run
+
+    found = [texts.mapInArrow(run_with(held), schema) for held in _indexes(texts.select("text"), benchmark, item_col, item_text_col)]
+    out = reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], schema)
+    return out.withColumnRenamed("id", id_col)
 
-        return texts.mapInArrow(run, schema)
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no passage of the benchmark."""
+    def run_with(held):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = held.value
+            for whole in batches:
+                for b in W.slices(whole, text_col):
+                    clean = np.ones(b.num_rows, dtype=bool)
+                    clean[[found[0] for found in _retrieve(index, *_words(b.column(text_col)))]] = False
+                    yield b.filter(pa.array(clean))
+        return run
+
+    texts = docs.select(F.col(text_col).alias("text")).filter("text is not null")
+    for held in _indexes(texts, benchmark, item_col, item_text_col):
+        docs = docs.mapInArrow(run_with(held), docs.schema)
+    return docs
+
+
+def _indexes(texts: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str) -> list:
+    """Broadcast indexes of the blocks of items that have enough words."""
+    spark = texts.sparkSession
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).filter("text is not null")
+    idf = document_idf(texts)
+    live, basis, _ = latent_basis(items.select("text"), idf)
     blocks = max(1, -(-items.count() // ITEM_BLOCK) * 2 - 1)
-    if blocks == 1:
-        out = found(items)
-    else:
-        keyed = items.withColumn("b", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
-        out = found(keyed.filter("b = 0"))
-        for k in range(1, blocks):
-            out = out.union(found(keyed.filter(F.col("b") == k)))
-    return out.withColumnRenamed("id", id_col)
+    keyed, out = items.withColumn("b", F.pmod(F.xxhash64("item", "text"), F.lit(blocks))), []
+    for k in range(blocks):
+        rows = [(r.item, r.text) for r in keyed.filter(F.col("b") == k).collect()]  # about ITEM_BLOCK items at most
+        sizes = np.diff(_words(pa.array([t for _, t in rows], pa.string()))[1])
+        rows = [r for r, n in zip(rows, sizes) if n >= MIN_WORDS]
+        if rows:
+            out.append(spark.sparkContext.broadcast(_Index(rows, idf, live, basis)))
+    return out

@@ -210,7 +210,10 @@ def _prefix_lists(base: DataFrame, classes: DataFrame, n: int, percent: int) ->
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        n: int = 3, percent: int = 90) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id (smallest id reachable by links)."""
+    """One row per input row: id, n_shingles, component_id (smallest id reachable by links), text_key, is_first.
+
+    ``is_first``: no row of the component has a smaller (id, ``text_key``); ``text_key`` is a hash of the text.
+    """
     base = docs.select(F.col(id_col).cast("long").alias("id0"), F.col(text_col).alias("text"))
     base = base.select(F.coalesce("id0", F.lit(NULL_ID)).alias("id0"), F.hash("text").alias("tkey"), "text")
     rows = stored(base.mapInArrow(_class_rows(n), "id0 long, tkey int, f long, size long, counted long"), "classes")
@@ -244,12 +247,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = components(edges)
 
     # Names of the components, then back to the rows.
-    ids = classes.select("f", "id0").join(found.withColumnRenamed("node", "f"), "f")
-    names = ids.groupBy("label").agg(F.min("id0").alias("component"))
-    named = found.join(names, "label").select(F.col("node").alias("f"), "component")
-    per_class = classes.select("f", F.col("id0").alias("least_id")).join(named, "f", "left").select(
-        "f", F.coalesce("component", "least_id").alias("component"))
-    out = rows.filter("size > 0").join(per_class, "f").select("id0", "size", "component").union(
-        rows.filter("size = 0").select("id0", "size", F.col("id0").alias("component")))
+    ids = classes.select("f", "id0", "tkey").join(found.withColumnRenamed("node", "f"), "f")
+    names = ids.groupBy("label").agg(F.min(F.struct("id0", "tkey")).alias("rep"))
+    named = found.join(names, "label").select(F.col("node").alias("f"), "rep")
+    per_class = classes.select("f", F.struct("id0", "tkey").alias("own")).join(named, "f", "left").select("f", F.coalesce("rep", "own").alias("rep"))
+    out = rows.filter("size > 0").join(per_class, "f").select("id0", "tkey", "size", "rep").union(
+        rows.filter("size = 0").select("id0", "tkey", "size", F.struct("id0", "tkey").alias("rep")))
     null = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return out.select(null("id0").alias(id_col), F.col("size").alias("n_shingles"), null("component").alias("component_id"))
+    return out.select(null("id0").alias(id_col), F.col("size").alias("n_shingles"), null("rep.id0").alias("component_id"),
+                      F.col("tkey").alias("text_key"), (F.struct("id0", "tkey") == F.col("rep")).alias("is_first"))

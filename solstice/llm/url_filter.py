@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from solstice.llm.graph import stored
 
-#: Least share of labelled urls that hold a rule's tokens and a bad label; least share of bad ones among those with its tokens.
-MIN_SUPPORT, MIN_CONFIDENCE = 0.0005, 0.5
+#: Least share, and number, of labelled urls that hold a rule's tokens and a bad label; least share of bad ones among those with its tokens.
+MIN_SUPPORT, MIN_URLS, MIN_CONFIDENCE = 0.002, 20, 0.6
 BAD = "label=bad"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -74,7 +74,7 @@ def tokens_of(url: Column) -> Column:
 
 
 def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad",
-         support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE) -> DataFrame:
+         support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE, urls: int = MIN_URLS) -> DataFrame:
     """rule (number), tokens, support, confidence of the mined rules; ``bad_col`` is a boolean."""
     spark = labelled.sparkSession
     schema = "rule long, tokens array<string>, support double, confidence double"
@@ -84,7 +84,8 @@ def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad",
     items = stored(items.filter(F.size("items") > 0), "urls")
     if items.filter(F.array_contains("items", BAD)).isEmpty():
         return spark.createDataFrame([], schema)
-    found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items).associationRules
+    least = min(1.0, max(support, urls / items.count()))  # a few bad urls prove nothing
+    found = FPGrowth(itemsCol="items", minSupport=least, minConfidence=confidence).fit(items).associationRules
     rules = found.filter(F.col("consequent")[0] == BAD).select(F.array_sort("antecedent").alias("tokens"), "support", "confidence")
     rules = stored(rules.withColumn("rule", F.xxhash64("tokens")).select("rule", "tokens", "support", "confidence"), "rules")
     # A rule goes when another one on a proper part of its tokens is as sure.

@@ -93,5 +93,5 @@ def test_table_equals_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     want = brute(rows, 3, 90)
-    assert sorted(tuple(r) for r in jaccard_components(docs).collect()) == want
+    assert sorted(tuple(r)[:3] for r in jaccard_components(docs).collect()) == want
     assert sum(c != d for d, _, c in want) > 10
