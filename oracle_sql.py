@@ -663,7 +663,7 @@ SELECT point_id, station_id, {R('d', 2)} AS distance_km, CAST(rk AS INTEGER) AS
          row_number() OVER (PARTITION BY p.point_id ORDER BY {R(dist, 6)}, s.station_id) AS rk
   FROM (SELECT c_custkey AS point_id, 25.0 + (c_custkey % 250) / 10.0 AS lat, -120.0 + (c_custkey % 500) / 10.0 AS lon
         FROM customer) p
-  JOIN st s ON s.lat BETWEEN p.lat - {dlat} AND p.lat + {dlat}
+  JOIN st s ON s.is_active AND s.lat BETWEEN p.lat - {dlat} AND p.lat + {dlat}
    AND s.lon BETWEEN p.lon - {radius} / (111.0 * greatest(cos(radians(p.lat)), 0.01))
                  AND p.lon + {radius} / (111.0 * greatest(cos(radians(p.lat)), 0.01)))
 WHERE rk <= {k}"""
@@ -674,17 +674,17 @@ Q["j8_nearby_stations"] = _nearby()
 PERIOD = """, per AS (SELECT station_id, MAX(obs_date) - 29 AS start_date, MAX(obs_date) AS end_date FROM obs GROUP BY 1),
 pcal AS (SELECT p.station_id, p.start_date, month(d) AS m, day(d) AS dd, CAST(d - p.start_date AS INTEGER) AS day_offset
          FROM per p, LATERAL (SELECT CAST(generate_series AS DATE) AS d FROM generate_series(p.start_date, p.end_date, INTERVAL 1 DAY)) g),
-hist AS (SELECT o.station_id, o.obs_date, o.tavg_c AS "avg", c.day_offset FROM obs o
+hist AS (SELECT o.station_id, o.obs_date, o.tavg_c AS "avg", c.start_date, c.day_offset FROM obs o
          JOIN pcal c ON c.station_id = o.station_id AND c.m = month(o.obs_date) AND c.dd = day(o.obs_date)
          WHERE year(o.obs_date) <> year(c.start_date)),
 cur AS (SELECT o.station_id, p.start_date, p.end_date, AVG(o.tavg_c) AS current_avg FROM obs o JOIN per p USING (station_id)
         WHERE o.obs_date BETWEEN p.start_date AND p.end_date GROUP BY 1, 2, 3)"""
 
 Q["j10_period_bands"] = with_(OBS) + PERIOD + f"""
-SELECT station_id, day_offset, {R('quantile_cont("avg", 0.10)', 4)} AS p10, {R('quantile_cont("avg", 0.25)', 4)} AS p25,
+SELECT station_id, start_date, day_offset, {R('quantile_cont("avg", 0.10)', 4)} AS p10, {R('quantile_cont("avg", 0.25)', 4)} AS p25,
        {R('quantile_cont("avg", 0.50)', 4)} AS p50, {R('quantile_cont("avg", 0.75)', 4)} AS p75,
        {R('quantile_cont("avg", 0.90)', 4)} AS p90, COUNT("avg") AS n_years
-FROM hist GROUP BY 1, 2"""
+FROM hist GROUP BY 1, 2, 3"""
 
 Q["j10_period_verdict"] = with_(OBS) + PERIOD + f""",
 yr AS (SELECT station_id, CAST(year(obs_date) AS INTEGER) AS year, AVG("avg") AS ym FROM hist GROUP BY 1, 2),
@@ -783,7 +783,7 @@ GROUP BY station_id, o.label, o.position, o.since_year"""
 
 Q["c14_registry_lookup"] = with_(STATIONS) + """
 SELECT r.station_id, st.wban, CASE WHEN st.wban IS NULL THEN 'error' ELSE 'ok' END AS status,
-       CASE WHEN st.wban IS NOT NULL THEN 'USW000' || st.wban END AS ghcn_station_id,
+       CASE WHEN st.wban IS NOT NULL THEN 'USW000' || right(st.wban, 5) END AS ghcn_station_id,
        CASE WHEN st.wban IS NULL THEN 'Station ' || r.station_id || ' not found in registry' END AS detail
 FROM (SELECT n_name AS station_id FROM customer JOIN nation ON c_nationkey = n_nationkey
       UNION SELECT o_orderpriority FROM orders) r LEFT JOIN st USING (station_id)"""

@@ -106,11 +106,11 @@ def baseline_choices(coverage: DataFrame, current_year: int, key: str = "station
 def registry_lookup(requests: DataFrame, stations: DataFrame, key: str = "station_id") -> DataFrame:
     """C14 + H16: station -> wban through the registry (left join); an unknown
     station gives an error row instead of failing the job.  The GHCN id is
-    ``"USW000" + wban`` (plain concatenation, as the method composes it)."""
+    ``"USW000"`` and the last five characters of the wban."""
     st = stations.select(key, "wban")
     j = requests.select(key).distinct().join(st, key, "left")
     found = F.col("wban").isNotNull()
     return j.select(
         key, "wban", F.when(found, F.lit("ok")).otherwise(F.lit("error")).alias("status"),
-        F.when(found, F.concat(F.lit(STATION_ID_PREFIX), F.col("wban"))).alias("ghcn_station_id"),
+        F.when(found, F.concat(F.lit(STATION_ID_PREFIX), F.right(F.col("wban"), F.lit(5)))).alias("ghcn_station_id"),
         F.when(~found, F.concat(F.lit("Station "), F.col(key), F.lit(" not found in registry"))).alias("detail"))

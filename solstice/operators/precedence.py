@@ -69,10 +69,11 @@ def calendar(bounds: DataFrame, key: str = "station_id", start: str = "start_dat
 
 
 def calendar_gaps(daily: DataFrame, start, end, cutoff=None, key: str = "station_id",
-                  date: str = "obs_date") -> DataFrame:
+                  date: str = "obs_date", stations: DataFrame | None = None) -> DataFrame:
     """Expected dates in [start, end] minus observed ones, plus every
-    date after ``cutoff`` (set union)."""
-    keys = daily.select(key).distinct()
+    date after ``cutoff`` (set union).  ``stations`` names all keys; a key
+    without any row misses every date."""
+    keys = (daily if stations is None else stations).select(key).distinct()
     b = keys.select(key, F.lit(start).cast("date").alias("start_date"), F.lit(end).cast("date").alias("end_date"))
     cal = calendar(b, key, date=date)
     missing = cal.join(daily.select(key, date), [key, date], "left_anti")

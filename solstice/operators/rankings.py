@@ -13,21 +13,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from solstice.functions.dates import circular_doy_distance
 from solstice.functions.numeric import c_to_f, sround
 from solstice.operators.rolling import rolling, since_filter
-from solstice.schemas import DOY_HALFWIDTH
+from solstice.schemas import DOY_HALFWIDTH, DOY_SLOTS
 
 
 def _band_candidates(long: DataFrame, targets: DataFrame, window_days: int, since_year, halfwidth: int,
                      key: str = "station_id") -> DataFrame:
     s = since_filter(long.where(F.col("value").isNotNull()), since_year)
     r = rolling(s, [window_days], "rows_nonnull", keys=(key, "metric_id"))
-    t = targets.select(key, F.col("end_date").alias("target_date"))
-    j = r.join(t, key)
-    return j.withColumn("year", F.year("obs_date")).withColumn(
-        "doy_diff", circular_doy_distance(F.dayofyear("obs_date"), F.dayofyear("target_date"))).where(
-        F.col("doy_diff") <= halfwidth)
+    # Each target fans out to the days of its band, so days join by (key, day of year), not by key alone.
+    t = targets.select(key, F.col("end_date").alias("target_date"), F.explode(F.sequence(F.lit(-halfwidth), F.lit(halfwidth))).alias("_k"))
+    t = t.withColumn("_doy", F.pmod(F.dayofyear("target_date") - 1 + F.col("_k"), F.lit(DOY_SLOTS)) + 1)
+    j = r.withColumn("_doy", F.dayofyear("obs_date")).join(t, [key, "_doy"])
+    return j.withColumn("year", F.year("obs_date")).withColumn("doy_diff", F.abs("_k")).drop("_doy", "_k")
 
 
 def _rank_years(per_year: DataFrame, ascending: Column, key: str = "station_id") -> DataFrame:

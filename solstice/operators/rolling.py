@@ -66,6 +66,11 @@ def rolling_value(value: str, keys: Sequence[str], date: str, w: int, frame: str
 _EXACT = "decimal(38,18)"
 
 
+def _number(value: str) -> Column:
+    """The value, or null for NaN: a day without a number is a missing day."""
+    return F.when(~F.isnan(value), F.col(value))
+
+
 def prefix_stage(df: DataFrame, value: str, keys: Sequence[str], date: str, tag: str = "") -> DataFrame:
     """Add running exact sum / count / row number of ``value`` per series.
 
@@ -105,6 +110,7 @@ def rolling(df: DataFrame, windows: Sequence[int], frame: str = "rows_nonnull",
     the series key (see ``operators.partitioning``), so jobs downstream that
     group by (keys, window_days, ...) need no further shuffle.
     """
+    df = df.withColumn(value, _number(value))
     src = df.where(F.col(value).isNotNull()) if frame == "rows_nonnull" else df
     src = cluster_by_series(src, keys, partitions)
     if frame == "calendar":
@@ -180,7 +186,7 @@ def recent_windows(daily: DataFrame, windows: Sequence[int], lookback_days: int
     wmax = max(windows)
     last = F.max(date).over(Window.partitionBy(key))
     daily = cluster_by_series(daily, [key])
-    src = daily.select(key, date, "tavg_c", "tmin_c", "tmax_c", "prcp_mm", last.alias("_last")).where(
+    src = daily.select(key, date, *[_number(m).alias(m) for m in ("tavg_c", "tmin_c", "tmax_c", "prcp_mm")], last.alias("_last")).where(
         F.col(date) >= F.date_sub("_last", lookback_days + wmax))
     ks = [key]
     for m in ("tavg_c", "tmin_c", "tmax_c", "prcp_mm"):

@@ -1,6 +1,7 @@
 """Period-vs-history comparison (J10: C12, D13, D14, E9, H13).
 
-Each station's period (<= 90 days) is aligned to every other year by
+Each period of a station (<= 90 days; any number of them, told apart by their
+start) is aligned to every other year by
 (month, day) with an equi-join against the period's calendar; Feb 29 only
 matches when the period contains it, and a period crossing New Year groups
 history by calendar year (Q13, kept).
@@ -33,16 +34,16 @@ def _aligned(series: DataFrame, periods: DataFrame, value: str):
 def period_bands(series: DataFrame, periods: DataFrame, value: str = "tavg_c") -> DataFrame:
     """p10..p90 of the other years' values at each day offset of the period."""
     hist, _ = _aligned(series, periods, value)
-    q = exact_quantiles(hist, ["station_id", "day_offset"], "avg", BAND_Q, BAND_N, count_name="n_years")
-    return q.select("station_id", "day_offset", *[sround(F.col(n), 4).alias(n) for n in BAND_N], "n_years")
+    q = exact_quantiles(hist, ["station_id", "start_date", "day_offset"], "avg", BAND_Q, BAND_N, count_name="n_years")
+    return q.select("station_id", "start_date", "day_offset", *[sround(F.col(n), 4).alias(n) for n in BAND_N], "n_years")
 
 
 def period_verdicts(series: DataFrame, periods: DataFrame, value: str = "tavg_c") -> DataFrame:
     """D14 + E9 + H13: current mean vs yearly means of the aligned history."""
     hist, cur = _aligned(series, periods, value)
-    yearly = hist.groupBy("station_id", F.year("obs_date").alias("year")).agg(F.avg("avg").alias("ym"))
+    yearly = hist.groupBy("station_id", "start_date", F.year("obs_date").alias("year")).agg(F.avg("avg").alias("ym"))
     cur_avg = cur.groupBy("station_id", "start_date", "end_date").agg(F.avg("avg").alias("current_avg"))
-    j = yearly.join(cur_avg, "station_id")
+    j = yearly.join(cur_avg, ["station_id", "start_date"])
     agg = j.groupBy("station_id", "start_date", "end_date", "current_avg").agg(
         F.min("year").alias("earliest_year"),
         (F.sum((F.col("ym") < F.col("current_avg")).cast("int")) + 1).alias("rank_cold"),

@@ -3,17 +3,16 @@
 Library code never creates its own session; it takes the caller's.  Scratch
 data that must survive executor loss (lineage cuts, staging for upserts,
 streaming checkpoints) lives under the cluster's ``spark.checkpoint.dir``.
-Only when that setting is absent (local tests) do we fall back to a fresh
-temporary folder.
+Only when that setting is absent and the master is local (tests) do we fall
+back to a fresh temporary folder.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 DEFAULT_CONF = {
     "spark.ui.enabled": "false",
@@ -50,6 +49,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         spark.sparkContext.setCheckpointDir(conf_dir)
         return spark.sparkContext.getCheckpointDir() or conf_dir
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="solstice-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
@@ -62,14 +63,4 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (written to the shared folder, survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def local_path(p: str) -> str:
-    return p[len("file:"):] if p.startswith("file:") else p
-
-
-__all__ = ["build_session", "ensure_checkpoint_dir", "scratch_path", "cut_lineage", "local_path", "os"]
+__all__ = ["build_session", "ensure_checkpoint_dir", "scratch_path"]

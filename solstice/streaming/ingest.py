@@ -17,17 +17,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
 from solstice.operators.precedence import priority_of
 from solstice.session import scratch_path
 
 
 def _table_exists(spark: SparkSession, path: str) -> bool:
+    """False only where the path is missing or empty; any other read error is raised."""
     try:
         spark.read.parquet(path).schema  # noqa: B018
         return True
-    except Exception:  # noqa: BLE001 - AnalysisException for a missing path
-        return False
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
 
 
 def upsert_partitions(spark: SparkSession, batch: DataFrame, table: str, keys: Sequence[str],
