@@ -7,7 +7,8 @@ fingerprint of the set); only one set of each class is joined.
 * **Rare-first prefix filter.**  Shingles are ordered by (outside the counted
   share, document frequency, hash) and linked sets must share one of their
   first ``size - needed + 1`` shingles.  Any fixed order is right, so only a
-  hashed ``1/SHARE`` of the shingles is counted and put first; a set whose
+  hashed share of the shingles, ``SPARE`` times a prefix's share of a set, is
+  counted and put first; a set whose
   counted shingles don't fill its prefix has all its shingles counted.  Counts
   cover all documents.  A shingle of a single class can't join: it takes its
   place in the prefix and is dropped.
@@ -35,6 +36,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,8 +48,8 @@ from solstice.llm import words as W
 from solstice.llm.graph import components, stored
 
 NULL_ID = -(1 << 63)
-#: One of so many shingles is counted for the rare-first order.
-SHARE = 7
+#: The counted shingles are this many times what a prefix takes of a set.
+SPARE = 1.3
 #: 64-bit words of the suffix filter.
 LONGS = 8
 _PARTS = [f"p{k}" for k in range(LONGS)]
@@ -55,6 +57,8 @@ _PARTS = [f"p{k}" for k in range(LONGS)]
 HUBS = 3
 #: Shares into which the partners of one set are dealt for verification.
 SALTS = 16
+#: Bytes of text handled at once.
+PART = 1 << 20
 
 _U = np.uint64
 
@@ -80,7 +84,12 @@ def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[new], grams[new]
 
 
-def _signatures(rows: np.ndarray, grams: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _kept_of_64(percent: int) -> int:
+    """A shingle is counted when its last six bits are below this."""
+    return min(64, math.ceil(64 * SPARE * (100 - percent) / 100) or 1)
+
+
+def _signatures(rows: np.ndarray, grams: np.ndarray, n_rows: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(size, class fingerprint, counted shingles) of each row's set."""
     first = np.searchsorted(rows, np.arange(n_rows + 1))
     size = np.diff(first)
@@ -88,7 +97,7 @@ def _signatures(rows: np.ndarray, grams: np.ndarray, n_rows: int) -> tuple[np.nd
     total2 = np.concatenate(([_U(0)], np.cumsum(W.mix(grams ^ _U(0xE7037ED1A0B428DB)))))
     a, b = total[first[1:]] - total[first[:-1]], total2[first[1:]] - total2[first[:-1]]
     key = W.mix(W.mix(a) * _U(3) + W.mix(b) + size.astype(np.uint64))
-    counted = np.concatenate(([0], np.cumsum(grams % _U(SHARE) == 0)))
+    counted = np.concatenate(([0], np.cumsum(grams % _U(64) < _U(_kept_of_64(percent)))))
     return size, key, counted[first[1:]] - counted[first[:-1]]
 
 
@@ -97,11 +106,11 @@ def _needed(size: np.ndarray, percent: int) -> np.ndarray:
     return -(-size * percent // 100)
 
 
-def _class_rows(n: int):
+def _class_rows(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in W.slices(whole, "text"):
-                size, key, counted = _signatures(*shingle_sets(b.column("text"), n), b.num_rows)
+            for b in W.slices(whole, "text", PART):
+                size, key, counted = _signatures(*shingle_sets(b.column("text"), n), b.num_rows, percent)
                 yield pa.record_batch({"id0": b.column("id0"), "tkey": b.column("tkey"), "f": pa.array(key.view(np.int64)),
                                        "size": pa.array(size), "counted": pa.array(counted)})
     return run
@@ -111,13 +120,13 @@ def _counted_rows(n: int, percent: int):
     """(shingle, class) of the counted shingles; a slice gives each class once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in W.slices(whole, "text"):
+            for b in W.slices(whole, "text", PART):
                 rows, grams = shingle_sets(b.column("text"), n)
-                size, key, counted = _signatures(rows, grams, b.num_rows)
+                size, key, counted = _signatures(rows, grams, b.num_rows, percent)
                 once = np.zeros(b.num_rows, dtype=bool)
                 once[np.unique(key, return_index=True)[1]] = True
                 whole_set = counted < size - _needed(size, percent) + 1
-                take = once[rows] & (whole_set[rows] | (grams % _U(SHARE) == 0))
+                take = once[rows] & (whole_set[rows] | (grams % _U(64) < _U(_kept_of_64(percent))))
                 yield pa.record_batch({"h": pa.array(grams[take].view(np.int64)), "f": pa.array(key[rows[take]].view(np.int64))})
     return run
 
@@ -125,7 +134,7 @@ def _counted_rows(n: int, percent: int):
 def _set_rows(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in W.slices(whole, "text"):
+            for b in W.slices(whole, "text", PART):
                 rows, grams = shingle_sets(b.column("text"), n)
                 first = np.searchsorted(rows, np.arange(b.num_rows + 1))
                 part = rows * (64 * LONGS) + (grams >> _U(40)).astype(np.int64) % (64 * LONGS)
@@ -190,8 +199,7 @@ def _prefix_lists(base: DataFrame, classes: DataFrame, n: int, percent: int) ->
     counted = base.select("text").mapInArrow(_counted_rows(n, percent), "h long, f long")
     freq = (counted.groupBy("h").agg(F.min("f").alias("f0"), F.max("f").alias("f1"), F.count(F.lit(1)).alias("df"))
             .filter("f0 <> f1").select("h", "df"))
-    # The unsigned remainder of a signed long.
-    inside = F.pmod(F.pmod("h", F.lit(SHARE)) + F.when(F.col("h") < 0, (1 << 64) % SHARE).otherwise(0), F.lit(SHARE)) == 0
+    inside = F.col("h").bitwiseAND(63) < _kept_of_64(percent)
     shared = counted.join(freq, "h").groupBy("f").agg(
         F.sort_array(F.collect_set(F.struct((~inside).alias("out"), "df", "h"))).alias("hs"))
     sized = shared.join(classes.select("f", "size", "counted"), "f")
@@ -216,7 +224,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     base = docs.select(F.col(id_col).cast("long").alias("id0"), F.col(text_col).alias("text"))
     base = base.select(F.coalesce("id0", F.lit(NULL_ID)).alias("id0"), F.hash("text").alias("tkey"), "text")
-    rows = stored(base.mapInArrow(_class_rows(n), "id0 long, tkey int, f long, size long, counted long"), "classes")
+    rows = stored(base.mapInArrow(_class_rows(n, percent), "id0 long, tkey int, f long, size long, counted long"), "classes")
     classes = (rows.filter("size > 0").groupBy("f").agg(
         F.min(F.struct("id0", "tkey")).alias("rep"), F.first("size").alias("size"), F.first("counted").alias("counted"))
         .select("f", "rep.id0", "rep.tkey", "size", "counted"))
