@@ -113,7 +113,7 @@ def _class_rows(n: int, percent: int):
                 size, key, counted = _signatures(*shingle_sets(b.column("text"), n), b.num_rows, percent)
                 yield pa.record_batch({"id0": b.column("id0"), "tkey": b.column("tkey"), "f": pa.array(key.view(np.int64)),
                                        "size": pa.array(size), "counted": pa.array(counted)})
-    return run
+    return W.giving_back(run)
 
 
 def _counted_rows(n: int, percent: int):
@@ -128,7 +128,7 @@ def _counted_rows(n: int, percent: int):
                 whole_set = counted < size - _needed(size, percent) + 1
                 take = once[rows] & (whole_set[rows] | (grams % _U(64) < _U(_kept_of_64(percent))))
                 yield pa.record_batch({"h": pa.array(grams[take].view(np.int64)), "f": pa.array(key[rows[take]].view(np.int64))})
-    return run
+    return W.giving_back(run)
 
 
 def _set_rows(n: int):
@@ -145,7 +145,7 @@ def _set_rows(n: int):
                     **{c: pa.array(bits[:, k].copy()) for k, c in enumerate(_PARTS)},
                     "grams": pa.array([grams[s:e].tobytes() for s, e in zip(first[:-1], first[1:])], pa.binary()),
                 })
-    return run
+    return W.giving_back(run)
 
 
 def _verify(percent: int):
@@ -167,7 +167,7 @@ def _verify(percent: int):
                 yield pa.record_batch({"u": pa.array([x[0] for x in out], pa.int64()), "v": pa.array([x[1] for x in out], pa.int64())})
             if held is not None:
                 mine = mine.copy()  # let the batch go
-    return run
+    return W.giving_back(run)
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -145,7 +145,7 @@ def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_vectors(texts: DataFrame) -> np.ndarray:
     """Vectors from all texts: own index vector and context vector, each of unit length, and their squares."""
-    blocks = texts.mapInArrow(_context_blocks, "block int, sums binary").repartition("block").mapInArrow(_add_blocks, "block int, sums binary")
+    blocks = texts.mapInArrow(W.giving_back(_context_blocks), "block int, sums binary").repartition("block").mapInArrow(_add_blocks, "block int, sums binary")
     total = np.zeros((BUCKETS, DIM), dtype=np.float64)
     for r in blocks.collect():  # BUCKETS x DIM numbers in all
         total[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.sums, dtype=np.int64).reshape(BLOCK, DIM)
@@ -270,7 +270,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, Network], id_col: str = "doc
                 yield pa.record_batch({"id": b.column("id"), "score": pa.array(net.score(pooled(b.column("text"), vectors)), pa.float64())})
 
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return base.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
+    return base.mapInArrow(W.giving_back(run), "id long, score double").withColumnRenamed("id", id_col)
 
 
 def score_rows(docs: DataFrame, model: tuple[np.ndarray, Network], text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -286,4 +286,4 @@ def score_rows(docs: DataFrame, model: tuple[np.ndarray, Network], text_col: str
                 s = pa.array(net.score(pooled(b.column(text_col), vectors)), pa.float64())
                 yield pa.record_batch([*[b.column(c) for c in names], s], names=[*names, score_col])
 
-    return docs.select(*names).mapInArrow(run, T.StructType([*fields, T.StructField(score_col, T.DoubleType())]))
+    return docs.select(*names).mapInArrow(W.giving_back(run), T.StructType([*fields, T.StructField(score_col, T.DoubleType())]))

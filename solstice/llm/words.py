@@ -11,7 +11,8 @@ the end.  Two equal word sequences always have equal fingerprints.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -180,3 +181,18 @@ def joined(w: Words, keep: np.ndarray, row: int) -> bytes:
     hi = np.concatenate((ends[:-1][cut], [ends[-1]]))
     raw = w.data
     return b" ".join(raw[s:e].tobytes() for s, e in zip(lo.tolist(), hi.tolist()))
+
+
+def giving_back(run: Callable) -> Callable:
+    """A mapInArrow function that, when its input ends, returns freed memory to the system.
+
+    Spark keeps Python workers for later tasks; without this they would hold
+    their peak while the next stages need the executor's memory.
+    """
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+    return wrapped
