@@ -203,8 +203,10 @@ def _prefix_lists(base: DataFrame, classes: DataFrame, n: int, percent: int) ->
     shared = counted.join(freq, "h").groupBy("f").agg(
         F.sort_array(F.collect_set(F.struct((~inside).alias("out"), "df", "h"))).alias("hs"))
     sized = shared.join(classes.select("f", "size", "counted"), "f")
-    n_in = F.size(F.filter("hs", lambda x: ~x["out"]))
-    ranked = sized.select("f", "size", "counted", n_in.alias("n_in"), F.posexplode("hs").alias("i", "x"), F.size("hs").alias("n_hs"))
+    # Counted once a class, before the explode: an expression over the array beside it would run for every element.
+    first_out = F.array_position(F.col("hs.out"), True)
+    sized = sized.withColumn("n_hs", F.size("hs")).withColumn("n_in", F.when(first_out == 0, F.col("n_hs")).otherwise(first_out - 1))
+    ranked = sized.select("f", "size", "counted", "n_hs", "n_in", F.posexplode("hs").alias("i", "x"))
     all_counted = F.when(F.expr(f"counted < size - (size * {percent} + 99) div 100 + 1"), F.col("size")).otherwise(F.col("counted"))
     alone = (1000 - F.floor(F.col("n_hs") * 1000 / all_counted)).cast("int")
     # Shingles of one class come first within their share: they only shift the others.
