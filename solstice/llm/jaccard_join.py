@@ -214,6 +214,7 @@ def _prefix_lists(base: DataFrame, classes: DataFrame, n: int, percent: int) ->
         F.col("size") - F.col("n_hs") + F.col("i"))
     need = F.expr(f"(size * {percent} + 99) div 100")
     prefix = ranked.select("f", "size", F.col("x.h").alias("h"), pos.alias("pos"), alone.alias("alone")).filter(F.col("pos") < F.col("size") - need + 1)
+    prefix = stored(prefix, "prefix")  # read twice
     live = prefix.groupBy("h").agg(F.min("f").alias("f0"), F.max("f").alias("f1")).filter("f0 <> f1").select("h")
     return prefix.join(live, "h", "left_semi")
 
