@@ -7,22 +7,47 @@ request per station.
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from solstice.schemas import RAW_GSOD, RAW_OPEN_METEO, RAW_STATION_CSV, REGISTRY_JSON
 
 
+def read_csv_by_name(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Header CSV files whose columns may differ in order and number, read by name.
+
+    The first line of every file is found in one job; files with the same
+    header are one scan (pruned by file path), and the scans are united.  The
+    driver holds a path per file, like any file listing.  Columns of ``schema``
+    that a file lacks are null, others are left out.
+    """
+    lines = spark.read.text(path).where("_metadata.file_block_start = 0").select(
+        F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("at"))
+    heads = lines.groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    files = heads.groupBy("header").agg(F.collect_list("file").alias("files")).collect()
+    out = spark.createDataFrame([], schema)
+    for r in files:
+        names = next(csv.reader([r["header"].lstrip("\ufeff")]))
+        text = T.StructType([T.StructField(n.strip(), T.StringType()) for n in names])
+        df = spark.read.schema(text).option("header", True).csv(path)
+        part = df.where(F.col("_metadata.file_path").isin(r["files"]))
+        out = out.unionByName(part.select(*[
+            (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields]))
+    return out
+
+
 def read_station_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A1/A5: station-daily CSV files (header, text columns); absent optional
-    columns read as null through the explicit schema, malformed lines as nulls."""
-    return spark.read.schema(RAW_STATION_CSV).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    """A1/A5: station-daily CSV files (header, text columns), by column name."""
+    return read_csv_by_name(spark, path, RAW_STATION_CSV)
 
 
 def read_gsod(spark: SparkSession, path: str, start_year: int | None = None, end_year: int | None = None) -> DataFrame:
     """A2/G1: year-partitioned GSOD table (``.../year=YYYY/``); the year bounds
     prune partitions instead of a UNION over year tables."""
-    df = spark.read.schema(RAW_GSOD).option("header", True).csv(path)
+    df = read_csv_by_name(spark, path, RAW_GSOD)
     if start_year is not None:
         df = df.where(F.col("year").cast("int") >= start_year)
     if end_year is not None:

@@ -4,6 +4,7 @@ import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from solstice.operators.precedence import calendar_gaps
 from solstice.operators.rolling import rolling
@@ -58,3 +59,11 @@ def test_only_a_missing_table_is_absent(spark, tmp_path):
     (tmp_path / "bad" / "part-0.parquet").write_bytes(b"not parquet at all")
     with pytest.raises(Exception):
         _table_exists(spark, f"{tmp_path}/bad")
+
+
+def test_station_files_are_read_by_column_name(spark, tmp_path):
+    from solstice.sources.files import read_csv_by_name
+    (tmp_path / "a.csv").write_text('"STATION","DATE","PRCP","TMAX","TMIN"\n"s1","2024-01-01","25","50","-10"\n')
+    (tmp_path / "b.csv").write_text('DATE,STATION,TMIN,OTHER\n2024-01-02,s2,7,x\n')
+    got = read_csv_by_name(spark, str(tmp_path), StructType([StructField(c, StringType()) for c in ("STATION", "DATE", "TMIN", "TMAX", "PRCP")]))
+    assert {tuple(r) for r in got.collect()} == {("s1", "2024-01-01", "-10", "50", "25"), ("s2", "2024-01-02", "7", None, None)}
