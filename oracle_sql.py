@@ -313,8 +313,9 @@ WHERE s.source = 'open_meteo' AND s.obs_date > l.last_auth AND s.obs_date < DATE
                   AND a.station_id = s.station_id AND a.obs_date = s.obs_date)"""
 
 _CAL = """cal AS (SELECT k.station_id, CAST(d.generate_series AS DATE) AS obs_date
-          FROM (SELECT DISTINCT station_id FROM src WHERE source = 'ghcn_daily') k,
-               generate_series(DATE '1998-01-01', DATE '2001-11-04', INTERVAL 1 DAY) d)"""
+          FROM (SELECT n_name AS station_id FROM nation) k, (SELECT unnest(generate_series(
+                 (SELECT MIN(CAST(l_shipdate AS DATE)) FROM lineitem), (SELECT MAX(CAST(l_shipdate AS DATE)) FROM lineitem),
+                 INTERVAL 1 DAY)) AS generate_series) d)"""
 
 Q["c3_calendar_gaps"] = with_(SOURCED, _CAL) + """
 SELECT station_id, obs_date FROM cal
@@ -510,14 +511,15 @@ Q["j9_consolidation"] = with_(
               FROM nv WHERE "date" IS NOT NULL AND "date" <= DATE '2001-06-30')""",
     """cal AS (SELECT k.station_id, CAST(d.generate_series AS DATE) AS "date"
               FROM (SELECT DISTINCT station_id FROM rg UNION SELECT DISTINCT STATION FROM raw) k,
-                   generate_series(DATE '1998-01-01', DATE '2001-11-04', INTERVAL 1 DAY) d)""",
+                   (SELECT unnest(generate_series((SELECT MIN(CAST(l_shipdate AS DATE)) FROM lineitem),
+                     (SELECT MAX(CAST(l_shipdate AS DATE)) FROM lineitem), INTERVAL 1 DAY)) AS generate_series) d)""",
     """miss AS (SELECT station_id, "date" FROM cal EXCEPT SELECT station_id, "date" FROM prim
               UNION SELECT station_id, "date" FROM cal WHERE "date" > DATE '2001-06-30')""",
     """fb AS (SELECT station_id, "date", min_temp_f AS "min", max_temp_f AS "max", temp_f AS "avg", 'GHCN Daily' AS source
             FROM fh WHERE (station_id, "date") IN (SELECT station_id, "date" FROM miss))""") + f"""
 SELECT station_id, "date", {R('"min"', 4)} AS "min", {R('"max"', 4)} AS "max", {R('"avg"', 4)} AS "avg", source
 FROM (SELECT * FROM prim UNION ALL SELECT * FROM fb)
-WHERE "date" BETWEEN DATE '1998-01-01' AND DATE '2001-11-04'
+WHERE "date" BETWEEN (SELECT MIN(CAST(l_shipdate AS DATE)) FROM lineitem) AND (SELECT MAX(CAST(l_shipdate AS DATE)) FROM lineitem)
 QUALIFY row_number() OVER (PARTITION BY station_id, "date"
                            ORDER BY source, "max" NULLS FIRST, "min" NULLS FIRST, "avg" NULLS FIRST) = 1"""
 
@@ -546,8 +548,18 @@ def _records_core(metrics, windows, src="obs", frame="rows_nonnull", value_expr=
   WHERE rn = 1)""")
 
 
-def _j2_for(windows):
-    clim = clim_sql(rolled_sql(long_of("obs", ["tavg_c"]), windows, "rows_nonnull"))
+def _j2_for(windows, since=None):
+    where = f" WHERE obs_date >= DATE '{since}-01-01'" if since else ""
+    clim = clim_sql(rolled_sql(long_of("obs", ["tavg_c"]) + where, windows, "rows_nonnull"))
+    if since:
+        cov = f"""cov AS (SELECT station_id, COUNT(DISTINCT CASE WHEN year(obs_date) >= {since} THEN year(obs_date) END) AS cy,
+                   COALESCE(MIN(CASE WHEN year(obs_date) >= {since} THEN year(obs_date) END), {since}) AS fy FROM obs GROUP BY 1)"""
+        first, sev, line = "cov.fy", _severity_sql('pct', cov_ratio='coverage_ratio'), (str(since), AS_OF[:4])
+    else:
+        cov = """cov AS (SELECT station_id, CAST(date_diff('year', MIN(obs_date), MAX(obs_date)) + 1 AS INTEGER) AS cy,
+                   year(MIN(obs_date)) AS fy FROM obs GROUP BY 1)"""
+        first, line = "COALESCE(c.first_year, cov.fy, 2000)", (None, None)
+        sev = _severity_sql('pct', cov_ratio='coverage_ratio', cov_years='cyears')
     parts = []
     for w in windows:
         spec = (f"(PARTITION BY station_id ORDER BY obs_date RANGE BETWEEN INTERVAL {w - 1} DAYS PRECEDING AND CURRENT ROW)")
@@ -557,13 +569,12 @@ def _j2_for(windows):
     recs = _records_core(["tavg_c"], windows)
     body = with_(
         OBS, f"cw AS (SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE n_valid > 0)", f"clim AS ({clim})", *recs,
-        """cov AS (SELECT station_id, CAST(date_diff('year', MIN(obs_date), MAX(obs_date)) + 1 AS INTEGER) AS cy,
-                   year(MIN(obs_date)) AS fy FROM obs GROUP BY 1)""",
+        cov,
         f"""hl AS (SELECT station_id, metric_id, window_days,
                   MAX(CASE WHEN record_type = 'highest' THEN {R('value', 4)} END) AS hi,
                   MAX(CASE WHEN record_type = 'lowest' THEN {R('value', 4)} END) AS lo FROM recs GROUP BY 1, 2, 3)""",
         f"""j AS (SELECT cw.*, c.p02, c.p10, c.p25, c.p50, c.p75, c.p90, c.p98, c.n_samples, c.first_year AS qfy,
-                  COALESCE(cov.cy, 0) AS cyears, COALESCE(c.first_year, cov.fy, 2000) AS first_y,
+                  COALESCE(cov.cy, 0) AS cyears, {first} AS first_y,
                   CASE WHEN hl.hi IS NOT NULL AND cw.value >= hl.hi THEN 'highest'
                        WHEN hl.lo IS NOT NULL AND cw.value <= hl.lo THEN 'lowest' END AS record_type,
                   {_pct_sql('cw.value', 'c.')} AS pct
@@ -571,12 +582,11 @@ def _j2_for(windows):
                    AND c.end_doy = dayofyear(cw.end_date)
            LEFT JOIN cov ON cov.station_id = cw.station_id
            LEFT JOIN hl ON hl.station_id = cw.station_id AND hl.window_days = cw.window_days)""",
-        f"""k AS (SELECT *, {_severity_sql('pct', cov_ratio='coverage_ratio', cov_years='cyears')} AS severity,
-                    {_direction_sql('pct', 'metric_id')} AS direction FROM j)""")
+        f"""k AS (SELECT *, {sev} AS severity, {_direction_sql('pct', 'metric_id')} AS direction FROM j)""")
     return body + f"""
 SELECT station_id, end_date, window_days, metric_id AS metric,
        {_primary_sql('window_days', 'severity', 'direction', 'record_type')} AS primary_statement,
-       {_supporting_sql('window_days', 'pct', 'direction', 'cyears', 'first_y', None, None)} AS supporting_line,
+       {_supporting_sql('window_days', 'pct', 'direction', 'cyears', 'first_y', *line)} AS supporting_line,
        {R('value', 2)} AS value, severity, {R('pct', 1)} AS percentile, p25, p75, CAST(cyears AS INTEGER) AS coverage_years,
        CAST(first_y AS INTEGER) AS first_year, coverage_ratio, n_samples, record_type
 FROM k"""
@@ -587,10 +597,12 @@ def _j2():
 
 
 Q["j2_window_insight"] = _j2()
+Q["j2_window_insight_since"] = _j2_for(J2_WINDOWS, 1997)
 
 
-def _j4():
-    clim = clim_sql(rolled_sql(long_of("obs", ["tavg_c"]), [7], "rows_nonnull"))
+def _j4(since=None):
+    src = long_of("obs_nulls", ["tavg_c"]) + f" WHERE obs_date >= DATE '{since}-01-01'" if since else long_of("obs", ["tavg_c"])
+    clim = clim_sql(rolled_sql(src, [7], "rows_nonnull"))
     ser = rolled_sql(long_of("obs_nulls", ["tavg_c"]), [7], "rows_nullable")
     return with_(OBS, OBS_NULLS, f"clim AS ({clim})", f"ser AS ({ser})") + f"""
 SELECT s.station_id, s.obs_date AS "date", s.window_days, {R('s.value', 2)} AS value, {R(_pct_sql('s.value', 'c.'), 1)} AS percentile,
@@ -600,6 +612,7 @@ FROM ser s LEFT JOIN clim c ON c.station_id = s.station_id AND c.window_days = s
 
 
 Q["j4_series_bands"] = _j4()
+Q["j4_series_bands_since"] = _j4(1997)
 
 Q["j7_records_report"] = with_(OBS, *_records_core(["tavg_c", "tmax_c", "tmin_c"], WINDOW_DAYS)) + f"""
 SELECT station_id, metric_id, window_days, record_type, {R('value', 2)} AS value, start_date, end_date, n_years_considered

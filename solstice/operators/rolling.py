@@ -182,12 +182,14 @@ def recent_windows(daily: DataFrame, windows: Sequence[int], lookback_days: int
 
     History is cut at ``last - lookback - max(windows)`` days before rolling,
     as the method does (a rows frame does not let Catalyst push that filter).
+    The last dates are a partial aggregate joined back, so only the cut
+    history is shuffled and sorted.
     """
     wmax = max(windows)
-    last = F.max(date).over(Window.partitionBy(key))
-    daily = cluster_by_series(daily, [key])
-    src = daily.select(key, date, *[_number(m).alias(m) for m in ("tavg_c", "tmin_c", "tmax_c", "prcp_mm")], last.alias("_last")).where(
+    last = daily.groupBy(key).agg(F.max(date).alias("_last"))
+    src = daily.select(key, date, *[_number(m).alias(m) for m in ("tavg_c", "tmin_c", "tmax_c", "prcp_mm")]).join(last, key).where(
         F.col(date) >= F.date_sub("_last", lookback_days + wmax))
+    src = cluster_by_series(src, [key])
     ks = [key]
     for m in ("tavg_c", "tmin_c", "tmax_c", "prcp_mm"):
         src = prefix_stage(src, m, ks, date, tag=m)

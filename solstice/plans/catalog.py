@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from solstice.functions.numeric import sround
 from solstice.operators.climatology import climatology
 from solstice.operators.records import all_time_extremes
-from solstice.operators.rolling import calendar_windows, recent_windows, rolling, to_long
+from solstice.operators.rolling import calendar_windows, recent_windows, rolling, since_filter, to_long
 from solstice.plans.insights import latest_insights
 from solstice.schemas import CLIMATOLOGY_WINDOWS, LATEST_WINDOWS, METRICS, RECORD_METRICS, WINDOW_DAYS
 from solstice.sources import tables as T
@@ -124,6 +124,10 @@ def q_coverage_summary(spark, sf):
 
 
 # --- precedence, gaps, upsert -------------------------------------------------
+#: Last day that the primary source is trusted for.
+PRIMARY_CUTOFF = "2001-06-30"
+
+
 @register("e11_keep_first")
 def q_keep_first(spark, sf):
     s = T.sourced_daily(spark, sf)
@@ -155,14 +159,15 @@ def q_provisional_fill(spark, sf):
 @register("c3_calendar_gaps")
 def q_calendar_gaps(spark, sf):
     s = T.sourced_daily(spark, sf).where(F.col("source") == "ghcn_daily")
-    return PR.calendar_gaps(s.select("station_id", "obs_date"), "1998-01-01", "2001-11-04", cutoff="2001-06-30")
+    return PR.calendar_gaps(s.select("station_id", "obs_date"), *T.date_bounds(spark, sf), cutoff=PRIMARY_CUTOFF,
+                            stations=T.stations(spark, sf))
 
 
 @register("c4_restrict_to_missing")
 def q_restrict(spark, sf):
     s = T.sourced_daily(spark, sf)
     ghcn = s.where(F.col("source") == "ghcn_daily").select("station_id", "obs_date")
-    missing = PR.calendar_gaps(ghcn, "1998-01-01", "2001-11-04")
+    missing = PR.calendar_gaps(ghcn, *T.date_bounds(spark, sf), stations=T.stations(spark, sf))
     return _r4(PR.restrict_to(s.where(F.col("source") == "gsod"), missing), "tavg_c", "prcp_mm")
 
 
@@ -262,8 +267,8 @@ def q_gsod_native(spark, sf):
 
 @register("j9_consolidation")
 def q_consolidation(spark, sf):
-    out = consolidate(T.raw_gsod_rows(spark, sf), T.raw_station_rows(spark, sf), "1998-01-01", "2001-11-04",
-                      "2001-06-30")
+    out = consolidate(T.raw_gsod_rows(spark, sf), T.raw_station_rows(spark, sf), *T.date_bounds(spark, sf),
+                      PRIMARY_CUTOFF)
     return _r4(out, "min", "max", "avg")
 
 
@@ -289,6 +294,26 @@ def q_window_insight(spark, sf):
     return window_insights(d, clim, recs, COV.station_coverage(d), J2_WINDOWS)
 
 
+@register("j2_window_insight_since")
+def q_window_insight_since(spark, sf):
+    """J2 against the years since 1997 (D7 climatology, D4 coverage)."""
+    d = T.daily_series(spark, sf)
+    long = to_long(since_filter(d, 1997), ["tavg_c"])
+    clim = climatology(rolling(long, J2_WINDOWS, "rows_nonnull"))
+    years = COV.baseline_years(d, (1997,), d.select("station_id"))
+    recs = all_time_extremes(to_long(d, ["tavg_c"]), J2_WINDOWS)
+    return window_insights(d, clim, recs, COV.station_coverage(d), J2_WINDOWS, since_year=1997, baseline=years,
+                           current_year=int(AS_OF[:4]))
+
+
+@register("j4_series_bands_since")
+def q_series_bands_since(spark, sf):
+    """J4 against the years since 1997 (D7 climatology)."""
+    d = T.daily_series_with_nulls(spark, sf)
+    long = to_long(since_filter(d, 1997), ["tavg_c"])
+    return window_series(d, climatology(rolling(long, (7,), "rows_nonnull")), 7)
+
+
 @register("j4_series_bands")
 def q_series_bands(spark, sf):
     clim = _stored_climatology(spark, sf, windows=(7,))

@@ -82,11 +82,15 @@ def latest_insights(series: DataFrame, as_of: str, metric: str = "tavg_c",
 
 def window_insights(series: DataFrame, climatology_table: DataFrame, records: DataFrame, coverage: DataFrame,
                     windows: Sequence[int], metric: str = "tavg_c", low_tail: str = "ratio",
-                    halfwidth: int = DOY_HALFWIDTH) -> DataFrame:
+                    halfwidth: int = DOY_HALFWIDTH, since_year: int | None = None,
+                    baseline: DataFrame | None = None, current_year: int | None = None) -> DataFrame:
     """J2 for every (station, existing date, window) at once, default baseline
     (stored climatology, station coverage years, both downgrades, record check).
 
     ``climatology_table``: D5 rows; ``records``: D10 rows; ``coverage``: D2 rows.
+    With ``since_year`` the climatology is that baseline's (D7), ``baseline`` its
+    D4 rows, which give coverage years and first year, and a short history
+    does not downgrade; the statement names ``since_year`` to ``current_year``.
     """
     from solstice.operators.rolling import calendar_windows
     long = series.select("station_id", "obs_date", F.lit(metric).alias("metric_id"), F.col(metric).alias("value"))
@@ -96,21 +100,30 @@ def window_insights(series: DataFrame, climatology_table: DataFrame, records: Da
     st = climatology_table.where(F.col("doy_window_halfwidth") == halfwidth).select(
         *keys, "end_doy", F.struct(*[F.col(n) for n in QUANTILE_NAMES], "n_samples", "first_year").alias("_q"))
     j = cw.withColumn("end_doy", F.dayofyear("end_date")).join(st, [*keys, "end_doy"], "left")
-    j = j.join(coverage.select("station_id", F.col("coverage_years").alias("_cy"),
-                               F.year("first_obs_date").alias("_fy")), "station_id", "left")
+    if since_year is None:
+        known = coverage.select("station_id", F.col("coverage_years").alias("_cy"), F.year("first_obs_date").alias("_fy"))
+    else:
+        known = baseline.where(F.col("since_year") == since_year).select(
+            "station_id", F.col("coverage_years").alias("_cy"), F.col("first_year").alias("_fy"))
+    j = j.join(known, "station_id", "left")
     j = record_check(j, records.select(*keys, "record_type", "value", "start_date", "end_date"), keys)
     pct = percentile_from_quantiles(F.col("value"), [f"_q.{n}" for n in QUANTILE_NAMES], low_tail=low_tail)
     cy = F.coalesce(F.col("_cy"), F.lit(0))
-    first_year = F.coalesce(F.col("_q.first_year"), F.col("_fy"), F.lit(2000))
+    if since_year is None:
+        first_year = F.coalesce(F.col("_q.first_year"), F.col("_fy"), F.lit(2000))
+    else:
+        first_year = F.coalesce(F.col("_fy"), F.lit(since_year))
     j = j.withColumn("_pct", pct).withColumn("_cyears", cy).withColumn("_first", first_year)
-    j = j.withColumn("severity", severity(F.col("_pct"), F.col("_cyears"), F.col("coverage_ratio"))).withColumn(
+    j = j.withColumn("severity", severity(F.col("_pct"), F.col("_cyears") if since_year is None else None,
+                                           F.col("coverage_ratio"))).withColumn(
         "direction", direction(F.col("_pct"), F.col("metric_id")))
     return j.select(
         "station_id", "end_date", "window_days", F.col("metric_id").alias("metric"),
         primary_statement(F.col("window_days"), F.col("severity"), F.col("direction"),
                           F.col("record_type")).alias("primary_statement"),
-        supporting_line(F.col("window_days"), F.col("_pct"), F.col("direction"), F.col("_cyears"),
-                        F.col("_first")).alias("supporting_line"),
+        supporting_line(F.col("window_days"), F.col("_pct"), F.col("direction"), F.col("_cyears"), F.col("_first"),
+                        None if since_year is None else F.lit(since_year),
+                        None if since_year is None else F.lit(current_year)).alias("supporting_line"),
         sround(F.col("value"), 2).alias("value"), "severity", sround(F.col("_pct"), 1).alias("percentile"),
         F.col("_q.p25").alias("p25"), F.col("_q.p75").alias("p75"),
         F.col("_cyears").cast("int").alias("coverage_years"), F.col("_first").cast("int").alias("first_year"),

@@ -62,6 +62,13 @@ def daily_series_with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
         "tavg_c", F.when(F.dayofmonth("obs_date") % 11 == 0, F.lit(None)).otherwise(F.col("tavg_c")))
 
 
+def date_bounds(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """First and last day of the observations (one aggregate row)."""
+    day = F.col("l_shipdate").cast("date")
+    lo, hi = read_table(spark, sf_dir, "lineitem").agg(F.min(day), F.max(day)).first()
+    return str(lo), str(hi)
+
+
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Station dimension from ``nation``: coordinates and an active flag."""
     n = read_table(spark, sf_dir, "nation")
