@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from solstice.operators.climatology import climatology
 from solstice.operators.coverage import update_station_coverage
-from solstice.operators.precedence import priority_of, resolve_precedence
+from solstice.operators.precedence import resolve_precedence
 from solstice.operators.records import all_time_extremes
 from solstice.operators.rolling import recent_windows, rolling, to_long
 from solstice.plans.insights import latest_insights
 from solstice.schemas import CLIMATOLOGY_WINDOWS, KEYS, METRICS, RECORD_METRICS, WINDOW_DAYS
-from solstice.streaming.ingest import upsert_partitions
+from solstice.streaming.ingest import precedence_order, upsert_partitions, with_month
 
 
 def run_summary(ingested: DataFrame, run_id: str, errors: DataFrame | None = None) -> DataFrame:
@@ -33,23 +33,24 @@ def run_summary(ingested: DataFrame, run_id: str, errors: DataFrame | None = Non
     return s.select("run_id", "station_id", "source", "rows", "errors")
 
 
-def backfill(spark: SparkSession, sourced: DataFrame, stations: DataFrame, out_dir: str, as_of: str) -> dict:
+def backfill(spark: SparkSession, sourced: DataFrame, stations: DataFrame, out_dir: str, as_of: str,
+             daily_partitions: tuple[str, ...] = ("station_id",)) -> dict:
     """Write the stored tables under ``out_dir``; returns {table: path}.
 
     ``sourced``: cleaned daily rows of every source (station_id, obs_date,
-    source, tmin_c, tmax_c, tavg_c, prcp_mm).
+    source, tmin_c, tmax_c, tavg_c, prcp_mm).  ``daily_partitions``: layout of
+    the daily table; ``("obs_month",)`` for one that a stream goes on feeding.
+    Delivered rows replace stored ones of the same or a worse source.
     """
     daily = resolve_precedence(sourced, ingested_at=None)
     paths = {t: f"{out_dir.rstrip('/')}/{t}" for t in ("daily", "station", "climatology", "records",
                                                         "window_recent", "latest_insight")}
-    seq = F.lit(0).cast("long")
 
-    def put(name: str, df: DataFrame, parts: tuple[str, ...], order=None):
+    def put(name: str, df: DataFrame, parts: tuple[str, ...], order=()):
         upsert_partitions(spark, df, paths[name], list(KEYS[name]) if name != "daily" else ["station_id", "obs_date"],
-                          list(parts), order or [seq])
+                          list(parts), order)
 
-    put("daily", daily.withColumn("ingest_seq", seq), ("station_id",),
-        [-priority_of(F.col("source")), F.col("ingest_seq")])
+    put("daily", with_month(daily) if "obs_month" in daily_partitions else daily, daily_partitions, precedence_order())
     stored = spark.read.parquet(paths["daily"])
     put("station", update_station_coverage(stations, stored), ("is_active",))
     long = to_long(stored, METRICS)

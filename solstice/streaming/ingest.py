@@ -3,12 +3,16 @@
 A file stream of landed daily rows is processed with ``foreachBatch``: the
 stored rows of the partitions a batch touches are read, unioned with the
 batch, reduced to one row per (station, day) by precedence (authoritative
-beats provisional, later delivery beats earlier within a source), written to
-a staging folder under the shared checkpoint directory, and only then
+beats provisional; within a source the delivery beats the stored row), written
+to a staging folder under the shared checkpoint directory, and only then
 swapped into the table with dynamic partition overwrite -- never reading and
-overwriting the same files in one plan.  Replaying a batch gives the same
-table (the delivery order is the micro-batch id, stable across restarts),
-so executor or driver loss is recovered by the checkpoint.
+overwriting the same files in one plan.  The winner doesn't depend on numbers
+of batches, so a stream on a new checkpoint, or a backfill, corrects what
+another run stored; replaying a batch gives the same table, so executor or
+driver loss is recovered by the checkpoint.
+
+The daily table of a stream is laid out by month (``obs_month``): a batch
+rewrites the months that it holds, not the history of every station.
 """
 
 from __future__ import annotations
@@ -35,37 +39,55 @@ def _table_exists(spark: SparkSession, path: str) -> bool:
 
 
 def upsert_partitions(spark: SparkSession, batch: DataFrame, table: str, keys: Sequence[str],
-                      partition_cols: Sequence[str], order_desc: Sequence[F.Column]) -> None:
-    """A7 on plain parquet: merge ``batch`` into the touched partitions of ``table``.
-
-    ``order_desc``: the winning row per key has the greatest value (struct order).
+                      partition_cols: Sequence[str], order_desc: Sequence[F.Column] = ()) -> int:
+    """A7 on plain parquet: merge ``batch`` into the touched partitions of ``table``; returns the batch's number of rows.
+
+    Per key the row with the greatest ``order_desc`` (struct order) wins; among
+    equals a delivered row beats a stored one, and of several delivered rows the
+    one with the greatest other columns stays.  The batch is computed once; the
+    stored side is cut to the batch's partitions by literal bounds, which prune
+    folders, then exactly by a semi join (null partitions included).
     """
     cols = batch.columns
-    if batch.isEmpty():
-        return
+    arrived = scratch_path(spark, "upsert-batch")
+    batch.write.parquet(arrived)
+    batch = spark.read.schema(batch.schema).parquet(arrived)
+    bounds = batch.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{t}_{i}") for i, c in enumerate(partition_cols)
+                                                       for t, f in (("lo", F.min), ("hi", F.max))]).first()
+    if not bounds["n"]:
+        return 0
+    both = batch.withColumn("_delivered", F.lit(1))
     if _table_exists(spark, table):
-        touched = batch.select(*partition_cols).distinct()
-        old = spark.read.parquet(table).join(touched, list(partition_cols), "left_semi").select(*cols)
-        both = old.unionByName(batch)
-    else:
-        both = batch
+        old = spark.read.parquet(table)
+        for i, c in enumerate(partition_cols):
+            old = old.where(F.col(c).isNull() | F.col(c).between(F.lit(bounds[f"lo_{i}"]), F.lit(bounds[f"hi_{i}"])))
+        touched = batch.select(*[F.col(c).alias(f"_t{i}") for i, c in enumerate(partition_cols)]).distinct()
+        same = [F.col(c).eqNullSafe(F.col(f"_t{i}")) for i, c in enumerate(partition_cols)]
+        old = old.join(touched, same, "left_semi").select(*cols)
+        both = old.withColumn("_delivered", F.lit(0)).unionByName(both)
     rest = [c for c in cols if c not in keys]
-    best = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order_desc)).alias("_b")).select(
+    best = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order_desc, "_delivered", *rest)).alias("_b")).select(
         *keys, *[F.col(f"_b.{c}").alias(c) for c in rest]).select(*cols)
     staging = scratch_path(spark, "upsert-staging")
-    best.write.mode("overwrite").partitionBy(*partition_cols).parquet(staging)
+    best.hint("rebalance", *partition_cols).write.mode("overwrite").partitionBy(*partition_cols).parquet(staging)
     (spark.read.schema(best.schema).parquet(staging).select(*cols).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(*partition_cols).parquet(table))
+    return bounds["n"]
 
 
 def precedence_order() -> list:
-    """Greatest wins: best source priority first, then the latest delivery."""
-    return [-priority_of(F.col("source")), F.col("ingest_seq")]
+    """Greatest wins: the best source priority."""
+    return [-priority_of(F.col("source"))]
+
+
+def with_month(df: DataFrame, date: str = "obs_date") -> DataFrame:
+    """``obs_month`` (yyyymm), the layout of a stream's daily table."""
+    return df.withColumn("obs_month", F.year(date) * 100 + F.month(date))
 
 
 def start_precedence_ingest(spark: SparkSession, landing: str, schema, table: str, checkpoint: str,
                             as_of: str | None = None, keys: Sequence[str] = ("station_id", "obs_date"),
-                            partition_cols: Sequence[str] = ("station_id",), max_files: int | None = None):
+                            partition_cols: Sequence[str] = ("obs_month",), max_files: int | None = None):
     """``availableNow`` file stream -> precedence upsert per micro-batch.
 
     ``as_of`` applies the partial-day guard (I3): rows dated on or after it
@@ -79,7 +101,7 @@ def start_precedence_ingest(spark: SparkSession, landing: str, schema, table: st
         stream = stream.where(F.col("obs_date") < F.lit(as_of).cast("date"))
 
     def each(batch: DataFrame, epoch_id: int) -> None:
-        b = batch.withColumn("ingest_seq", F.lit(epoch_id).cast("long"))
+        b = with_month(batch) if "obs_month" in partition_cols else batch
         upsert_partitions(batch.sparkSession, b, table, keys, partition_cols, precedence_order())
 
     return (stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)

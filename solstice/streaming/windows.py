@@ -34,8 +34,7 @@ def start_windowed_means(spark: SparkSession, landing: str, schema, n_days: int,
     agg = windowed_means(reader.parquet(landing), n_days, key=key, lateness=lateness)
 
     def each(batch: DataFrame, epoch_id: int) -> None:
-        b = batch.withColumn("_seq", F.lit(epoch_id).cast("long"))
-        upsert_partitions(batch.sparkSession, b, table, [key, "window_start"], [key], [F.col("_seq")])
+        upsert_partitions(batch.sparkSession, batch, table, [key, "window_start"], [key])
 
     return (agg.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

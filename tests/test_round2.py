@@ -53,6 +53,27 @@ def test_a_station_without_rows_misses_every_date(spark):
     assert {r.station_id: r.n for r in got} == {"a": 1, "b": 2}
 
 
+def test_the_last_delivery_wins_and_other_months_keep_their_files(spark, tmp_path):
+    from solstice.streaming.ingest import precedence_order, upsert_partitions, with_month
+    table = f"{tmp_path}/daily"
+
+    def deliver(*rows):
+        df = spark.createDataFrame([(s, dt.date(2024, m, 1), src, v) for s, m, src, v in rows],
+                                   "station_id string, obs_date date, source string, tavg_c double")
+        return upsert_partitions(spark, with_month(df), table, ["station_id", "obs_date"], ["obs_month"], precedence_order())
+
+    def stored():
+        return {(r.station_id, r.obs_date.month): (r.source, r.tavg_c) for r in spark.read.parquet(table).collect()}
+
+    assert deliver(("a", 1, "gsod", 1.0), ("b", 1, "open_meteo", 1.0), ("a", 2, "gsod", 5.0)) == 3
+    february = {p.name for p in (tmp_path / "daily" / "obs_month=202402").iterdir()}
+    assert deliver(("a", 1, "gsod", 2.0), ("b", 1, "gsod", 3.0)) == 2  # a correction, and a better source
+    assert deliver(("b", 1, "open_meteo", 9.0)) == 1  # a worse source never replaces
+    assert deliver() == 0
+    assert stored() == {("a", 1): ("gsod", 2.0), ("b", 1): ("gsod", 3.0), ("a", 2): ("gsod", 5.0)}
+    assert {p.name for p in (tmp_path / "daily" / "obs_month=202402").iterdir()} == february
+
+
 def test_only_a_missing_table_is_absent(spark, tmp_path):
     assert not _table_exists(spark, f"{tmp_path}/none")
     (tmp_path / "bad").mkdir()
