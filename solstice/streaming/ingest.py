@@ -1,4 +1,4 @@
-"""Incremental ingest with source precedence.
+"""Incremental ingest with source precedence (I2, I3, and the upsert of I1).
 
 A file stream of landed daily rows is processed with ``foreachBatch``: the
 stored rows of the partitions a batch touches are read, unioned with the
