@@ -7,25 +7,28 @@ into ``BUCKETS`` features; a feature's weight is its idf over **all documents**.
    counts are added in streams (``BUCKETS`` numbers whatever the input's size).
 2. *Latent space.*  The benchmark's passages are a sparse TF-IDF matrix X spread
    over tasks.  Its randomised SVD takes passes over X: ``X'X`` times a random
-   matrix (a row for each feature of the benchmark, ``RANK`` columns), made
-   orthonormal, once more (a power step), and a ``RANK x RANK`` Gram matrix whose
-   eigenvectors turn the basis into the right singular vectors.
-3. *Retrieval.*  Document passages are word windows at three scales, matched to
-   the items' lengths, with steps of a quarter.  A passage's weight sum against
-   the largest weight any item gives a feature bounds every cosine from above;
-   only passages whose bound reaches ``MIN_COSINE`` are folded into the latent
-   space and compared with all items (cosine over the passage's full norm).
+   matrix (a row for each feature of the benchmark, a column for each item), made
+   orthonormal, once more (a power step), and a Gram matrix whose eigenvectors
+   turn the basis into the right singular vectors.  Items are cut into blocks of
+   about ``ITEM_BLOCK`` with a space each, of as many dimensions as items, so
+   that a space holds its items whole.
+3. *Retrieval.*  Document passages are word windows at scales matched to the
+   items' lengths, with steps of a quarter; a window is at least a third longer
+   than its items, so some window holds each copy whole.  A passage is compared
+   by its share of the item: the product of both in the latent space over the
+   item's square, at least 1 for an exact copy whatever words stand around it.
+   The largest share any item gives a word bounds it from above; only passages
+   whose bound reaches ``MIN_SHARE`` are folded and compared with all items.
 4. *Checks.*  The longest common subsequence of the item's words and the words
    of the passage (widened by a step) must reach ``STRICT`` of the item, or
    ``LOOSE`` of it together with the item's answer: its last sentence, of which
    ``ANSWER`` must be a subsequence of the same words.
 
-Items are handled in blocks of ``ITEM_BLOCK``, one pass each, so what is
-broadcast has a fixed bound.  Documents are never shuffled.
+Each pass over the documents takes ``PASS_BLOCKS`` blocks of items, so what is
+broadcast has a bound.  Documents are never shuffled.
 
 Defined cases: null or blank texts and items without words match nothing; items
-with fewer than ``MIN_WORDS`` words are too short to prove a leak and are left
-out; repeated rows and items each give their own result; null ids are carried;
+with fewer than ``MIN_WORDS`` words are left out; repeated rows and items each give their own result; null ids are carried;
 other columns are ignored; an empty table or benchmark gives an empty result.
 """
 
@@ -44,10 +47,10 @@ from solstice.llm import words as W
 
 BUCKETS, RANK, SEED = 1 << 16, 256, 11
 BLOCK = 4096
-MIN_COSINE, STRICT, LOOSE, ANSWER, MIN_WORDS = 0.45, 0.75, 0.55, 0.8, 8
-ITEM_BLOCK = 4096
-#: (longest item in words, window): an item is sought at the first scale that holds it; the last holds the rest.
-SCALES = ((28, 32), (44, 48), (1 << 30, 64))
+MIN_SHARE, STRICT, LOOSE, ANSWER, MIN_WORDS = 0.45, 0.75, 0.55, 0.8, 8
+ITEM_BLOCK, PASS_BLOCKS = 256, 4
+#: Words of the smallest two windows; the others double them as far as the items' lengths go.
+WINDOWS = (32, 48)
 
 _OTHER = np.ones(256, dtype=bool)  # bytes between words
 _OTHER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -202,6 +205,14 @@ def _answer(text: str) -> str:
     return parts[-1] if parts else text
 
 
+def windows_for(longest: int) -> list[int]:
+    """Window sizes; an item is sought in the first of which it fills three quarters at most."""
+    out = list(WINDOWS)
+    while out[-1] - out[-1] // 4 < longest:
+        out.append(2 * out[-2])
+    return out
+
+
 class _Index:
     """Latent vectors, words and answers of one block of items, by scale."""
 
@@ -214,27 +225,31 @@ class _Index:
         self.words = [ids[a:z] for a, z in zip(first, first[1:])]
         self.answers = [a_ids[a:z] for a, z in zip(a_first, a_first[1:])]
         latent = _project(row, np.searchsorted(live, col), weight, basis.astype(np.float64), len(items))
-        self.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)).astype(np.float32)
-        self.scale = np.array([next(k for k, (most, _) in enumerate(SCALES) if len(w) <= most) for w in self.words])
-        # The largest share in a cosine that an item of the scale gives a feature, by way of the latent space.
-        self.most = np.zeros((len(SCALES), BUCKETS))
-        for k in range(len(SCALES)):
-            mine = np.flatnonzero(self.scale == k)
-            for a in range(0, len(mine), 64):
-                back = basis @ self.latent[mine[a : a + 64]].T
-                self.most[k, live] = np.maximum(self.most[k, live], back.max(axis=1) * idf[live])
+        # Over the item's norm: the product with a folded passage is its share of the item.
+        norm = np.sqrt(np.array([(np.bincount(_features(w), minlength=1) ** 2 @ idf[: int(_features(w).max()) + 1] ** 2) for w in self.words]))
+        self.latent = (latent / norm[:, None]).astype(np.float32)
+        self.norm = norm
+        self.windows = windows_for(max(len(w) for w in self.words))
+        self.scale = np.array([next(k for k, size in enumerate(self.windows) if len(w) <= size - size // 4) for w in self.words])
         self.row = np.full(BUCKETS, len(live), dtype=np.int32)  # features without a row share a last one of zeros
         self.row[live] = np.arange(len(live))
-        self.weight = np.vstack((basis * idf[live][:, None], np.zeros((1, basis.shape[1])))).astype(np.float32)
+        # The share of each item of a scale that a word gives, by way of the latent space, and the largest of them.
+        self.gives, self.most = [], np.zeros((len(self.windows), BUCKETS))
+        for k in range(len(self.windows)):
+            back = (basis * idf[live][:, None]).astype(np.float32) @ self.latent[self.scale == k].T
+            self.gives.append(np.vstack((back, np.zeros((1, back.shape[1]), np.float32))))
+            if back.shape[1]:
+                self.most[k, live] = np.maximum(back.max(axis=1), 0)
         self.square = idf ** 2
 
 
 def _retrieve(index: _Index, ids: np.ndarray, first: np.ndarray) -> list[tuple]:
-    """(row, item, cosine, common words, item words, start word) of the best leak of each row and item."""
+    """(row, item, cosine, common words, item words, start word) of the best leak of each row and item; cosines over the passage's full norm."""
     feature = _features(ids)
     norm2 = np.concatenate(([0.0], np.cumsum(index.square[feature])))
     best: dict[tuple[int, int], tuple] = {}
-    for k, (_, size) in enumerate(SCALES):
+    known = index.row[feature]
+    for k, size in enumerate(index.windows):
         mine = np.flatnonzero(index.scale == k)
         if not len(mine):
             continue
@@ -247,15 +262,21 @@ def _retrieve(index: _Index, ids: np.ndarray, first: np.ndarray) -> list[tuple]:
         z = np.minimum(a + size, first[row + 1])
         bound = np.concatenate(([0.0], np.cumsum(index.most[k][feature])))
         length = np.sqrt(norm2[z] - norm2[a]) + 1e-9
-        live = np.flatnonzero(bound[z] - bound[a] >= MIN_COSINE * length)
-        latent = index.latent[mine]
+        live = np.flatnonzero(bound[z] - bound[a] >= MIN_SHARE - 1e-4)
+        gives, norm = index.gives[k], index.norm[mine]
         for at in range(0, len(live), 512):
             i = live[at : at + 512]
-            w = z[i] - a[i]
-            spot = np.repeat(a[i] - (np.cumsum(w) - w), w) + np.arange(int(w.sum()))
-            folded = np.add.reduceat(index.weight[index.row[feature[spot]]], np.cumsum(w) - w, axis=0)
-            cosine = folded @ latent.T / length[i, None]
-            for p, q in zip(*np.nonzero(cosine >= MIN_COSINE)):
+            # Neighbouring windows have three quarters in common: each quarter is folded once.
+            starts = a[i, None] + np.arange(4) * step
+            widths = np.clip(z[i, None] - starts, 0, step)
+            part, at_part, of = np.unique(np.where(widths > 0, starts, -1), return_index=True, return_inverse=True)
+            w = widths.ravel()[at_part]
+            full = np.flatnonzero(w)
+            w, folded = w[full], np.zeros((len(part), len(mine)), dtype=np.float32)
+            spot = np.repeat(part[full] - (np.cumsum(w) - w), w) + np.arange(int(w.sum()))
+            folded[full] = np.add.reduceat(gives[known[spot]], np.cumsum(w) - w, axis=0)
+            share = folded[of.reshape(len(i), 4)].sum(axis=1)
+            for p, q in zip(*np.nonzero(share >= MIN_SHARE)):
                 r, item = int(row[i[p]]), int(mine[q])
                 lo, hi = max(first[r], a[i[p]] - step), min(first[r + 1], z[i[p]] + step)
                 words = index.words[item]
@@ -266,7 +287,7 @@ def _retrieve(index: _Index, ids: np.ndarray, first: np.ndarray) -> list[tuple]:
                     answer = index.answers[item]
                     if common_subsequence(answer, ids[lo:hi]) < ANSWER * len(answer):
                         continue
-                found = (both, float(cosine[p, q]), -int(lo - first[r]))
+                found = (both, float(share[p, q] * norm[q] / length[i[p]]), -int(lo - first[r]))
                 if found > best.get((r, item), (0,)):
                     best[r, item] = found
     return [(r, item, c, both, len(index.words[item]), -start) for (r, item), (both, c, start) in best.items()]
@@ -280,11 +301,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     def run_with(held):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = held.value
             for whole in batches:
                 for b in W.slices(whole, "text"):
-                    got = _retrieve(index, *_words(b.column("text")))
-                    if got:
+                    words = _words(b.column("text"))
+                    for index in held.value:
+                        got = _retrieve(index, *words)
+                        if not got:
+                            continue
                         r, item, cosine, both, n, start = zip(*got)
                         yield pa.record_batch({
                             "id": b.column("id").take(pa.array(r)), "item_id": pa.array([index.item_ids[i] for i in item], pa.int64()),
@@ -301,11 +324,12 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """The rows of ``docs``, with all their columns, that hold no passage of the benchmark."""
     def run_with(held):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = held.value
             for whole in batches:
                 for b in W.slices(whole, text_col):
                     clean = np.ones(b.num_rows, dtype=bool)
-                    clean[[found[0] for found in _retrieve(index, *_words(b.column(text_col)))]] = False
+                    words = _words(b.column(text_col))
+                    for index in held.value:
+                        clean[[found[0] for found in _retrieve(index, *words)]] = False
                     yield b.filter(pa.array(clean))
         return run
 
@@ -316,11 +340,10 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
 
 def _indexes(texts: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str) -> list:
-    """Broadcast indexes of the blocks of items that have enough words."""
-    spark = texts.sparkSession
+    """Broadcast indexes of the blocks of items that have words, ``PASS_BLOCKS`` of them together."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).filter("text is not null")
-    idf = document_idf(texts)
-    live, basis, _ = latent_basis(items.select("text"), idf)
+    weights = document_idf(texts)
     blocks = max(1, -(-items.count() // ITEM_BLOCK) * 2 - 1)
     keyed, out = items.withColumn("b", F.pmod(F.xxhash64("item", "text"), F.lit(blocks))), []
     for k in range(blocks):
@@ -328,5 +351,7 @@ def _indexes(texts: DataFrame, benchmark: DataFrame, item_col: str, item_text_co
         sizes = np.diff(_words(pa.array([t for _, t in rows], pa.string()))[1])
         rows = [r for r, n in zip(rows, sizes) if n >= MIN_WORDS]
         if rows:
-            out.append(spark.sparkContext.broadcast(_Index(rows, idf, live, basis)))
-    return out
+            texts = sorted({t for _, t in rows})
+            live, basis, _ = latent_basis(spark.createDataFrame([(t,) for t in texts], "text string"), weights, rank=max(RANK, len(texts)))
+            out.append(_Index(rows, weights, live, basis))
+    return [spark.sparkContext.broadcast(out[k : k + PASS_BLOCKS]) for k in range(0, len(out), PASS_BLOCKS)]
