@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Words are runs of letters, digits and non-ASCII bytes, lower-cased (A-Z), hashed
-into ``BUCKETS`` features; a feature's weight comes from the **benchmark**: ``log(1 + e^idf)`` over its items,
+Words are runs of letters, digits and non-ASCII bytes, lower-cased (A-Z); in
+scripts without blanks each character is one.  They are hashed into ``BUCKETS`` features; a feature's weight comes from the **benchmark**: ``log(1 + e^idf)`` over its items,
 at least log 2, so it doesn't depend on how often an item leaked.
 
 1. *Counts.*  Each task counts the items that hold a feature; the blocks of
@@ -28,8 +28,9 @@ at least log 2, so it doesn't depend on how often an item leaked.
 Each pass over the documents takes ``PASS_BLOCKS`` blocks of items, so what is
 broadcast has a bound.  Documents are never shuffled.
 
-Defined cases: null or blank texts and items without words match nothing; items
-with fewer than ``MIN_WORDS`` words are left out; repeated rows and items each give their own result; null ids are carried;
+Items of fewer than ``MIN_WORDS`` words are sought word for word.
+
+Defined cases: null or blank texts and items without words match nothing; repeated rows and items each give their own result; null ids are carried;
 other columns are ignored; an empty table or benchmark gives an empty result.
 """
 
@@ -57,9 +58,37 @@ _OTHER = np.ones(256, dtype=bool)  # bytes between words
 _OTHER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
+# Code points of scripts without blanks, each a word of its own (first, last): Thai and Lao, Tibetan,
+# Myanmar, Khmer, kana and Han; and those of their punctuation, which lie between words.
+_ALONE = ((0x0E00, 0x0EFF), (0x0F00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x2FDF), (0x3000, 0x312F),
+          (0x3190, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF00, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF9F), (0x20000, 0x323AF))
+_MARKS = ((0x3000, 0x3004), (0x3008, 0x3020), (0x3030, 0x3030), (0x303D, 0x303F), (0x30FB, 0x30FB), (0xFF00, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
+
+
+def _within(codes: np.ndarray, ranges: tuple) -> np.ndarray:
+    return np.logical_or.reduce([(codes >= a) & (codes <= z) for a, z in ranges])
+
+
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(fingerprint of each word, first word of each row and the end)."""
     w = W.words_of(texts, lower=True, blank=_OTHER)
+    at = np.flatnonzero(w.data >= 0xE0)  # characters of three and four bytes
+    if len(at):
+        long = w.data[at] >= 0xF0
+        byte = [w.data[np.minimum(at + k, len(w.data) - 1)].astype(np.int64) for k in range(4)]
+        code = np.where(long, byte[0] & 7, byte[0] & 15)
+        for k in (1, 2):
+            code = code << 6 | byte[k] & 63
+        code = np.where(long, code << 6 | byte[3] & 63, code)
+        alone = _within(code, _ALONE)
+        if alone.any():
+            a, z, code = at[alone], at[alone] + np.where(long[alone], 4, 3), code[alone]
+            on = z[z < len(w.data)]
+            starts = np.unique(np.concatenate((w.starts, a, on[~_OTHER[w.data[on]]])))
+            ends = np.unique(np.concatenate((w.ends, z, a[~np.isin(a, w.starts)])))
+            kept = ~np.isin(starts, a[_within(code, _MARKS)])
+            starts, ends = starts[kept], ends[kept]
+            return W.span_hashes(w.data, starts, ends), np.searchsorted(starts, w.offsets)
     return W.word_hashes(w), w.first
 
 
@@ -207,7 +236,7 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
 
 def _answer(text: str) -> str:
     """The last sentence of an item."""
-    parts = [p for p in re.split(r"(?<=[.!?])\s+", text.strip()) if re.search(r"\w", p)]
+    parts = [p for p in re.split(r"(?<=[.!?])\s+|(?<=[。！？])", text.strip()) if re.search(r"\w", p)]
     return parts[-1] if parts else text
 
 
@@ -236,7 +265,11 @@ class _Index:
         self.latent = (latent / norm[:, None]).astype(np.float32)
         self.norm = norm
         self.windows = windows_for(max(len(w) for w in self.words))
-        self.scale = np.array([next(k for k, size in enumerate(self.windows) if len(w) <= size - size // 4) for w in self.words])
+        self.scale = np.array([next(k for k, size in enumerate(self.windows) if len(w) <= size - size // 4) if len(w) >= MIN_WORDS else -1 for w in self.words])
+        self.short: dict[int, dict[int, list[int]]] = {}  # words -> fingerprint of them all -> items
+        for i in np.flatnonzero(self.scale < 0).tolist():
+            n = len(self.words[i])
+            self.short.setdefault(n, {}).setdefault(int(W.window_hashes(self.words[i], n)[0]), []).append(i)
         self.row = np.full(BUCKETS, len(live), dtype=np.int32)  # features without a row share a last one of zeros
         self.row[live] = np.arange(len(live))
         # The share of each item of a scale that a word gives, by way of the latent space, and the largest of them.
@@ -296,6 +329,15 @@ def _retrieve(index: _Index, ids: np.ndarray, first: np.ndarray) -> list[tuple]:
                 found = (both, float(share[p, q] * norm[q] / length[i[p]]), -int(lo - first[r]))
                 if found > best.get((r, item), (0,)):
                     best[r, item] = found
+    for n, table in index.short.items():
+        h = W.window_hashes(ids, n)
+        hit = np.flatnonzero(np.isin(h, np.array(list(table), dtype=np.uint64)) & W.valid_windows(first, n))
+        row = np.searchsorted(first, hit, side="right") - 1
+        once = np.sort(np.unique(np.stack((row.astype(np.uint64), h[hit])), axis=1, return_index=True)[1])  # the first of each row
+        for r, p in zip(row[once].tolist(), hit[once].tolist()):
+            for item in table[int(h[p])]:
+                if np.array_equal(index.words[item], ids[p : p + n]):
+                    best[r, item] = (n, 1.0, -int(p - first[r]))
     return [(r, item, c, both, len(index.words[item]), -start) for (r, item), (both, c, start) in best.items()]
 
 
@@ -354,7 +396,7 @@ def _indexes(benchmark: DataFrame, item_col: str, item_text_col: str) -> list:
     for k in range(blocks):
         rows = [(r.item, r.text) for r in keyed.filter(F.col("b") == k).collect()]  # about ITEM_BLOCK items at most
         sizes = np.diff(_words(pa.array([t for _, t in rows], pa.string()))[1])
-        rows = [r for r, n in zip(rows, sizes) if n >= MIN_WORDS]
+        rows = [r for r, n in zip(rows, sizes) if n]
         if rows:
             texts = sorted({t for _, t in rows})
             live, basis, _ = latent_basis(spark.createDataFrame([(t,) for t in texts], "text string"), weights, rank=max(RANK, len(texts)))
