@@ -54,7 +54,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document and license notice in it."""
-    return license_scan.scan(_table(spark, sf_dir, "documents"))
+    return license_scan.licenses(_table(spark, sf_dir, "documents"))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,6 +49,20 @@ def test_equals_brute_force(spark):
         assert got.get(i, {}) == pytest.approx(brute(t)), t
 
 
+def test_exact_set_of_licenses(spark):
+    around = "some words of a page before and after it "
+    texts = [(around + t + " " + around, {name}) for name, t in L.TEMPLATES.items()]
+    both = lambda *names: (" ".join(L.TEMPLATES[n] + "." for n in names), set(names))
+    texts += [both("MIT", "Apache-2.0"), both("GPL-3.0", "GPL-2.0"), both("CC-BY-4.0", "CC-BY-SA-4.0"), both("GPL-3.0", "GPL-3.0"),
+              ("Licensed under CC BY-ND 4.0", set()), ("This work is licensed under the GNU General Public License, version 1", set())]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {}
+    for r in L.licenses(df).collect():
+        got.setdefault(r.doc_id, []).append(r.license)
+    for i, (t, want) in enumerate(texts):
+        assert sorted(got.get(i, [])) == sorted(want), t
+
+
 def test_odd_rows(spark):
     t = "Released under the MIT License"
     long = "word " * 200_000 + t
