@@ -5,8 +5,9 @@
 * **Mined rules.**  A labelled url is a transaction of its tokens (top-level
   domain, site, subdomain, host words, directories, extension, query names,
   fragment) and its label.  Spark's FP-growth finds token combinations that
-  often come with a bad label.  Kept are the rules with enough support and
-  confidence whose confidence no rule on fewer of their tokens reaches.
+  often come with a bad label.  Kept are the rules with enough bad
+  urls (a number, not a share of the table) and confidence, whose lower (Wilson)
+  bound is above the share of bad urls of the table, and whose confidence no rule on fewer of their tokens reaches.
 * **Inverted index.**  A row for each (token, rule).  The distinct urls' tokens
   join it; a rule matches where the url holds all of its tokens.  A url that a
   mined rule matches is blocked.
@@ -30,8 +31,9 @@ from pyspark.sql import functions as F
 
 from solstice.llm.graph import stored
 
-#: Least share, and number, of labelled urls that hold a rule's tokens and a bad label; least share of bad ones among those with its tokens.
-MIN_SUPPORT, MIN_URLS, MIN_CONFIDENCE = 0.002, 20, 0.6
+#: Least number of labelled urls, at every size, that hold a rule's tokens and a bad label; least share of bad ones among
+#: those with its tokens; normal quantile of the bound that this share must hold against the share of all urls.
+MIN_URLS, MIN_CONFIDENCE, QUANTILE = 20, 0.6, 1.96
 BAD = "label=bad"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -73,7 +75,7 @@ def tokens_of(url: Column) -> Column:
 
 
 def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad",
-         support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE, urls: int = MIN_URLS) -> DataFrame:
+         support: float = 0.0, confidence: float = MIN_CONFIDENCE, urls: int = MIN_URLS) -> DataFrame:
     """rule (number), tokens, support, confidence of the mined rules; ``bad_col`` is a boolean."""
     spark = labelled.sparkSession
     schema = "rule long, tokens array<string>, support double, confidence double"
@@ -83,9 +85,13 @@ def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad",
     items = stored(items.filter(F.size("items") > 0), "urls")
     if items.filter(F.array_contains("items", BAD)).isEmpty():
         return spark.createDataFrame([], schema)
-    least = min(1.0, max(support, urls / items.count()))  # a few bad urls prove nothing
+    n, bad = items.agg(F.count(F.lit(1)), F.count(F.when(F.array_contains("items", BAD), 1))).first()
+    least = min(1.0, max(support, (urls - 0.5) / n))  # a few bad urls prove nothing; the half keeps rounding from asking for one more
     found = FPGrowth(itemsCol="items", minSupport=least, minConfidence=confidence).fit(items).associationRules
-    rules = found.filter(F.col("consequent")[0] == BAD).select(F.array_sort("antecedent").alias("tokens"), "support", "confidence")
+    # Wilson's lower bound of a rule's share of bad urls, of as many as hold its tokens.
+    share, held, z2 = F.col("confidence"), F.col("support") * n / F.col("confidence"), QUANTILE ** 2
+    sure = (share + z2 / (2 * held) - QUANTILE * F.sqrt(share * (1 - share) / held + z2 / (4 * held * held))) / (1 + z2 / held)
+    rules = found.filter((F.col("consequent")[0] == BAD) & (sure > F.lit(bad / n))).select(F.array_sort("antecedent").alias("tokens"), "support", "confidence")
     rules = stored(rules.withColumn("rule", F.xxhash64("tokens")).select("rule", "tokens", "support", "confidence"), "rules")
     # A rule goes when another one on a proper part of its tokens is as sure.
     held = rules.select("rule", "confidence", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))

@@ -59,6 +59,15 @@ def test_mined_rules_equal_counting(spark):
         assert out[i].verdict == want
 
 
+def test_support_is_a_number_at_every_size(spark):
+    for n in (2_000, 100_000):
+        good = spark.range(n).select(F.concat(F.lit("http://h"), F.col("id") % 50, F.lit(".example.net/en/"), "id").alias("url"), (F.col("id") % 40 == 0).alias("bad"))
+        few = lambda host, k: spark.range(k).select(F.concat(F.lit(f"http://{host}/en/"), "id").alias("url"), F.lit(True).alias("bad"))
+        rules = U.mine(good.union(few("spammy.bad.org", 50)).union(few("edges.tie.biz", 20)).union(few("scarce.new.info", 19)))
+        tokens = {t for r in rules.collect() for t in r.tokens}
+        assert {"tld=org", "tld=biz"} <= tokens and not any("info" in t for t in tokens)
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "page_id long, url string, bad boolean")
     assert U.mine(empty).collect() == []
