@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solstice.llm import byte_bpe, decontamination, html_text, license_scan, pii, quality, url_filter
+from solstice.llm import byte_bpe, decontamination, html_text, license_scan, packing, pii, quality, url_filter
 from solstice.llm.jaccard_join import jaccard_components
 from solstice.llm.substring_dedup import remove_repeats
 from solstice.llm.topk_search import top_k
@@ -84,6 +84,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the tokens bind: 4,096 pieces and 4,096 squared of attention cost are the most that 4,096 tokens can hold."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, length=4096, with_ids=False)
+    return packing.pack(cut, packing.Limits(4096, 4096, 4096 * 4096))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_substring_dedup": op2_substring_dedup,
@@ -95,4 +102,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk_search": op8_topk_search,
     "op9_decontamination": op9_decontamination,
     "op10_byte_bpe": op10_byte_bpe,
+    "op13_best_fit_packing": op13_best_fit_packing,
 }
