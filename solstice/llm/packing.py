@@ -17,10 +17,12 @@ they move as wholes, so that a group knows how many it had, and keeps them as
 they were if packing anew does not save any.  A round is stored before the next
 begins, so a lost executor repeats one round at most, on the same rows.
 
-Words between white space are encoded by the library once and remembered; the
-pattern of these vocabularies never joins over white space.  A worker keeps two
-generations of at most ``MAX_WORDS`` words and drops the older when the newer is
-full, which costs time only.  A text's ids are the joined bytes of its words.
+Words between white space are encoded once and remembered; the pattern of these
+vocabularies never joins over white space.  Latin words are cut by the pattern
+here and only new pieces go to the library's model; other words go through the
+library whole.  A worker keeps two generations of words and drops the older
+when the newer is full, which costs time only.  A text's ids are the joined
+bytes of its words.
 
 Defined cases: null or empty text: the closing id alone, one piece of length 1;
 a piece above the attention limit, or limits under 1, raise; repeated rows and
@@ -34,12 +36,14 @@ from __future__ import annotations
 
 import math
 import re
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,12 +55,18 @@ from solstice.llm.graph import stored
 
 #: Pieces packed together by one task.
 GROUP = 1 << 15
-#: Words remembered in a generation, and the longest such word.
-MAX_WORDS, LONG_WORD = 1 << 18, 64
+#: The longest word that is remembered.
+LONG_WORD = 64
 #: Rounds that open sequences again, and the share of the tokens from which a sequence counts as full.
 ROUNDS, FULL = 2, 15 / 16
 #: Characters that str.split() takes for white space and the pattern does not.
 _NOT_BLANK = re.compile("[\x1c-\x1f]")
+#: Words of these characters are in normal form, and their lower case and classes have never changed.
+_LATIN = re.compile("[\x00-\u024f]*")
+# Fixed values of the vocabulary's file: its pattern, and the characters that its model writes for bytes.
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SHOWN = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 
 
 @dataclass(frozen=True)
@@ -69,42 +79,63 @@ class Limits:
     weights: tuple[float, float, float] = (1.0, 1e-4, 1e-4)
 
 
-class _Encoder(dict):
-    """Word -> bytes of its ids (little-endian, 32 bits each)."""
+class _Remembered(dict):
+    """Values by key, two generations of at most ``size`` of them."""
 
-    def __init__(self, json: str):
+    def __init__(self, make: Callable[[str], bytes], size: int):
+        self.make, self.size, self.older = make, size, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= LONG_WORD:
+            if len(self) >= self.size:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+class Encoder:
+    """Text -> bytes of its ids (little-endian, 32 bits each)."""
+
+    def __init__(self, json: str, max_words: int = 1 << 19):
         self.library = Tokenizer.from_str(json)
         self.library.encode_special_tokens = True  # their spelling in a text is text
-        self.older: dict[str, bytes] = {}
+        self.model = self.library.model
+        self.pieces = _Remembered(self._piece, max_words // 2)
+        self.words = _Remembered(self._word, max_words)
+
+    @staticmethod
+    def _bytes(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _piece(self, piece: str) -> bytes:
+        return self._bytes([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_SHOWN))])
 
-    def encoded(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def _word(self, word: str) -> bytes:
+        if _LATIN.fullmatch(word):
+            return b"".join(map(self.pieces.__getitem__, _PIECES.findall(word.lower())))
+        return self.library_ids(word)
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            ids = self.encoded(word)
-        if len(word) <= LONG_WORD:
-            self[word] = ids
-        return ids
+    def library_ids(self, text: str) -> bytes:
+        return self._bytes(self.library.encode(text, add_special_tokens=False).ids)
 
     def text(self, text: str) -> bytes:
         if _NOT_BLANK.search(text):
-            return self.encoded(text)
-        if len(self) >= MAX_WORDS:
-            self.older = dict(self)
-            self.clear()
-        return b"".join(map(self.__getitem__, text.split()))
+            return self.library_ids(text)
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
-_MADE: dict[str, _Encoder] = {}
+_MADE: dict[str, Encoder] = {}
 
 
-def _encoder(path: str, json: str) -> _Encoder:
+def _encoder(path: str, json: str) -> Encoder:
     """One per worker process."""
     if path not in _MADE:
         _MADE.clear()
-        _MADE[path] = _Encoder(json)
+        _MADE[path] = Encoder(json)
     return _MADE[path]
 
 

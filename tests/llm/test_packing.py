@@ -1,9 +1,12 @@
+import functools
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers as P
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from solstice.llm import packing
@@ -59,14 +62,34 @@ def test_pieces_equal_the_library(spark, library):
         assert [r.ids_crc32 for r in have] == [zlib.crc32(np.array(w, "<u4").tobytes()) for w in want]
 
 
-def test_forgetting_words_changes_nothing(monkeypatch, library):
-    monkeypatch.setattr(packing, "MAX_WORDS", 3)
+def test_forgetting_words_changes_nothing(library):
     with open(VOCABULARY) as f:
-        e = packing._Encoder(f.read())
+        e = packing.Encoder(f.read(), max_words=4)
     for t in TEXTS[1:] * 2:
         assert np.frombuffer(e.text(t), "<u4").tolist() == library(t)[:-1]
 
 
+def test_every_short_character(library):
+    """Each character that skips the library's own cutting, alone and between letters and digits."""
+    with open(VOCABULARY) as f:
+        e = packing.Encoder(f.read())
+    for c in map(chr, range(0x250)):
+        for t in (c, f"a{c}B", f"1{c}'S{c}{c}", f"{c}'ll"):
+            assert np.frombuffer(e.text(t), "<u4").tolist() == library(t)[:-1], hex(ord(c))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=80))
+def test_any_text(library, text):
+    assert np.frombuffer(_encoder().text(text), "<u4").tolist() == library(text)[:-1]
+
+
+@functools.cache
+def _encoder():
+    with open(VOCABULARY) as f:
+        return packing.Encoder(f.read())
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_every_limit_holds(rule):
     rng = random.Random(4)
