@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solstice.llm import byte_bpe, decontamination, html_text, license_scan, packing, pii, quality, url_filter
+from solstice.llm import byte_bpe, decontamination, html_text, license_scan, packing, periodic_runs, pii, quality, url_filter
 from solstice.llm.jaccard_join import jaccard_components
 from solstice.llm.substring_dedup import remove_repeats
 from solstice.llm.topk_search import top_k
@@ -84,6 +84,31 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def _with_period(text: Column, doc_id: Column) -> Column:
+    """The words of a tenth of the documents, from one of them on, repeated with a period; other texts as they are."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = F.floor((n - a) / (g % 8 + 3)).cast("int") + 1
+        unit = F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.when(n > 0, F.concat_ws(" ", F.slice(w, F.lit(1), a), F.slice(unit, F.lit(1), n - a)))
+
+    words = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda x: x != "")
+    return F.when(h % 10 == 0, F.transform(F.array(words), repeated)[0]).otherwise(text)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = periodic_runs.with_runs(docs.select("doc_id", _with_period(F.col("text"), F.col("doc_id")).alias("text")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best_run.start", "best_run.length", "best_run.period",
+                        F.floor(F.col("best_run.length") * 1000 / F.col("best_run.period")).cast("long").alias("exponent_milli"),
+                        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only the tokens bind: 4,096 pieces and 4,096 squared of attention cost are the most that 4,096 tokens can hold."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -102,5 +127,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk_search": op8_topk_search,
     "op9_decontamination": op9_decontamination,
     "op10_byte_bpe": op10_byte_bpe,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_best_fit_packing": op13_best_fit_packing,
 }
