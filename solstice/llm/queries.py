@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solstice.llm import byte_bpe, decontamination, html_text, license_scan, packing, periodic_runs, pii, quality, url_filter
+from solstice.llm import byte_bpe, conversation_repair, decontamination, html_text, license_scan, packing, periodic_runs, pii, quality, url_filter
 from solstice.llm.jaccard_join import jaccard_components
 from solstice.llm.substring_dedup import remove_repeats
 from solstice.llm.topk_search import top_k
@@ -84,6 +84,17 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", *[F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")])
+    spelled = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    rows = rows.withColumn("damage", F.crc32(F.concat_ws(":", *spelled).cast("binary")) % 20)
+    rows = rows.withColumn("copy", F.explode(F.when(F.col("damage") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    text = F.when(F.col("damage") == 1, "").when(F.col("damage") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("damage") == 4, "user").otherwise(F.col("role"))
+    damaged = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.col("damage") != 0).alias("stays"))
+    return conversation_repair.audits(damaged, present=F.col("stays"))
+
+
 def _with_period(text: Column, doc_id: Column) -> Column:
     """The words of a tenth of the documents, from one of them on, repeated with a period; other texts as they are."""
     h = F.crc32(doc_id.cast("string").cast("binary"))
@@ -127,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk_search": op8_topk_search,
     "op9_decontamination": op9_decontamination,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_best_fit_packing": op13_best_fit_packing,
 }
