@@ -207,16 +207,16 @@ def _supporting_sql(w: str, p: str, d: str, cov_years: str, first_year: str, sin
     return (f"{comp} || ' of historical ' || {_label_sql(w)} || 's (' || {rng} || ', ' || CAST({cov_years} AS VARCHAR) || ' years of data).'")
 
 
-def _latest_insights(metric="tavg_c", since_year=None):
-    as_of_year = int(AS_OF[:4])
+def _latest_insights(metric="tavg_c", since_year=None, obs=(OBS,), as_of=AS_OF, more=""):
+    as_of_year = int(as_of[:4])
     since = since_year if since_year is not None else as_of_year - 24
     wins = ", ".join(f"({w})" for w in LATEST_WINDOWS)
     rolled = rolled_sql(f"SELECT station_id, obs_date, '{metric}' AS metric_id, {metric} AS value FROM obs "
                         f"WHERE obs_date >= DATE '{since}-01-01'", LATEST_WINDOWS, "rows_nonnull")
     cov = as_of_year - since + 1
     return with_(
-        OBS,
-        f"""lastd AS (SELECT station_id, LEAST(MAX(obs_date), DATE '{AS_OF}' - 1) AS latest_date FROM obs GROUP BY 1)""",
+        *obs,
+        f"""lastd AS (SELECT station_id, LEAST(MAX(obs_date), DATE '{as_of}' - 1) AS latest_date FROM obs GROUP BY 1)""",
         f"""cand AS (SELECT station_id, w.window_days, latest_date - CAST(i.range AS INTEGER) AS end_date
             FROM lastd, (VALUES {wins}) w(window_days), range(0, 8) i)""",
         f"""win AS (SELECT c.station_id, c.window_days, c.end_date, AVG(o.{metric}) AS value,
@@ -238,7 +238,7 @@ SELECT station_id, window_days, '{metric}' AS metric, end_date, {R('value', 2)}
        {R('p50', 2)} AS normal_value, {R('pct', 1)} AS percentile, severity, direction,
        {_primary_sql('window_days', 'severity', 'direction')} AS primary_statement,
        {_supporting_sql('window_days', 'pct', 'direction', str(cov), str(since), str(since), str(as_of_year))} AS supporting_line,
-       CAST({cov} AS INTEGER) AS coverage_years, CAST({since} AS INTEGER) AS first_year, CAST({since} AS INTEGER) AS since_year
+       CAST({cov} AS INTEGER) AS coverage_years, CAST({since} AS INTEGER) AS first_year, CAST({since} AS INTEGER) AS since_year{more}
 FROM k"""
 
 
@@ -800,3 +800,55 @@ SELECT r.station_id, st.wban, CASE WHEN st.wban IS NULL THEN 'error' ELSE 'ok' E
        CASE WHEN st.wban IS NULL THEN 'Station ' || r.station_id || ' not found in registry' END AS detail
 FROM (SELECT n_name AS station_id FROM customer JOIN nation ON c_nationkey = n_nationkey
       UNION SELECT o_orderpriority FROM orders) r LEFT JOIN st USING (station_id)"""
+
+
+# --- incremental ingest and refresh --------------------------------------------
+FEED_AS_OF = "2001-10-20"
+FEED_RUNS = ("1996-01-01 06:00:00", "1999-01-01 06:00:00", "2001-10-20 06:00:00")
+_AUTH = "source IN ('ghcn_daily', 'gsod')"
+_RANK = "CASE source WHEN 'ghcn_daily' THEN 1 WHEN 'gsod' THEN 2 ELSE 3 END"
+_RUN_AT = "CASE wave " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(FEED_RUNS)) + " END"
+FEED = (
+    LI_ST, STATIONS,
+    RAW.replace("SELECT station_id AS STATION", "SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS day, station_id AS STATION"),
+    """waved AS (SELECT *, CASE WHEN known < DATE '1996-01-01' THEN 0 WHEN known < DATE '1999-01-01' THEN 1 ELSE 2 END AS wave
+       FROM (SELECT *, CASE WHEN source = 'open_meteo' THEN day ELSE day + 15 END AS known
+             FROM (SELECT *, CASE WHEN l_linenumber <= 3 THEN 'ghcn_daily' WHEN l_linenumber <= 5 THEN 'gsod' ELSE 'open_meteo' END AS source
+                   FROM raw)))""",
+    """sent AS (SELECT *, FALSE AS late FROM waved WHERE wave < 2 OR STATION < 'K'
+       UNION ALL SELECT * REPLACE (2 AS wave, '-100' AS TMIN), TRUE AS late FROM waved
+       WHERE wave = 0 AND source = 'ghcn_daily' AND l_orderkey % 50 = 0 AND STATION < 'K')""",
+    """feed AS (SELECT * REPLACE (CASE WHEN l_orderkey % 109 = 0 THEN 'NOWHERE' ELSE STATION END AS STATION,
+                                  CASE WHEN l_orderkey % 107 = 0 THEN 'n/a' ELSE DATE END AS DATE) FROM sent)""",
+    CLEAN.replace("FROM raw)", ", source, wave, late FROM feed)"),
+    f"""judged AS (SELECT cl.*, CASE WHEN st.station_id IS NULL THEN 'unknown station' WHEN obs_date IS NULL THEN 'unreadable date'
+                                     WHEN t2min IS NULL AND t2max IS NULL THEN 'no temperature' END AS problem
+       FROM cl LEFT JOIN st ON cl.station_id = st.station_id
+       WHERE (st.station_id IS NULL OR is_active) AND NOT COALESCE(obs_date >= DATE '{FEED_AS_OF}', FALSE))""",
+    f"""ends AS (SELECT w.wave, j.station_id, MAX(j.obs_date) AS last_auth FROM judged j, (VALUES (0), (1), (2)) w(wave)
+       WHERE j.wave <= w.wave AND {_AUTH} AND problem IS NULL GROUP BY 1, 2)""",
+    f"""taken AS (SELECT j.station_id, j.obs_date, t2min AS tmin_c, t2max AS tmax_c, t4avg AS tavg_c, prcp_mm, source, j.wave
+       FROM judged j LEFT JOIN ends e ON j.station_id = e.station_id AND j.wave = e.wave
+       WHERE problem IS NULL AND NOT late AND ({_AUTH} OR j.obs_date > e.last_auth))""",
+    f"""best AS (SELECT *, row_number() OVER (PARTITION BY station_id, obs_date, wave ORDER BY {_RANK}) AS in_wave FROM taken
+       QUALIFY row_number() OVER (PARTITION BY station_id, obs_date, wave ORDER BY {_RANK}, tmin_c DESC NULLS LAST, tmax_c DESC NULLS LAST,
+                                  tavg_c DESC NULLS LAST, prcp_mm DESC NULLS LAST) = 1)""",
+    f"""obs AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY station_id, obs_date ORDER BY {_RANK}, wave DESC) = 1)""",
+)
+
+Q["i1_incremental"] = with_(*FEED) + f"""
+SELECT station_id, obs_date, {R('tmin_c', 4)} AS tmin_c, {R('tmax_c', 4)} AS tmax_c, {R('tavg_c', 4)} AS tavg_c,
+       {R('prcp_mm', 4)} AS prcp_mm, source, {_RUN_AT} AS ingested_at FROM obs"""
+
+Q["i4_refresh"] = _latest_insights(obs=FEED, as_of=FEED_AS_OF, more=f""",
+       (SELECT MAX({_RUN_AT}) FROM taken t WHERE t.station_id = k.station_id) AS computed_at""")
+
+Q["d16_run_summary"] = with_(*FEED, """wrote AS (SELECT wave, station_id, COUNT(*) AS n,
+       concat_ws('+', MAX(CASE source WHEN 'ghcn_daily' THEN source END), MAX(CASE source WHEN 'gsod' THEN source END),
+                 MAX(CASE source WHEN 'open_meteo' THEN source END)) AS source FROM best GROUP BY 1, 2)""",
+    """bad AS (SELECT wave, station_id, string_agg(problem || ': ' || CAST(n AS VARCHAR), '; ' ORDER BY problem) AS errors
+       FROM (SELECT wave, station_id, problem, COUNT(*) AS n FROM judged WHERE problem IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2)""") + f"""
+SELECT CAST(wave AS BIGINT) AS batch, station_id, COALESCE(n, 0) AS "rows", source, COALESCE(errors, '') AS errors, {_RUN_AT} AS "at"
+FROM wrote FULL JOIN bad USING (wave, station_id)"""
+
+Q["d19_last_updated"] = with_(*FEED) + f"SELECT MAX({_RUN_AT}) AS last_updated FROM taken"

@@ -9,6 +9,8 @@ values, so counting them costs no second pass.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,17 +57,19 @@ def keep_where(df: DataFrame, cond: Column) -> DataFrame:
     return row.where(F.col("_keep")).select(*cols)
 
 
-def clean_station_daily(raw: DataFrame, station: str = "STATION", flags: bool = False) -> DataFrame:
+def clean_station_daily(raw: DataFrame, station: str = "STATION", flags: bool = False,
+                        carry: Sequence[str] = ()) -> DataFrame:
     """A1 + B1..B11 over landed station-daily rows (all stations at once).
 
     Input columns (text): STATION, DATE, TMIN, TMAX, TAVG, PRCP in tenths.
     Output: station_id, obs_date, tmin_c, tmax_c, tavg_c, prcp_mm; with
-    ``flags`` also the per-row quality flags used by ``quality_counters``.
+    ``flags`` also the per-row quality flags used by ``quality_counters``, and
+    the columns of ``carry`` as they came.
     """
     r = raw.select(
         F.col(station).alias("station_id"), parse_date("DATE").alias("obs_date"),
         tenths("TMIN").alias("t0min"), tenths("TMAX").alias("t0max"), tenths("TAVG").alias("t0avg"),
-        tenths("PRCP").alias("prcp_mm"))
+        tenths("PRCP").alias("prcp_mm"), *carry)
     r = r.select("*", *[plausible(F.col(f"t0{k}")).alias(f"t1{k}") for k in ("min", "max", "avg")])
     swapped = F.col("t1min").isNotNull() & F.col("t1max").isNotNull() & (F.col("t1min") > F.col("t1max"))
     r = r.withColumn("f_swapped", swapped)
@@ -84,7 +88,7 @@ def clean_station_daily(raw: DataFrame, station: str = "STATION", flags: bool =
         out += [(F.col("t0min").isNotNull() & F.col("t1min").isNull()).alias("f_bad_tmin"),
                 (F.col("t0max").isNotNull() & F.col("t1max").isNull()).alias("f_bad_tmax"),
                 (F.col("t0avg").isNotNull() & F.col("t1avg").isNull()).alias("f_bad_tavg"),
-                "f_swapped", "f_corrected", "f_filled", "f_dropped"]
+                "f_swapped", "f_corrected", "f_filled", "f_dropped", *carry]
         return r.select(*out)
     kept = keep_where(r.select(*out, "f_dropped"), ~F.col("f_dropped"))
     return kept.select("station_id", "obs_date", "tmin_c", "tmax_c", "tavg_c", "prcp_mm")

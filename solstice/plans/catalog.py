@@ -477,3 +477,48 @@ def q_registry_lookup(spark, sf):
     known = cust.join(nat, cust.c_nationkey == nat.n_nationkey).select(F.col("n_name").alias("station_id"))
     unknown = T.read_table(spark, sf, "orders").select(F.col("o_orderpriority").alias("station_id"))
     return COV.registry_lookup(known.unionByName(unknown), T.stations(spark, sf))
+
+
+# --- incremental ingest and refresh (I1, I4), run ledger (D16), last update (D19) ----
+from solstice.sources.store import Store, last_updated  # noqa: E402
+from solstice.streaming.refresh import start_refresh  # noqa: E402
+
+#: Stamp of the run after each delivery of the feed.
+FEED_RUNS = ("1996-01-01 06:00:00", "1999-01-01 06:00:00", "2001-10-20 06:00:00")
+
+
+def _refreshed(spark, sf, insights=True) -> Store:
+    """The feed's deliveries, each followed by a run of the same stream."""
+    base = scratch_path(spark, "refresh")
+    store, feed = Store(spark, f"{base}/store"), T.landed_feed(spark, sf)
+    rows = feed.drop("wave")
+    for wave, at in enumerate(FEED_RUNS):
+        feed.where(F.col("wave") == wave).drop("wave").write.parquet(f"{base}/landing/drop={wave}")
+        start_refresh(store, f"{base}/landing/*", rows.schema, f"{base}/checkpoint", "feed", T.stations(spark, sf), T.FEED_AS_OF, at,
+                      insights=insights).awaitTermination()
+    return store
+
+
+@register("i1_incremental")
+def q_incremental(spark, sf):
+    return _r4(_refreshed(spark, sf, insights=False).read("daily").select(
+        "station_id", "obs_date", "tmin_c", "tmax_c", "tavg_c", "prcp_mm", "source",
+        F.date_format("ingested_at", "yyyy-MM-dd HH:mm:ss").alias("ingested_at")), "tmin_c", "tmax_c", "tavg_c", "prcp_mm")
+
+
+@register("i4_refresh")
+def q_refresh(spark, sf):
+    rows = _refreshed(spark, sf).read("latest_insight")
+    return rows.drop("bucket").withColumn("computed_at", F.date_format("computed_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@register("d16_run_summary")
+def q_run_summary(spark, sf):
+    ledger = _refreshed(spark, sf, insights=False).read("ledger").where("step = 'ingest'")
+    return ledger.select("batch", "station_id", "rows", "source", F.array_join("errors", "; ").alias("errors"),
+                         F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@register("d19_last_updated")
+def q_last_updated(spark, sf):
+    return last_updated(_refreshed(spark, sf)).select(F.date_format("last_updated", "yyyy-MM-dd HH:mm:ss").alias("last_updated"))

@@ -82,8 +82,8 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_station_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One raw station-file row per lineitem, as landed text (A1 input).
+def raw_station_rows(spark: SparkSession, sf_dir: str, *carry: str) -> DataFrame:
+    """One raw station-file row per lineitem, as landed text (A1 input), with the lineitem columns ``carry``.
 
     Tenths of a degree; sentinel -9999 (orderkey % 97 = 0), swapped pair
     (% 89), unparsable 'x' (% 101), both temperatures missing (% 103); TAVG
@@ -107,10 +107,38 @@ def raw_station_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(gone, F.lit(None)).otherwise(tmin1.cast("string")).alias("TMIN"),
         F.when(gone, F.lit(None)).when(ok % 101 == 0, F.lit("x")).otherwise(tmax1.cast("string")).alias("TMAX"),
         tavg.cast("string").alias("TAVG"),
-        F.round(F.col("l_discount") * 1000).cast("int").cast("string").alias("PRCP"),
+        F.round(F.col("l_discount") * 1000).cast("int").cast("string").alias("PRCP"), *carry,
     )
 
 
+# The feed's deliveries end before these days; authoritative rows come 15 days late.
+FEED_WAVES = ("1996-01-01", "1999-01-01")
+FEED_LAG_DAYS = 15
+FEED_AS_OF = "2001-10-20"
+
+
+def landed_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed text rows of three sources in three deliveries (``wave``).
+
+    Provisional rows (open_meteo) come with their day, authoritative ones 15
+    days later; the third wave holds stations before 'K' only and repeats some
+    rows of the first with another minimum.  Some rows have no readable date
+    (orderkey % 107 = 0) or name no known station (% 109).
+    """
+    r = raw_station_rows(spark, sf_dir, "l_orderkey", "l_linenumber", "l_shipdate")
+    day, line = F.col("l_shipdate").cast("date"), F.col("l_linenumber")
+    source = F.when(line <= 3, "ghcn_daily").when(line <= 5, "gsod").otherwise("open_meteo")
+    known = F.when(source == "open_meteo", day).otherwise(F.date_add(day, FEED_LAG_DAYS))
+    wave = F.when(known < F.lit(FEED_WAVES[0]).cast("date"), 0).when(known < F.lit(FEED_WAVES[1]).cast("date"), 1).otherwise(2)
+    r = r.withColumn("source", source).withColumn("wave", wave).where((F.col("wave") < 2) | (F.col("STATION") < "K"))
+    late = r.where((F.col("wave") == 0) & (F.col("source") == "ghcn_daily") & (F.col("l_orderkey") % 50 == 0) & (F.col("STATION") < "K"))
+    both = r.unionByName(late.withColumn("wave", F.lit(2)).withColumn("TMIN", F.lit("-100")))
+    return both.select(
+        F.when(F.col("l_orderkey") % 109 == 0, "NOWHERE").otherwise(F.col("STATION")).alias("STATION"),
+        F.when(F.col("l_orderkey") % 107 == 0, "n/a").otherwise(F.col("DATE")).alias("DATE"),
+        "TMIN", "TMAX", "TAVG", "PRCP", "source", "wave")
+
+
 def sourced_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three sources with conflicting rows per (station, day): source from l_returnflag."""
     j = lineitem_station(spark, sf_dir, "l_shipdate", "l_quantity", "l_discount", "l_returnflag")
