@@ -852,3 +852,66 @@ SELECT CAST(wave AS BIGINT) AS batch, station_id, COALESCE(n, 0) AS "rows", sour
 FROM wrote FULL JOIN bad USING (wave, station_id)"""
 
 Q["d19_last_updated"] = with_(*FEED) + f"SELECT MAX({_RUN_AT}) AS last_updated FROM taken"
+
+
+# --- landed files, registry seed, backfill ---------------------------------------
+_LI_CSV = LI_ST.replace(
+    "s_nationkey = n_nationkey)", "s_nationkey = n_nationkey WHERE l_linenumber <= 3 AND CAST(l_shipdate AS DATE) < DATE '2001-08-01')")
+_LI_GSOD = LI_ST.replace("li AS (", "lig AS (").replace(
+    "s_nationkey = n_nationkey)", "s_nationkey = n_nationkey WHERE l_linenumber > 3 AND CAST(l_shipdate AS DATE) < DATE '2001-09-15')")
+_RG = RAW_GSOD.replace("FROM li)", "FROM lig)")
+_GSOD_ROWS = f"""(SELECT station_id, {GSOD_DATE} AS obs_date,
+             (CASE WHEN TRY_CAST("min" AS DOUBLE) <= 900 THEN TRY_CAST("min" AS DOUBLE) END - 32.0) * 5.0 / 9.0 AS tmin_c,
+             (CASE WHEN TRY_CAST("max" AS DOUBLE) <= 900 THEN TRY_CAST("max" AS DOUBLE) END - 32.0) * 5.0 / 9.0 AS tmax_c,
+             (CASE WHEN TRY_CAST(temp AS DOUBLE) <= 900 THEN TRY_CAST(temp AS DOUBLE) END - 32.0) * 5.0 / 9.0 AS tavg_c,
+             CASE WHEN TRY_CAST(prcp AS DOUBLE) <= 90 THEN TRY_CAST(prcp AS DOUBLE) END * 25.4 AS prcp_mm, year AS y FROM rg)"""
+_FOUR = f"{R('tmin_c', 4)} AS tmin_c, {R('tmax_c', 4)} AS tmax_c, {R('tavg_c', 4)} AS tavg_c, {R('prcp_mm', 4)} AS prcp_mm"
+
+Q["a1_station_csv"] = with_(_LI_CSV, RAW, CLEAN) + f"""
+SELECT station_id, obs_date, {_FOUR}
+FROM (SELECT station_id, obs_date, t2min AS tmin_c, t2max AS tmax_c, t4avg AS tavg_c, prcp_mm FROM cl
+      WHERE obs_date >= DATE '1995-01-01' AND (t2min IS NOT NULL OR t2max IS NOT NULL))"""
+
+Q["a2_gsod_years"] = with_(_LI_GSOD, _RG) + f"""
+SELECT station_id, obs_date, {_FOUR} FROM {_GSOD_ROWS}
+WHERE y BETWEEN '1994' AND '1997' AND obs_date IS NOT NULL AND (tmin_c IS NOT NULL OR tmax_c IS NOT NULL)"""
+
+Q["a4_registry_seed"] = with_(OBS, STATIONS, """cov AS (SELECT station_id, MIN(obs_date) AS f, MAX(obs_date) AS l,
+       100.0 * COUNT(tavg_c) / COUNT(*) AS pct FROM obs GROUP BY 1)""") + f"""
+SELECT station_id, wban, CASE WHEN k % 5 = 1 THEN lower(name) ELSE name END AS name, CASE WHEN k % 5 = 1 THEN 0.0 ELSE lat END AS lat, lon,
+       CASE WHEN k % 5 <> 0 THEN f END AS first_obs_date, CASE WHEN k % 5 <> 0 THEN l END AS last_obs_date,
+       CASE WHEN k % 5 <> 0 THEN CAST(year(l) - year(f) + 1 AS INTEGER) END AS coverage_years,
+       CASE WHEN k % 5 <> 0 THEN {R('pct', 1)} END AS completeness_pct, k % 5 <> 1 AS is_active
+FROM (SELECT *, CAST(right(wban, 3) AS INTEGER) AS k FROM st) LEFT JOIN cov USING (station_id)"""
+
+_J1 = (
+    _LI_CSV, _LI_GSOD, RAW, _RG, CLEAN, OBS.replace("obs AS (", "days AS ("),
+    f"""prim AS (SELECT station_id, obs_date, t2min AS tmin_c, t2max AS tmax_c, t4avg AS tavg_c, prcp_mm, 1 AS rank FROM cl
+       WHERE obs_date < DATE '{AS_OF}' AND (t2min IS NOT NULL OR t2max IS NOT NULL))""",
+    f"""scnd AS (SELECT g.station_id, g.obs_date, tmin_c, tmax_c, tavg_c, prcp_mm, 2 AS rank FROM {_GSOD_ROWS} g
+       JOIN (SELECT station_id, MIN(year(obs_date)) AS y0, MAX(year(obs_date)) AS y1 FROM prim GROUP BY 1) s USING (station_id)
+       WHERE obs_date < DATE '{AS_OF}' AND (tmin_c IS NOT NULL OR tmax_c IS NOT NULL) AND year(obs_date) BETWEEN y0 AND y1
+         AND NOT EXISTS (SELECT 1 FROM prim p WHERE p.station_id = g.station_id AND p.obs_date = g.obs_date))""",
+    f"""prov AS (SELECT d.station_id, d.obs_date, tmin_c, tmax_c,
+              CASE WHEN tavg_c IS NULL AND tmin_c IS NOT NULL AND tmax_c IS NOT NULL THEN (tmin_c + tmax_c) / 2.0 ELSE tavg_c END AS tavg_c, prcp_mm, 3 AS rank
+       FROM (SELECT station_id, obs_date, CASE WHEN day(obs_date) % 7 = 0 THEN NULL ELSE tmin_c END AS tmin_c,
+                    CASE WHEN day(obs_date) % 7 = 0 THEN NULL ELSE tmax_c END AS tmax_c,
+                    CASE WHEN day(obs_date) % 5 = 0 THEN NULL ELSE tavg_c END AS tavg_c, prcp_mm FROM days WHERE obs_date >= DATE '2001-07-01') d
+       JOIN (SELECT station_id, MAX(obs_date) AS last_auth FROM (SELECT * FROM prim UNION ALL SELECT * FROM scnd) GROUP BY 1) a USING (station_id)
+       WHERE (tmin_c IS NOT NULL OR tmax_c IS NOT NULL) AND d.obs_date > last_auth AND d.obs_date < DATE '{AS_OF}')""",
+    """obs AS (SELECT station_id, obs_date, tmin_c, tmax_c, tavg_c, prcp_mm FROM (SELECT * FROM prim UNION ALL SELECT * FROM scnd UNION ALL SELECT * FROM prov)
+       QUALIFY row_number() OVER (PARTITION BY station_id, obs_date ORDER BY rank, tmin_c DESC NULLS LAST, tmax_c DESC NULLS LAST,
+                                  tavg_c DESC NULLS LAST, prcp_mm DESC NULLS LAST) = 1)""",
+)
+
+
+def _over_backfill(name: str) -> str:
+    return Q[name].replace(OBS, ",\n".join(_J1))
+
+
+Q["j1_backfill"] = f"""
+SELECT 'climatology' AS stored_table, station_id, metric_id, window_days, CAST(end_doy AS VARCHAR) AS item, p50 AS value, n_samples AS n
+FROM ({_over_backfill('d5_climatology')})
+UNION ALL SELECT 'records', station_id, metric_id, window_days, record_type, value, n_years_considered FROM ({_over_backfill('d10_records')})
+UNION ALL SELECT 'window_recent', station_id, 'tavg_c', window_days, CAST(end_date AS VARCHAR), tavg_c_mean, 0 FROM ({_over_backfill('e1_recent_windows')})
+UNION ALL SELECT 'latest_insight', station_id, metric, window_days, severity, percentile, coverage_years FROM ({_over_backfill('j3_latest_insights')})"""

@@ -134,9 +134,9 @@ def calendar_windows(df: DataFrame, windows: Sequence[int], value: str = "value"
     """E4 at every existing date: mean, n_valid and coverage of the w days ending there.
 
     Output (keys..., end_date, window_days, start_date, value, n_valid, coverage_ratio);
-    value is null when the window holds no valid value.
+    value is null when the window holds no valid value.  A NaN is no value (B19).
     """
-    df = cluster_by_series(df, keys)
+    df = cluster_by_series(df.withColumn(value, _number(value)), keys)
     cols = []
     for i, w in enumerate(windows):
         f = _frame(keys, date, w, "calendar")
@@ -159,13 +159,13 @@ def window_at(series: DataFrame, ends: DataFrame, value: str = "value",
     w dates (bounded by w), is equi-joined to the series and aggregated; no
     range join.  Output (keys..., end_date, window_days, start_date, value,
     n_valid, coverage_ratio); requests whose window holds no valid value get
-    ``value`` null and ``n_valid`` 0.
+    ``value`` null and ``n_valid`` 0; a NaN is no value (B19).
     """
     req = ends.select(*keys, "end_date", "window_days")
     days = req.select(*keys, "end_date", "window_days",
                       F.explode(F.sequence(F.lit(0), F.col("window_days") - 1)).alias("_k")).select(
         *keys, "end_date", "window_days", F.date_sub("end_date", F.col("_k")).alias(date))
-    s = series.select(*keys, date, value)
+    s = series.select(*keys, date, _number(value).alias(value))
     j = days.join(s, [*keys, date], "left")
     agg = j.groupBy(*keys, "end_date", "window_days").agg(
         F.avg(value).alias("value"), F.count(value).alias("n_valid"))

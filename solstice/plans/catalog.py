@@ -522,3 +522,68 @@ def q_run_summary(spark, sf):
 @register("d19_last_updated")
 def q_last_updated(spark, sf):
     return last_updated(_refreshed(spark, sf)).select(F.date_format("last_updated", "yyyy-MM-dd HH:mm:ss").alias("last_updated"))
+
+
+# --- landed files: manifest scans (A1, A2), registry seed (A4), restartable backfill (J1) ----
+from solstice.plans.backfill import Landed, backfill, seeded  # noqa: E402
+from solstice.sources import manifest as MF  # noqa: E402
+
+
+def _landed(spark, sf) -> Landed:
+    base = scratch_path(spark, "landed")
+    T.land_files(spark, sf, base)
+    return Landed(f"{base}/registry", f"{base}/station_csv", f"{base}/manifests", f"{base}/gsod", f"{base}/open_meteo")
+
+
+@register("a1_station_csv")
+def q_station_csv(spark, sf):
+    """Station files from 1995 on: files that end before are not opened."""
+    landed = _landed(spark, sf)
+    MF.index_station_csv(spark, landed.station_csv, f"{landed.manifests}/station_csv")
+    raw = MF.scan_station_csv(spark, f"{landed.manifests}/station_csv", start="1995-01-01")
+    return _r4(CL.clean_station_daily(raw), "tmin_c", "tmax_c", "tavg_c", "prcp_mm")
+
+
+@register("a2_gsod_years")
+def q_gsod_years(spark, sf):
+    """GSOD files of 1994 to 1997, stations through the registry."""
+    landed = _landed(spark, sf)
+    MF.index_gsod(spark, landed.gsod, f"{landed.manifests}/gsod")
+    raw = MF.scan_gsod(spark, f"{landed.manifests}/gsod", T.stations(spark, sf), None, 1994, 1997)
+    return _r4(CL.clean_gsod(raw), "tmin_c", "tmax_c", "tavg_c", "prcp_mm")
+
+
+@register("a4_registry_seed")
+def q_registry_seed(spark, sf):
+    """Two registry deliveries with measured coverage between them: some stations left, some are new."""
+    store = Store(spark, scratch_path(spark, "seed"))
+    st = T.stations(spark, sf).withColumn("k", F.right("wban", F.lit(3)).cast("int"))
+    old = st.where(F.col("k") % 5 != 0).select("station_id", "wban", F.lower("name").alias("name"), F.lit(0.0).alias("lat"), "lon")
+    new = st.where(F.col("k") % 5 != 1).select("station_id", "wban", "name", "lat", "lon")
+    lacking = [F.lit(None).cast(t).alias(c) for c, t in (("city", "string"), ("location", "string"), ("elevation_m", "double"))]
+    store.upsert("station", seeded(store, old.select("*", *lacking)), "seed-1", at="2001-01-01 00:00:00")
+    cov = COV.station_coverage(T.daily_series(spark, sf)).select("station_id", "first_obs_date", "last_obs_date", "coverage_years",
+                                                                 F.col("completeness_temp_pct").alias("completeness_pct"))
+    measured = store.read("station").drop(*cov.columns[1:]).join(cov, "station_id")
+    store.upsert("station", measured, "coverage", at="2001-01-02 00:00:00")
+    store.upsert("station", seeded(store, new.select("*", *lacking)), "seed-2", at="2001-01-03 00:00:00")
+    return store.read("station").select("station_id", "wban", "name", "lat", "lon", "first_obs_date", "last_obs_date", "coverage_years", "completeness_pct", "is_active")
+
+
+@register("j1_backfill")
+def q_backfill(spark, sf):
+    """The computed tables after a backfill from landed files, in one shape."""
+    store = Store(spark, scratch_path(spark, "backfill"))
+    backfill(store, _landed(spark, sf), "first", AS_OF, "2001-11-05 06:00:00")
+    parts = [
+        ("climatology", F.col("metric_id"), F.col("end_doy").cast("string"), F.col("p50"), F.col("n_samples")),
+        ("records", F.col("metric_id"), F.col("record_type"), F.col("value"), F.col("n_years_considered")),
+        ("window_recent", F.lit("tavg_c"), F.col("end_date").cast("string"), sround(F.col("tavg_c_mean"), 4), F.lit(0)),
+        ("latest_insight", F.col("metric"), F.col("severity"), F.col("percentile"), F.col("coverage_years")),
+    ]
+    out = None
+    for name, metric, item, value, n in parts:
+        rows = store.read(name).select(F.lit(name).alias("stored_table"), "station_id", metric.alias("metric_id"), "window_days",
+                                       item.alias("item"), value.alias("value"), n.cast("long").alias("n"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -115,17 +115,11 @@ def exists(spark: SparkSession, path: str) -> bool:
         raise
 
 
-def _fresh(name: str, taken: Sequence[str]) -> str:
-    while name in taken:
-        name += "_"
-    return name
-
-
 class Store:
     """Stored tables under one folder that the driver and all executors share."""
 
-    def __init__(self, spark: SparkSession, base: str, tables: Mapping[str, Table] = TABLES):
-        self.spark, self.base, self.tables = spark, base.rstrip("/"), dict(tables)
+    def __init__(self, spark: SparkSession, base: str, tables: Mapping[str, Table] = TABLES, marker: str = "_commit"):
+        self.spark, self.base, self.tables, self.marker = spark, base.rstrip("/"), dict(tables), marker
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
@@ -196,7 +190,7 @@ class Store:
         return path
 
     def _marker(self) -> str:
-        return f"{self.base}/_commit"
+        return f"{self.base}/{self.marker}"
 
     def last_commit(self) -> dict | None:
         """Commit id, state and staged folders of the last commit."""
@@ -241,7 +235,7 @@ class Store:
                extra: Mapping[str, str] | None = None) -> DataFrame:
         """Conform, merge and commit ``df`` (with other tables already staged, ``extra``); returns the rejected rows."""
         self.recover()
-        checked = self._written(self.conform(name, df, at))
+        checked = self.written(self.conform(name, df, at))
         merged = self.merge(name, checked.where(F.size("problems") == 0).drop("problems"), order)
         staged = dict(extra or {})
         if merged is not None:
@@ -250,7 +244,8 @@ class Store:
             self.commit(commit_id, staged)
         return checked.where(F.size("problems") > 0)
 
-    def _written(self, df: DataFrame, name: str = "arrived") -> DataFrame:
+    def written(self, df: DataFrame, name: str = "arrived") -> DataFrame:
+        """``df`` computed once, in the shared scratch folder."""
         path = scratch_path(self.spark, name)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)

@@ -166,7 +166,7 @@ def events_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.avg("value").alias("value"), F.count("value").alias("n"))
 
 
-def raw_gsod_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_gsod_rows(spark: SparkSession, sf_dir: str, *carry: str) -> DataFrame:
     """One GSOD-style row per lineitem (F / inch as text): sentinel 9999.9 temp
     (orderkey % 97), both extremes missing (% 103), 99.99 precip (% 89),
     impossible date Feb 30 (% 101)."""
@@ -183,16 +183,16 @@ def raw_gsod_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(ok % 97 == 0, F.lit("9999.9")).otherwise(t.cast("string")).alias("temp"),
         F.when(gone, F.lit("9999.9")).otherwise((t + F.col("l_linenumber")).cast("string")).alias("max"),
         F.when(gone, F.lit("9999.9")).otherwise((t - F.col("l_linenumber")).cast("string")).alias("min"),
-        F.when(ok % 89 == 0, F.lit("99.99")).otherwise(F.col("l_discount").cast("string")).alias("prcp"),
+        F.when(ok % 89 == 0, F.lit("99.99")).otherwise(F.col("l_discount").cast("string")).alias("prcp"), *carry,
     )
 
 
-def open_meteo_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def open_meteo_documents(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """Open-Meteo style documents: one per (station, month) with parallel daily
     arrays built from the ``open_meteo`` source rows; mean missing on days
     divisible by 5, extremes missing on days divisible by 7.  A document holds
-    at most 31 days (bounded collect)."""
-    s = sourced_daily(spark, sf_dir).where(F.col("source") == "open_meteo")
+    at most 31 days (bounded collect).  ``rows``: other daily rows to spell so."""
+    s = sourced_daily(spark, sf_dir).where(F.col("source") == "open_meteo") if rows is None else rows
     d = F.dayofmonth("obs_date")
     rows = s.select("station_id", "obs_date",
                     F.when(d % 7 == 0, F.lit(None)).otherwise(F.col("tmin_c")).alias("tmin_c"),
@@ -207,3 +207,25 @@ def open_meteo_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform("a", lambda x: x["tmin_c"]).alias("temperature_2m_min"),
         F.transform("a", lambda x: x["tavg_c"]).alias("temperature_2m_mean"),
         F.transform("a", lambda x: x["prcp_mm"]).alias("precipitation_sum")).alias("daily"))
+
+
+# The day from which a landed source has no rows.
+STATION_FILES_END, GSOD_FILES_END, DOCUMENTS_START = "2001-08-01", "2001-09-15", "2001-07-01"
+
+
+def land_files(spark: SparkSession, sf_dir: str, base: str) -> None:
+    """Landed files of every kind under ``base``: registry (JSON array), station files (lines 1-3 of the orders),
+    GSOD files by year (lines 4 and more), documents of the last months."""
+    st = stations(spark, sf_dir).select("station_id", "wban", "name", F.lit(None).cast("string").alias("city"), "lat", "lon")
+    array = st.agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(F.to_json(F.struct(*st.columns)))), ","), F.lit("]")).alias("value"))
+    array.coalesce(1).write.text(f"{base}/registry")  # the dimension
+    day = F.col("l_shipdate").cast("date")
+    raw = raw_station_rows(spark, sf_dir, "l_linenumber", "l_shipdate")
+    first = raw.where((F.col("l_linenumber") <= 3) & (day < F.lit(STATION_FILES_END).cast("date"))).drop("l_linenumber", "l_shipdate")
+    first.withColumn("file", F.col("STATION")).repartition("file").write.partitionBy("file").option("header", True).csv(f"{base}/station_csv")
+    gsod = raw_gsod_rows(spark, sf_dir, "l_linenumber", "l_shipdate").where((F.col("l_linenumber") > 3) & (day < F.lit(GSOD_FILES_END).cast("date")))
+    gsod = gsod.join(st.select("station_id", F.right("wban", F.lit(5)).alias("wban")), "station_id")
+    gsod = gsod.select("wban", "mo", "da", "year", "temp", "max", "min", "prcp").withColumn("file", F.col("year"))
+    gsod.repartition("file").write.partitionBy("file").option("header", True).csv(f"{base}/gsod")
+    recent = daily_series(spark, sf_dir).where(F.col("obs_date") >= F.lit(DOCUMENTS_START).cast("date"))
+    open_meteo_documents(spark, sf_dir, recent).write.json(f"{base}/open_meteo")

@@ -5,8 +5,8 @@ stored rows of the partitions a batch touches are read, unioned with the
 batch, reduced to one row per (station, day) by precedence (authoritative
 beats provisional; within a source the delivery beats the stored row), written
 to a staging folder under the shared checkpoint directory, and only then
-swapped into the table with dynamic partition overwrite -- never reading and
-overwriting the same files in one plan.  The winner doesn't depend on numbers
+swapped into the table by a commit that the next run finishes if it is
+interrupted -- never reading and overwriting the same files in one plan.  The winner doesn't depend on numbers
 of batches, so a stream on a new checkpoint, or a backfill, corrects what
 another run stored; replaying a batch gives the same table, so executor or
 driver loss is recovered by the checkpoint.
@@ -21,58 +21,34 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
+from pyspark.sql import types as T
 
 from solstice.operators.precedence import priority_of
-from solstice.session import scratch_path
-
-
-def _table_exists(spark: SparkSession, path: str) -> bool:
-    """False only where the path is missing or empty; any other read error is raised."""
-    try:
-        spark.read.parquet(path).schema  # noqa: B018
-        return True
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return False
-        raise
+from solstice.sources.store import Store, Table
 
 
 def upsert_partitions(spark: SparkSession, batch: DataFrame, table: str, keys: Sequence[str],
                       partition_cols: Sequence[str], order_desc: Sequence[F.Column] = ()) -> int:
-    """A7 on plain parquet: merge ``batch`` into the touched partitions of ``table``; returns the batch's number of rows.
+    """A7 for a table without a fixed schema: merge ``batch`` into the touched partitions of ``table`` by a commit
+    of the store (see ``sources.store``); returns the batch's number of rows.
 
     Per key the row with the greatest ``order_desc`` (struct order) wins; among
     equals a delivered row beats a stored one, and of several delivered rows the
     one with the greatest other columns stays.  The batch is computed once; the
-    stored side is cut to the batch's partitions by literal bounds, which prune
-    folders, then exactly by a semi join (null partitions included).
+    stored side is cut to the batch's partitions (null partitions included).  A
+    commit that was interrupted is finished first.
     """
-    cols = batch.columns
-    arrived = scratch_path(spark, "upsert-batch")
-    batch.write.parquet(arrived)
-    batch = spark.read.schema(batch.schema).parquet(arrived)
-    bounds = batch.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{t}_{i}") for i, c in enumerate(partition_cols)
-                                                       for t, f in (("lo", F.min), ("hi", F.max))]).first()
-    if not bounds["n"]:
+    base, name = table.rstrip("/").rsplit("/", 1)
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in batch.schema.fields])
+    store = Store(spark, base, {name: Table(schema, tuple(keys), tuple(partition_cols))}, marker=f"_commit-{name}")
+    store.recover()
+    arrived = store.written(batch)
+    merged = store.merge(name, arrived, order_desc)
+    if merged is None:
         return 0
-    both = batch.withColumn("_delivered", F.lit(1))
-    if _table_exists(spark, table):
-        old = spark.read.parquet(table)
-        for i, c in enumerate(partition_cols):
-            old = old.where(F.col(c).isNull() | F.col(c).between(F.lit(bounds[f"lo_{i}"]), F.lit(bounds[f"hi_{i}"])))
-        touched = batch.select(*[F.col(c).alias(f"_t{i}") for i, c in enumerate(partition_cols)]).distinct()
-        same = [F.col(c).eqNullSafe(F.col(f"_t{i}")) for i, c in enumerate(partition_cols)]
-        old = old.join(touched, same, "left_semi").select(*cols)
-        both = old.withColumn("_delivered", F.lit(0)).unionByName(both)
-    rest = [c for c in cols if c not in keys]
-    best = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order_desc, "_delivered", *rest)).alias("_b")).select(
-        *keys, *[F.col(f"_b.{c}").alias(c) for c in rest]).select(*cols)
-    staging = scratch_path(spark, "upsert-staging")
-    best.hint("rebalance", *partition_cols).write.mode("overwrite").partitionBy(*partition_cols).parquet(staging)
-    (spark.read.schema(best.schema).parquet(staging).select(*cols).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(*partition_cols).parquet(table))
-    return bounds["n"]
+    staged = store.stage(name, merged.select(*schema.names))
+    store.commit(staged.rsplit("/", 1)[-1], {name: staged})
+    return arrived.count()
 
 
 def precedence_order() -> list:

@@ -31,7 +31,7 @@ from pyspark.sql.streaming import StreamingQuery
 from solstice.operators.clean import clean_station_daily
 from solstice.operators.precedence import priority_of
 from solstice.plans.insights import latest_insights
-from solstice.schemas import AUTHORITATIVE_SOURCES, LATEST_WINDOWS, SOURCE_PRIORITY
+from solstice.schemas import AUTHORITATIVE_SOURCES, LATEST_WINDOWS
 from solstice.session import scratch_path
 from solstice.sources.store import Store
 
@@ -65,7 +65,7 @@ def _in_bounds(rows: DataFrame, coverage: DataFrame) -> DataFrame:
     return j.where(F.when(auth, old_enough).otherwise(F.coalesce(after, F.lit(False)))).drop("_start", "_new")
 
 
-def _coverage_change(merged: DataFrame) -> DataFrame:
+def coverage_change(merged: DataFrame) -> DataFrame:
     """Per station: the coverage columns as differences (counts) and bounds (dates), and the rows written by source."""
     new = F.col("before").isNull()
     gained = lambda c: F.sum(F.col(c).isNotNull().cast("long") - F.col(f"before.{c}").isNotNull().cast("long"))
@@ -86,25 +86,19 @@ def _ingest(store: Store, batch: DataFrame, run_id: str, n: int, stations: DataF
     rows = store.spark.read.schema(rows.schema).parquet(arrived)
 
     accepted = store.conform("daily", _in_bounds(rows.where("problem is null"), store.read("coverage")), at)
-    good = store._written(accepted)
+    good = store.written(accepted)
     merged = store.merge("daily", good.where(F.size("problems") == 0), [-priority_of(F.col("source"))])
     bad = rows.where("problem is not null").select("station_id", "problem", "row")
     broken = good.where(F.size("problems") > 0).select("station_id", F.array_join("problems", "; ").alias("problem"), F.lit(None).cast("string").alias("row"))
-    staged = {}
+    staged, change = {}, None
     quarantine = bad.unionByName(broken).select(F.lit(run_id).alias("run_id"), F.lit(n).cast("long").alias("batch"), "station_id", "problem", "row")
-    errors = quarantine.groupBy("station_id", "problem").agg(F.count(F.lit(1)).alias("k")).groupBy("station_id").agg(
-        F.array_sort(F.collect_list(F.concat_ws(": ", "problem", "k"))).alias("errors"))  # a station has a few reasons
     if merged is not None:
         staged["daily"] = store.stage("daily", merged)
         merged = store.spark.read.parquet(staged["daily"])
-        change = store._written(_coverage_change(merged))
-        staged["coverage"] = store.stage("coverage", _coverage(store, change))
-    else:
-        change = store.spark.createDataFrame([], "station_id string, rows long, source string")
-    names = F.array_join(F.transform(F.split("source", r"\+"), lambda s: F.substring_index(s, ":", -1)), "+")
-    ledger = change.select("station_id", "rows", names.alias("source")).join(errors, "station_id", "full").select(
-        F.lit(run_id).alias("run_id"), F.lit(n).cast("long").alias("batch"), F.lit("ingest").alias("step"), "station_id",
-        F.coalesce("rows", F.lit(0)).cast("long").alias("rows"), "source", F.coalesce("errors", F.array().cast("array<string>")).alias("errors"),
+        change = store.written(coverage_change(merged))
+        staged["coverage"] = store.stage("coverage", coverage_rows(store, change))
+    ledger = ledger_rows(store.spark, change, quarantine).select(
+        F.lit(run_id).alias("run_id"), F.lit(n).cast("long").alias("batch"), F.lit("ingest").alias("step"), "station_id", "rows", "source", "errors",
         F.lit(at).cast("timestamp").alias("at"))
     staged["ledger"] = store.stage("ledger", ledger)
     seen = counts.get
@@ -114,7 +108,20 @@ def _ingest(store: Store, batch: DataFrame, run_id: str, n: int, stations: DataF
     return seen
 
 
-def _coverage(store: Store, change: DataFrame) -> DataFrame:
+def ledger_rows(spark: SparkSession, change: DataFrame | None, bad: DataFrame) -> DataFrame:
+    """Per station: rows written and their sources (by precedence, joined by +), and the rejected rows by reason."""
+    errors = bad.groupBy("station_id", "problem").agg(F.count(F.lit(1)).alias("k")).groupBy("station_id").agg(
+        F.array_sort(F.collect_list(F.concat_ws(": ", "problem", "k"))).alias("errors"))  # a station has a few reasons
+    if change is None:
+        change = spark.createDataFrame([], "station_id string, rows long, source string")
+    names = F.array_join(F.transform(F.split("source", r"\+"), lambda s: F.substring_index(s, ":", -1)), "+")
+    both = change.select("station_id", "rows", names.alias("source")).withColumnRenamed("station_id", "_s").join(
+        errors, F.col("_s").eqNullSafe(F.col("station_id")), "full")
+    return both.select(F.coalesce("station_id", "_s").alias("station_id"), F.coalesce("rows", F.lit(0)).cast("long").alias("rows"), "source",
+                       F.coalesce("errors", F.array().cast("array<string>")).alias("errors"))
+
+
+def coverage_rows(store: Store, change: DataFrame) -> DataFrame:
     """New content of the coverage folders of the changed stations: the old state plus the change."""
     cols = store.tables["coverage"].schema.names
     new = store.conform("coverage", change.select(*cols)).drop("problems")
@@ -131,10 +138,10 @@ def _insights(store: Store, run_id: str, n: int, as_of: str, at: str, windows: S
     touched = mine.select("station_id")
     since = int(as_of[:4]) - BASELINE
     history = store.read("daily").where(F.col("obs_month") >= since * 100 + 1).join(touched, "station_id", "left_semi")
-    series = store._written(history.select("station_id", "obs_date", "tavg_c"), "refresh-series")  # read by the as-of search and the baseline
+    series = store.written(history.select("station_id", "obs_date", "tavg_c"), "refresh-series")  # read by the as-of search and the baseline
     stored = store.read("climatology")
     rows = latest_insights(series, as_of, windows=windows, since_year=since, stored_climatology=stored)
-    checked = store._written(store.conform("latest_insight", rows, at), "refresh-insights")
+    checked = store.written(store.conform("latest_insight", rows, at), "refresh-insights")
     good = checked.where(F.size("problems") == 0)
     merged = store.merge("latest_insight", good)
     per_station = good.groupBy("station_id").agg(F.count(F.lit(1)).alias("rows"))
@@ -182,5 +189,3 @@ def run_totals(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("run_id", "batch", "step").agg(
         F.count_if(F.col("rows") > 0).alias("stations"), F.sum("rows").alias("rows"), F.count_if(F.size("errors") > 0).alias("stations_with_errors"))
 
-
-__all__ = ["refresh_batch", "run_totals", "start_refresh", "SOURCE_PRIORITY"]

@@ -10,7 +10,7 @@ from solstice.operators.precedence import calendar_gaps
 from solstice.operators.rolling import rolling
 from solstice.operators.spatial import nearby
 from solstice.plans.period import period_bands, period_verdicts
-from solstice.streaming.ingest import _table_exists
+from solstice.sources.store import exists
 
 
 def test_wide_and_polar_boxes_equal_the_plain_box(spark):
@@ -75,11 +75,11 @@ def test_the_last_delivery_wins_and_other_months_keep_their_files(spark, tmp_pat
 
 
 def test_only_a_missing_table_is_absent(spark, tmp_path):
-    assert not _table_exists(spark, f"{tmp_path}/none")
+    assert not exists(spark, f"{tmp_path}/none")
     (tmp_path / "bad").mkdir()
     (tmp_path / "bad" / "part-0.parquet").write_bytes(b"not parquet at all")
     with pytest.raises(Exception):
-        _table_exists(spark, f"{tmp_path}/bad")
+        exists(spark, f"{tmp_path}/bad")
 
 
 def test_station_files_are_read_by_column_name(spark, tmp_path):
