@@ -548,9 +548,9 @@ def _records_core(metrics, windows, src="obs", frame="rows_nonnull", value_expr=
   WHERE rn = 1)""")
 
 
-def _j2_for(windows, since=None):
+def _j2_for(windows, since=None, metrics=("tavg_c",), record_metrics=("tavg_c",)):
     where = f" WHERE obs_date >= DATE '{since}-01-01'" if since else ""
-    clim = clim_sql(rolled_sql(long_of("obs", ["tavg_c"]) + where, windows, "rows_nonnull"))
+    clim = clim_sql(rolled_sql("SELECT * FROM lgm" + where, windows, "rows_nonnull"))
     if since:
         cov = f"""cov AS (SELECT station_id, COUNT(DISTINCT CASE WHEN year(obs_date) >= {since} THEN year(obs_date) END) AS cy,
                    COALESCE(MIN(CASE WHEN year(obs_date) >= {since} THEN year(obs_date) END), {since}) AS fy FROM obs GROUP BY 1)"""
@@ -562,33 +562,39 @@ def _j2_for(windows, since=None):
         sev = _severity_sql('pct', cov_ratio='coverage_ratio', cov_years='cyears')
     parts = []
     for w in windows:
-        spec = (f"(PARTITION BY station_id ORDER BY obs_date RANGE BETWEEN INTERVAL {w - 1} DAYS PRECEDING AND CURRENT ROW)")
-        parts.append(f"""SELECT station_id, 'tavg_c' AS metric_id, obs_date AS end_date, {w} AS window_days,
-            {R(f'AVG(tavg_c) OVER {spec}', 4)} AS value, COUNT(tavg_c) OVER {spec} AS n_valid,
-            {R(f'COUNT(tavg_c) OVER {spec} / {w}', 4)} AS coverage_ratio FROM obs""")
-    recs = _records_core(["tavg_c"], windows)
+        spec = (f"(PARTITION BY station_id, metric_id ORDER BY obs_date RANGE BETWEEN INTERVAL {w - 1} DAYS PRECEDING AND CURRENT ROW)")
+        parts.append(f"""SELECT station_id, metric_id, obs_date AS end_date, {w} AS window_days,
+            {R(f'AVG(value) OVER {spec}', 4)} AS value, COUNT(value) OVER {spec} AS n_valid,
+            {R(f'COUNT(value) OVER {spec} / {w}', 4)} AS coverage_ratio FROM lgm""")
+    recs = _records_core(record_metrics, windows)
     body = with_(
-        OBS, f"cw AS (SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE n_valid > 0)", f"clim AS ({clim})", *recs,
+        OBS, f"lgm AS ({long_of('obs', metrics)})", f"cw AS (SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE n_valid > 0)", f"clim AS ({clim})", *recs,
         cov,
         f"""hl AS (SELECT station_id, metric_id, window_days,
                   MAX(CASE WHEN record_type = 'highest' THEN {R('value', 4)} END) AS hi,
-                  MAX(CASE WHEN record_type = 'lowest' THEN {R('value', 4)} END) AS lo FROM recs GROUP BY 1, 2, 3)""",
+                  MAX(CASE WHEN record_type = 'lowest' THEN {R('value', 4)} END) AS lo,
+                  MAX(CASE WHEN record_type = 'highest' THEN start_date END) AS hi_start, MAX(CASE WHEN record_type = 'highest' THEN end_date END) AS hi_end,
+                  MAX(CASE WHEN record_type = 'lowest' THEN start_date END) AS lo_start, MAX(CASE WHEN record_type = 'lowest' THEN end_date END) AS lo_end
+           FROM recs GROUP BY 1, 2, 3)""",
         f"""j AS (SELECT cw.*, c.p02, c.p10, c.p25, c.p50, c.p75, c.p90, c.p98, c.n_samples, c.first_year AS qfy,
                   COALESCE(cov.cy, 0) AS cyears, {first} AS first_y,
                   CASE WHEN hl.hi IS NOT NULL AND cw.value >= hl.hi THEN 'highest'
                        WHEN hl.lo IS NOT NULL AND cw.value <= hl.lo THEN 'lowest' END AS record_type,
-                  {_pct_sql('cw.value', 'c.')} AS pct
+                  hi, lo, hi_start, hi_end, lo_start, lo_end, {_pct_sql('cw.value', 'c.')} AS pct
            FROM cw LEFT JOIN clim c ON c.station_id = cw.station_id AND c.window_days = cw.window_days
-                   AND c.end_doy = dayofyear(cw.end_date)
+                   AND c.metric_id = cw.metric_id AND c.end_doy = dayofyear(cw.end_date)
            LEFT JOIN cov ON cov.station_id = cw.station_id
-           LEFT JOIN hl ON hl.station_id = cw.station_id AND hl.window_days = cw.window_days)""",
+           LEFT JOIN hl ON hl.station_id = cw.station_id AND hl.window_days = cw.window_days AND hl.metric_id = cw.metric_id)""",
         f"""k AS (SELECT *, {sev} AS severity, {_direction_sql('pct', 'metric_id')} AS direction FROM j)""")
     return body + f"""
 SELECT station_id, end_date, window_days, metric_id AS metric,
        {_primary_sql('window_days', 'severity', 'direction', 'record_type')} AS primary_statement,
        {_supporting_sql('window_days', 'pct', 'direction', 'cyears', 'first_y', *line)} AS supporting_line,
        {R('value', 2)} AS value, severity, {R('pct', 1)} AS percentile, p25, p75, CAST(cyears AS INTEGER) AS coverage_years,
-       CAST(first_y AS INTEGER) AS first_year, coverage_ratio, n_samples, record_type
+       CAST(first_y AS INTEGER) AS first_year, coverage_ratio, n_samples, record_type,
+       CASE record_type WHEN 'highest' THEN hi WHEN 'lowest' THEN lo END AS record_value,
+       CASE record_type WHEN 'highest' THEN hi_start WHEN 'lowest' THEN lo_start END AS record_start,
+       CASE record_type WHEN 'highest' THEN hi_end WHEN 'lowest' THEN lo_end END AS record_end
 FROM k"""
 
 
@@ -597,6 +603,8 @@ def _j2():
 
 
 Q["j2_window_insight"] = _j2()
+Q["j2_window_insight_windows"] = _j2_for(CLIMATOLOGY_WINDOWS)
+Q["j2_window_insight_metrics"] = _j2_for(J2_WINDOWS, None, METRICS, ("tavg_c", "tmax_c", "tmin_c"))
 Q["j2_window_insight_since"] = _j2_for(J2_WINDOWS, 1997)
 
 

@@ -174,6 +174,29 @@ def window_at(series: DataFrame, ends: DataFrame, value: str = "value",
                       "value", "n_valid", (F.col("n_valid") / F.col("window_days")).alias("coverage_ratio"))
 
 
+def _running(values: Sequence[str], keys: Sequence[str], date: str) -> Column:
+    """One struct per row: the exact running sum and count of every value of the series up to the row.
+
+    For several values in one pass: one lag of the struct serves all of them (see ``prefix_stage`` for a single value).
+    """
+    run = Window.partitionBy(*keys).orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
+    zero = F.lit(0).cast(_EXACT)
+    return F.struct(*[c for i, v in enumerate(values) for c in (
+        F.coalesce(F.sum(F.col(v).cast(_EXACT)).over(run), zero).alias(f"s{i}"), F.count(v).over(run).alias(f"c{i}"))])
+
+
+def _before(run: str, windows: Sequence[int], keys: Sequence[str], date: str) -> Column:
+    """Per window size its number of rows and the running struct just before the window (null: the series begins in it)."""
+    o = Window.partitionBy(*keys).orderBy(date)
+    return F.array(*[F.struct(F.lit(w).alias("window_days"), F.lag(run, w).over(o).alias("p")) for w in windows])
+
+
+def _sum_and_count(i: int, run: str = "_run", before: str = "_w.p") -> tuple[Column, Column]:
+    """Sum and count of value ``i`` in the window of an exploded row."""
+    s = F.col(f"{run}.s{i}") - F.coalesce(F.col(f"{before}.s{i}"), F.lit(0).cast(_EXACT))
+    return s, F.col(f"{run}.c{i}") - F.coalesce(F.col(f"{before}.c{i}"), F.lit(0))
+
+
 def recent_windows(daily: DataFrame, windows: Sequence[int], lookback_days: int = 400,
                    key: str = "station_id", date: str = "obs_date") -> DataFrame:
     """For every end date in the last ``lookback_days`` of each station, all
@@ -190,26 +213,15 @@ def recent_windows(daily: DataFrame, windows: Sequence[int], lookback_days: int
     src = daily.select(key, date, *[_number(m).alias(m) for m in ("tavg_c", "tmin_c", "tmax_c", "prcp_mm")]).join(last, key).where(
         F.col(date) >= F.date_sub("_last", lookback_days + wmax))
     src = cluster_by_series(src, [key])
-    ks = [key]
-    for m in ("tavg_c", "tmin_c", "tmax_c", "prcp_mm"):
-        src = prefix_stage(src, m, ks, date, tag=m)
-    o = Window.partitionBy(key).orderBy(date)
-    cols = []
-    for i, w in enumerate(windows):
-        cc = F.col("_cctavg_c")
-        cnt = cc - F.coalesce(F.lag(cc, w).over(o), F.lit(0))
-        cols.append(F.struct(
-            F.lit(w).alias("window_days"),
-            prefix_window("tavg_c", ks, date, w, "rows_partial", tag="tavg_c").alias("tavg_c_mean"),
-            prefix_window("tmin_c", ks, date, w, "rows_partial", tag="tmin_c").alias("tmin_c_mean"),
-            prefix_window("tmax_c", ks, date, w, "rows_partial", tag="tmax_c").alias("tmax_c_mean"),
-            prefix_window("prcp_mm", ks, date, w, "rows_partial", "sum", tag="prcp_mm").alias("prcp_mm_sum"),
-            (cnt / F.lit(float(w))).alias("coverage_ratio")).alias(f"_w{i}"))
-    staged = src.select(key, date, "_last", *cols)
-    out = staged.select(key, date, "_last",
-                        F.explode(F.array(*[F.col(f"_w{i}") for i in range(len(windows))])).alias("_w")).where(
-        F.col(date) >= F.date_sub("_last", lookback_days))
+    metrics = ("tavg_c", "tmin_c", "tmax_c", "prcp_mm")
+    staged = src.withColumn("_run", _running(metrics, [key], date)).select(
+        key, date, "_last", "_run", _before("_run", windows, [key], date).alias("_a"))
+    out = staged.where(F.col(date) >= F.date_sub("_last", lookback_days)).select(key, date, "_run", F.explode("_a").alias("_w"))
+    values = []
+    for i, (m, agg) in enumerate(zip(metrics, ("mean", "mean", "mean", "sum"))):
+        total, count = _sum_and_count(i)
+        values.append(F.when(count > 0, (total if agg == "sum" else total / count).cast("double")).alias(f"{m}_{agg}"))
     return out.select(
         key, F.col("_w.window_days").alias("window_days"), F.col(date).alias("end_date"),
         F.date_sub(F.col(date), F.col("_w.window_days") - 1).alias("start_date"),
-        "_w.tavg_c_mean", "_w.tmin_c_mean", "_w.tmax_c_mean", "_w.prcp_mm_sum", "_w.coverage_ratio")
+        *values, (_sum_and_count(0)[1] / F.col("_w.window_days").cast("double")).alias("coverage_ratio"))

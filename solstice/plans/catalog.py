@@ -294,6 +294,24 @@ def q_window_insight(spark, sf):
     return window_insights(d, clim, recs, COV.station_coverage(d), J2_WINDOWS)
 
 
+def _window_insight(spark, sf, windows, metrics):
+    d = T.daily_series(spark, sf)
+    recs = all_time_extremes(to_long(d, [m for m in metrics if m in RECORD_METRICS]), windows)
+    return window_insights(d, _stored_climatology(spark, sf, metrics, windows), recs, COV.station_coverage(d), windows, metrics)
+
+
+@register("j2_window_insight_windows")
+def q_window_insight_windows(spark, sf):
+    """J2 over all windows that have a climatology."""
+    return _window_insight(spark, sf, CLIMATOLOGY_WINDOWS, ("tavg_c",))
+
+
+@register("j2_window_insight_metrics")
+def q_window_insight_metrics(spark, sf):
+    """J2 over all metrics."""
+    return _window_insight(spark, sf, J2_WINDOWS, METRICS)
+
+
 @register("j2_window_insight_since")
 def q_window_insight_since(spark, sf):
     """J2 against the years since 1997 (D7 climatology, D4 coverage)."""

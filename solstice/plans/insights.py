@@ -17,7 +17,7 @@ from solstice.functions.text import primary_statement, supporting_line
 from solstice.operators.asof import latest_window
 from solstice.operators.climatology import climatology
 from solstice.operators.records import record_check
-from solstice.operators.rolling import rolling, since_filter
+from solstice.operators.rolling import calendar_windows, rolling, since_filter, to_long
 from solstice.schemas import DOY_HALFWIDTH, LATEST_WINDOWS, QUANTILE_NAMES
 
 
@@ -81,19 +81,19 @@ def latest_insights(series: DataFrame, as_of: str, metric: str = "tavg_c",
 
 
 def window_insights(series: DataFrame, climatology_table: DataFrame, records: DataFrame, coverage: DataFrame,
-                    windows: Sequence[int], metric: str = "tavg_c", low_tail: str = "ratio",
+                    windows: Sequence[int], metric: str | Sequence[str] = "tavg_c", low_tail: str = "ratio",
                     halfwidth: int = DOY_HALFWIDTH, since_year: int | None = None,
                     baseline: DataFrame | None = None, current_year: int | None = None) -> DataFrame:
     """J2 for every (station, existing date, window) at once, default baseline
     (stored climatology, station coverage years, both downgrades, record check).
 
-    ``climatology_table``: D5 rows; ``records``: D10 rows; ``coverage``: D2 rows.
+    ``metric``: one or several; ``climatology_table``: D5 rows; ``records``: D10
+    rows (a metric without any has no record check); ``coverage``: D2 rows.
     With ``since_year`` the climatology is that baseline's (D7), ``baseline`` its
     D4 rows, which give coverage years and first year, and a short history
     does not downgrade; the statement names ``since_year`` to ``current_year``.
     """
-    from solstice.operators.rolling import calendar_windows
-    long = series.select("station_id", "obs_date", F.lit(metric).alias("metric_id"), F.col(metric).alias("value"))
+    long = to_long(series, [metric] if isinstance(metric, str) else list(metric))
     cw = calendar_windows(long, windows).where(F.col("n_valid") > 0).withColumn(
         "value", sround(F.col("value"), 4)).withColumn("coverage_ratio", sround(F.col("coverage_ratio"), 4))
     keys = ["station_id", "metric_id", "window_days"]
@@ -127,7 +127,7 @@ def window_insights(series: DataFrame, climatology_table: DataFrame, records: Da
         sround(F.col("value"), 2).alias("value"), "severity", sround(F.col("_pct"), 1).alias("percentile"),
         F.col("_q.p25").alias("p25"), F.col("_q.p75").alias("p75"),
         F.col("_cyears").cast("int").alias("coverage_years"), F.col("_first").cast("int").alias("first_year"),
-        "coverage_ratio", F.col("_q.n_samples").alias("n_samples"), "record_type")
+        "coverage_ratio", F.col("_q.n_samples").alias("n_samples"), "record_type", "record_value", "record_start", "record_end")
 
 
 def window_series(series: DataFrame, climatology_table: DataFrame, window_days: int, metric: str = "tavg_c",

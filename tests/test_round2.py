@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from solstice.operators.precedence import calendar_gaps
-from solstice.operators.rolling import rolling
+from solstice.operators.rolling import calendar_windows, rolling, window_at
 from solstice.operators.spatial import nearby
 from solstice.plans.period import period_bands, period_verdicts
 from solstice.sources.store import exists
@@ -33,6 +33,11 @@ def test_a_nan_day_is_a_missing_day(spark):
     df = spark.createDataFrame(rows, "station_id string, metric_id string, obs_date date, value double")
     got = {r.obs_date.day: r.value for r in rolling(df, [2], "rows_nonnull").collect()}
     assert got == {3: 2.0, 4: 4.0}
+    got = {r.end_date.day: (r.value, r.n_valid) for r in calendar_windows(df, [2]).collect()}
+    assert got == {1: (1.0, 1), 2: (1.0, 1), 3: (3.0, 1), 4: (4.0, 2)}
+    ends = spark.createDataFrame([("a", "m", dt.date(2024, 1, d), 2) for d in (2, 3)], "station_id string, metric_id string, end_date date, window_days int")
+    got = {r.end_date.day: (r.value, r.n_valid) for r in window_at(df, ends, keys=("station_id", "metric_id")).collect()}
+    assert got == {2: (1.0, 1), 3: (3.0, 1)}
 
 
 def test_two_periods_of_a_station_stay_apart(spark):
