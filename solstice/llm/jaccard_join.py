@@ -231,6 +231,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = (rows.filter("size > 0").groupBy("f").agg(
         F.min(F.struct("id0", "tkey")).alias("rep"), F.first("size").alias("size"), F.first("counted").alias("counted"))
         .select("f", "rep.id0", "rep.tkey", "size", "counted"))
+    classes = stored(classes, "classes")  # read by four plans: a few numbers a class
     lists = stored(_prefix_lists(base, classes, n, percent), "lists")
     wanted = classes.join(lists.select("f").distinct(), "f", "left_semi").select("f", "size", "id0", "tkey")
     packed = wanted.join(base, ["id0", "tkey"]).dropDuplicates(["f"]).select("f", "size", "text")
@@ -255,7 +256,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             & (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.big")) | (F.col("x.f") < F.col("y.f"))) & _may_link(percent))
             .select(F.least("x.f", "y.f").alias("u"), F.greatest("x.f", "y.f").alias("v")).distinct())
     edges = first.union(_links(rest, sets, percent))
-    found = components(edges)
+    found = stored(components(edges), "found")  # read twice
 
     # Names of the components, then back to the rows.
     ids = classes.select("f", "id0", "tkey").join(found.withColumnRenamed("node", "f"), "f")

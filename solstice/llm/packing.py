@@ -48,7 +48,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tokenizers import Tokenizer
 
 from solstice.llm import words as W
 from solstice.llm.graph import stored
@@ -101,6 +100,8 @@ class Encoder:
     """Text -> bytes of its ids (little-endian, 32 bits each)."""
 
     def __init__(self, json: str, max_words: int = 1 << 19):
+        from tokenizers import Tokenizer  # only workers need the library
+
         self.library = Tokenizer.from_str(json)
         self.library.encode_special_tokens = True  # their spelling in a text is text
         self.model = self.library.model

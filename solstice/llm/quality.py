@@ -251,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.record_batch({"key": b.column("key"), "y": b.column("y"), "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
     texts = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(kept), "key").select("key", "y", "text").mapInArrow(run, "key long, y int, x binary").collect()
+    rows = texts.join(F.broadcast(kept), "key").select("key", "y", "text").mapInArrow(W.giving_back(run), "key long, y int, x binary").collect()
     rows.sort(key=lambda r: (r.key, r.y, r.x))
     x = np.array([np.frombuffer(r.x) for r in rows]).reshape(len(rows), FEATURES)
     y = np.array([r.y for r in rows], dtype=np.float64)
