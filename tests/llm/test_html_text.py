@@ -1,6 +1,7 @@
 import html
 import math
 import re
+import time
 
 import pytest
 
@@ -65,3 +66,44 @@ def test_table_equals_the_article_element(spark):
         parts = re.split(r"</?(?:p|h1)>", m.group(1).replace("<br>", " "))
         want = [" ".join(html.unescape(re.sub(r"</?b>", "", x)).split()) for x in parts]
         assert r.text == "\n".join(x for x in want if x), r.page_id
+
+
+LONG = "".join(f"<p>{'a paragraph of the article itself ' * 12}{i}</p>" for i in range(3))
+
+
+@pytest.mark.parametrize("name", ["layout no-sidebar", "post-header", "entry menu-open", "share-enabled main-wrap", "content has-comments", "with-sidebar", "content-sidebar-wrap",
+                                  "page layout--sidebar", "post comments-open", "entry ad-free", "search-results", "post__header", "without_banner", "hasSidebar"])
+def test_wrappers_that_only_mention_a_part_stay(name):
+    for attribute in ("class", "id"):
+        got = H.extract(f'<body><nav>menu</nav><div {attribute}="{name}"><h1>Title</h1>{LONG}</div><div class="ad">buy</div></body>')
+        assert got.split("\n")[0] == "Title" and len(got.split("\n")) == 4, got[:80]
+
+
+@pytest.mark.parametrize("name", ["sidebar", "left-sidebar", "sidebar-left", "cookie-banner", "site-header", "siteHeader", "post-comments", "comments-area", "comment-list", "related-posts", "ad-slot-1",
+                                  "widget_area", "newsletter-signup", "side-bar", "footer--dark", "nav-links", "social share-buttons", "article-footer", "post-navigation", "adsbygoogle", "page pop-up"])
+def test_parts_that_are_no_article_go(name):
+    page = f'<body><div class="post"><h1>Title</h1>{LONG}<div class="{name}"><p>{"not the article at all " * 30}</p></div></div></body>'
+    got = H.extract(page)
+    assert "not the article" not in got and len(got.split("\n")) == 4
+
+
+def test_headers_and_titles():
+    assert H.extract(f"<article><header><h1>Title</h1></header>{LONG}</article>").startswith("Title\na paragraph")
+    assert H.extract(f"<header><h1>Site</h1></header><article>{LONG}</article>").startswith("a paragraph")
+    assert H.extract(f'<div class="site"><h1><a href="/">Site</a></h1><div class="post"><div class="post-header"><h1>Title</h1></div><div class="post-body">{LONG}</div></div></div>').startswith("Title\na par")
+    assert H.extract(f'<div class="widget"><main><h1>Title</h1>{LONG}</main></div>').startswith("Title\na paragraph")
+    assert "chatty" not in H.extract(f'<div>{LONG}</div><article class="comment"><p>{"chatty reader " * 300}</p></article>')
+
+
+def test_pages_without_article_elements_give_the_same(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    for r in pages.collect():
+        plain = re.sub(r"<(/?)(?:article|main)\b", r"<\1div", r.html)
+        assert H.extract(plain) == H.extract(r.html), r.page_id
+
+
+def test_stray_ends_and_many_parts_take_linear_time():
+    start = time.monotonic()
+    assert H.extract("<div>" * 2000 + "</b>" * 100_000 + "x") == "x"
+    assert len(H.extract("<div>" * 10_000 + "<p>a</p>" * 20_000).split("\n")) == 20_000
+    assert time.monotonic() - start < 20
