@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,3 +105,60 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert pii.train(empty) is None
     assert pii.find(empty, None).collect() == []
+
+
+def _features_of(tree):
+    return set() if "leaf" in tree else {tree["feature"]} | _features_of(tree["low"]) | _features_of(tree["high"])
+
+
+def test_trees_use_format_and_context(model):
+    used = set().union(*[_features_of(t) for t in model["trees"]])
+    assert used & {"cue", "before", "after"} and used & {"blanks", "plus", "paren", "bracket", "signs"}
+    assert "passes" not in pii.FEATURES
+
+
+def test_prose_and_digit_groups_stay(spark, model):
+    stay = ["We sold 5 @ store. Then we left", "cell counts 123 456 7890 in all", "3 @ home. And 4 @ work. So on", "order no-123-456-7890x, lot 555 123 4567",
+            "ratio 100 200 3000 and 999-888-7777", "id a4532 0151 1283 0366b"]
+    go = ["mail joe [at] host [dot] com now", "write to ann(at)example(dot)org", "call 269-555-3296 today", "phone: (269) 555-3296.", "host 10[.]0[.]0[.]7 is down"]
+    df = spark.createDataFrame(list(enumerate(stay + go)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find(df, model).select("doc_id", "text", pii.spelled(F.col("spans")).alias("s"), F.size("base_spans").alias("b")).collect()}
+    for i, text in enumerate(stay):
+        base = brute(text)
+        assert got[i].b == len(base) and got[i].s.count(":") == 2 * len(base), (text, got[i].s)
+    for i, text in enumerate(go, len(stay)):
+        assert got[i].b == 0 and got[i].s, text
+    red = {r.doc_id: r.text for r in pii.redact(pii.find(df, model)).collect()}
+    assert [red[i] for i in range(len(stay)) if got[i].b == 0] == [t for i, t in enumerate(stay) if got[i].b == 0]
+    assert red[len(stay)] == "mail [EMAIL] now" and red[len(stay) + 2] == "call [PHONE] today"
+
+
+def test_a_text_with_very_many_spans(spark, model):
+    n = 20_000
+    text = "".join(f"é mail u{i}@host.org or call 269-555-{i % 10000:04d}; " for i in range(n))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.monotonic()
+    r = pii.redact(pii.find(df, model)).select("text", F.size("base_spans").alias("b")).first()
+    assert r.b == n and r.text == "é mail [EMAIL] or call [PHONE]; " * n
+    assert time.monotonic() - start < 120
+
+
+def test_redaction_across_blocks_of_characters(spark):
+    rng = random.Random(3)
+    rows = []
+    for _ in range(60):
+        text = "".join(rng.choice("aé日👍 ") for _ in range(rng.randrange(1, 4000)))
+        cuts = sorted(rng.sample(range(len(text) + 1), min(len(text) + 1, rng.randrange(0, 14))))
+        rows.append((text, sorted((a, rng.randrange(4), min(len(text), a + rng.randrange(1, 900))) for a in cuts if a < len(text))))
+    df = spark.createDataFrame(rows, "text string, spans array<struct<start:int,kind:int,end:int>>").withColumn("raw", F.col("text"))
+    for r in pii.redact(df).collect():
+        out, at = "", 0
+        merged = []
+        for a, k, z in (tuple(x) for x in r.spans):
+            if merged and merged[-1][2] > a:
+                merged[-1][2] = max(merged[-1][2], z)
+            else:
+                merged.append([a, k, z])
+        for a, k, z in merged:
+            out, at = out + r.raw[at:a] + f"[{pii.KINDS[k].upper()}]", z
+        assert r.text == out + r.raw[at:]
