@@ -2,12 +2,16 @@
 
 * **Fixed rules** (verdict, host, path) fit their host and its subdomains where
   the url's path starts with the rule's; the longest fitting rule decides.
+* **Labels** (``labelled``).  A url that a fixed rule fits is bad or good by that
+  rule's verdict; another one takes the given label of its page, if there is one.
 * **Mined rules.**  A labelled url is a transaction of its tokens (top-level
   domain, site, subdomain, host words, directories, extension, query names,
   fragment) and its label.  Spark's FP-growth finds token combinations that
   often come with a bad label.  Kept are the rules with enough bad
   urls (a number, not a share of the table) and confidence, whose lower (Wilson)
   bound is above the share of bad urls of the table, and whose confidence no rule on fewer of their tokens reaches.
+  A rule must also hold where no surer one matches: one whose confidence is only
+  that of a narrower rule's urls goes (database coverage, repeated until none goes).
 * **Inverted index.**  A row for each (token, rule).  The distinct urls' tokens
   join it; a rule matches where the url holds all of its tokens.  A url that a
   mined rule matches is blocked.
@@ -16,9 +20,11 @@ A hot host or url is reduced to distinct urls before tokens are dealt; mined
 rules are joined, not collected.
 
 Defined cases: a null url, or one without ``://``: empty host and path, no
-tokens, allowed unless labelled tokens say otherwise (there are none).  Without
-bad labels nothing is mined.  Repeated rows each get their result; other
-columns are ignored; an empty table gives an empty result.
+tokens, allowed unless labelled tokens say otherwise (there are none).  A null
+page id is carried and has no given label; of several labels of a page one bad
+one suffices.  Urls of any length are read whole.  Without bad labels nothing is
+mined.  Repeated rows each get their result; other columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -74,6 +80,16 @@ def tokens_of(url: Column) -> Column:
     return F.when(host != "", F.array_distinct(F.when(n > 0, every).otherwise(tagged("dir", dirs)))).otherwise(F.array().cast("array<string>"))
 
 
+def labelled(pages: DataFrame, fixed: Sequence[tuple[str, str, str]], given: DataFrame, id_col: str = "page_id", url_col: str = "url",
+             bad_col: str = "bad") -> DataFrame:
+    """id, url, bad of the pages with a known answer: the verdict of the fixed rule that fits, else ``given``'s label (id, bad)."""
+    _, verdict = fitting_rule(host_of(F.col(url_col)), path_of(F.col(url_col)), fixed)
+    one = given.groupBy(F.col(id_col).alias("_id")).agg(F.max(bad_col).alias("_given"))
+    rows = pages.select(id_col, url_col).join(one, F.col(id_col) == F.col("_id"), "left")
+    known = F.when(verdict.isNotNull(), verdict == "block").otherwise(F.col("_given"))
+    return rows.select(id_col, url_col, known.alias(bad_col)).filter(F.col(bad_col).isNotNull())
+
+
 def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad",
          support: float = 0.0, confidence: float = MIN_CONFIDENCE, urls: int = MIN_URLS) -> DataFrame:
     """rule (number), tokens, support, confidence of the mined rules; ``bad_col`` is a boolean."""
@@ -97,7 +113,23 @@ def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad",
     held = rules.select("rule", "confidence", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     covers = (held.alias("a").join(held.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.n") > F.col("b.n")) & (F.col("b.confidence") >= F.col("a.confidence")))
               .groupBy(F.col("a.rule").alias("rule"), F.col("b.rule").alias("part"), F.col("b.n").alias("n")).agg(F.count(F.lit(1)).alias("k")).filter("k = n"))
-    return rules.join(covers.select("rule").distinct(), "rule", "left_anti")
+    return _holding(stored(rules.join(covers.select("rule").distinct(), "rule", "left_anti"), "rules"), items, confidence)
+
+
+def _holding(rules: DataFrame, items: DataFrame, confidence: float) -> DataFrame:
+    """Rules whose share of bad urls is ``confidence`` or more among the labelled urls that no surer rule matches (or that have none)."""
+    # Equal token sets are one row with a number, written before its tokens are dealt.
+    sets = stored(items.groupBy("items").agg(F.count(F.lit(1)).alias("n")).withColumn("set", F.monotonically_increasing_id()), "sets")
+    sets = sets.select("set", "n", F.array_contains("items", BAD).alias("bad"), F.explode("items").alias("token"))
+    while True:
+        index = rules.select(F.explode("tokens").alias("token"), "rule", F.size("tokens").alias("k"), "confidence")
+        hits = sets.join(index, "token").groupBy("set", "n", "bad", "rule", "k", "confidence").agg(F.count(F.lit(1)).alias("c")).filter("c = k")
+        first = hits.groupBy("set", "n", "bad").agg(F.max_by("rule", F.struct("confidence", -F.col("rule"))).alias("rule"))
+        fails = stored(first.groupBy("rule").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("b"))
+                       .filter(F.col("b") < confidence * F.col("n")).select("rule"), "fails")
+        if fails.isEmpty():
+            return rules
+        rules = stored(rules.join(fails, "rule", "left_anti"), "rules")
 
 
 def matched(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:

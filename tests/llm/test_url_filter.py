@@ -74,3 +74,48 @@ def test_empty_tables(spark):
     assert U.judge(empty, URL_RULES, U.mine(empty)).collect() == []
     twice = spark.createDataFrame([(1, "http://a.net/x", None)] * 2, "page_id long, url string, bad boolean")
     assert len(U.judge(twice, URL_RULES, U.mine(twice)).collect()) == 2
+
+
+def test_labels_follow_the_fixed_rules_then_the_table(spark):
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS)] + [(None, "http://u.net/x", "y"), (4, "http://u.net/y", "z")], "page_id long, url string, bad string")
+    given = spark.createDataFrame([(4, False), (16, True), (16, False), (9, None), (None, True), (10, True)], "page_id long, bad boolean")
+    got = {(r.page_id, r.url): r.bad for r in U.labelled(pages, URL_RULES, given).collect()}
+    want = {}
+    for r in pages.collect():
+        verdict, label = brute(r.url)[3], {4: False, 16: True, 10: True}.get(r.page_id)
+        if verdict or label is not None:
+            want[r.page_id, r.url] = verdict == "block" if verdict else label
+    assert got == want and want[16, URLS[16]] and want[4, URLS[4]] and not want[4, "http://u.net/y"]
+
+
+def test_rules_mined_from_a_share_hold_on_the_rest(spark):
+    """The given tables: rules are found, and the held-out third agrees with them."""
+    folder = "/root/testdata/sf0.1"
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url")
+    bad = spark.read.parquet(f"{folder}/labels.parquet").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad"))
+    known = U.labelled(pages, URL_RULES, bad).withColumn("held_out", F.crc32(F.col("page_id").cast("string").cast("binary")) % 3 == 1)
+    rules = U.mine(known.filter("not held_out"))
+    assert rules.count() >= 2
+    hit = known.filter("held_out").join(U.matched(pages, rules), "url")
+    n, right = hit.agg(F.count("*"), F.count_if("bad")).first()
+    every = known.filter("held_out and bad").count()
+    assert n >= 20 and right >= 0.9 * n and right >= 0.5 * every, (rules.collect(), n, right, every)
+    print("rules", [(r.tokens, r.confidence) for r in rules.collect()], "held out", n, right, every)
+
+
+def test_long_urls_and_null_ids(spark):
+    long = "http://a.com/de/" + "x/" * 300_000 + "?q=1"
+    df = spark.createDataFrame([(None, long), (None, None), (1, long)], "page_id long, url string")
+    out = U.judge(df, URL_RULES, U.mine(df.withColumn("bad", F.lit(True)))).collect()
+    assert len(out) == 3 and sum(r.page_id is None for r in out) == 2
+    assert all(r.verdict == "block" and len(r.path) == 600_004 for r in out if r.host)
+
+
+def test_a_rule_must_hold_beside_surer_ones(spark):
+    """70 of 100 /es/ urls are bad, all of them of one host: the host's /es/ is a rule, /es/ alone is none."""
+    rows = [(f"http://spam.one.org/es/{i}", True) for i in range(70)] + [(f"http://h{i % 3}.fine.net/es/{i}", False) for i in range(30)]
+    rows += [(f"http://spam.one.org/en/{i}", False) for i in range(100)] + [(f"http://h{i % 3}.fine.net/en/{i}", False) for i in range(100)]
+    rules = U.mine(spark.createDataFrame(rows, "url string, bad boolean"))
+    assert not any(r.tokens == ["dir=es"] for r in rules.collect()) and rules.count()
+    blocked = {r.url for r in U.matched(spark.createDataFrame(rows, "url string, bad boolean"), rules).collect()}
+    assert blocked == {u for u, bad in rows if bad}
