@@ -309,9 +309,21 @@ def train(df: DataFrame, text_col: str = "text") -> dict | None:
     return model
 
 
+def _packed(df: DataFrame, text_col: str, spans_col: str | None = None) -> tuple[DataFrame, list[Column]]:
+    """The caller's columns in one struct beside ``_text`` (and ``_found``), so that none of their names meets a working
+    column, and the columns that give them back."""
+    named = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    parts = {text_col: "_text"} if spans_col is None else {text_col: "_text", spans_col: "_found"}
+    rest = [c for c in df.columns if c not in parts]
+    held = F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(rest)], F.lit(0).alias("none"))
+    back = [F.col(parts[c]).alias(c) if c in parts else F.col(f"_row.c{rest.index(c)}").alias(c) for c in df.columns]
+    return df.select(held.alias("_row"), *[named(c).alias(a) for c, a in parts.items()]), back
+
+
 def find(df: DataFrame, model: dict | None, text_col: str = "text", spans_col: str = "spans", base_col: str = "base_spans") -> DataFrame:
     """Every row with ``base_col`` and ``spans_col``: arrays of (start, kind, end), sorted, kind as its number."""
-    df = _with_candidates(df, text_col)
+    df, back = _packed(df.drop(spans_col, base_col), text_col)
+    df = _with_candidates(df, "_text")
     pure = lambda x: F.struct(x["start"].alias("start"), x["kind_no"].alias("kind"), x["end"].alias("end"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     if model is None:
@@ -325,8 +337,7 @@ def find(df: DataFrame, model: dict | None, text_col: str = "text", spans_col: s
         # Of overlapping candidates the one with the best score stays (then the earliest start).
         better = lambda x: lambda y: F.struct(y["s"], -y["start"], -y["kind_no"]) > F.struct(x["s"], -x["start"], -x["kind_no"])
         added = _once(_in_blocks(F.col("_scored")), lambda blocks: F.transform(F.filter("_scored", lambda x: ~_meets(x, blocks, better(x))), pure))
-    return (df.withColumn(spans_col, F.array_sort(F.concat("_base", F.coalesce(added, none)))).withColumn(base_col, F.col("_base"))
-            .drop("_base", "_cands", "_blocks", "_scored"))
+    return df.select(*back, F.array_sort(F.concat("_base", F.coalesce(added, none))).alias(spans_col), F.col("_base").alias(base_col))
 
 
 def spelled(spans: Column) -> Column:
@@ -337,8 +348,9 @@ def spelled(spans: Column) -> Column:
 
 def redact(df: DataFrame, text_col: str = "text", spans_col: str = "spans") -> DataFrame:
     """``text_col`` with every span replaced by ``[KIND]``; overlapping spans become one, named by the first."""
-    n = F.size(spans_col)
-    spans = F.col(spans_col)
+    df, back = _packed(df, text_col, spans_col)
+    spans, text = F.col("_found"), F.col("_text")
+    n = F.size(spans)
     df = df.withColumn("_far", F.when(n > 0, _running(F.transform(spans, lambda x: x["end"]), F.greatest, BLOCK)))
     # A span that starts at or after the end of all before it begins a new one.
     first = lambda i: (i == 0) | (F.get(spans, i)["start"] >= F.get(F.col("_far"), i - 1))
@@ -346,12 +358,12 @@ def redact(df: DataFrame, text_col: str = "text", spans_col: str = "spans") -> D
     last = lambda j: F.coalesce(F.get(F.col("_first"), j + 1), n) - 1
     joined = F.transform("_first", lambda i, j: F.struct(F.get(spans, i)["start"].alias("start"), F.get(spans, i)["kind"].alias("kind"), F.get(F.col("_far"), last(j)).alias("end")))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS], F.lit(""))
-    end = F.length(text_col)
+    end = F.length(text)
     stops = F.concat(joined, F.array(F.struct(end.alias("start"), F.lit(len(KINDS)).alias("kind"), end.alias("end"))))
-    df = df.withColumn("_one", F.when(F.size(spans_col) > 0, stops))
+    df = df.withColumn("_one", F.when(n > 0, stops))
     # Before each span: the text since the previous one; then its name.  The last stop is the end of the text.
     froms = F.slice(F.concat(F.array(F.lit(0)), F.transform("_one", lambda x: x["end"])), F.lit(1), F.size("_one"))
-    cut = F.when(F.size("_one") > 0, F.regexp_extract_all(text_col, F.lit(rf"(?s).{{1,{CUT}}}"), F.lit(0)))
+    cut = F.when(F.size("_one") > 0, F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{CUT}}}"), F.lit(0)))
 
     def part(chars: Column, a: Column, z: Column) -> Column:
         """Characters a to z, from the blocks that hold them."""
@@ -360,4 +372,4 @@ def redact(df: DataFrame, text_col: str = "text", spans_col: str = "spans") -> D
         return F.when(z > a, F.substring(around, a % CUT + 1, z - a)).otherwise("")
 
     pieces = _once(cut, lambda chars: F.zip_with("_one", froms, lambda x, a: F.concat(part(chars, a, x["start"]), F.element_at(names, x["kind"] + 1))))
-    return df.withColumn(text_col, F.when(F.size("_one") > 0, F.array_join(pieces, "")).otherwise(F.col(text_col))).drop("_one", "_far", "_first")
+    return df.withColumn("_text", F.when(F.size("_one") > 0, F.array_join(pieces, "")).otherwise(text)).select(*back)

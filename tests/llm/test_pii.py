@@ -162,3 +162,14 @@ def test_redaction_across_blocks_of_characters(spark):
         for a, k, z in merged:
             out, at = out + r.raw[at:a] + f"[{pii.KINDS[k].upper()}]", z
         assert r.text == out + r.raw[at:]
+
+
+def test_columns_of_the_caller_keep_their_names_and_values(spark):
+    clash = ["_t", "_m", "_s", "_e", "_g", "_base", "_cands", "_scored", "_blocks", "_b_email", "_w_email", "_far", "_first", "_one", "_row", "_text", "_found", "a.b", "spans"]
+    df = spark.createDataFrame([(1, "mail a@b.org now", *["kept"] * len(clash))], ["doc_id", "text", *clash])
+    found = pii.find(df, pii.train(df))
+    assert set(found.columns) == {*df.columns, "base_spans"}
+    r = found.first().asDict()
+    assert all(r[c] == "kept" for c in clash if c != "spans") and len(r["spans"]) == 1
+    r = pii.redact(found).first().asDict()
+    assert r["text"] == "mail [EMAIL] now" and all(r[c] == "kept" for c in clash if c != "spans")
