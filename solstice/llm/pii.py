@@ -274,9 +274,16 @@ def _variants() -> Column:
     return out
 
 
+def _labelled(df: DataFrame, text_col: str) -> DataFrame:
+    """A row for each labelled candidate ``x`` and the hash ``t`` of its text."""
+    # For a plain explode Spark puts a filter on the array's size below all the projections that make it, each inlined into the next:
+    # the search would run again for every use of a column, also inside lambdas.  The filter on y leaves out the rows of empty arrays.
+    return _with_candidates(df.select(text_col), text_col).select(F.explode_outer("_cands").alias("x"), F.xxhash64(text_col).alias("t")).filter("x.y is not null")
+
+
 def train(df: DataFrame, text_col: str = "text") -> dict | None:
     """Boosted trees and thresholds from the labelled candidates of all rows; None without any."""
-    cands = _with_candidates(df.select(text_col), text_col).select(F.explode("_cands").alias("x"), F.xxhash64(text_col).alias("t")).filter("x.y is not null")
+    cands = _labelled(df, text_col)
     order = F.xxhash64("t", "x.start", "x.kind_no")
     sample = cands.select("x", order.alias("o")).orderBy("o", "x.kind", "x.y").limit(MAX_TRAIN)
     # Equal candidates become one weighted row; a fixed fifth of the hashes calibrates.

@@ -173,3 +173,14 @@ def test_columns_of_the_caller_keep_their_names_and_values(spark):
     assert all(r[c] == "kept" for c in clash if c != "spans") and len(r["spans"]) == 1
     r = pii.redact(found).first().asDict()
     assert r["text"] == "mail [EMAIL] now" and all(r[c] == "kept" for c in clash if c != "spans")
+
+
+def test_training_searches_a_text_once(spark, capsys):
+    docs = spark.createDataFrame([("write to a@b.example or +1 (555) 010-0199",), (None,), ("",), ("no data",)], "text string")
+    found = pii._labelled(docs, "text")
+    found.explain("extended")
+    plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1]
+    # the wide e-mail pattern finds and splits; a copy of it in a filter would search again
+    assert plan.split("== Physical Plan ==")[0].count("dot\\)") <= 8
+    assert not [line for line in plan.splitlines() if "Filter (size(" in line]
+    assert [r.x.y for r in found.collect() if r.x.kind_no == 0] == [1]
