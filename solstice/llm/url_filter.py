@@ -12,9 +12,9 @@
   bound is above the share of bad urls of the table, and whose confidence no rule on fewer of their tokens reaches.
   A rule must also hold where no surer one matches: one whose confidence is only
   that of a narrower rule's urls goes (database coverage, repeated until none goes).
-* **Inverted index.**  A row for each (token, rule).  The distinct urls' tokens
-  join it; a rule matches where the url holds all of its tokens.  A url that a
-  mined rule matches is blocked.
+* **Inverted index.**  A row for each rule, under its rarest token.  The tokens
+  of the distinct urls' distinct token sets join it; a rule matches where the set
+  holds all of its tokens.  A url that a mined rule matches is blocked.
 
 A hot host or url is reduced to distinct urls before tokens are dealt; mined
 rules are joined, not collected.
@@ -110,21 +110,38 @@ def mine(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad",
     rules = found.filter((F.col("consequent")[0] == BAD) & (sure > F.lit(bad / n))).select(F.array_sort("antecedent").alias("tokens"), "support", "confidence")
     rules = stored(rules.withColumn("rule", F.xxhash64("tokens")).select("rule", "tokens", "support", "confidence"), "rules")
     # A rule goes when another one on a proper part of its tokens is as sure.
-    held = rules.select("rule", "confidence", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    covers = (held.alias("a").join(held.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.n") > F.col("b.n")) & (F.col("b.confidence") >= F.col("a.confidence")))
-              .groupBy(F.col("a.rule").alias("rule"), F.col("b.rule").alias("part"), F.col("b.n").alias("n")).agg(F.count(F.lit(1)).alias("k")).filter("k = n"))
-    return _holding(stored(rules.join(covers.select("rule").distinct(), "rule", "left_anti"), "rules"), items, confidence)
+    # Its parts are spelled out (FP-growth's sets have ten tokens at most) and looked up whole: rules that share a common token don't meet.
+    covered = _parts(rules).join(rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("_sure")), "part").filter(F.col("_sure") >= F.col("confidence"))
+    return _holding(stored(rules.join(covered.select("rule").distinct(), "rule", "left_anti"), "rules"), items, confidence)
+
+
+def _parts(rules: DataFrame) -> DataFrame:
+    """rule, confidence, part: every proper part of a rule's sorted tokens but the empty one."""
+    every = F.expr("transform(sequence(1, shiftleft(1, size(tokens)) - 2), m -> filter(tokens, (x, i) -> (shiftright(m, i) & 1) = 1))")
+    return rules.filter(F.size("tokens") > 1).select("rule", "confidence", F.explode(every).alias("part"))
+
+
+def _hits(sets: DataFrame, rules: DataFrame) -> DataFrame:
+    """The columns of each row of ``sets`` beside each rule (and confidence) whose tokens its ``items`` all hold.
+
+    A rule has one posting, under the token that the fewest sets hold, and is compared whole there: sets and rules that
+    share a common token alone don't meet.
+    """
+    terms = sets.select(F.explode("items").alias("token"), F.struct(*sets.columns).alias("s"))
+    often = terms.groupBy("token").agg(F.count(F.lit(1)).alias("often"))
+    posted = (rules.select("rule", F.explode("tokens").alias("token")).join(often, "token", "left")
+              .groupBy("rule").agg(F.min(F.struct(F.coalesce("often", F.lit(0)), "token")).alias("least")).select("rule", "least.token"))
+    met = terms.join(rules.select("rule", "tokens", "confidence").join(posted, "rule"), "token")
+    return met.filter(F.size(F.array_except("tokens", "s.items")) == 0).select("s.*", "rule", "confidence")
 
 
 def _holding(rules: DataFrame, items: DataFrame, confidence: float) -> DataFrame:
     """Rules whose share of bad urls is ``confidence`` or more among the labelled urls that no surer rule matches (or that have none)."""
     # Equal token sets are one row with a number, written before its tokens are dealt.
     sets = stored(items.groupBy("items").agg(F.count(F.lit(1)).alias("n")).withColumn("set", F.monotonically_increasing_id()), "sets")
-    sets = sets.select("set", "n", F.array_contains("items", BAD).alias("bad"), F.explode("items").alias("token"))
+    sets = sets.select("set", "n", F.array_contains("items", BAD).alias("bad"), "items")
     while True:
-        index = rules.select(F.explode("tokens").alias("token"), "rule", F.size("tokens").alias("k"), "confidence")
-        hits = sets.join(index, "token").groupBy("set", "n", "bad", "rule", "k", "confidence").agg(F.count(F.lit(1)).alias("c")).filter("c = k")
-        first = hits.groupBy("set", "n", "bad").agg(F.max_by("rule", F.struct("confidence", -F.col("rule"))).alias("rule"))
+        first = _hits(sets, rules).groupBy("set", "n", "bad").agg(F.max_by("rule", F.struct("confidence", -F.col("rule"))).alias("rule"))
         fails = stored(first.groupBy("rule").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("b"))
                        .filter(F.col("b") < confidence * F.col("n")).select("rule"), "fails")
         if fails.isEmpty():
@@ -134,10 +151,10 @@ def _holding(rules: DataFrame, items: DataFrame, confidence: float) -> DataFrame
 
 def matched(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
     """url, mined_rule: the surest rule (then the smallest number) that matches each distinct url that has one."""
-    index = rules.select(F.explode("tokens").alias("token"), "rule", F.size("tokens").alias("n"), "confidence")
-    terms = urls.select(F.col(url_col).alias("u")).filter("u is not null").distinct().select("u", F.explode(tokens_of(F.col("u"))).alias("token"))
-    hits = terms.join(index, "token").groupBy("u", "rule", "n", "confidence").agg(F.count(F.lit(1)).alias("k")).filter("k = n")
-    return hits.groupBy("u").agg(F.max_by("rule", F.struct("confidence", -F.col("rule"))).alias("mined_rule")).withColumnRenamed("u", url_col)
+    # Urls of equal tokens are one set.
+    terms = urls.select(F.col(url_col).alias("u")).filter("u is not null").distinct().select("u", F.array_sort(tokens_of(F.col("u"))).alias("items"))
+    best = _hits(terms.select("items").distinct(), rules).groupBy("items").agg(F.max_by("rule", F.struct("confidence", -F.col("rule"))).alias("mined_rule"))
+    return terms.join(best, "items").select(F.col("u").alias(url_col), "mined_rule")
 
 
 def judge(pages: DataFrame, fixed: Sequence[tuple[str, str, str]], mined: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:

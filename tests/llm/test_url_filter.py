@@ -2,6 +2,7 @@ import random
 import re
 
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from solstice.llm import url_filter as U
 from solstice.llm.queries import URL_RULES
@@ -119,3 +120,29 @@ def test_a_rule_must_hold_beside_surer_ones(spark):
     assert not any(r.tokens == ["dir=es"] for r in rules.collect()) and rules.count()
     blocked = {r.url for r in U.matched(spark.createDataFrame(rows, "url string, bad boolean"), rules).collect()}
     assert blocked == {u for u, bad in rows if bad}
+
+
+def test_rules_and_sets_that_share_a_common_token_do_not_meet(spark, monkeypatch):
+    """The rows that are compared follow the matches, not the product of the rules and the sets with a common token."""
+    compared = []
+    plain = DataFrame.join
+    monkeypatch.setattr(DataFrame, "join", lambda *a, **k: compared.append(plain(*a, **k)) or compared[-1])
+    for n in (40, 80):
+        rules = spark.createDataFrame([(i, ["dir=de", f"site=s{i}"], 1.0) for i in range(n)], "rule long, tokens array<string>, confidence double")
+        sets = spark.createDataFrame([(i, ["dir=de", f"site=s{i}", "tld=com"]) for i in range(n)] + [(-1, ["dir=de"]), (-2, [])], "set long, items array<string>")
+        compared.clear()
+        assert sorted((r.set, r.rule) for r in U._hits(sets, rules).collect()) == [(i, i) for i in range(n)]
+        assert compared and all(j.count() <= 2 * n for j in compared)
+
+
+def test_hits_and_parts_equal_brute_force(spark):
+    rng = random.Random(8)
+    sets = [(i, sorted(rng.sample("abcdefgh", rng.randrange(0, 8)))) for i in range(120)]
+    rules = sorted({tuple(sorted(rng.sample("abcdefghz", rng.randrange(1, 5)))) for _ in range(60)})
+    df = spark.createDataFrame([(i, list(t), 0.5) for i, t in enumerate(rules)], "rule long, tokens array<string>, confidence double")
+    got = sorted((r.set, r.rule) for r in U._hits(spark.createDataFrame(sets, "set long, items array<string>"), df).collect())
+    assert got == sorted((i, k) for i, s in sets for k, t in enumerate(rules) if set(t) <= set(s))
+    parts = {(r.rule, tuple(r.part)) for r in U._parts(df).collect()}
+    for k, t in enumerate(rules):
+        mine = {p for i, p in parts if i == k}
+        assert len(mine) == 2 ** len(t) - 2 and all(set(p) < set(t) and list(p) == sorted(p) for p in mine)
