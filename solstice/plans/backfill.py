@@ -32,7 +32,7 @@ from solstice.schemas import CLIMATOLOGY_WINDOWS, METRICS, RECORD_METRICS, REGIS
 from solstice.sources.files import read_open_meteo, read_registry, zip_daily_arrays
 from solstice.sources.manifest import index_gsod, index_station_csv, scan_gsod, scan_station_csv
 from solstice.sources.store import Store, station_coverage_of
-from solstice.streaming.refresh import coverage_change, coverage_rows, ledger_rows
+from solstice.streaming.refresh import coverage_change, coverage_rows, ledger_rows, rejected_row
 
 DAILY_COLUMNS = ("station_id", "obs_date", "tmin_c", "tmax_c", "tavg_c", "prcp_mm")
 
@@ -95,9 +95,9 @@ def _ingest(run: Run) -> tuple[dict[str, str], DataFrame]:
     stations, known = _active(run), store.read("station").select("station_id", "is_active")
     index_station_csv(spark, landed.station_csv, f"{landed.manifests}/station_csv")
     raw = scan_station_csv(spark, f"{landed.manifests}/station_csv")
-    rows = clean_station_daily(raw.withColumn("row", F.to_json(F.struct(*raw.columns))), flags=True, carry=("row",)).join(known, "station_id", "left")
+    rows = clean_station_daily(raw.withColumn("landed", F.struct(*raw.columns)), flags=True, carry=("landed",)).join(known, "station_id", "left")
     problem = (F.when(F.col("is_active").isNull(), "unknown station").when(F.col("obs_date").isNull(), "unreadable date").when(F.col("f_dropped"), "no temperature"))
-    rows = store.written(rows.where(F.coalesce("is_active", F.lit(True))).select(*DAILY_COLUMNS, problem.alias("problem"), "row"))
+    rows = store.written(rows.where(F.coalesce("is_active", F.lit(True))).withColumn("problem", problem).select(*DAILY_COLUMNS, "problem", rejected_row()))
     before = F.col("obs_date") < F.lit(run.as_of).cast("date")
     primary = rows.where("problem is null").where(before).select(*DAILY_COLUMNS, F.lit("ghcn_daily").alias("source"))
     sourced = primary
@@ -108,7 +108,7 @@ def _ingest(run: Run) -> tuple[dict[str, str], DataFrame]:
         if bounds[0] is not None:  # years of the primary source: files of other years are not opened
             second = clean_gsod(scan_gsod(spark, f"{landed.manifests}/gsod", stations, None, bounds[0], bounds[1])).where(before)
             second = second.join(span, "station_id").where(F.year("obs_date").between(F.col("_y0"), F.col("_y1"))).select(*DAILY_COLUMNS, F.lit("gsod").alias("source"))
-            sourced = primary.unionByName(gap_fill(primary, second))
+            sourced = primary.unionByName(store.written(gap_fill(primary, second), "gap-fill"))  # read by the provisional fill, too
     if landed.open_meteo is not None:
         recent = clean_open_meteo_rows(zip_daily_arrays(read_open_meteo(spark, landed.open_meteo)))
         recent = recent.join(stations.select("station_id"), "station_id", "left_semi").select(*DAILY_COLUMNS, F.lit("open_meteo").alias("source"))

@@ -213,19 +213,26 @@ def open_meteo_documents(spark: SparkSession, sf_dir: str, rows: DataFrame | Non
 STATION_FILES_END, GSOD_FILES_END, DOCUMENTS_START = "2001-08-01", "2001-09-15", "2001-07-01"
 
 
+#: Tasks that write the files of one station or year.
+FILE_TASKS = 8
+
+
 def land_files(spark: SparkSession, sf_dir: str, base: str) -> None:
     """Landed files of every kind under ``base``: registry (JSON array), station files (lines 1-3 of the orders),
-    GSOD files by year (lines 4 and more), documents of the last months."""
+    GSOD files by year (lines 4 and more), documents of the last months.  A station's or year's rows are spread over
+    several files, so that no task writes all of a large one."""
     st = stations(spark, sf_dir).select("station_id", "wban", "name", F.lit(None).cast("string").alias("city"), "lat", "lon")
     array = st.agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(F.to_json(F.struct(*st.columns)))), ","), F.lit("]")).alias("value"))
     array.coalesce(1).write.text(f"{base}/registry")  # the dimension
     day = F.col("l_shipdate").cast("date")
-    raw = raw_station_rows(spark, sf_dir, "l_linenumber", "l_shipdate")
+    part = F.pmod("l_orderkey", F.lit(FILE_TASKS))
+    raw = raw_station_rows(spark, sf_dir, "l_orderkey", "l_linenumber", "l_shipdate")
     first = raw.where((F.col("l_linenumber") <= 3) & (day < F.lit(STATION_FILES_END).cast("date"))).drop("l_linenumber", "l_shipdate")
-    first.withColumn("file", F.col("STATION")).repartition("file").write.partitionBy("file").option("header", True).csv(f"{base}/station_csv")
-    gsod = raw_gsod_rows(spark, sf_dir, "l_linenumber", "l_shipdate").where((F.col("l_linenumber") > 3) & (day < F.lit(GSOD_FILES_END).cast("date")))
+    first = first.withColumn("file", F.col("STATION")).repartition("file", part).drop("l_orderkey")
+    first.write.partitionBy("file").option("header", True).csv(f"{base}/station_csv")
+    gsod = raw_gsod_rows(spark, sf_dir, "l_orderkey", "l_linenumber", "l_shipdate").where((F.col("l_linenumber") > 3) & (day < F.lit(GSOD_FILES_END).cast("date")))
     gsod = gsod.join(st.select("station_id", F.right("wban", F.lit(5)).alias("wban")), "station_id")
-    gsod = gsod.select("wban", "mo", "da", "year", "temp", "max", "min", "prcp").withColumn("file", F.col("year"))
-    gsod.repartition("file").write.partitionBy("file").option("header", True).csv(f"{base}/gsod")
+    gsod = gsod.select("wban", "mo", "da", "year", "temp", "max", "min", "prcp", "l_orderkey").withColumn("file", F.col("year"))
+    gsod.repartition("file", part).drop("l_orderkey").write.partitionBy("file").option("header", True).csv(f"{base}/gsod")
     recent = daily_series(spark, sf_dir).where(F.col("obs_date") >= F.lit(DOCUMENTS_START).cast("date"))
     open_meteo_documents(spark, sf_dir, recent).write.json(f"{base}/open_meteo")

@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -40,9 +40,9 @@ BASELINE = 24
 
 
 def _checked(batch: DataFrame, stations: DataFrame, as_of: str) -> DataFrame:
-    """Cleaned rows of active stations before ``as_of`` with ``problem`` (null: none) and the landed row."""
-    landed = batch.withColumn("row", F.to_json(F.struct(*batch.columns)))
-    rows = clean_station_daily(landed, flags=True, carry=("source", "row"))
+    """Cleaned rows of active stations before ``as_of`` with ``problem`` (null: none) and the landed ``row`` of those that have one."""
+    landed = batch.withColumn("landed", F.struct(*batch.columns))
+    rows = clean_station_daily(landed, flags=True, carry=("source", "landed"))
     known = stations.select(F.col("station_id").alias("_known"), F.coalesce("is_active", F.lit(False)).alias("_active")).distinct()
     rows = rows.join(known, rows["station_id"] == known["_known"], "left")
     problem = (F.when(F.col("_known").isNull(), "unknown station").when(F.col("obs_date").isNull(), "unreadable date")
@@ -51,7 +51,12 @@ def _checked(batch: DataFrame, stations: DataFrame, as_of: str) -> DataFrame:
     active = F.col("_known").isNull() | F.col("_active")
     running = F.col("obs_date") >= F.lit(as_of).cast("date")
     return rows.where(active & ~F.coalesce(running, F.lit(False))).select(
-        "station_id", "obs_date", "tmin_c", "tmax_c", "tavg_c", "prcp_mm", "source", "problem", "row")
+        "station_id", "obs_date", "tmin_c", "tmax_c", "tavg_c", "prcp_mm", "source", "problem", rejected_row())
+
+
+def rejected_row() -> Column:
+    """``row``: the landed row as JSON if it has a ``problem``; accepted rows need no second copy of their text."""
+    return F.when(F.col("problem").isNotNull(), F.to_json("landed")).alias("row")
 
 
 def _in_bounds(rows: DataFrame, coverage: DataFrame) -> DataFrame:

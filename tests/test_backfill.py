@@ -75,6 +75,24 @@ def test_a_killed_backfill_goes_on_and_another_run_changes_nothing(spark, landed
     assert {t: rows(store.read(t)) for t in tables} == before
 
 
+def test_landed_files_are_parsed_once_and_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    base, seen = str(tmp_path / "in"), []
+    monkeypatch.setattr(B, "provisional_fill", lambda existing, *rest, fill=B.provisional_fill: seen.append(existing) or fill(existing, *rest))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        T.land_files(spark, SF, base)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for kind in ("gsod", "station_csv"):
+        assert all(len(list(d.glob("*.csv"))) > 1 for d in (tmp_path / "in" / kind).glob("file=*"))
+    store = Store(spark, str(tmp_path / "store"))
+    files = B.Landed(f"{base}/registry", f"{base}/station_csv", f"{base}/manifests", f"{base}/gsod", f"{base}/open_meteo")
+    B.backfill(store, files, "first", T.AS_OF, AT, B.STEPS[:2])
+    assert seen and not [f for f in seen[0].inputFiles() if f.endswith(".csv")]
+    kept = store.read("quarantine").where("problem = 'no temperature'").select(F.get_json_object("row", "$.STATION").alias("s"), "station_id")
+    assert kept.count() == kept.where("s = station_id").count() > 0
+
+
 def test_manifest_opens_the_wanted_files_only(spark, tmp_path):
     a, b, c = tmp_path / "in" / "file=A B", tmp_path / "in" / "file=C", tmp_path / "in" / "x"
     for d in (a, b, c):

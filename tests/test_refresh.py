@@ -136,6 +136,12 @@ def test_incremental_batches(spark, store, stations):
     assert rows_of(R.run_totals(ledger), "batch", "stations", "rows", "stations_with_errors") == [(0, 2, 4, 3), (1, 1, 3, 0), (2, 1, 2, 0)]
 
 
+def test_only_rejected_rows_keep_their_text(spark, stations):
+    rows = R._checked(landed(spark, [("A", "2020-01-01", "10", "ghcn_daily"), ("A", "??", "10", "ghcn_daily"), ("X", "2020-01-01", "10", "gsod")]), stations, AS_OF)
+    text = '{{"STATION":"{}","DATE":"{}","TMIN":"10","TMAX":"110","PRCP":"5","source":"{}"}}'
+    assert rows_of(rows, "problem", "row") == [("unknown station", text.format("X", "2020-01-01", "gsod")), ("unreadable date", text.format("A", "??", "ghcn_daily")), (None, None)]
+
+
 def test_a_replayed_batch_changes_nothing(spark, store, stations):
     for n in (0, 1):
         run(store, spark, n, BATCHES[n], stations, insights=False)
