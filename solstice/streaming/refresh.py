@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from solstice.operators.clean import clean_station_daily
+from solstice.operators.clean import clean_station_daily, keep_where
 from solstice.operators.precedence import priority_of
 from solstice.plans.insights import latest_insights
 from solstice.schemas import AUTHORITATIVE_SOURCES, LATEST_WINDOWS
@@ -43,15 +43,15 @@ def _checked(batch: DataFrame, stations: DataFrame, as_of: str) -> DataFrame:
     """Cleaned rows of active stations before ``as_of`` with ``problem`` (null: none) and the landed ``row`` of those that have one."""
     landed = batch.withColumn("landed", F.struct(*batch.columns))
     rows = clean_station_daily(landed, flags=True, carry=("source", "landed"))
+    running = F.col("obs_date") >= F.lit(as_of).cast("date")
+    cols = ("station_id", "obs_date", "tmin_c", "tmax_c", "tavg_c", "prcp_mm", "source")
+    rows = keep_where(rows.select(*cols, "f_dropped", "landed"), ~F.coalesce(running, F.lit(False)))
     known = stations.select(F.col("station_id").alias("_known"), F.coalesce("is_active", F.lit(False)).alias("_active")).distinct()
     rows = rows.join(known, rows["station_id"] == known["_known"], "left")
     problem = (F.when(F.col("_known").isNull(), "unknown station").when(F.col("obs_date").isNull(), "unreadable date")
                .when(F.col("f_dropped"), "no temperature"))
-    rows = rows.withColumn("problem", problem)
     active = F.col("_known").isNull() | F.col("_active")
-    running = F.col("obs_date") >= F.lit(as_of).cast("date")
-    return rows.where(active & ~F.coalesce(running, F.lit(False))).select(
-        "station_id", "obs_date", "tmin_c", "tmax_c", "tavg_c", "prcp_mm", "source", "problem", rejected_row())
+    return rows.where(active).withColumn("problem", problem).select(*cols, "problem", rejected_row())
 
 
 def rejected_row() -> Column:
