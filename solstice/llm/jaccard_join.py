@@ -219,6 +219,16 @@ def _prefix_lists(base: DataFrame, classes: DataFrame, n: int, percent: int) ->
     return prefix.join(live, "h", "left_semi")
 
 
+def _hubs(lists: DataFrame) -> DataFrame:
+    """(h, f, size, pos): up to ``HUBS`` sets of each list, those of the least ``alone``, each once.
+
+    The suffix filter's words are no part of the minima: Spark sorts the rows for these.
+    """
+    picks = [F.min(F.struct("alone", F.xxhash64("f", F.lit(k)).alias("o"), "f", "size", "pos")).alias(f"k{k}") for k in range(HUBS)]
+    some = F.array_distinct(F.array(*[F.struct(f"k{k}.f", f"k{k}.size", f"k{k}.pos") for k in range(HUBS)]))
+    return lists.groupBy("h").agg(*picks).select("h", F.explode(some).alias("y")).select("h", "y.*")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        n: int = 3, percent: int = 90) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id reachable by links), text_key, is_first.
@@ -235,12 +245,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     wanted = classes.join(lists.select("f").distinct(), "f", "left_semi").select("f", "size", "id0", "tkey")
     packed = wanted.join(base, ["id0", "tkey"]).dropDuplicates(["f"]).select("f", "size", "text")
     sets = stored(packed.mapInArrow(_set_rows(n), f"f long, size long, {', '.join(c + ' long' for c in _PARTS)}, grams binary"), "sets")
-    rich = lists.join(sets.select("f", *_PARTS), "f").select("h", "f", "size", "pos", "alone", *_PARTS)
+    parts = sets.select("f", *_PARTS)
+    rich = lists.drop("alone").join(parts, "f").select("h", "f", "size", "pos", *_PARTS)
 
     # Every set against the hubs of its lists.
-    mixed = [F.min(F.struct("alone", F.xxhash64("f", F.lit(k)).alias("o"), "f", "size", "pos", *_PARTS)).alias(f"k{k}") for k in range(HUBS)]
-    hubs = rich.groupBy("h").agg(*mixed).select("h", F.explode(F.array(*[f"k{k}" for k in range(HUBS)])).alias("y"))
-    near = (rich.alias("x").join(hubs.select("h", "y.*").alias("y"), F.col("x.h") == F.col("y.h"))
+    hubs = _hubs(lists).join(parts, "f").select("h", "f", "size", "pos", *_PARTS)
+    near = (rich.alias("x").join(hubs.alias("y"), F.col("x.h") == F.col("y.h"))
             .filter((F.col("x.f") != F.col("y.f")) & _may_link(percent))
             .select(F.least("x.f", "y.f").alias("u"), F.greatest("x.f", "y.f").alias("v")).distinct())
     first = stored(_links(near, sets, percent), "links")

@@ -2,7 +2,7 @@ import random
 import re
 
 from solstice.llm.graph import components
-from solstice.llm.jaccard_join import jaccard_components
+from solstice.llm.jaccard_join import HUBS, _hubs, jaccard_components
 
 SCHEMA = "doc_id long, text string, f string, size string, h string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -78,6 +78,17 @@ def test_null_and_repeated_ids(spark):
     assert got == {None: None, 5: None, 7: 7}
 
 
+def test_each_hub_once_and_without_filter_words(spark):
+    rows = [(1, f, 10, 2, 5 if f < 4 else 900) for f in range(40)] + [(2, 7, 20, 1, 30), (2, 8, 21, 0, 700)] + [(3, f, 9, f % 5, 0) for f in range(30)]
+    hubs = _hubs(spark.createDataFrame(rows, "h long, f long, size long, pos long, alone int"))
+    assert hubs.columns == ["h", "f", "size", "pos"]
+    got = [tuple(r) for r in hubs.collect()]
+    assert len(got) == len(set(got)) and set(got) <= {r[:4] for r in rows}
+    assert {f for h, f, *_ in got if h == 1} <= set(range(4))
+    assert [r for r in got if r[0] == 2] == [(2, 7, 20, 1)]
+    assert 1 < sum(h == 3 for h, *_ in got) <= HUBS
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
     assert run(spark, [(1, None), (2, "")]) == [(1, 0, 1), (2, 0, 2)]
