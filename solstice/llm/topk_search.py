@@ -6,18 +6,23 @@ query) gives all candidates the same length, so the largest inner products are
 the smallest Euclidean distances: ``d^2 = |q|^2 + M^2 - 2 q.v``.
 
 *Precomputed* for each candidate is its distance to every pivot (the pivot
-table).  By the triangle inequality the largest ``|d(q, p) - d(v, p)|`` over all
-pivots is a lower bound of ``d(q, v)``.  For each query the candidates of a
-block are evaluated in the order of their bounds, some at a time, until the
-next bound exceeds the k-th best distance so far.  Bounds carry a margin for
-rounding; scores are exact integers, so the result is exact.
-
-Work is dealt in blocks: a row holds up to ``block`` vectors, and every query
-block meets every candidate block once (the query set against all rows).  A
-task takes the blocks of one query block after another and carries the best
-``k`` over, so it returns k rows a query and task, merged by a window per query.
-Pivots are spread-out rows of a bounded sample (``PIVOT_SAMPLE`` rows); they
-only decide how much is skipped.
+table).  Candidates of a task are ordered by their nearest pivot and the
+distance to it and cut into groups; a group keeps the least and the largest
+distance to each pivot.  By the triangle inequality the largest gap between
+``d(q, p)`` and that interval over all pivots is a lower bound of ``d(q, v)`` for
+all of the group.  A block of queries meets the groups in the order of their
+bounds; a query takes part in a group unless the bound exceeds its k-th best
+distance so far, and meets a group's candidates in one product of matrices (a
+bound for each candidate costs more than its score there).  Bounds carry a
+margin for rounding; scores are exact integers, so the result is exact.
+
+Candidates are dealt into shares, each once.  A share is a task's work and holds
+up to ``HELD`` components; every query meets every share, streamed past the
+share's candidates in blocks, and brings k rows from each, merged by a window
+per query.  So queries are stored once a share and nothing is stored for a pair.
+The driver sees counts by length and a bounded sample of distinct vectors
+(``PIVOT_SAMPLE`` rows, ``SAMPLE_VALUES`` components), cut by hash on the
+executors; its spread-out rows are the pivots, which only decide how much is skipped.
 
 Defined cases: null vectors, and vectors that hold a null or non-finite
 component, take no part.  Vectors are compared only with vectors of the same
@@ -31,51 +36,68 @@ are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows sampled for choosing pivots, and pivots chosen.
-PIVOT_SAMPLE, PIVOTS = 2000, 32
-#: Candidates evaluated at once in bound order.
-STEP = 64
+#: Rows sampled for choosing pivots, components they may have together, and pivots chosen.
+PIVOT_SAMPLE, SAMPLE_VALUES, PIVOTS = 2000, 1 << 20, 32
+#: Components (or distances to pivots) of the candidates that a task holds, rows that make a share worth a task, candidates of a group.
+HELD, LEAST, GROUP = 1 << 23, 2048, 512
 NO_ID = (1 << 63) - 1  # stands for a null id: it loses ties
+LOWEST = -(1 << 63)
 
 
-def _blocks(size: int, scale: int):
-    """Rows (dim, ids, vectors) of up to ``size`` integer vectors of one length."""
+def _blocks(size: int, scale: int, shares: int = 1):
+    """Rows of up to ``size`` integer vectors of one length, dealt out to ``shares`` in turn."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
+        context = TaskContext.get()
+        made = 31 * context.partitionId() if context else 0
+
+        def row(ids: np.ndarray, vecs: np.ndarray) -> pa.RecordBatch:
+            nonlocal made
+            made += 1
+            top = np.abs(vecs).max(initial=0)
+            kind = next((t for t in ("<i2", "<i4") if top <= np.iinfo(t).max), "<f8")
+            return pa.record_batch({"share": pa.array([made % shares], pa.int32()), "dim": pa.array([vecs.shape[1]], pa.int32()), "kind": pa.array([kind]),
+                                    "ids": pa.array([ids.tobytes()], pa.binary()), "vecs": pa.array([vecs.astype(kind).tobytes()], pa.binary())})
 
-        def row(dim: int) -> pa.RecordBatch:
-            ids, vecs = zip(*held.pop(dim))
-            return pa.record_batch({"dim": pa.array([dim], pa.int32()), "n": pa.array([len(ids)], pa.int32()),
-                                    "ids": pa.array([np.array(ids, dtype=np.int64).tobytes()], pa.binary()),
-                                    "vecs": pa.array([np.stack(vecs).tobytes()], pa.binary())})
+        def rows(dim: int, least: int) -> Iterator[pa.RecordBatch]:
+            ids, vecs = (np.concatenate(x) for x in zip(*held.pop(dim)))
+            for a in range(0, len(ids), size):
+                if len(ids) - a >= least:
+                    yield row(ids[a : a + size], vecs[a : a + size])
+                else:
+                    held[dim] = [(ids[a:], vecs[a:])]
 
         for b in batches:
-            lists = b.column("v")
             if not b.num_rows:
                 continue
-            flat = lists.flatten()
-            x = np.floor(scale * flat.to_numpy(zero_copy_only=False).astype(np.float64))
-            ends = np.cumsum(np.diff(lists.offsets.to_numpy()))
-            for i, (k, z) in enumerate(zip(b.column("id").to_pylist(), ends.tolist())):
-                a = int(ends[i - 1]) if i else 0
-                held.setdefault(z - a, []).append((NO_ID if k is None else k, x[a:z]))
-                if len(held[z - a]) >= size:
-                    yield row(z - a)
+            lists = b.column("v")
+            x = np.floor(scale * lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
+            ids = b.column("id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
+            lengths = np.diff(lists.offsets.to_numpy())
+            starts = np.cumsum(lengths) - lengths
+            for dim in np.unique(lengths).tolist():
+                at = np.flatnonzero(lengths == dim)
+                held.setdefault(dim, []).append((ids[at], x[starts[at][:, None] + np.arange(dim)]))
+                if sum(len(i) for i, _ in held[dim]) >= size:
+                    yield from rows(dim, size)
         for dim in list(held):
-            yield row(dim)
+            yield from rows(dim, 1)
     return run
 
 
-def _matrix(b: pa.RecordBatch, i: int, prefix: str) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(b.column(f"{prefix}ids")[i].as_buffer(), dtype=np.int64)
-    return ids, np.frombuffer(b.column(f"{prefix}vecs")[i].as_buffer(), dtype=np.float64).reshape(len(ids), -1)
+def _matrix(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(b.column("ids")[i].as_buffer(), dtype=np.int64)
+    vecs = np.frombuffer(b.column("vecs")[i].as_buffer(), dtype=b.column("kind")[i].as_py())
+    return ids, vecs.reshape(len(ids), b.column("dim")[i].as_py())
 
 
 def _spread(sample: np.ndarray, n: int) -> np.ndarray:
@@ -89,116 +111,196 @@ def _spread(sample: np.ndarray, n: int) -> np.ndarray:
     return sample[chosen]
 
 
+def _norms(x: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", x, x, dtype=np.float64)
+
+
 def _distances(x: np.ndarray, pivots: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    """Distances of rows (their further coordinate is ``rest``) to pivots (theirs is 0)."""
-    d2 = (x ** 2).sum(1)[:, None] + (rest ** 2)[:, None] + (pivots ** 2).sum(1)[None] - 2 * x @ pivots.T
-    return np.sqrt(np.maximum(d2, 0))
+    """Distances of rows (the square of their further coordinate is ``rest``) to pivots (theirs is 0)."""
+    x = x.astype(np.float64)
+    return np.sqrt(np.maximum((_norms(x) + rest)[:, None] + _norms(pivots)[None] - 2 * x @ pivots.T, 0))
 
 
-def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact inner products: in doubles where every sum is below 2^53, else as Python integers."""
-    if not q.size or not c.size:
-        return np.zeros(len(c), dtype=np.int64)
-    if np.abs(q).max() * np.abs(c).max() * len(q) < 2 ** 53:
-        return (c @ q).astype(np.int64)
-    exact = [sum(int(a) * int(b) for a, b in zip(q.tolist(), row)) for row in c.tolist()]
-    return np.array([min(max(s, -(1 << 63)), (1 << 63) - 1) for s in exact], dtype=np.int64)
+def _exact(q_norm: np.ndarray | float, c_norm: np.ndarray | float, bits: int) -> np.ndarray | bool:
+    """Floats of so many bits are exact: no sum of parts of an inner product exceeds the product of the lengths."""
+    return np.sqrt(np.maximum(q_norm, 1)) * np.sqrt(np.maximum(c_norm, 1)) * (1 + 1e-9) < 2.0 ** bits
 
 
-def _search(k: int, pivots: dict[int, np.ndarray], longest: dict[int, float]):
-    """Input sorted by query block; each row pairs a query block with a candidate block."""
-    def best_rows(ids, kept) -> pa.RecordBatch:
-        out = [(q, v, s) for q, (vs, ss) in zip(ids.tolist(), kept) for v, s in zip(vs.tolist(), ss.tolist())]
-        q, v, s = zip(*out) if out else ((), (), ())
-        return pa.record_batch({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.int64())})
+def _scores(q: np.ndarray, c: np.ndarray, q_norms: np.ndarray, c_norms: np.ndarray) -> np.ndarray:
+    """Exact inner products of all rows of ``q`` and ``c``: as floats where these are exact, else by Python integers."""
+    kind = next((t for t, bits in ((np.float32, 24), (np.float64, 53)) if _exact(q_norms.max(), c_norms.max(), bits)), None)
+    if kind:
+        return q.astype(kind, copy=False) @ c.astype(kind, copy=False).T
+    sure = _exact(q_norms[:, None], c_norms[None], 53)
+    q, c = q.astype(np.float64), c.astype(np.float64)
+    with np.errstate(all="ignore"):
+        out = np.where(sure, q @ c.T, 0).astype(np.int64)
+    for i, j in zip(*np.nonzero(~sure)):
+        out[i, j] = min(max(sum(int(a) * int(b) for a, b in zip(q[i].tolist(), c[j].tolist())), LOWEST), NO_ID)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, q_ids, q, kept = None, None, None, None
-        for b in batches:
-            for i in range(b.num_rows):
-                if b.column("qb")[i].as_py() != now:
-                    if now is not None:
-                        yield best_rows(q_ids, kept)
-                    now = b.column("qb")[i].as_py()
-                    q_ids, q = _matrix(b, i, "q_")
-                    dim = q.shape[1]
-                    kept = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(q_ids)
-                    p, top = pivots[dim], longest[dim]
-                    q_to = _distances(q, p, np.zeros(len(q)))
-                    norms = (q ** 2).sum(1)
-                c_ids, c = _matrix(b, i, "")
-                table = np.frombuffer(b.column("table")[i].as_buffer(), dtype=np.float64).reshape(len(c_ids), -1)
-                for j in range(len(q_ids)):
-                    kept[j] = _one(k, q_ids[j], q[j], q_to[j], norms[j] + top, c_ids, c, table, *kept[j])
-        if now is not None:
-            yield best_rows(q_ids, kept)
-    return run
+
+class Share(NamedTuple):
+    """The candidates of a task by groups; norms: squared; least, most: by group and pivot, the distances; top: the largest of norms."""
+    ids: np.ndarray
+    vecs: np.ndarray
+    norms: np.ndarray
+    least: np.ndarray
+    most: np.ndarray
+    pivots: np.ndarray
+    top: float
+    group: int
+
+
+def _share(blocks: list[tuple[np.ndarray, np.ndarray]], pivots: np.ndarray, group: int) -> Share:
+    norms = [_norms(v.astype(np.float64)) for _, v in blocks]
+    top = max(float(n.max()) for n in norms)
+    table = np.concatenate([_distances(v, pivots, top - n) for (_, v), n in zip(blocks, norms)])
+    ids = np.concatenate([i for i, _ in blocks])
+    vecs = np.concatenate([v.astype(np.float32 if top < 2 ** 48 else np.float64) for _, v in blocks])
+    near = table.argmin(1) if len(pivots) else np.zeros(len(ids), dtype=np.int64)
+    order = np.lexsort((table[np.arange(len(ids)), near], near)) if len(pivots) else np.arange(len(ids))
+    starts = np.arange(0, len(ids), group)
+    table = table[order]
+    return Share(ids[order], vecs[order], np.concatenate(norms)[order], np.minimum.reduceat(table, starts), np.maximum.reduceat(table, starts), pivots, top, group)
 
 
-def _one(k, q_id, q, q_to, base, c_ids, c, table, best_ids, best) -> tuple[np.ndarray, np.ndarray]:
-    """The best k of ``best`` and one candidate block for one query."""
-    bound = np.abs(table - q_to).max(1) if table.shape[1] else np.zeros(len(c_ids))
-    # d >= bound means score <= (base - bound^2) / 2; the margin covers rounding of the distances.
-    most = (base - bound ** 2) / 2 + 1e-9 * (abs(base) + 1) * 64
-    order = np.argsort(-most, kind="stable")
-    for a in range(0, len(order), STEP):
-        part = order[a : a + STEP]
-        if len(best) >= k:
-            part = part[most[part] >= best[-1]]
-            if not len(part):
-                break  # bounds only fall from here: nothing left can enter
-        part = part[c_ids[part] != q_id]
-        ids, s = np.concatenate((best_ids, c_ids[part])), np.concatenate((best, _scores(q, c[part])))
-        top = np.lexsort((ids, -s.astype(object) if len(s) and s.min() == -(1 << 63) else -s))[:k]
-        best_ids, best = ids[top], s[top]
-    return best_ids, best
-
-
-def _tables(pivots: dict[int, np.ndarray], longest: dict[int, float]):
-    """Adds the pivot table to each candidate block."""
+class Best:
+    """The k best candidates so far of each query: flat, by query, score and id."""
+
+    def __init__(self, k: int, q_ids: np.ndarray):
+        self.k, self.q_ids, self.waits, self.waiting = k, q_ids, [], 0
+        self.of = self.ids = self.scores = np.zeros(0, dtype=np.int64)
+        n = len(q_ids)
+        self.full, self.last, self.last_id = np.zeros(n, dtype=bool), np.full(n, LOWEST, dtype=np.int64), np.full(n, NO_ID, dtype=np.int64)
+
+    def least(self, rows: np.ndarray, kind: np.dtype) -> np.ndarray:
+        """What a score must reach."""
+        if kind.kind == "f":
+            return np.where(self.full[rows], self.last[rows].astype(kind), kind.type(-np.inf))
+        return self.last[rows]
+
+    def add(self, rows: np.ndarray, ids: np.ndarray, s: np.ndarray) -> None:
+        """s: scores of the queries ``rows`` and the candidates ``ids``."""
+        floor = self.least(rows, s.dtype)
+        some = np.flatnonzero(s.max(1) >= floor)
+        if not len(some):
+            return
+        rows, s, floor = rows[some], s[some], floor[some, None]
+        hit = s >= floor
+        n = np.count_nonzero(hit)
+        if n > 8 * self.k * len(rows) or n > 2 * self.k * len(rows) and not self.full.any():
+            own = self.q_ids[rows][:, None] == ids[None]
+            s = np.where(own, s.dtype.type(-np.inf if s.dtype.kind == "f" else LOWEST), s)
+            hit = ((s > floor) | ~self.full[rows][:, None] | (s == floor) & (ids[None] < self.last_id[rows][:, None])) & ~own
+            if len(ids) > self.k:
+                hit &= s >= np.partition(s, len(ids) - self.k, axis=1)[:, [len(ids) - self.k]]
+        at = np.flatnonzero(hit)  # many times as fast as nonzero
+        of, ids, s = rows[at // len(ids)], ids[at % len(ids)], s.ravel()[at].astype(np.int64)
+        other = ids != self.q_ids[of]
+        self.waits.append((of[other], ids[other], s[other]))
+        self.waiting += len(of)
+        if self.waiting >= 2 * len(self.q_ids):
+            self.merge()
+
+    def merge(self) -> None:
+        of, ids, s = (np.concatenate(x) for x in zip((self.of, self.ids, self.scores), *self.waits))
+        order = np.lexsort((ids, ~s, of))  # ~s falls as s grows, at 64 bits, too
+        of = of[order]
+        rank = np.arange(len(of)) - np.searchsorted(of, of)
+        order, of, rank = order[rank < self.k], of[rank < self.k], rank[rank < self.k]
+        self.of, self.ids, self.scores, self.waits, self.waiting = of, ids[order], s[order], [], 0
+        last = rank == self.k - 1
+        self.full[of[last]], self.last[of[last]], self.last_id[of[last]] = True, self.scores[last], self.ids[last]
+
+
+def _nearest(k: int, q_ids: np.ndarray, q: np.ndarray, share: Share) -> tuple[Best, int]:
+    """The best k of a share for each query, and how many pairs were scored."""
+    best, scored, norms = Best(k, q_ids), 0, _norms(q.astype(np.float64))
+    base = (norms + share.top)[:, None]
+    most = np.broadcast_to(base, (len(q), len(share.least))) / 2
+    if len(share.pivots):
+        to = _distances(q, share.pivots, np.zeros(len(q)))
+        gap = np.stack([np.maximum(np.maximum(a - to, to - z), 0).max(1) for a, z in zip(share.least, share.most)], axis=1)
+        most = (base - gap ** 2) / 2
+    # d >= gap means score <= most; the margin covers rounding of the distances. Clamped scores don't fall below the limit.
+    most = np.maximum(most + 1e-6 * (base + 1), float(LOWEST))
+    q = q.astype(share.vecs.dtype if _exact(norms.max(), share.top, 24) else np.float64)
+    for g in np.argsort(-most.max(0), kind="stable").tolist():
+        rows = np.flatnonzero(~(best.full & (most[:, g] < best.last)))  # a bound that is no number spares nothing
+        if len(rows):
+            part = slice(g * share.group, (g + 1) * share.group)
+            ids = share.ids[part]
+            best.add(rows, ids, _scores(q if len(rows) == len(q) else q[rows], share.vecs[part], norms[rows], share.norms[part]))
+            scored += len(rows) * len(ids)
+    if best.waits:
+        best.merge()
+    return best, scored
+
+
+def _search(k: int, size: int, group: int, pivots: dict[int, np.ndarray]):
+    """Input sorted by share and length: the candidates' blocks, then the queries' blocks."""
+    def found(share: Share, waiting: list) -> pa.RecordBatch:
+        q_ids, q = (np.concatenate(x) for x in zip(*waiting))
+        best, _ = _nearest(k, q_ids, q, share)
+        return pa.record_batch({"query_id": q_ids[best.of], "vec_id": best.ids, "score": best.scores})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, share, blocks, waiting = None, None, [], []
         for b in batches:
-            out = []
             for i in range(b.num_rows):
-                _, c = _matrix(b, i, "")
-                rest = np.sqrt(np.maximum(longest[c.shape[1]] - (c ** 2).sum(1), 0))
-                out.append(_distances(c, pivots[c.shape[1]], rest).tobytes())
-            yield b.append_column("table", pa.array(out, pa.binary()))
+                here = b.column("share")[i].as_py(), b.column("dim")[i].as_py()
+                if here != now:
+                    if waiting:
+                        yield found(share, waiting)
+                    now, share, blocks, waiting = here, None, [], []
+                if not b.column("asks")[i].as_py():
+                    blocks.append(_matrix(b, i))
+                    continue
+                if blocks:
+                    share, blocks = _share(blocks, pivots.get(here[1], np.zeros((0, here[1]))), group), []
+                if share:
+                    waiting.append(_matrix(b, i))
+                    if sum(len(x) for x, _ in waiting) >= size:
+                        yield found(share, waiting)
+                        waiting = []
+        if waiting:
+            yield found(share, waiting)
     return run
 
 
+def _pivots(whole: DataFrame, dim: int, distinct: int, scale: int) -> np.ndarray:
+    """From the distinct vectors with the least hashes; rows above the hash at which enough are left stay where they are."""
+    n = max(min(PIVOT_SAMPLE, SAMPLE_VALUES // max(dim, 1)), PIVOTS)
+    rows = whole.filter(F.size("v") == dim).select(F.xxhash64("v").alias("h"), "v")
+    if distinct > 2 * n:
+        rows = rows.filter(F.col("h") < LOWEST + (1 << 64) * 2 * n // distinct)
+    rows = rows.distinct().orderBy("h").limit(n).select("v").collect()
+    return _spread(np.floor(scale * np.array([r.v for r in rows], dtype=np.float64).reshape(len(rows), dim)), PIVOTS)
+
+
 def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding",
           k: int = 10, scale: int = 1024, block: int = 1024, query_block: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score of the k best candidates of each query row."""
     spark = vectors.sparkSession
     whole = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), is_query.alias("is_q"))
     big = float("inf")
-    whole = whole.filter(F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < big)))
-    queries = whole.filter("is_q and id is not null").select("id", "v").distinct()
-    pack = "dim int, n int, ids binary, vecs binary"
-
-    # One row a length: the longest vector (for the further coordinate) and a sample for the pivots.
-    ints = F.transform("v", lambda x: F.floor(x * scale).cast("double"))
-    stats = (whole.select(F.size("v").alias("dim"), F.aggregate(ints, F.lit(0.0), lambda s, x: s + x * x).alias("m"))
-             .groupBy("dim").agg(F.max("m").alias("m")).collect())
-    longest = {r.dim: float(r.m) * (1 + 1e-12) for r in stats}
-    pivots = {}
-    for dim in longest:
-        rows = whole.filter(F.size("v") == dim).orderBy(F.xxhash64("v")).limit(PIVOT_SAMPLE).select(ints.alias("v")).collect()
-        pivots[dim] = _spread(np.array([r.v for r in rows], dtype=np.float64).reshape(len(rows), dim), PIVOTS)
-    held = spark.sparkContext.broadcast((pivots, longest))
-
-    cands = whole.select("id", "v").mapInArrow(_blocks(block, scale), pack)
-    cands = cands.mapInArrow(lambda it: _tables(*held.value)(it), pack + ", table binary")
-    # So many shares of the candidates meet a query block in parallel; each share is a task's work.
-    shares = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cands = cands.withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(shares)).cast("int"))
-    q = queries.mapInArrow(_blocks(query_block, scale), pack).select(
-        F.col("dim").alias("q_dim"), F.xxhash64("ids", "vecs").alias("qb"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
-    q = q.withColumn("q_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    pairs = (cands.join(q, (F.col("share") == F.col("q_share")) & (F.col("dim") == F.col("q_dim")))
-             .select("qb", "q_ids", "q_vecs", "ids", "vecs", "table").sortWithinPartitions("qb"))
-    found = pairs.mapInArrow(lambda it: _search(k, *held.value)(it), "query_id long, vec_id long, score long")
+    valid = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < big))
+    queries = whole.filter("is_q and id is not null").filter(valid).select("id", "v").distinct()
+    whole = whole.filter(valid)
+    pack = "share int, dim int, kind string, ids binary, vecs binary"
+
+    # One row a length: rows, and about how many distinct vectors.
+    stats = whole.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("v")).alias("distinct")).collect()
+    held = spark.sparkContext.broadcast({r.dim: _pivots(whole, r.dim, r.distinct, scale) for r in stats})
+
+    spread = min(3 * spark.sparkContext.defaultParallelism, sum(r.n for r in stats) // LEAST)
+    shares = max([1, spread, *(-(-r.n * max(r.dim, PIVOTS) // HELD) for r in stats)])
+    cands = whole.select("id", "v").mapInArrow(_blocks(block, scale, shares), pack).withColumn("asks", F.lit(False))
+    q = queries.mapInArrow(_blocks(query_block, scale), pack)
+    q = q.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).withColumn("asks", F.lit(True))
+    dealt = cands.unionByName(q).repartitionById(shares, F.col("share")).sortWithinPartitions("share", "dim", "asks")
+    found = dealt.mapInArrow(lambda it: _search(k, query_block, GROUP, held.value)(it), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select(
         "query_id", "rank", F.when(F.col("vec_id") != NO_ID, F.col("vec_id")).alias("vec_id"), "score")

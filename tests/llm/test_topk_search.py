@@ -64,3 +64,50 @@ def test_table_equals_brute_force(spark):
     rows = [(r.vec_id, list(r.embedding)) for r in vec.collect()]
     got = sorted((tuple(r) for r in top_k(vec, F.col("vec_id") % 100 == 0).select("query_id", "rank", "vec_id", "score").collect()), key=str)
     assert got == brute(rows)
+
+
+def test_driver_sees_a_bounded_sample(spark):
+    """The choice of pivots brought 2,000 rows of every task to the driver: 9 MB here, hundreds at a few GB."""
+    vec = spark.range(0, 40_000, 1, 16).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.rand(3) + F.hash("id", i) / 2.0 ** 31).alias("embedding"))
+    conf = spark.sparkContext._jsc.sc().conf()
+    before = conf.get("spark.driver.maxResultSize", "1g")
+    conf.set("spark.driver.maxResultSize", "2m")
+    try:
+        top_k(vec, F.col("vec_id") % 100 == 0)
+    finally:
+        conf.set("spark.driver.maxResultSize", before)
+
+
+def test_many_shares_and_small_groups(spark, monkeypatch):
+    from solstice.llm import topk_search
+    monkeypatch.setattr(topk_search, "HELD", 4096)
+    monkeypatch.setattr(topk_search, "GROUP", 8)
+    rng = random.Random(2)
+    rows = [(i % 900, [f32(c + rng.gauss(0, 0.01)) for c in (i % 5, -(i % 3), i % 2)]) for i in range(1000)]
+    rows = [r for n, r in enumerate(rows) if n < 900 or r[0] % 100] + [(i, [1.0, -1.0, 0.0]) for i in range(1001, 1030)]
+    assert run(spark, rows) == brute(rows)
+    assert run(spark, rows, block=16, query_block=3, k=3) == brute(rows, 3)
+
+
+def test_bounds_spare_far_groups():
+    import numpy as np
+
+    from solstice.llm.topk_search import _distances, _nearest, _share, _spread
+    rng = np.random.default_rng(3)
+    angle = np.repeat(np.arange(12) * np.pi / 6, 200)
+    c = np.floor(1000 * np.stack([np.cos(angle), np.sin(angle)], axis=1) + rng.normal(0, 5, (2400, 2)))
+    ids = rng.permutation(2400)
+    share = _share([(ids[:1000], c[:1000]), (ids[1000:], c[1000:])], _spread(c[::7], 32), 64)
+    assert np.allclose(share.least[0], _distances(share.vecs[:64], share.pivots, share.top - (share.vecs[:64].astype(float) ** 2).sum(1)).min(0))
+    best, scored = _nearest(5, ids[:10], c[:10], share)
+    want = [(n, v, s) for n in range(10) for s, v in sorted((-int(c[n] @ c[j]), int(ids[j])) for j in range(2400) if j != n)[:5]]
+    assert [(n, v, -s) for n, v, s in zip(best.of.tolist(), best.ids.tolist(), best.scores.tolist())] == want
+    assert scored < 10 * 2400 / 2
+
+
+def test_one_huge_vector_among_small_ones(spark):
+    """Exact integers only where floats are not: by pairs, not for all that share a task with it."""
+    rng = random.Random(4)
+    rows = [(i, [f32(rng.gauss(0, 0.3)) for _ in range(4)]) for i in range(300)]
+    rows += [(1000, [f32(9e8), f32(-7e8), f32(5e8), f32(1e8)]), (1001, [f32(-9e8), f32(7e8), 0.0, f32(3.0)])]
+    assert run(spark, rows) == brute(rows)
